@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, licences, secretscan
+from quire.llm import bpe, licences, linededup, mixing, secretscan
 from quire.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,23 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"].isin(*secretscan.BASE_KINDS))
     return got.select("doc_id", *map(count, secretscan.BASE_KINDS), F.sha2(said(base).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+@query("op6_source_mixing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    rows = got.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("q_n"))))
+    return rows.select(
+        F.col("q_id").alias("doc_id"),
+        F.col("q_size").alias("size"),
+        F.col("q_source_size").alias("source_size"),
+        F.col("q_target").alias("target"),
+        (F.col("q_size") * F.col("q_copies")).alias("taken"),
+        F.col("q_source").alias("source"),
+    )
+
+
+@query("op9_line_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup(docs, counts=True).select("doc_id", "n_lines", "n_deleted", "text")
