@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, licences, linededup, mixing, secretscan
+from quire.llm import bpe, dartminhash, licences, linededup, mixing, secretscan
 from quire.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup(docs, counts=True).select("doc_id", "n_lines", "n_deleted", "text")
+
+
+@query("op7_minhash_near_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = dartminhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select(F.col("q_id").alias("doc_id"), "class_id", F.col("q_first").alias("kept"))
