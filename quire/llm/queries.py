@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, dartminhash, licences, linededup, mixing, secretscan
+from quire.llm import bpe, dartminhash, licences, linededup, mixing, quality, secretscan, toxicity
 from quire.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = dartminhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select(F.col("q_id").alias("doc_id"), "class_id", F.col("q_first").alias("kept"))
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_quality_classifier")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.graded(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
