@@ -1,7 +1,8 @@
 """Line dedup by pairwise alignment of documents that share rare lines.
 
-Every line (split at line feeds, ASCII blanks at its ends ignored) is hashed.  A line that several documents hold points
-each of them to the earliest one that holds it; so a line that very many documents share makes one pair for each of them
+Texts are cut into units that end with a line feed or, within a line, with the blank after a sentence's ``.``, ``!`` or
+``?``: passages are often pasted into the middle of a line.  Every unit (blanks at its ends ignored) is hashed; "line"
+below means such a unit.  A line that several documents hold points each of them to the earliest one that holds it; so a line that very many documents share makes one pair for each of them
 instead of a pair for any two, nothing needs a cap, and each repeated line of a document is in a pair with its first
 holder.  Rarity decides within a pair: patience diff anchors on the lines that occur once in both documents, takes the
 longest increasing chain of them, extends it over equal neighbours, and looks between anchors again.  Aligned lines that
@@ -127,33 +128,36 @@ def _align(least: int):
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines that stay, as runs of lines, from the blocks cut with every partner."""
+    """Characters that stay, as runs (from 1, length), from the blocks cut with every partner."""
     kind = pa.list_(pa.struct([("a", pa.int32()), ("n", pa.int32())]))
     for batch in batches:
         keep, gone = [], []
-        for n, cuts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            at, rest = 0, []
-            for a, b in sorted((x["a"], x["b"]) for part in cuts for x in part):
+        for lengths, cuts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            ends = [0]
+            for n in lengths:
+                ends.append(ends[-1] + n)
+            at, rest, lines = 0, [], 0
+            for a, b in [*sorted((x["a"], x["b"]) for part in cuts for x in part), (len(lengths), len(lengths))]:
                 if a > at:
-                    rest.append({"a": at + 1, "n": a - at})
+                    rest.append({"a": ends[at] + 1, "n": ends[a] - ends[at]})
+                lines += max(0, b - max(a, at))
                 at = max(at, b)
-            if n > at:
-                rest.append({"a": at + 1, "n": n - at})
             keep.append(rest)
-            gone.append(n - sum(x["n"] for x in rest))
+            gone.append(lines)
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keep, kind), pa.array(gone, pa.int64())], names=["p_id", "p_twin", "p_keep", "p_gone"])
 
 
 def _lines():
-    return F.split("text", "\n", -1)
+    return F.split("text", r"(?<=\n|[.!?] )", -1)
 
 
 def deleted(docs: DataFrame, least: int = MIN_WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
-    """p_id, p_twin, p_keep (runs of lines that stay), p_gone (lines deleted) of the documents that lose lines."""
+    """p_id, p_twin, p_keep (runs of characters that stay), p_gone (lines deleted) of the documents that lose lines."""
     ship(docs.sparkSession)
     row = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)).alias("q_id"), F.xxhash64("text").alias("q_twin"))
-    bare = F.transform(_lines(), lambda x: F.btrim(x, F.lit(" \t\r\f\x0b")))
-    sheet = docs.filter("text <> ''").select(*row, F.transform(bare, lambda x: F.xxhash64(x)).alias("q_lines"), F.transform(bare, lambda x: F.regexp_count(x, F.lit(r"\S+"))).alias("q_words"))
+    line = F.transform(_lines(), lambda x: F.struct(F.xxhash64(F.btrim(x, F.lit(" \t\r\n\f\x0b"))).alias("h"), F.regexp_count(x, F.lit(r"\S+")).alias("w"), F.length(x).alias("n")))
+    sheet = docs.filter("text <> ''").select(*row, line.alias("q"))
+    sheet = sheet.select("q_id", "q_twin", F.col("q.h").alias("q_lines"), F.col("q.w").alias("q_words"), F.col("q.n").alias("q_chars"))
     sheet = cut(sheet.dropDuplicates(["q_id", "q_twin"]))
     held = sheet.select("q_id", "q_twin", F.explode(F.arrays_zip("q_lines", "q_words")).alias("x")).filter(F.col("x.q_words") >= anchor).select("q_id", "q_twin", F.col("x.q_lines").alias("q_line"))
     who = F.struct("q_id", "q_twin")
@@ -165,18 +169,18 @@ def deleted(docs: DataFrame, least: int = MIN_WORDS, anchor: int = ANCHOR_WORDS)
     pairs = pairs.join(theirs, ["f_id", "f_twin"]).select("q_id", "q_twin", "q_lines", "q_words", "f_id", "f_twin", "f_lines")
     cuts = pairs.mapInArrow(_align(least), "q_id bigint, q_twin bigint, q_cuts array<struct<a:int,b:int>>")
     cuts = cuts.groupBy("q_id", "q_twin").agg(F.collect_list("q_cuts").alias("q_cuts"))
-    cuts = cuts.join(sheet.select("q_id", "q_twin", F.size("q_lines").alias("q_n")), ["q_id", "q_twin"]).select("q_id", "q_twin", "q_n", "q_cuts")
+    cuts = cuts.join(sheet.select("q_id", "q_twin", "q_chars"), ["q_id", "q_twin"]).select("q_id", "q_twin", "q_chars", "q_cuts")
     return cuts.mapInArrow(_merge, "p_id bigint, p_twin bigint, p_keep array<struct<a:int,n:int>>, p_gone bigint")
 
 
 def dedup(docs: DataFrame, least: int = MIN_WORDS, anchor: int = ANCHOR_WORDS, counts: bool = False) -> DataFrame:
     """The documents without the lines that repeat aligned blocks of earlier ones.
 
-    Same rows and columns; with ``counts`` also n_lines and n_deleted.  A document that loses all lines has an empty text.
+    Same rows and columns; with ``counts`` also n_lines (a trailing empty one included) and n_deleted.  A document that loses all lines has an empty text.
     """
     gone = deleted(docs, least, anchor)
     row = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)) == F.col("p_id")) & (F.xxhash64("text") == F.col("p_twin"))
-    rest = F.array_join(F.flatten(F.transform("p_keep", lambda r: F.slice(_lines(), r["a"], r["n"]))), "\n")
+    rest = F.array_join(F.transform("p_keep", lambda r: F.substr(F.col("text"), r["a"], r["n"])), "")
     text = F.when(F.col("p_keep").isNull(), F.col("text")).otherwise(rest)
     more = [F.coalesce(F.size(_lines()), F.lit(0)).cast("bigint").alias("n_lines"), F.coalesce("p_gone", F.lit(0)).cast("bigint").alias("n_deleted")] if counts else []
     return docs.join(gone, row, "left").select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns), *more)
