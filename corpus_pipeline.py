@@ -20,12 +20,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the blocks of lines that repeat earlier documents; those that are left without any line go, as copies.
+    """Documents without the blocks of lines that repeat earlier documents; those that are left without any word go, as copies.
 
     A document that had no text before stays.
     """
     got = linededup.dedup(docs, counts=True)
-    return got.filter("n_deleted = 0 or n_deleted < n_lines").drop("n_lines", "n_deleted")
+    return got.filter("n_deleted = 0 or text rlike '\\\\S'").select(*docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
