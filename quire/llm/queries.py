@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import annforest, bpe, dartminhash, licences, linededup, mixing, quality, secretscan, toxicity
+from quire.llm import annforest, bm25, bpe, dartminhash, licences, linededup, mixing, quality, secretscan, toxicity
 from quire.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_ann_forest")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annforest.neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op3_exact_topk_search")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.search(table(spark, sf_dir, "documents").select("doc_id", "text"))
