@@ -2,15 +2,474 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quire.functions import geometry as G
+from quire.functions import text as T
+from quire.operators import flow, layout, lean, pages, tables
+from quire.plans import inputs as I
 from quire.session import table
+from quire.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its oracle."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang").count()
+    return QUERIES["classify_pages"](spark, sf_dir)
+
+
+# Text functions
+
+
+@query(f"SELECT doc_id, trim(regexp_replace(text, '{I.WS}+', ' ', 'g'), ' ') AS cleaned FROM documents")
+def clean_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.clean_text("text").alias("cleaned"))
+
+
+@query(rf"SELECT doc_id, replace(regexp_replace(regexp_replace(regexp_replace(text, '^{I.WS}+|{I.WS}+$', '', 'g'), '{I.WS}*[\n\r\x{{2028}}\x{{2029}}]{I.WS}*', chr(1), 'g'), '{I.WS}+', ' ', 'g'), chr(1), '<br>' || chr(10)) AS marked FROM documents")
+def inner_whitespace(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.inner_whitespace("text").alias("marked"))
+
+
+@query(r"SELECT page_id, regexp_replace(regexp_replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '([\\*_\[\]`|#!])', '\\\1', 'g'), '\p{Cc}', ' ', 'g') AS escaped FROM pages")
+def escape_markdown(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.escape_markdown("html").alias("escaped"))
+
+
+@query(r"SELECT page_id, regexp_replace(t, '\p{Cc}', ' ', 'g') AS content, regexp_replace(replace(replace(t, chr(34), '&quot;'), chr(39), '&#39;'), '\p{Cc}', ' ', 'g') AS attribute FROM (SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t FROM pages)")
+def escape_html(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.escape_html("html").alias("content"), T.escape_html("html", True).alias("attribute"))
+
+
+@query(r"SELECT page_id, replace(replace(replace(replace(replace(replace(replace(url || ' (a)<b>' || chr(92) || chr(10), ' ', '%20'), '(', '%28'), ')', '%29'), '<', '%3C'), '>', '%3E'), chr(92), '%5C'), chr(10), '%0A') AS target FROM pages")
+def escape_link_target(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.escape_link_target(F.concat("url", F.lit(" (a)<b>\\\n"))).alias("target"))
+
+
+_HOSTILE = ("javascript:alert(1)", "JAVA\tSCRIPT:x", "mailto:a@b", "/path:with", "?q=a:b", "#x:y", "1http:x", "HTTP:x", ":x", "data:text/html,x", "ht tp://x")
+_HOSTILE_SQL = ", ".join(f"(-1, '{x}')" for x in _HOSTILE).replace("\t", "' || chr(9) || '")
+
+
+@query(rf"""SELECT page_id, href, NOT regexp_matches(b, '^[^:/?#]*:') OR lower(regexp_extract(b, '^([^:/?#]*):', 1)) IN ('http', 'https', 'mailto') AS allowed FROM (SELECT page_id, href, regexp_replace(href, '{I.WS}|\p{{Cc}}', '', 'g') AS b FROM
+(SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages UNION ALL SELECT * FROM (VALUES {_HOSTILE_SQL}) AS t(page_id, href)))""")
+def href_allowlist(spark, sf):
+    own = table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'))).alias("href"))
+    hostile = spark.createDataFrame([(-1, x) for x in _HOSTILE], "page_id bigint, href string")
+    return own.unionByName(hostile).select("page_id", "href", T.href_allowed("href").alias("allowed"))
+
+
+@query(r"SELECT doc_id, replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r') AS record FROM documents")
+def escape_record(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.escape_record("text").alias("record"))
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '[\r\n\t]+', ' ', 'g') AS warning FROM documents")
+def collapse_warning(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.collapse_warning("text").alias("warning"))
+
+
+@query("SELECT page_id, replace(replace(html, '--', '- -'), '>', '&gt;') AS comment FROM pages")
+def safe_comment(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.safe_comment("html").alias("comment"))
+
+
+_MARKERS = ("• one", "- x", "1. first", "(a) letter", "B) big", "0123. long", "007. agent", "12.", "  * star", "10) ten", "iv. no", "a.", "+ plus", "· dot", "1.no space")
+_MARKERS_SQL = ", ".join(f"(-1, {n}, '{x}')" for n, x in enumerate(_MARKERS))
+
+
+@query(rf"""SELECT doc_id, i, kind, CASE kind WHEN 'ordered' THEN regexp_replace(core, '^0+([0-9])', '\1') || '.' WHEN 'bullet' THEN '-' ELSE '- ' || marker END AS marker, length(regexp_extract(t, '^({I.WS}*[^{I.WS[1:-1]}]+{I.WS}+)', 1)) AS start FROM (
+SELECT *, CASE WHEN marker IN ('•', '‣', '◦', '⁃', '∙', '▪', '●', '·', '*', '+', '-') THEN 'bullet' WHEN regexp_matches(core, '^[A-Za-z]$') THEN 'letter' WHEN regexp_matches(core, '^[0-9]+$') THEN 'ordered' END AS kind FROM (
+SELECT *, regexp_extract(marker, '^\(?([A-Za-z]|[0-9]{{1,3}})[.)]$', 1) AS core FROM (
+SELECT *, regexp_extract(t, '^{I.WS}*([^{I.WS[1:-1]}]+){I.WS}+[^{I.WS[1:-1]}]', 1) AS marker FROM (SELECT doc_id, i, t FROM ({I.LINES}) UNION ALL SELECT * FROM (VALUES {_MARKERS_SQL}) AS v(doc_id, i, t))) ) ) WHERE marker <> '' AND kind IS NOT NULL""")
+def list_markers(spark, sf):
+    extra = spark.createDataFrame([(-1, n, x) for n, x in enumerate(_MARKERS)], "doc_id bigint, i int, t string")
+    got = I.lines(spark, sf).unionByName(extra).select("doc_id", "i", T.list_item("t").alias("q")).filter("q is not null")
+    return got.select("doc_id", F.col("i").cast("bigint").alias("i"), "q.kind", "q.marker", F.col("q.start").cast("bigint").alias("start"))
+
+
+@query("SELECT page_id, role, CAST(CASE WHEN regexp_matches(role, '^h[+]?0*[1-9]$') THEN regexp_extract(role, '([1-9])$', 1) END AS INTEGER) AS level FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z]+[0-9]*)', 1)) AS role FROM pages UNION ALL SELECT -1, unnest(['h1', 'h+2', 'h09', 'h10', 'h0', 'H1', 'title', 'h007']))")
+def heading_roles(spark, sf):
+    own = table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<([a-z]+[0-9]*)"))).alias("role"))
+    extra = spark.createDataFrame([(-1, x) for x in ("h1", "h+2", "h09", "h10", "h0", "H1", "title", "h007")], "page_id bigint, role string")
+    return own.unionByName(extra).select("page_id", "role", T.heading_role("role").alias("level"))
+
+
+@query(f"SELECT doc_id, i, (c <> '' AND w <= 12 AND length(c) <= 100) AS heading_like, (len(regexp_extract_all(t, '[^{I.WS[1:-1]}]+')) <= 3 AND length(regexp_replace(t, '^{I.WS}+|{I.WS}+$', '', 'g')) <= 24) AS tabular FROM (SELECT *, trim(regexp_replace(t, '{I.WS}+', ' ', 'g'), ' ') AS c, len(regexp_extract_all(t, '[^{I.WS[1:-1]}]+')) AS w FROM ({I.LINES}))")
+def line_shapes(spark, sf):
+    return I.lines(spark, sf).select("doc_id", F.col("i").cast("bigint").alias("i"), T.heading_like("t").alias("heading_like"), T.tabular_cell("t").alias("tabular"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text)) AS size_bytes FROM documents")
+def doc_fingerprint(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("size_bytes"))
+
+
+@query("SELECT doc_id, CAST(('0x' || substr(h, 1, 2)) AS INTEGER) AS r, CAST(('0x' || substr(h, 3, 2)) AS INTEGER) AS g, CAST(('0x' || substr(h, 5, 2)) AS INTEGER) AS b FROM (SELECT doc_id, substr(md5(text), 1, 6) AS h FROM documents)")
+def hex_colors(spark, sf):
+    rgb = T.hex_color(F.substring(F.md5("text"), 1, 6))
+    return table(spark, sf, "documents").select("doc_id", *(rgb[k].cast("int").alias(c) for k, c in enumerate("rgb")))
+
+
+@query("SELECT doc_id, CAST((c * s + 255 * (255 - s)) // 255 AS INTEGER) AS tinted, CAST(c * s // 255 AS INTEGER) AS shaded FROM (SELECT doc_id, CAST(n_chars % 256 AS INTEGER) AS c, CAST(doc_id % 256 AS INTEGER) AS s FROM documents)")
+def theme_tint(spark, sf):
+    c, s = F.pmod("n_chars", F.lit(256)).cast("int"), F.pmod("doc_id", F.lit(256)).cast("int")
+    return table(spark, sf, "documents").select("doc_id", G.tint(c, s).alias("tinted"), G.shade(c, s).alias("shaded"))
+
+
+_ROMAN = "||".join(f"repeat('{s}', CAST(((n {''.join(f'% {v} ' for v, _ in T.ROMAN[:k])}) // {value}) AS BIGINT))" for k, (value, s) in enumerate(T.ROMAN))
+
+
+@query(f"SELECT o_orderkey, CASE WHEN n BETWEEN 1 AND 3999 THEN {_ROMAN} ELSE CAST(n AS VARCHAR) END AS roman, CASE WHEN n > 18278 THEN 'long' WHEN n > 702 THEN chr(CAST(97 + ((n - 703) // 676) AS INTEGER)) || chr(CAST(97 + ((n - 703) // 26) % 26 AS INTEGER)) || chr(CAST(97 + (n - 1) % 26 AS INTEGER)) WHEN n > 26 THEN chr(CAST(97 + (n - 27) // 26 AS INTEGER)) || chr(CAST(97 + (n - 1) % 26 AS INTEGER)) ELSE chr(CAST(97 + (n - 1) % 26 AS INTEGER)) END AS letters FROM (SELECT o_orderkey, o_orderkey % 5000 + 1 AS n FROM orders)")
+def list_labels(spark, sf):
+    n = F.pmod("o_orderkey", F.lit(5000)) + 1
+    return table(spark, sf, "orders").select("o_orderkey", T.roman(n).alias("roman"), T.letters(n).alias("letters"))
+
+
+@query("SELECT l_orderkey, l_linenumber, s, CASE WHEN a >= 1 AND b >= a THEN a END AS first, CASE WHEN a >= 1 AND b >= a THEN b END AS last FROM (SELECT *, TRY_CAST(nullif(regexp_extract(s, '^([0-9]{1,9})(-[0-9]{1,9})?$', 1), '') AS INTEGER) AS a, coalesce(TRY_CAST(nullif(regexp_extract(s, '^[0-9]{1,9}-([0-9]{1,9})$', 1), '') AS INTEGER), TRY_CAST(nullif(regexp_extract(s, '^([0-9]{1,9})(-[0-9]{1,9})?$', 1), '') AS INTEGER)) AS b FROM (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN CAST(l_orderkey AS VARCHAR) WHEN 1 THEN l_linenumber || '-' || CAST(l_quantity AS INTEGER) WHEN 2 THEN '-' || l_linenumber ELSE l_linenumber || '-' || l_orderkey || '-1' END AS s FROM lineitem))")
+def page_selection(spark, sf):
+    n, q, o = F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("int").cast("string"), F.col("l_orderkey").cast("string")
+    s = F.when(F.col("l_linenumber") % 4 == 0, o).when(F.col("l_linenumber") % 4 == 1, F.concat(n, F.lit("-"), q)).when(F.col("l_linenumber") % 4 == 2, F.concat(F.lit("-"), n)).otherwise(F.concat(n, F.lit("-"), o, F.lit("-1")))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", s.alias("s"), T.page_selection(s)["first"].alias("first"), T.page_selection(s)["last"].alias("last"))
+
+
+@query("SELECT o_orderkey, CAST(round(o_totalprice * 1000) AS BIGINT) AS thousandths, round(o_totalprice * 10.0::DOUBLE) / 10.0::DOUBLE AS tenth, regexp_replace(printf('%.1f', round(o_totalprice * 10.0::DOUBLE) / 10.0::DOUBLE), '\\.0$', '') AS lean FROM orders")
+def lean_numbers(spark, sf):
+    v = F.col("o_totalprice")
+    return table(spark, sf, "orders").select("o_orderkey", G.scaled(v).alias("thousandths"), G.round1(v).alias("tenth"), G.lean_number(v).alias("lean"))
+
+
+# Pages
+
+
+@query(f"""WITH p AS ({I.PAGES}), g AS ({I.GLYPHS}), b AS ({I.BOXES}),
+ink AS (SELECT doc_id, page, element, sum(greatest(least(x1, 612) - least(greatest(x0, 0), 612), 0) * greatest(least(y1, 792) - least(greatest(y0, 0), 792), 0)) AS ink, count(*) AS n FROM g GROUP BY ALL),
+s AS (SELECT b.doc_id, b.page, sum(CASE WHEN kind = 'text' THEN ink ELSE 0 END) AS text_area, count(*) FILTER (kind = 'text') AS texts, sum(CASE WHEN kind = 'text' THEN n ELSE 0 END) AS glyphs, sum(CASE WHEN kind = 'image' THEN 612 * y1 ELSE 0 END) AS image_area, count(*) FILTER (kind = 'image') AS images, count(*) FILTER (kind = 'path') AS paths FROM b LEFT JOIN ink ON b.doc_id = ink.doc_id AND b.page = ink.page AND b.element = ink.element GROUP BY ALL),
+v AS (SELECT p.doc_id, p.page, least(coalesce(text_area, 0) / 484704.0::DOUBLE, 1) AS t, coalesce(texts, 0) AS texts, coalesce(glyphs, 0) AS n, least(coalesce(image_area, 0) / 484704.0::DOUBLE, 1) AS im, coalesce(images, 0) AS images, paths / 48.4704::DOUBLE AS d, p.doc_id % 17 = 0 AS bad FROM p LEFT JOIN s ON p.doc_id = s.doc_id AND p.page = s.page),
+m AS (SELECT *, (t >= 0.02::DOUBLE OR (n >= 8 AND NOT (im >= 0.6::DOUBLE AND t < 0.02::DOUBLE))) AS ok FROM v),
+k AS (SELECT *, CASE WHEN NOT ok AND im >= 0.85::DOUBLE THEN 'scanned' WHEN ok AND im >= 0.2::DOUBLE THEN 'mixed' WHEN ok THEN 'text' ELSE 'image' END AS kind, least(greatest((t - 0.005::DOUBLE) / 0.145::DOUBLE, 0), 1) AS up, least(greatest((0.001::DOUBLE - t) / 0.001::DOUBLE, 0), 1) AS low FROM m)
+SELECT doc_id, page, kind, round((0.5::DOUBLE + 0.5::DOUBLE * CASE kind WHEN 'text' THEN least(up, least(greatest((0.2::DOUBLE - im) / 0.2::DOUBLE, 0), 1)) WHEN 'scanned' THEN least(low, least(greatest((im - 0.85::DOUBLE) / 0.15::DOUBLE, 0), 1)) WHEN 'image' THEN least(low, greatest(least(greatest((im - 0.01::DOUBLE) / 0.01::DOUBLE, 0), 1), least(greatest((d - 0.1::DOUBLE) / 0.1::DOUBLE, 0), 1))) ELSE least(up, least(greatest((im - 0.2::DOUBLE) / 0.2::DOUBLE, 0), 1)) END) * 1000) / 1000 AS confidence,
+bad OR kind IN ('scanned', 'image') OR im >= 0.6::DOUBLE OR t < 0.001::DOUBLE AS needs_ocr, 2 + CASE WHEN images > 0 THEN 2 ELSE 0 END + CASE WHEN im >= 0.85::DOUBLE THEN 1 ELSE 0 END + 1 + CASE WHEN bad THEN 1 ELSE 0 END AS n_reasons FROM k""")
+def classify_pages(spark, sf):
+    p = I.pages(spark, sf)
+    bad = p.filter(F.pmod("doc_id", F.lit(17)) == 0)
+    got = pages.classify(pages.signals(p, I.boxes(spark, sf), I.glyphs(spark, sf)), bad)
+    return got.select("doc_id", "page", "kind", "confidence", "needs_ocr", F.size("reasons").cast("bigint").alias("n_reasons"))
+
+
+@query(f"SELECT p.doc_id, p.page, coalesce(s.texts, 0) = 0 AND coalesce(s.image, 0) >= 0.85::DOUBLE * 484704 AS scanned FROM ({I.PAGES}) p LEFT JOIN (SELECT doc_id, page, count(*) FILTER (kind = 'text') AS texts, max(CASE WHEN kind = 'image' THEN (x1 - x0) * (y1 - y0) END) AS image FROM ({I.BOXES}) GROUP BY ALL) s ON p.doc_id = s.doc_id AND p.page = s.page")
+def scanned_flag(spark, sf):
+    return pages.scanned(I.pages(spark, sf), I.boxes(spark, sf))
+
+
+@query(f"SELECT doc_id, page, count(*) AS glyphs, count(*) FILTER (doc_id % 17 = 0 AND content <> ' ') AS suspects FROM ({I.GLYPHS}) GROUP BY ALL HAVING count(*) FILTER (doc_id % 17 = 0 AND content <> ' ') >= 8 AND 2 * count(*) FILTER (doc_id % 17 = 0 AND content <> ' ') >= count(*)")
+def garbled_pages(spark, sf):
+    broken = F.when((F.pmod("doc_id", F.lit(17)) == 0) & (F.col("content") != " "), "�").otherwise(F.col("content"))
+    return pages.garbled(I.glyphs(spark, sf).withColumn("shown", broken), "shown")
+
+
+@query(f"SELECT doc_id, page, count(*) AS elements, count(*) FILTER (n = 1) AS single FROM (SELECT doc_id, page, CASE WHEN doc_id % 3 = 0 THEN row || ':' || ord ELSE CAST(row AS VARCHAR) END AS e, count(*) AS n FROM ({I.GLYPHS}) GROUP BY ALL) GROUP BY ALL HAVING count(*) >= 8 AND count(*) FILTER (n = 1) >= 0.6::DOUBLE * count(*)")
+def fragmented_pages(spark, sf):
+    row = F.floor(F.col("ord") / 1000000).cast("string")
+    element = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.concat(row, F.lit(":"), F.col("ord").cast("string"))).otherwise(row)
+    return pages.fragmented(I.glyphs(spark, sf).withColumn("element", element))
+
+
+_WORDS = f"""SELECT *, sum(CASE WHEN bs OR gap THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, row ORDER BY ord) - 1 AS word FROM (SELECT *, coalesce(lag(NOT shown) OVER w, true) AS bs, coalesce(x0 - lag(x1) OVER w > 2.5::DOUBLE, false) AS gap FROM (SELECT *, NOT regexp_matches(content, '^{I.WS}$') AS shown FROM ({I.GLYPHS})) WINDOW w AS (PARTITION BY doc_id, page, row ORDER BY ord)) WHERE shown"""
+
+
+@query(f"SELECT doc_id, page, line, CAST(word AS BIGINT) AS word, string_agg(content, '' ORDER BY ord) AS content, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1 FROM (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY row) - 1 AS line FROM ({_WORDS})) GROUP BY doc_id, page, line, word")
+def group_words(spark, sf):
+    unit = ["doc_id", "page", "element"]
+    got = pages.word_table(pages.group_glyphs(I.glyphs(spark, sf), unit), unit)
+    return got.select("doc_id", "page", F.col("line").cast("bigint").alias("line"), F.col("word").cast("bigint").alias("word"), "content", "x0", "x1", "y0", "y1")
+
+
+@query(f"SELECT doc_id, page, line, string_agg(content, ' ' ORDER BY word) AS content, min(x0) AS x0, max(x1) AS x1, min(b) AS baseline, count(*) AS words FROM (SELECT doc_id, page, line, word, string_agg(content, '' ORDER BY ord) AS content, min(x0) AS x0, max(x1) AS x1, min(baseline) AS b FROM (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY row) - 1 AS line FROM ({_WORDS})) GROUP BY doc_id, page, line, word) GROUP BY doc_id, page, line")
+def group_lines(spark, sf):
+    unit = ["doc_id", "page", "element"]
+    got = pages.line_table(pages.word_table(pages.group_glyphs(I.glyphs(spark, sf), unit), unit), unit)
+    return got.select("doc_id", "page", F.col("line").cast("bigint").alias("line"), "content", "x0", "x1", "baseline", "words")
+
+
+@query(f"SELECT doc_id, page, string_agg('T ' || b || ' Body_Sans ' || CASE size WHEN 10 THEN '10' WHEN 12 THEN '12' ELSE '18' END || ' ' || CASE WHEN bold THEN 'b' ELSE '-' END || ' ' || replace(replace(content, chr(92), chr(92) || chr(92)), chr(13), chr(92) || 'r'), chr(10) ORDER BY element) AS text FROM (SELECT *, regexp_replace(printf('%.1f', x0), '\\.0$', '') || ' ' || regexp_replace(printf('%.1f', y0), '\\.0$', '') || ' ' || regexp_replace(printf('%.1f', x1), '\\.0$', '') || ' ' || regexp_replace(printf('%.1f', y1), '\\.0$', '') AS b FROM ({I.BLOCKS})) GROUP BY doc_id, page")
+def lean_text_lines(spark, sf):
+    rows = I.blocks(spark, sf).withColumn("place", F.substring("element", 2, 6).cast("int")).withColumn("font", F.lit("Body Sans")).withColumn("italic", F.lit(False)).withColumn("fill", F.lit(None).cast("array<smallint>"))
+    return lean.document_text(lean.text_lines(rows), by=["doc_id", "page"])
+
+
+# Reading order
+
+
+@query(f"SELECT doc_id, median(size) AS body FROM (SELECT doc_id, size, unnest(range(least(greatest(length(trim(regexp_replace(content, '{I.WS}+', ' ', 'g'), ' ')) // 8, 1), 12))) AS k FROM ({I.BLOCKS})) GROUP BY doc_id")
+def weighted_median_font(spark, sf):
+    return layout.body_size(I.blocks(spark, sf))
+
+
+@query(f"""WITH b AS ({I.BLOCKS}), q AS (SELECT *, (i0 = 1) AS first FROM (SELECT *, row_number() OVER w AS i0, y0 - lag(y1) OVER w AS gap, abs(x0 - lag(x0) OVER w) AS shift FROM (SELECT doc_id, page, element, x0, y0, y1 FROM b) WINDOW w AS (PARTITION BY doc_id, page ORDER BY y0, x0, y1, element)))
+SELECT doc_id, page, element, CAST(sum(CASE WHEN first OR gap > 6.5::DOUBLE OR shift > 18 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY i0) - 1 AS BIGINT) AS paragraph FROM q""")
+def paragraph_breaks(spark, sf):
+    plain = I.blocks(spark, sf).withColumn("content", F.concat(F.lit("x"), F.lit("y"))).withColumn("column", F.lit(0)).withColumn("level", F.lit(None).cast("int"))
+    body = plain.select("doc_id").distinct().withColumn("body", F.lit(10.0))
+    return layout.paragraph_numbers(plain, body).select("doc_id", "page", "element", F.col("paragraph").cast("bigint").alias("paragraph"))
+
+
+@query()
+def heading_levels(spark, sf):
+    b = I.blocks(spark, sf)
+    return layout.heading_levels(b, layout.body_size(b))
+
+
+@query()
+def markdown_page(spark, sf):
+    return layout.page_markdown(I.blocks(spark, sf), I.pages(spark, sf))
+
+
+_ANNOTATED = "SELECT p_partkey AS doc_id, CAST(1 AS INTEGER) AS page, 'a' AS element, p_size * 5.0::DOUBLE AS x0, p_size * 3.0::DOUBLE AS y0, p_size * 5.0::DOUBLE + 30 AS x1, p_size * 3.0::DOUBLE + 10 AS y1 FROM part"
+_BLOCKED = "SELECT p_partkey AS doc_id, CAST(1 AS INTEGER) AS page, 'b' || k AS element, 20.0::DOUBLE * k AS x0, 12.0::DOUBLE * k AS y0, 20.0::DOUBLE * k + 25 AS x1, 12.0::DOUBLE * k + 9 AS y1 FROM part, (SELECT unnest(range(10)) AS k)"
+
+
+def _part_boxes(spark, sf):
+    part = table(spark, sf, "part")
+    x, y = F.col("p_size") * 5.0, F.col("p_size") * 3.0
+    a = part.select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page"), F.lit("a").alias("element"), x.alias("x0"), y.alias("y0"), (x + 30).alias("x1"), (y + 10).alias("y1"))
+    k = part.select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
+    bx, by = F.col("k") * 20.0, F.col("k") * 12.0
+    b = k.select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page"), F.concat(F.lit("b"), F.col("k").cast("string")).alias("element"), bx.alias("x0"), by.alias("y0"), (bx + 25).alias("x1"), (by + 9).alias("y1"))
+    return a, b
+
+
+@query(f"SELECT doc_id, element FROM (SELECT a.doc_id, b.element, row_number() OVER (PARTITION BY a.doc_id ORDER BY greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) DESC, sqrt(((a.x0 + a.x1 - b.x0 - b.x1) / 2) ** 2 + ((a.y0 + a.y1 - b.y0 - b.y1) / 2) ** 2), b.y0, b.x0, b.element) AS r FROM ({_ANNOTATED}) a JOIN ({_BLOCKED}) b ON a.doc_id = b.doc_id) WHERE r = 1")
+def annotation_nearest_block(spark, sf):
+    return layout.nearest_block(*_part_boxes(spark, sf)).select("doc_id", "element")
+
+
+@query(f"SELECT b.doc_id, b.element FROM ({_BLOCKED}) b ANTI JOIN ({_ANNOTATED}) a ON a.doc_id = b.doc_id AND (b.x0 + b.x1) / 2 BETWEEN a.x0 - 1.5 AND a.x1 + 1.5 AND (b.y0 + b.y1) / 2 BETWEEN a.y0 - 1.5 AND a.y1 + 1.5")
+def table_overlap_anti(spark, sf):
+    a, b = _part_boxes(spark, sf)
+    return tables.outside(b, a).select("doc_id", "element")
+
+
+# Tables
+
+
+_RULES = "SELECT CAST(r_regionkey AS BIGINT) AS doc_id, CAST(1 AS INTEGER) AS page, axis, at AS position, lo AS low, lo + r_regionkey * 10.0::DOUBLE + 12 AS high FROM region, (SELECT 'h' AS axis, n_nationkey * 10.0::DOUBLE AS at, n_nationkey * 2.0::DOUBLE AS lo FROM nation UNION ALL SELECT 'v', n_nationkey * 3.0::DOUBLE, n_nationkey * 7.0::DOUBLE FROM nation)"
+
+
+def _rules(spark, sf):
+    n = table(spark, sf, "nation")
+    k = F.col("n_nationkey")
+    both = n.select(F.lit("h").alias("axis"), (k * 10.0).alias("position"), (k * 2.0).alias("low")).unionByName(n.select(F.lit("v").alias("axis"), (k * 3.0).alias("position"), (k * 7.0).alias("low")))
+    documents = table(spark, sf, "region").select(F.col("r_regionkey").cast("bigint").alias("doc_id"), F.lit(1).alias("page"))
+    dealt = both.withColumn("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint")))).join(documents, "doc_id")
+    return dealt.select("doc_id", "page", "axis", "position", "low", (F.col("low") + F.col("doc_id") * 10.0 + 12).alias("high"))
+
+
+@query(f"WITH r AS ({_RULES}) SELECT h.doc_id, h.position AS h_at, v.position AS v_at FROM r h JOIN r v ON h.doc_id = v.doc_id AND h.axis = 'h' AND v.axis = 'v' AND v.position BETWEEN h.low - 1.5 AND h.high + 1.5 AND h.position BETWEEN v.low - 1.5 AND v.high + 1.5")
+def ruling_intersections(spark, sf):
+    return tables.crossings(_rules(spark, sf)).select("doc_id", "h_at", "v_at")
+
+
+@query(f"SELECT doc_id, h, v, h + v > 512 AS dense FROM (SELECT doc_id, count(*) FILTER (axis = 'h') AS h, count(*) FILTER (axis = 'v') AS v FROM ({_RULES}) GROUP BY doc_id) WHERE h >= 3 AND v >= 3")
+def ruling_density(spark, sf):
+    return tables.dense_pages(_rules(spark, sf)).select("doc_id", "h", "v", "dense")
+
+
+@query("""SELECT o_orderkey, least(sum(len) / 400.0::DOUBLE, 1) AS coverage FROM (SELECT o_orderkey, island, max(b) - min(a) AS len FROM (SELECT *, sum(f) OVER (PARTITION BY o_orderkey ORDER BY a, b) AS island FROM (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY o_orderkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 2 THEN 1 WHEN row_number() OVER (PARTITION BY o_orderkey ORDER BY a, b) = 1 THEN 1 ELSE 0 END AS f
+FROM (SELECT l_orderkey AS o_orderkey, greatest(l_linenumber * 40.0::DOUBLE, 20) AS a, least(l_linenumber * 40.0::DOUBLE + l_quantity, 420) AS b FROM lineitem) WHERE b > a)) GROUP BY o_orderkey, island) GROUP BY o_orderkey""")
+def interval_coverage(spark, sf):
+    spans = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_linenumber") * 40.0).alias("low"), (F.col("l_linenumber") * 40.0 + F.col("l_quantity")).alias("high"), F.lit(20.0).alias("start"), F.lit(420.0).alias("end"))
+    return tables.interval_coverage(spans, ["o_orderkey"], "low", "high", "start", "end").select("o_orderkey", "coverage")
+
+
+@query(f"SELECT b.doc_id, b.element, min(c) AS col, min(r) AS row FROM ({_BLOCKED}) b, (SELECT unnest(range(8)) AS c) x, (SELECT unnest(range(8)) AS r) y WHERE (b.x0 + b.x1) / 2 BETWEEN c * 25 - 1.5 AND c * 25 + 26.5 AND (b.y0 + b.y1) / 2 BETWEEN r * 15 - 1.5 AND r * 15 + 16.5 GROUP BY ALL")
+def cell_assignment(spark, sf):
+    _, b = _part_boxes(spark, sf)
+    key = b.select("doc_id", "page").distinct().withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))))
+    xs, ys = (key.select("doc_id", "page", "i", (F.col("i") * s).alias("low"), (F.col("i") * s + s).alias("high")) for s in (25.0, 15.0))
+    return tables.assign_cells(b, xs, ys).select("doc_id", "element", "col", "row")
+
+
+@query(f"SELECT doc_id, page, bucket, count(DISTINCT element) AS lines FROM (SELECT doc_id, page, element, unnest(range(CAST(floor((x0 - l) / 3) AS BIGINT), CAST(floor((x1 - l) / 3) AS BIGINT) + 1)) AS bucket FROM (SELECT *, min(x0) OVER (PARTITION BY doc_id, page) AS l FROM ({I.BLOCKS}))) GROUP BY ALL")
+def gutter_histogram(spark, sf):
+    return tables.gutter_histogram(I.blocks(spark, sf).withColumn("line", F.col("element")), ["doc_id", "page"]).select("doc_id", "page", "bucket", "lines")
+
+
+@query(f"SELECT doc_id, page, element, CAST(sum(CASE WHEN y0 - p > lim THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY element) AS BIGINT) AS region FROM (SELECT *, lag(y1) OVER (PARTITION BY doc_id, page ORDER BY element) AS p, greatest(3, 1.5 * median(greatest(y1 - y0, 1)) OVER (PARTITION BY doc_id, page)) AS lim FROM ({I.BLOCKS}))")
+def visual_regions(spark, sf):
+    got = tables.visual_regions(I.blocks(spark, sf).withColumn("line", F.col("element")))
+    return got.select("doc_id", "page", "element", F.col("region").cast("bigint").alias("region"))
+
+
+@query("SELECT n_regionkey, string_agg('| ' || n_nationkey || ' | ' || replace(n_name, '_', chr(92) || '_') || ' |' || CASE WHEN rn = 0 THEN chr(10) || '| --- | --- |' ELSE '' END, chr(10) ORDER BY rn) AS \"table\" FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS rn FROM nation) GROUP BY n_regionkey")
+def markdown_gfm_table(spark, sf):
+    from pyspark.sql import Window
+
+    n = table(spark, sf, "nation").withColumn("row", (F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1).cast("int"))
+    cells = n.select("n_regionkey", "row", F.lit(0).alias("col"), F.col("n_nationkey").cast("string").alias("content")).unionByName(n.select("n_regionkey", "row", F.lit(1).alias("col"), F.col("n_name").alias("content")))
+    return layout.gfm_table(cells, ["n_regionkey"])
+
+
+@query("SELECT l.l_orderkey, l.l_linenumber FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem p WHERE p.l_orderkey = l.l_orderkey AND l.l_linenumber > p.l_linenumber AND l.l_linenumber < p.l_linenumber + CAST(p.l_quantity AS INTEGER) % 3 + 1)")
+def covered_cells(spark, sf):
+    cells = table(spark, sf, "lineitem").select("l_orderkey", F.lit(0).alias("row"), F.col("l_linenumber").alias("col"), F.lit(1).alias("row_span"), (F.pmod(F.col("l_quantity").cast("int"), F.lit(3)) + 1).alias("col_span"))
+    return layout.uncovered_cells(cells, ["l_orderkey"]).select("l_orderkey", F.col("col").alias("l_linenumber"))
+
+
+# Flow documents
+
+
+@query("SELECT conv_id, CAST(run AS BIGINT) AS run, role, string_agg(text, '' ORDER BY turn) AS content FROM (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS run FROM (SELECT *, CASE WHEN role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) OR row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1 THEN 1 ELSE 0 END AS c FROM conversations)) GROUP BY conv_id, run, role")
+def run_merge(spark, sf):
+    runs = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("ord"), "role", F.col("text").alias("content"))
+    return flow.merge_runs(runs, ["conv_id"], ["role"]).select("conv_id", F.col("run").cast("bigint").alias("run"), "role", "content")
+
+
+@query("""SELECT conv_id, turn, label FROM (SELECT conv_id, turn, CASE lvl WHEN 0 THEN c0 || '.' ELSE greatest(c0, 1) || '.' || chr(CAST(96 + c1 AS INTEGER)) || ')' END AS label FROM (SELECT *, c1all - coalesce(max(CASE WHEN lvl = 0 THEN c1all END) OVER w, 0) AS c1 FROM (SELECT *, sum(CASE WHEN lvl = 0 THEN 1 ELSE 0 END) OVER w AS c0, sum(CASE WHEN lvl = 1 THEN 1 ELSE 0 END) OVER w AS c1all FROM (SELECT conv_id, turn, CASE WHEN length(text) % 3 = 0 THEN 0 ELSE 1 END AS lvl FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)))""")
+def numbering_labels(spark, sf):
+    p = table(spark, sf, "conversations").select("conv_id", "turn", F.col("turn").alias("ord"), F.lit("1").alias("list"), F.when(F.length("text") % 3 == 0, 0).otherwise(1).alias("level"))
+    levels = spark.createDataFrame([("1", 0, 1, "decimal", "%1.", None), ("1", 1, 1, "lowerLetter", "%1.%2)", None)], "list string, level int, start int, format string, text string, restart int")
+    return flow.numbering(p, levels, ["conv_id"]).select("conv_id", "turn", "label")
+
+
+@query("WITH RECURSIVE c AS (SELECT c_custkey AS style, c_custkey AS ancestor, 0 AS depth FROM customer UNION ALL SELECT style, ancestor // 3, depth + 1 FROM c WHERE ancestor // 3 > 0 AND depth < 15) SELECT style, ancestor, CAST(depth AS INTEGER) AS depth FROM c WHERE ancestor IN (SELECT c_custkey FROM customer)")
+def style_chain(spark, sf):
+    styles = table(spark, sf, "customer").select(F.col("c_custkey").alias("style"), F.when(F.floor(F.col("c_custkey") / 3) > 0, F.floor(F.col("c_custkey") / 3)).alias("based_on"))
+    return flow.style_chain(styles)
+
+
+@query("SELECT l_orderkey, max(l_returnflag ORDER BY l_linenumber) FILTER (false) AS font, arg_max(l_extendedprice, l_linenumber * 1000000.0::DOUBLE + l_extendedprice) AS size, count(*) FILTER (l_returnflag = 'R') % 2 = 1 AS bold FROM lineitem GROUP BY l_orderkey")
+def style_layers(spark, sf):
+    layers = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 1000000.0 + F.col("l_extendedprice")).alias("layer"), F.lit(None).cast("string").alias("font"), F.col("l_extendedprice").alias("size"), F.lit(None).cast("string").alias("color"), (F.col("l_returnflag") == "R").alias("bold"), F.lit(False).alias("italic"))
+    return flow.resolve_layers(layers, ["l_orderkey"]).select("l_orderkey", "font", "size", "bold")
+
+
+@query("SELECT conv_id, turn, CAST(coalesce(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS section, CAST(CASE WHEN max(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) = 1 THEN sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) + 1 END AS BIGINT) AS approx_page FROM conversations")
+def section_numbers(spark, sf):
+    b = table(spark, sf, "conversations").select("conv_id", "turn", F.col("turn").alias("ord"), (F.col("role") == "user").alias("ends_section"), (F.col("role") == "user").alias("page_hint"))
+    got = flow.approximate_pages(flow.sections(b, ["conv_id"]), ["conv_id"])
+    return got.select("conv_id", "turn", F.col("section").cast("bigint").alias("section"), F.col("approx_page").cast("bigint").alias("approx_page"))
+
+
+@query("SELECT doc_id, pages, blocks, CASE WHEN pages IS NOT NULL THEN pages > 3 ELSE blocks > 600 END AS too_many FROM (SELECT conv_id AS doc_id, max(CASE WHEN conv_id % 2 = 0 THEN turn END) AS pages, count(*) AS blocks FROM conversations GROUP BY conv_id)")
+def flow_page_cap(spark, sf):
+    b = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.when(F.pmod("conv_id", F.lit(2)) == 0, F.col("turn")).alias("approx_page"))
+    return flow.page_cap(b, 3)
+
+
+@query("SELECT conv_id, target, string_agg(role, ',' ORDER BY turn) AS breaks FROM (SELECT *, min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS target FROM conversations) WHERE role <> 'user' GROUP BY conv_id, target")
+def pending_breaks(spark, sf):
+    b = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("ord"), F.when(F.col("role") != "user", F.col("role")).alias("break_kind"))
+    return flow.pending_breaks(b, ["conv_id"]).select("conv_id", "target", F.concat_ws(",", "breaks").alias("breaks"))
+
+
+@query("SELECT l_orderkey, anchor AS row, CAST(max(l_linenumber) - anchor + 1 AS INTEGER) AS row_span FROM (SELECT *, max(CASE WHEN l_returnflag <> 'N' THEN l_linenumber END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS anchor FROM lineitem) WHERE anchor IS NOT NULL GROUP BY l_orderkey, anchor")
+def vertical_merges(spark, sf):
+    cells = table(spark, sf, "lineitem").select("l_orderkey", F.lit(0).alias("col"), F.lit(1).alias("col_span"), F.col("l_linenumber").alias("row"), (F.col("l_returnflag") == "N").alias("continues"))
+    return flow.vertical_anchors(cells, ["l_orderkey"]).select("l_orderkey", "row", "row_span")
+
+
+@query("SELECT l_orderkey, ord, fitted, round(coalesce(sum(fitted) OVER (PARTITION BY l_orderkey ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 1000) / 1000 AS \"offset\" FROM (SELECT *, CASE WHEN s > 0 THEN s WHEN given <= 0 THEN 300.0::DOUBLE / n WHEN 300 - given > 0 THEN (300 - given) / zero ELSE s END AS fitted FROM (SELECT l_orderkey, ord, s, sum(greatest(s, 0)) OVER w AS given, sum(CASE WHEN s <= 0 THEN 1 ELSE 0 END) OVER w AS zero, count(*) OVER w AS n FROM (SELECT l_orderkey, l_linenumber * 1000000.0::DOUBLE + l_extendedprice AS ord, CASE WHEN l_returnflag = 'N' THEN 0.0::DOUBLE ELSE l_quantity END AS s FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey)))")
+def track_distribution(spark, sf):
+    sizes = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 1000000.0 + F.col("l_extendedprice")).alias("ord"), F.when(F.col("l_returnflag") == "N", 0.0).otherwise(F.col("l_quantity")).alias("size"), F.lit(300.0).alias("extent"))
+    return flow.tracks(sizes, ["l_orderkey"], "extent").select("l_orderkey", "ord", "fitted", G.round3("offset").alias("offset"))
+
+
+@query("SELECT l_orderkey, idx, p_name AS category, row_number() OVER (PARTITION BY l_orderkey ORDER BY p_name IS NULL, idx) - 1 AS place FROM (SELECT DISTINCT l_orderkey, l_partkey AS idx FROM lineitem) v LEFT JOIN (SELECT p_partkey, p_name FROM part WHERE p_size > 25) c ON idx = c.p_partkey")
+def chart_points_pairing(spark, sf):
+    v = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("idx")).distinct()
+    c = v.join(table(spark, sf, "part").filter("p_size > 25"), F.col("idx") == F.col("p_partkey")).select("l_orderkey", "idx", F.col("p_name").alias("category"))
+    return flow.pair_points(c, v, ["l_orderkey"]).select("l_orderkey", "idx", "category", F.col("place").cast("bigint").alias("place"))
+
+
+@query("SELECT page_id, target, CASE page_id % 4 WHEN 0 THEN 'ppt/media/' || page_id || '.png' WHEN 1 THEN 'root/' || page_id WHEN 2 THEN NULL ELSE 'ppt/slides/x/' || page_id || '.xml' END AS resolved FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '../media/' || page_id || '.png' WHEN 1 THEN '/root/' || page_id || '#top' WHEN 2 THEN '../../../' || page_id ELSE './x//' || page_id || '.xml' END AS target FROM pages)")
+def relationship_resolve(spark, sf):
+    n, k = F.col("page_id").cast("string"), F.pmod("page_id", F.lit(4))
+    target = F.when(k == 0, F.concat(F.lit("../media/"), n, F.lit(".png"))).when(k == 1, F.concat(F.lit("/root/"), n, F.lit("#top"))).when(k == 2, F.concat(F.lit("../../../"), n)).otherwise(F.concat(F.lit("./x//"), n, F.lit(".xml")))
+    return table(spark, sf, "pages").select("page_id", target.alias("target"), flow.resolve_target(F.lit("ppt/slides/slide1.xml"), target).alias("resolved"))
+
+
+# Geometry
+
+
+_VEC = "SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c, embedding[4]::DOUBLE AS d FROM embeddings"
+
+
+def _vec(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", *(F.element_at("embedding", k + 1).cast("double").alias(c) for k, c in enumerate("abcd")))
+
+
+@query(f"SELECT vec_id, round(least(px, qx) * 1000) / 1000 AS x0, round(least(py, qy) * 1000) / 1000 AS y0, round(greatest(px, qx) * 1000) / 1000 AS x1, round(greatest(py, qy) * 1000) / 1000 AS y1 FROM (SELECT vec_id, CASE k WHEN 1 THEN b WHEN 2 THEN 612 - a WHEN 3 THEN 792 - b ELSE a END AS px, CASE k WHEN 1 THEN a WHEN 2 THEN b WHEN 3 THEN 612 - a ELSE 792 - b END AS py, CASE k WHEN 1 THEN d WHEN 2 THEN 612 - c WHEN 3 THEN 792 - d ELSE c END AS qx, CASE k WHEN 1 THEN c WHEN 2 THEN d WHEN 3 THEN 612 - c ELSE 792 - d END AS qy FROM (SELECT vec_id, vec_id % 4 AS k, a * 300 AS a, b * 300 AS b, c * 300 AS c, d * 300 AS d FROM ({_VEC})))")
+def page_space_rotation(spark, sf):
+    v = _vec(spark, sf)
+    turn = F.pmod("vec_id", F.lit(4)) * 90
+    got = v.select("vec_id", *G.page_box(F.col("a") * 300, F.col("b") * 300, F.col("c") * 300, F.col("d") * 300, F.lit(612.0), F.lit(792.0), turn))
+    return got.select("vec_id", *(G.round3(c).alias(c) for c in G.BOX))
+
+
+@query(f"SELECT vec_id, round(least(e, a + e, a + c + e, c + e) * 1000) / 1000 AS x0, round(greatest(e, a + e, a + c + e, c + e) * 1000) / 1000 AS x1, round(sqrt(c * c + d * d) * 1000) / 1000 AS height FROM (SELECT *, 10.0::DOUBLE AS e FROM ({_VEC}))")
+def affine_bbox(spark, sf):
+    m = tuple(F.col(c) for c in "abcd") + (F.lit(10.0), F.lit(20.0))
+    got = _vec(spark, sf).select("vec_id", *G.unit_square_box(m)[::2], G.vertical_scale(F.col("c"), F.col("d")).alias("height"))
+    return got.select("vec_id", *(G.round3(c).alias(c) for c in ("x0", "x1", "height")))
+
+
+@query("SELECT l_orderkey, min(l_quantity) AS x0, min(l_discount) AS y0, max(l_quantity) AS x1, max(l_discount) AS y1 FROM lineitem GROUP BY l_orderkey")
+def bbox_rollup(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_quantity").alias("x0"), F.col("l_discount").alias("y0"), F.col("l_quantity").alias("x1"), F.col("l_discount").alias("y1"))
+    return rows.groupBy("l_orderkey").agg(*G.union_box())
+
+
+# Jobs
+
+
+@query(f"SELECT id, created_at FROM ({I.JOBS}) WHERE status = 'queued' ORDER BY created_at, id LIMIT 1")
+def job_claim_oldest(spark, sf):
+    return jobs.oldest_queued(I.jobs(spark, sf)).select("id", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
+
+
+_NOW = "2024-03-01 00:00:00"
+
+
+@query(f"SELECT id FROM ({I.JOBS}) WHERE NOT (status IN ('succeeded', 'failed') AND updated_at < TIMESTAMP '{_NOW}' - INTERVAL 86400 SECOND)")
+def job_ttl_sweep(spark, sf):
+    return jobs.sweep(I.jobs(spark, sf), datetime.datetime.fromisoformat(_NOW)).select("id")
+
+
+@query(f"SELECT status, count(*) AS n FROM (SELECT CASE WHEN status = 'running' THEN 'queued' ELSE status END AS status FROM ({I.JOBS})) GROUP BY status")
+def job_status_rollup(spark, sf):
+    return jobs.recover(I.jobs(spark, sf)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT id, CASE WHEN status = 'queued' AND t = 'running' THEN t WHEN status = 'running' AND t <> 'running' THEN t ELSE status END AS status FROM (SELECT *, CASE id % 3 WHEN 0 THEN 'running' WHEN 1 THEN 'succeeded' ELSE 'failed' END AS t FROM ({I.JOBS}))")
+def job_transitions(spark, sf):
+    j = I.jobs(spark, sf)
+    to = F.element_at(F.array(*map(F.lit, ("running", "succeeded", "failed"))), (F.pmod("id", F.lit(3)) + 1).cast("int"))
+    return jobs.transition(j, j.select("id", to.alias("to"))).select("id", "status")
+
+
+@query(f"SELECT o.o_orderkey AS id, CASE WHEN status IS NULL THEN 'not_found' WHEN status = 'succeeded' THEN 'ready' WHEN status = 'failed' THEN 'failed' ELSE 'not_ready' END AS answer FROM orders o LEFT JOIN ({I.JOBS}) j ON o.o_orderkey = j.id")
+def job_results(spark, sf):
+    return jobs.result_state(I.jobs(spark, sf), table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")))
+
+
+@query("SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, event_type, count(*) AS n, round(sum(value) * 100) / 100 AS total FROM events GROUP BY ALL")
+def event_windows(spark, sf):
+    got = jobs.status_counts(table(spark, sf, "events"))
+    return got.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", (F.round(F.col("total") * 100) / 100).alias("total"))
