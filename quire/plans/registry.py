@@ -269,7 +269,7 @@ def table_overlap_anti(spark, sf):
 # Tables
 
 
-_RULES = "SELECT CAST(r_regionkey AS BIGINT) AS doc_id, CAST(1 AS INTEGER) AS page, axis, at AS position, lo AS low, lo + r_regionkey * 10.0::DOUBLE + 12 AS high FROM region, (SELECT 'h' AS axis, n_nationkey * 10.0::DOUBLE AS at, n_nationkey * 2.0::DOUBLE AS lo FROM nation UNION ALL SELECT 'v', n_nationkey * 3.0::DOUBLE, n_nationkey * 7.0::DOUBLE FROM nation)"
+_RULES = "SELECT CAST(r_regionkey AS BIGINT) AS doc_id, CAST(1 AS INTEGER) AS page, axis, pos AS position, lo AS low, lo + r_regionkey * 10.0::DOUBLE + 12 AS high FROM region, (SELECT 'h' AS axis, n_nationkey * 10.0::DOUBLE AS pos, n_nationkey * 2.0::DOUBLE AS lo FROM nation UNION ALL SELECT 'v', n_nationkey * 3.0::DOUBLE, n_nationkey * 7.0::DOUBLE FROM nation)"
 
 
 def _rules(spark, sf):
