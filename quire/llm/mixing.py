@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quire.session import cut, ship
 
-BLOCK, RESERVE = 4096, 64
+BLOCK, RESERVE = 4096, 512
 #: No unit is taken more often than this, and no target is above this times its source's size.
 MOST = 3
 
