@@ -187,3 +187,55 @@ def uncovered_cells(cells: DataFrame, by: list[str]) -> DataFrame:
     spread = cells.withColumn("r", F.explode(F.sequence(F.col("row"), F.col("row") + F.col("row_span") - 1))).withColumn("c", F.explode(F.sequence(F.col("col"), F.col("col") + F.col("col_span") - 1)))
     under = spread.filter("r <> row or c <> col").select(*by, F.col("r").alias("row"), F.col("c").alias("col")).distinct()
     return cells.join(under, [*by, "row", "col"], "left_anti")
+
+
+def html_table(cells: DataFrame, by: list[str]) -> DataFrame:
+    """HTML tables of anchor cells (row, col, row_span, col_span, content): spans clamped to the grid, covered places left out, the first row as head."""
+    size = cells.groupBy(*by).agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"))
+    grid = size.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)))
+    spread = cells.withColumn("r", F.explode(F.sequence(F.col("row"), F.col("row") + F.greatest("row_span", F.lit(1)) - 1))).withColumn("c", F.explode(F.sequence(F.col("col"), F.col("col") + F.greatest("col_span", F.lit(1)) - 1)))
+    under = spread.filter("r <> row or c <> col").select(*by, F.col("r").alias("row"), F.col("c").alias("col")).distinct()
+    marked = F.regexp_replace(T.inner_whitespace("content"), "<br>\n", "\uE000")
+    body = F.replace(T.escape_html(marked), F.lit("\uE000"), F.lit("<br>"))
+    full = grid.join(under, [*by, "row", "col"], "left_anti").join(cells.select(*by, "row", "col", "row_span", "col_span", body.alias("body")), [*by, "row", "col"], "left")
+    tag = F.when(F.col("row") == 0, "th").otherwise("td")
+    across, down = F.least("col_span", F.col("cols") - F.col("col")), F.least("row_span", F.col("rows") - F.col("row"))
+    attributes = F.concat(F.when(across > 1, F.concat(F.lit(' colspan="'), across.cast("string"), F.lit('"'))).otherwise(""), F.when(down > 1, F.concat(F.lit(' rowspan="'), down.cast("string"), F.lit('"'))).otherwise(""))
+    cell = F.concat(F.lit("<"), tag, attributes, F.lit(">"), F.coalesce("body", F.lit("")), F.lit("</"), tag, F.lit(">\n"))
+    row = full.withColumn("cell", cell).groupBy(*by, "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "cell"))), lambda x: x["cell"]), "").alias("cells"))
+    rows = size.select(*by, F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row")).join(row, [*by, "row"], "left")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("row", F.concat(F.lit("<tr>\n"), F.coalesce("cells", F.lit("")), F.lit("</tr>\n")).alias("line")))), lambda x: x["line"])
+    got = rows.groupBy(*by).agg(ordered.alias("q"))
+    rest = F.when(F.size("q") > 1, F.concat(F.lit("<tbody>\n"), F.array_join(F.slice("q", F.lit(2), F.size("q")), ""), F.lit("</tbody>\n"))).otherwise("")
+    return got.select(*by, F.concat(F.lit("<table>\n<thead>\n"), F.col("q")[0], F.lit("</thead>\n"), rest, F.lit("</table>")).alias("table"))
+
+
+def flow_markdown(blocks: DataFrame) -> DataFrame:
+    """Markdown of flow documents from ordered blocks (doc_id, place, kind, role, content, breaks, list_kind, list_level)."""
+    level = F.when(F.col("list_kind").isNull(), F.coalesce(F.least(T.heading_role("role"), F.lit(6)), F.when(F.col("role") == "title", 1)))
+    text = inline(F.col("content"), F.lit(False), F.lit(False), F.lit(None).cast("string"))
+    item = F.concat(F.repeat(F.lit("  "), F.coalesce(F.col("list_level"), F.lit(0))), F.when(F.col("list_kind") == "ordered", "1. ").otherwise("- "), text)
+    quote = F.concat(F.lit("> "), F.replace(text, F.lit("\n"), F.lit("\n> ")))
+    said = (
+        F.when((F.col("kind") == "paragraph") & F.col("list_kind").isNotNull(), item)
+        .when((F.col("kind") == "paragraph") & level.isNotNull(), F.concat(F.repeat(F.lit("#"), level), F.lit(" "), text))
+        .when((F.col("kind") == "paragraph") & (F.col("role") == "quote") & (text != ""), quote)
+        .when(F.col("kind") == "paragraph", text)
+        .when(F.col("kind") == "table", F.col("content"))
+        .when(F.col("kind") == "image", "<!-- image -->")
+        .when((F.col("kind") == "break") & F.col("content").isin("page", "section"), "---")
+    )
+    rules = F.transform(F.filter(F.coalesce("breaks", F.array().cast("array<string>")), lambda b: b.isin("page", "section")), lambda b: F.lit("---"))
+    each = blocks.select("doc_id", "place", F.posexplode(F.filter(F.concat(rules, F.array(said)), lambda x: x.isNotNull() & (x != ""))).alias("step", "line"))
+    ordered = F.array_sort(F.collect_list(F.struct("place", "step", "line")))
+    return each.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n\n").alias("markdown"))
+
+
+def trailing_context(warnings: DataFrame, hidden: DataFrame, tag: str = "hidden") -> DataFrame:
+    """Warnings as callouts, then hidden items as comments that no content can close, by document."""
+    callout = F.concat(F.lit("> [!WARNING]\n> "), T.escape_markdown(T.clean_text("message")))
+    w = warnings.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", callout.alias("t")))), lambda x: x["t"]), "\n\n").alias("callouts"))
+    element = F.coalesce(F.concat(F.lit(" ["), F.col("element"), F.lit("]")), F.lit(""))
+    comment = F.concat(F.lit(f"<!-- {tag}: "), T.safe_comment("kind"), T.safe_comment(element), F.lit(" "), T.safe_comment(T.clean_text("content")), F.lit(" -->"))
+    h = hidden.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "ord", comment.alias("t")))), lambda x: x["t"]), "\n").alias("comments"))
+    return w.join(h, "doc_id", "full").select("doc_id", F.concat_ws("\n\n", "callouts", "comments").alias("context"))

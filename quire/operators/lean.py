@@ -102,11 +102,34 @@ def capped(lines: DataFrame, most: int, by: str = "doc_id") -> DataFrame:
 
 
 def paragraph_line(role: Column, content: Column, list_kind: Column, level: Column, label: Column) -> Column:
-    """A flow paragraph: heading level, title, quote or plain, or a list item with its kind, level and label."""
+    """A flow paragraph: heading level, title, quote or plain, or a list item with its level, kind and label."""
     level_of = T.heading_role(role)
     tag = F.when(level_of.isNotNull(), F.concat(F.lit("H"), level_of.cast("string")))
     for name, code in ROLES.items():
         tag = tag.when(role == name, code)
     kind = F.create_map(*(F.lit(x) for kv in LIST_KINDS.items() for x in kv))
-    item = F.concat_ws(" ", F.lit("LI"), F.coalesce(F.element_at(kind, list_kind), F.lit("-")), level.cast("string"), F.coalesce(T.escape_record(label), F.lit("-")), T.escape_record(content))
+    item = F.concat_ws(" ", F.lit("LI"), level.cast("string"), F.coalesce(F.element_at(kind, list_kind), F.lit("-")), T.escape_record(label), T.escape_record(content))
     return F.when(list_kind.isNotNull(), item).otherwise(F.concat_ws(" ", tag.otherwise("P"), T.escape_record(content)))
+
+
+def flow_lines(blocks: DataFrame) -> DataFrame:
+    """Blocks of flow documents (doc_id, place, kind, role, content, breaks, approx_page, list columns, width, height, n_cols, col_widths).
+
+    Breaks come first, then the page estimate, then the block itself; cells are blocks of their own after their table.
+    """
+    kind = F.col("kind")
+    parts = F.array_compact(
+        F.concat(
+            F.transform(F.coalesce("breaks", F.array().cast("array<string>")), lambda b: F.concat(F.lit("BR "), b)),
+            F.array(
+                F.when(F.col("approx_page").isNotNull() & kind.isin("paragraph", "table"), F.concat(F.lit("~page "), F.col("approx_page").cast("string"))),
+                F.when(kind == "paragraph", paragraph_line(F.col("role"), F.col("content"), F.col("list_kind"), F.col("list_level"), F.col("list_label")))
+                .when(kind == "table", F.concat_ws(" ", F.lit("TB"), F.col("n_cols").cast("string"), F.array_join(F.transform("col_widths", G.lean_number), " ")))
+                .when(kind == "cell", F.concat_ws(" ", F.lit("c"), "row", "col", "row_span", "col_span", T.escape_record("content")))
+                .when((kind == "image") & F.col("width").isNotNull() & F.col("height").isNotNull(), F.concat_ws(" ", F.lit("I"), G.lean_number("width"), G.lean_number("height")))
+                .when(kind == "image", "I")
+                .when(kind == "break", F.concat(F.lit("BR "), F.col("content"))),
+            ),
+        )
+    )
+    return blocks.select("doc_id", F.col("section").alias("page"), "place", F.posexplode(parts).alias("step", "line")).select("doc_id", "page", "place", F.lit(0).alias("part"), "step", "line")

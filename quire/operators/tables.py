@@ -22,7 +22,7 @@ SNAP, JOIN, LEAST_RULING, LIMIT, SEPARATORS = 1.5, 2.0, 8.0, 512, 64
 OUTER, INNER, PRESENT = 0.9, 0.45, 0.5
 BUCKET, GUTTER, EDGE_SPREAD, GAP_FLOOR, GAP_SHARE = 3.0, 0.7, 4.5, 3.0, 1.5
 FILL, NEAR, REGULAR, TABULAR, LINE_OVERLAP = 0.4, 0.15, 0.6, 0.6, 0.35
-TABLE = "doc_id bigint, page int, kind string, x0 double, y0 double, x1 double, y1 double, n_rows int, n_cols int, cells array<struct<row:int,col:int,row_span:int,col_span:int,content:string>>, consumed array<string>, warning string"
+TABLE = "doc_id {key}, page int, kind string, x0 double, y0 double, x1 double, y1 double, n_rows int, n_cols int, cells array<struct<row:int,col:int,row_span:int,col_span:int,content:string>>, consumed array<string>, warning string"
 
 
 def rulings(paths: DataFrame) -> DataFrame:
@@ -310,15 +310,18 @@ def detect(texts: DataFrame, paths: DataFrame) -> DataFrame:
     ``texts``: doc_id, page, element, content, x0..y1; ``paths``: doc_id, page, element, x0..y1, stroked, filled, stroke_width.
     """
     ship(texts.sparkSession)
+    schema = TABLE.format(key=texts.schema["doc_id"].dataType.simpleString())
     texts = texts.filter((T.clean_text("content") != "") & G.ordered_box()).select(*KEY, "element", "content", *G.BOX)
     lines = rulings(paths)
     lines = lines.join(dense_pages(lines).select(*KEY), KEY, "left_semi").select(*KEY, "axis", "position", "low", "high")
     near = texts.join(lines.select(*KEY).distinct(), KEY, "left_semi")
-    ruled = lines.groupBy(*KEY).cogroup(near.groupBy(*KEY)).applyInPandas(_ruled, TABLE)
+    lines, near = lines.toDF(*lines.columns), near.toDF(*near.columns)  # fresh columns for the cogroup
+    ruled = lines.groupBy(*KEY).cogroup(near.groupBy(*KEY)).applyInPandas(_ruled, schema)
     found = ruled.filter("warning is null")
     free = texts.join(found.select(*KEY, F.explode("consumed").alias("element")), [*KEY, "element"], "left_anti")
     free = outside(free, found)
     some = free.groupBy(*KEY).count().filter(F.col("count").between(6, LIMIT)).select(*KEY)
     free = free.join(some, KEY, "left_semi")
-    aligned = free.groupBy(*KEY).cogroup(found.select(*KEY, *G.BOX).groupBy(*KEY)).applyInPandas(_aligned, TABLE)
+    free, found = free.toDF(*free.columns), found.select(*KEY, *G.BOX).toDF(*KEY, *G.BOX)
+    aligned = free.groupBy(*KEY).cogroup(found.groupBy(*KEY)).applyInPandas(_aligned, schema)
     return ruled.unionByName(aligned)
