@@ -47,18 +47,18 @@ FROM (SELECT doc_id, i, unnest(range(len(c))) AS j, unnest(c) AS content FROM (S
 
 
 def boxes(spark: SparkSession, sf: str) -> DataFrame:
-    """A text box of each page with glyphs, an image on pages of documents with an id that isn't divisible by four, and paths."""
+    """A text box of each page with glyphs, an image on each page that covers none to nine tenths of it, by the id, and a path."""
     text = glyphs(spark, sf).groupBy("doc_id", "page", "element").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("characters"))
     text = text.select("doc_id", "page", F.lit("text").alias("kind"), "element", "x0", "y0", "x1", "y1", "characters")
     share = F.element_at(F.array(F.lit(0.0), F.lit(0.25), F.lit(0.65), F.lit(0.9)), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
     p = pages(spark, sf)
-    image = p.filter(F.pmod("doc_id", F.lit(4)) > 0).select("doc_id", "page", F.lit("image").alias("kind"), F.lit("i").alias("element"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(612.0).alias("x1"), (F.lit(792.0) * share).alias("y1"), F.lit(0).alias("characters"))
+    image = p.select("doc_id", "page", F.lit("image").alias("kind"), F.lit("i").alias("element"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(612.0).alias("x1"), (F.lit(792.0) * share).alias("y1"), F.lit(0).alias("characters"))
     path = p.select("doc_id", "page", F.lit("path").alias("kind"), F.lit("r").alias("element"), F.lit(72.0).alias("x0"), F.lit(700.0).alias("y0"), F.lit(540.0).alias("x1"), F.lit(701.0).alias("y1"), F.lit(0).alias("characters"))
     return text.unionByName(image).unionByName(path)
 
 
 BOXES = f"""SELECT doc_id, page, 'text' AS kind, element, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS characters FROM ({GLYPHS}) GROUP BY doc_id, page, element
-UNION ALL SELECT doc_id, page, 'image', 'i', 0.0, 0.0, 612.0, 792.0::DOUBLE * CASE doc_id % 4 WHEN 1 THEN 0.25::DOUBLE WHEN 2 THEN 0.65::DOUBLE ELSE 0.9::DOUBLE END, 0 FROM ({PAGES}) WHERE doc_id % 4 > 0
+UNION ALL SELECT doc_id, page, 'image', 'i', 0.0, 0.0, 612.0, 792.0::DOUBLE * CASE doc_id % 4 WHEN 1 THEN 0.25::DOUBLE WHEN 2 THEN 0.65::DOUBLE WHEN 3 THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END, 0 FROM ({PAGES})
 UNION ALL SELECT doc_id, page, 'path', 'r', 72.0, 700.0, 540.0, 701.0, 0 FROM ({PAGES})"""
 
 

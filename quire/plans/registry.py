@@ -161,14 +161,14 @@ def lean_numbers(spark, sf):
 @query(f"""WITH p AS ({I.PAGES}), g AS ({I.GLYPHS}), b AS ({I.BOXES}),
 ink AS (SELECT doc_id, page, element, sum(greatest(least(x1, 612) - least(greatest(x0, 0), 612), 0) * greatest(least(y1, 792) - least(greatest(y0, 0), 792), 0)) AS ink, count(*) AS n FROM g GROUP BY ALL),
 s AS (SELECT b.doc_id, b.page, sum(CASE WHEN kind = 'text' THEN ink ELSE 0 END) AS text_area, count(*) FILTER (kind = 'text') AS texts, sum(CASE WHEN kind = 'text' THEN n ELSE 0 END) AS glyphs, sum(CASE WHEN kind = 'image' THEN 612 * y1 ELSE 0 END) AS image_area, count(*) FILTER (kind = 'image') AS images, count(*) FILTER (kind = 'path') AS paths FROM b LEFT JOIN ink ON b.doc_id = ink.doc_id AND b.page = ink.page AND b.element = ink.element GROUP BY ALL),
-v AS (SELECT p.doc_id, p.page, least(coalesce(text_area, 0) / 484704.0::DOUBLE, 1) AS t, coalesce(texts, 0) AS texts, coalesce(glyphs, 0) AS n, least(coalesce(image_area, 0) / 484704.0::DOUBLE, 1) AS im, coalesce(images, 0) AS images, paths / 48.4704::DOUBLE AS d, p.doc_id % 17 = 0 AS bad FROM p LEFT JOIN s ON p.doc_id = s.doc_id AND p.page = s.page),
+v AS (SELECT p.doc_id, p.page, least(coalesce(text_area, 0) / 484704.0::DOUBLE, 1) AS t, coalesce(texts, 0) AS texts, coalesce(glyphs, 0) AS n, least(coalesce(image_area, 0) / 484704.0::DOUBLE, 1) AS im, coalesce(images, 0) AS images, paths / 48.4704::DOUBLE AS d, p.doc_id IN (SELECT doc_id FROM documents WHERE lang = 'fr') AS bad FROM p LEFT JOIN s ON p.doc_id = s.doc_id AND p.page = s.page),
 m AS (SELECT *, (t >= 0.02::DOUBLE OR (n >= 8 AND NOT (im >= 0.6::DOUBLE AND t < 0.02::DOUBLE))) AS ok FROM v),
 k AS (SELECT *, CASE WHEN NOT ok AND im >= 0.85::DOUBLE THEN 'scanned' WHEN ok AND im >= 0.2::DOUBLE THEN 'mixed' WHEN ok THEN 'text' ELSE 'image' END AS kind, least(greatest((t - 0.005::DOUBLE) / 0.145::DOUBLE, 0), 1) AS up, least(greatest((0.001::DOUBLE - t) / 0.001::DOUBLE, 0), 1) AS low FROM m)
 SELECT doc_id, page, kind, round((0.5::DOUBLE + 0.5::DOUBLE * CASE kind WHEN 'text' THEN least(up, least(greatest((0.2::DOUBLE - im) / 0.2::DOUBLE, 0), 1)) WHEN 'scanned' THEN least(low, least(greatest((im - 0.85::DOUBLE) / 0.15::DOUBLE, 0), 1)) WHEN 'image' THEN least(low, greatest(least(greatest((im - 0.01::DOUBLE) / 0.01::DOUBLE, 0), 1), least(greatest((d - 0.1::DOUBLE) / 0.1::DOUBLE, 0), 1))) ELSE least(up, least(greatest((im - 0.2::DOUBLE) / 0.2::DOUBLE, 0), 1)) END) * 1000) / 1000 AS confidence,
 bad OR kind IN ('scanned', 'image') OR im >= 0.6::DOUBLE OR t < 0.001::DOUBLE AS needs_ocr, 2 + CASE WHEN images > 0 THEN 2 ELSE 0 END + CASE WHEN im >= 0.85::DOUBLE THEN 1 ELSE 0 END + 1 + CASE WHEN bad THEN 1 ELSE 0 END AS n_reasons FROM k""")
 def classify_pages(spark, sf):
     p = I.pages(spark, sf)
-    bad = p.filter(F.pmod("doc_id", F.lit(17)) == 0)
+    bad = p.join(table(spark, sf, "documents").filter("lang = 'fr'").select("doc_id"), "doc_id", "left_semi")  # as if their glyphs had no mapping
     got = pages.classify(pages.signals(p, I.boxes(spark, sf), I.glyphs(spark, sf)), bad)
     return got.select("doc_id", "page", "kind", "confidence", "needs_ocr", F.size("reasons").cast("bigint").alias("n_reasons"))
 
