@@ -7,6 +7,7 @@ wherever they run.  ``cut(df)`` ends a lineage with a checkpoint in the folder t
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -65,6 +66,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what no frame refers to any more: shuffle files and checkpoints of finished rounds."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder, read through Spark only."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
