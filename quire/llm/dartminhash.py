@@ -10,8 +10,10 @@ weighted Jaccard similarity as probability.
 
 Signatures are joined by bands of ``ROWS`` coordinates.  Texts with equal shingle multisets are one node.  In each band
 bucket all nodes are compared with one leader, the node of the largest buckets; pairs are verified on whole shingle sets.
-Where a bucket's nodes are then in more than one component, all pairs across components with enough agreeing coordinates
-are verified too, so no pair of a bucket is given up: either it is verified or its two nodes are known to be connected.
+Where a bucket's nodes are then in more than one component, all nodes that such buckets connect form a family, and
+families are compared exactly: in pairs of blocks of bounded size, each by products of 0/1 matrices of the shingles that
+occur twice in the two blocks.  Only links between components leave a task, one for two components.  So no pair of a
+bucket is given up: it is verified, or its two nodes are known to be connected; and no list of a family's pairs is made.
 
 Null and empty texts have no class partner.  A class is named by its smallest id; if all its ids are null, by a negative
 number from its key.
@@ -23,17 +25,18 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import cut, ship
+from quire.session import cut, release, ship
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
-#: Agreeing coordinates that a pair across components needs before its sets are compared: four standard deviations below the mean at SIMILARITY.
-AGREE = math.floor(COORDINATES * SIMILARITY - 4 * math.sqrt(COORDINATES * SIMILARITY * (1 - SIMILARITY)))
+#: Nodes, and shingles, of a block of a family; columns of a matrix.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 1500, 1_200_000, 2048
 _U = np.uint64
 
 
@@ -181,15 +184,37 @@ def _verify(least: float):
     return run
 
 
-def _resign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from quire.llm.dartminhash import COORDINATES, signatures
+def _family(least: float):
+    """Links between components of a block, or across two blocks, of a family."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["block", "node"], kind="stable")
+        sets = [np.frombuffer(x, _U) for x in pdf["shingles"]]
+        size = np.array([len(x) for x in sets])
+        rows = np.repeat(np.arange(len(sets)), size)
+        _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        use = count[token] > 1
+        rows, token = rows[use], (np.cumsum(count > 1) - 1)[token[use]]
+        order = np.argsort(token, kind="stable")
+        rows, token = rows[order], token[order]
+        n = len(sets)
+        split = int((pdf["block"].to_numpy() == key[1]).sum()) if key[1] != key[2] else n
+        other = slice(split, n) if key[1] != key[2] else slice(0, n)
+        common = np.zeros((split, n - split if key[1] != key[2] else n), np.float32)
+        top = int(token[-1]) + 1 if len(token) else 0
+        for a in range(0, top, COLUMNS):
+            part = slice(*np.searchsorted(token, [a, a + COLUMNS]))
+            m = np.zeros((n, COLUMNS), np.float32)
+            m[rows[part], token[part] - a] = 1.0
+            common += m[:split] @ m[other].T
+        union = size[:split, None] + size[other][None, :] - common
+        names, home = np.unique(pdf["home"].to_numpy(object), return_inverse=True)
+        alike = (common >= least * union - 1e-6) & (home[:split, None] != home[other][None, :])
+        i, j = np.nonzero(alike)
+        pairs = {(min(x, y), max(x, y)) for x, y in zip(home[:split][i].tolist(), home[other][j].tolist(), strict=True)}
+        return pd.DataFrame({"u": [names[x] for x, _ in sorted(pairs)], "v": [names[y] for _, y in sorted(pairs)]}, columns=["u", "v"])
 
-    for batch in batches:
-        sets = [np.frombuffer(x.as_buffer(), _U) for x in batch.column(1)]
-        rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        sig = signatures(np.concatenate(sets) if sets else np.zeros(0, _U), rows, len(sets))
-        low = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * COORDINATES), pa.array((sig & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32).ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), low], names=["node", "sig"])
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -217,6 +242,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         e = cut(star(star(e, True), False))
         now = mark(e)
+        release(e.sparkSession)
         if now == seen:
             break
         seen = now
@@ -249,22 +275,25 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         return cut(p.join(left, "u").join(right, "v").select("u", "v", "u_set", "v_set").mapInArrow(_verify(least), "u binary, v binary"))
 
     links = verified(pairs)
+    release(spark)
     found = components(links)
     home = F.coalesce("root", "node").alias("home")
     spread = cut(posts.select("key", "node").join(found, "node", "left").select("key", "node", home))
     mixed = spread.groupBy("key").agg(F.min("home").alias("a"), F.max("home").alias("b")).filter("a <> b").select("key")
     open_ = spread.join(mixed, "key")
     if not open_.isEmpty():
-        sig = sets.join(open_.select("node").distinct(), "node").select("node", "shingles", "m")
-        sig = sig.select("node", "shingles").mapInArrow(_resign, "node binary, sig array<int>").join(sig.select("node", "m"), "node")
-        open_ = cut(open_.join(sig, "node"))
-        x = open_.select("key", *(F.col(c).alias(f"x_{c}") for c in ("node", "home", "sig", "m")))
-        y = open_.select("key", *(F.col(c).alias(f"y_{c}") for c in ("node", "home", "sig", "m")))
-        alike = F.aggregate(F.zip_with("x_sig", "y_sig", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, z: s + z) >= AGREE
-        near = F.least("x_m", "y_m") >= least * F.greatest("x_m", "y_m")
-        more = x.join(y, (x["key"] == y["key"]) & (F.col("x_home") < F.col("y_home")) & near & alike).select(F.col("x_node").alias("u"), F.col("y_node").alias("v")).distinct()
-        links = links.unionByName(verified(more))
-        found = components(links)
+        bucket = F.unhex(F.lpad(F.hex("key"), 16, "0"))
+        family = components(open_.select(F.col("node").alias("u"), bucket.alias("v")))
+        loose = cut(open_.select("node", "home").distinct().join(family, "node").join(sets, "node"))
+        blocks = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("m") / F.lit(BLOCK_SHINGLES))).alias("blocks")
+        loose = loose.join(loose.groupBy("root").agg(blocks, F.countDistinct("home").alias("homes")).filter("homes > 1"), "root")
+        loose = loose.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("facing", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        dealt = loose.select("root", F.least("block", "facing").alias("i"), F.greatest("block", "facing").alias("j"), "block", "node", "home", "shingles")
+        more = cut(dealt.groupBy("root", "i", "j").applyInPandas(_family(least), "u binary, v binary"))
+        release(spark)
+        if not more.isEmpty():  # links between roots: their components rename the roots
+            renamed = components(more).select(F.col("node").alias("old"), F.col("root").alias("new"))
+            found = cut(found.unionByName(renamed.filter("old <> new").select(F.col("old").alias("node"), F.col("old").alias("root"))).distinct().join(renamed, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")))
     of = nodes.select("node", "least_id", "rep").join(found, "node", "left").select("node", "least_id", "rep", home)
     negative = -F.pmod(F.xxhash64("home"), F.lit((1 << 62) - 1)) - 1
     named = of.groupBy("home").agg(F.min("least_id").alias("class_id"), F.min("rep").alias("keep")).withColumn("class_id", F.coalesce("class_id", negative))
