@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.session import cut, ship
+from quire.session import cut, ship, small_batches
 
 K, EVERY = 10, 50
 K1, B = 1.2, 0.75
-SHARD, CHUNK, QUERIES, BLOCK, DENSE = 20_000, 1000, 128, 64, 16
+SHARD, CHUNK, QUERIES, BLOCK, DENSE = 16_000, 250, 64, 64, 16
+#: Packed rows (chunks of documents, blocks of queries) in an Arrow batch: about a megabyte each.
+BATCH = 16
 _U = np.uint64
 
 
@@ -95,32 +97,37 @@ _PACKED = "ids binary, counts binary, lengths binary, terms binary, values binar
 
 
 def _pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """A block of queries as packed arrays: ids, numbers of terms, text hashes, terms, weights."""
+    """A block of queries as packed arrays: ids, numbers of terms, text hashes, terms, the terms' document frequencies."""
     pdf = pdf.sort_values(["id", "twin"], kind="stable")
     terms = [np.asarray(x, np.int64) for x in pdf["terms"]]
-    weights = [np.asarray(x, np.float64) for x in pdf["weights"]]
-    cells = pdf["id"].to_numpy(np.int64), np.array([len(x) for x in terms], np.int32), pdf["twin"].to_numpy(np.int64), np.concatenate(terms), np.concatenate(weights)
+    held = [np.minimum(np.asarray(x, np.int64), 2**31 - 1).astype(np.int32) for x in pdf["dfs"]]
+    cells = pdf["id"].to_numpy(np.int64), np.array([len(x) for x in terms], np.int32), pdf["twin"].to_numpy(np.int64), np.concatenate(terms), np.concatenate(held)
     return pd.DataFrame({"block": [key[0]], **{n: [x.tobytes()] for n, x in zip(("ids", "counts", "lengths", "terms", "values"), cells, strict=True)}})
 
 
 class Shard:
     """The inverted index of one shard."""
 
-    def __init__(self, chunks: list[tuple[bytes, ...]], mean: float):
+    def __init__(self, chunks: list[list], mean: float):
         read = lambda n, kind: np.concatenate([np.frombuffer(c[n], kind) for c in chunks])
         self.ids = read(0, np.int64)
         self.n = n = len(self.ids)
-        counts, lengths, terms, times = read(1, np.int32), read(2, np.int32), read(3, _U), read(4, np.int32)
-        docs = np.repeat(np.arange(n, dtype=np.int32), counts)
+        terms = read(3, _U)
         order = np.argsort(terms, kind="stable")
-        self.docs, terms = docs[order], terms[order]
-        norm = K1 * (1 - B + B * lengths / mean)
-        times = times[order]
-        self.impacts = times * (K1 + 1) / (times + norm[self.docs])
+        terms = terms[order]
         new = np.ones(len(terms), bool)
         new[1:] = terms[1:] != terms[:-1]
         first = np.flatnonzero(new)
         self.terms, self.starts = terms[first], np.append(first, len(terms))
+        del terms, new
+        self.docs = np.repeat(np.arange(n, dtype=np.int32), read(1, np.int32))[order]
+        self.impacts = read(4, np.int32)[order].astype(np.float64)
+        del order
+        below = (K1 * (1 - B + B * read(2, np.int32) / mean))[self.docs]
+        below += self.impacts
+        self.impacts *= K1 + 1
+        self.impacts /= below
+        del below
         self.blocks = -(-n // BLOCK)
         sizes = np.diff(self.starts)
         long_ = np.flatnonzero(sizes * DENSE >= max(n, DENSE * BLOCK))
@@ -172,14 +179,15 @@ class Shard:
         return found, scores
 
 
-def _search(mean: float, k: int):
+def _search(n: int, mean: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quire.llm.bm25 import Shard
 
         at, chunks, shard = None, [], None
         for batch in batches:
             out = [[], [], [], []]
-            for number, part, *cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for r, (number, part) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                cells = [c[r].as_buffer() for c in batch.columns[2:]]
                 if number != at:
                     at, chunks, shard = number, [], None
                 if part < 0:  # the shard's documents sort before its queries
@@ -190,7 +198,8 @@ def _search(mean: float, k: int):
                     chunks = []
                 if not shard:
                     continue
-                ids, counts, twins, terms, weights = (np.frombuffer(c, t) for c, t in zip(cells, (np.int64, np.int32, np.int64, _U, np.float64), strict=True))
+                ids, counts, twins, terms, held = (np.frombuffer(c, t) for c, t in zip(cells, (np.int64, np.int32, np.int64, _U, np.int32), strict=True))
+                weights = np.log1p((n - held + 0.5) / (held + 0.5))
                 ends = np.cumsum(counts)
                 for i, twin, a, b in zip(ids, twins, ends - counts, ends, strict=True):
                     docs, scores = shard.search(terms[a:b], weights[a:b], k + int((shard.ids == i).sum()))
@@ -214,10 +223,9 @@ def search(docs: DataFrame, queries: Column | None = None, k: int = K, shard: in
     n, mean = (stats["df"], max(stats["words"] / max(stats["df"], 1), 1e-9)) if stats else (0, 1.0)
     asked = rows.filter(F.col("id") % EVERY == 0 if queries is None else queries).withColumn("twin", F.xxhash64("text")).dropDuplicates(["id", "twin"])
     asked = asked.select("id", "twin", "text").mapInArrow(_terms, "id bigint, twin bigint, terms array<bigint>")
-    idf = F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = asked.select("id", "twin", F.explode("terms").alias("term")).join(counts.filter("df > 1").select("term", idf.alias("w")), "term")
-    one = F.array_sort(F.collect_list(F.struct("term", "w")))
-    asked = weighed.groupBy("id", "twin").agg(one.alias("q")).select("id", "twin", F.col("q.term").alias("terms"), F.col("q.w").alias("weights"))
+    weighed = asked.select("id", "twin", F.explode("terms").alias("term")).join(counts.filter("df > 1").select("term", "df"), "term")
+    one = F.array_sort(F.collect_list(F.struct("term", "df")))
+    asked = weighed.groupBy("id", "twin").agg(one.alias("q")).select("id", "twin", F.col("q.term").alias("terms"), F.col("q.df").alias("dfs"))
     asked = cut(asked)
     blocks = max(1, -(-asked.count() // QUERIES))
     shards = max(1, -(-n // shard))
@@ -226,6 +234,7 @@ def search(docs: DataFrame, queries: Column | None = None, k: int = K, shard: in
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).select("shard", F.col("block").alias("part"), *cells)
     held = rows.mapInArrow(_chunks, f"key bigint, {_PACKED}").select(F.pmod(F.xxhash64("key"), F.lit(shards).cast("long")).alias("shard"), F.lit(-1).cast("long").alias("part"), *cells)
     met = held.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "part")
-    found = met.mapInArrow(_search(mean, k), "query_id bigint, twin bigint, doc_id bigint, score double")
+    with small_batches(spark, BATCH):
+        found = cut(met.mapInArrow(_search(n, mean, k), "query_id bigint, twin bigint, doc_id bigint, score double"))
     rank = F.row_number().over(Window.partitionBy("query_id", "twin").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
