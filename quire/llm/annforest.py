@@ -4,11 +4,12 @@ Rows are dealt into shards of about ``SHARD`` by a hash of their id.  Each shard
 strings (signs of random projections, ``BITS`` long).  Vectors are lifted to the unit sphere first (scaled by the shard's
 largest norm, with one more component), so that the angle orders them by inner product with a query.
 
-A query descends in every tree to its longest matching prefix, then all trees ascend together, tree by tree and level by
-level, to shorter prefixes and so to more candidates, each scored on its original vector.  The ascent ends when a
-neighbour as near as the k-th found so far would have been missed by all trees with a chance of at most ``MISS``: two
-vectors at angle a share a prefix of x signs with chance (1 - a / pi)^x.  So easy queries stop early and hard ones go on;
-there is no candidate limit.  The k-th place is taken of what a shard holds of the k nearest, with three standard
+A query descends in every tree along its longest matching prefixes to where they hold a few candidates, then all trees
+ascend together to shorter prefixes and so to more candidates, each scored on its original vector.  The ascent ends when
+a neighbour as near as the k-th found so far would have been missed by all trees with a chance of at most ``MISS``: two
+vectors at angle a share a prefix of x signs with chance (1 - a / pi)^x, which also says how far to ascend next, and how
+many of the trees have to take the last level.  So easy queries stop early and hard ones go on; there is no candidate
+limit.  The k-th place is taken of what a shard holds of the k nearest, with three standard
 deviations to spare.
 
 The stated queries (every row whose id is divisible by ``EVERY``) meet all shards, in blocks of at most ``QUERIES``;
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from quire.session import cut, ship
 
 K, EVERY = 20, 20
-SHARD, QUERIES = 8192, 256
-TREES, BITS, MISS = 40, 24, 0.08
+SHARD, QUERIES = 16_384, 256
+TREES, BITS, MISS = 40, 24, 0.12
 
 
 class Forest:
@@ -81,34 +82,39 @@ class Forest:
         place = max(1, min(k, math.ceil(share + 3 * math.sqrt(share) if shards > 1 else share)))
         goal = math.log(miss)
         ranges = self.ranges(queries)
+        held = (ranges[..., 1] - ranges[..., 0]).sum(axis=1)  # by prefix length and query
         for n, (me, q) in enumerate(zip(own, queries, strict=True)):
             quick = q.astype(np.float32)
             reach = float(np.linalg.norm(q)) * self.norm
-            seen = np.zeros(len(self.exact), bool)
+            mark, seen = np.zeros(len(self.exact), bool), np.zeros(len(self.exact), bool)
             found, scores = np.zeros(0, np.int64), np.zeros(0, np.float32)
-            mine = ranges[:, :, n].tolist()
-            level = next(x for x in range(self.bits, -1, -1) if any(b > a for a, b in mine[x]))
-            while level >= 0:
-                group = 1 if level <= 10 else self.trees  # deep levels hold little: all trees at once
-                done = False
-                for t in range(0, self.trees, 8 if group == 1 else group):
-                    some = range(t, min(self.trees, t + (8 if group == 1 else group)))
-                    new = np.concatenate([self.order[u, mine[level][u][0] : mine[level][u][1]] for u in some])
-                    new = np.unique(new[~seen[new]])
-                    if len(new):
-                        seen[new] = True
-                        found, scores = np.concatenate([found, new]), np.concatenate([scores, self.quick[new] @ quick])
-                    if len(found) > place:
-                        worth = float(np.partition(scores, len(scores) - place - 1)[len(scores) - place - 1])
-                        p = 1.0 - math.acos(max(-1.0, min(1.0, worth / reach))) / math.pi
-                        up = some[-1] + 1
-                        short, long_ = (math.log1p(-min(p**x, 1 - 1e-12)) for x in (level, level + 1))
-                        if up * short + (self.trees - up) * long_ <= goal:
-                            done = True
-                            break
-                if done:
+            enough = np.flatnonzero(held[:, n] >= max(4 * place, 64))
+            level, ahead = (int(enough[-1]) if len(enough) else 0), self.trees  # so many trees are at this level, the rest a level deeper
+            while True:
+                for t in range(self.trees):
+                    a, b = ranges[level + (t >= ahead), t, n]
+                    mark[self.order[t, a:b]] = True
+                new = np.flatnonzero(mark & ~seen)
+                seen[new] = True
+                found, scores = np.concatenate([found, new]), np.concatenate([scores, self.quick[new] @ quick])
+                if level == 0 and ahead == self.trees:
                     break
-                level -= 1
+                p = 0.0
+                if len(found) > place:
+                    worth = float(np.partition(scores, len(scores) - place - 1)[len(scores) - place - 1])
+                    p = 1.0 - math.acos(max(-1.0, min(1.0, worth / reach))) / math.pi
+                chance = [math.log1p(-min(p**x, 1 - 1e-12)) if p else 0.0 for x in range(level + 2)]  # of a tree's miss
+                if ahead * chance[level] + (self.trees - ahead) * chance[level + 1] <= goal:
+                    break
+                to = next((x for x in range(level, -1, -1) if self.trees * chance[x] <= goal), 0)
+                if to < level - 2 and 16 * len(found) < len(seen):  # the k-th place may still rise a lot
+                    to = level - 2
+                    ahead = self.trees
+                else:
+                    less = chance[to] - chance[to + 1]
+                    some = math.ceil((goal - self.trees * chance[to + 1]) / less) if less < 0 else self.trees
+                    ahead = max(1, min(self.trees, max(some, ahead if to == level else 1)))
+                level = to
             best = min(len(found), k + 17)
             top = found[np.argpartition(-scores, best - 1)[:best]] if best else found
             ids = [self.ids[c][: k + 1] for c in top]
