@@ -1,10 +1,11 @@
-"""Line dedup by pairwise alignment of documents that share rare lines.
+"""Line dedup by pairwise alignment of documents that share runs of lines.
 
 Texts are cut into units that end with a line feed or, within a line, with the blank after a sentence's ``.``, ``!`` or
 ``?``: passages are often pasted into the middle of a line.  Every unit (blanks at its ends ignored) is hashed; "line"
-below means such a unit.  A line that several documents hold points each of them to the earliest one that holds it; so a line that very many documents share makes one pair for each of them
-instead of a pair for any two, nothing needs a cap, and each repeated line of a document is in a pair with its first
-holder.  Rarity decides within a pair: patience diff anchors on the lines that occur once in both documents, takes the
+below means such a unit.  From every line with words on, the shortest run of lines with ``MIN_WORDS`` words is a key,
+however short its lines are.  A run that several documents hold points each of them to the earliest one that holds it;
+so a run that very many documents share makes one pair for each of them instead of a pair for any two, and nothing needs
+a cap.  Rarity decides within a pair: patience diff anchors on the lines that occur once in both documents, takes the
 longest increasing chain of them, extends it over equal neighbours, and looks between anchors again.  Aligned lines that
 follow one another in both documents make a block; blocks of at least ``MIN_WORDS`` words are deleted from the later
 document.  Shorter blocks (licence notices, signatures) stay.
@@ -18,14 +19,18 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import cut, ship
+from quire.session import cut, release, ship
 
-#: Words of the least block that is deleted, and of the least line that pairs documents.
-MIN_WORDS, ANCHOR_WORDS = 20, 5
+#: Words of the least block that is deleted, and of the runs that pair documents.
+MIN_WORDS = 20
+#: An odd base of the runs' polynomial hashes modulo 2^64, and its inverse.
+_BASE = 0x9E3779B97F4A7C1B
+_BACK = pow(_BASE, -1, 1 << 64)
 _LAST_ID = (1 << 63) - 1
 
 
@@ -106,6 +111,47 @@ def blocks(aligned: list[tuple[int, int]], words: list[int], least: int) -> list
     return out
 
 
+def spans(words: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first line, line after the last) of the shortest runs of ``least`` words from every line with words on.
+
+    ``words`` has the lines of several documents, one after the other; ``starts`` has where each begins, and the end.
+    """
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    a = np.flatnonzero(words > 0)
+    b = np.searchsorted(total, total[a] + least)
+    fits = b <= starts[np.searchsorted(starts, a, side="right")]
+    return a[fits], b[fits]
+
+
+def keys(lines: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each run of lines, the same wherever the run stands."""
+    def powers(x: int) -> np.ndarray:
+        out = np.full(len(lines) + 1, x, np.uint64)
+        out[0] = 1
+        return np.cumprod(out, dtype=np.uint64)
+
+    total = np.zeros(len(lines) + 1, np.uint64)
+    np.cumsum(lines.view(np.uint64) * powers(_BASE)[:-1], dtype=np.uint64, out=total[1:])
+    return ((total[b] - total[a]) * powers(_BACK)[a]).view(np.int64)
+
+
+def _held(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from quire.llm.linededup import keys, spans
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            numbers, lines, words = batch.columns
+            starts = np.concatenate([[0], np.cumsum(lines.value_lengths().to_numpy(zero_copy_only=False))])
+            a, b = spans(words.flatten().to_numpy(zero_copy_only=False), starts, least)
+            row = np.searchsorted(starts, a, side="right") - 1
+            runs = keys(lines.flatten().to_numpy(zero_copy_only=False), a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(runs), pa.array(numbers.to_numpy(zero_copy_only=False)[row])], names=["q_run", "q_no"])
+
+    return run
+
+
 def _align(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quire.llm.linededup import blocks, patience, positions
@@ -113,16 +159,15 @@ def _align(least: int):
         held, where, lines = None, {}, []
         kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         for batch in batches:
-            ids, twins, found = [], [], []
-            for i, h, mine, words, first, first_twin, theirs in zip(*(c.to_pylist() if n not in (2, 3, 6) else c for n, c in enumerate(batch.columns)), strict=True):
-                if held != (first, first_twin):
+            numbers, found = [], []
+            for i, mine, words, first, theirs in zip(*(c.to_pylist() if n in (0, 3) else c for n, c in enumerate(batch.columns)), strict=True):
+                if held != first:
                     lines = theirs.as_py()
-                    held, where = (first, first_twin), positions(lines)
+                    held, where = first, positions(lines)
                 if got := blocks(patience(mine.as_py(), lines, where), words.as_py(), least):
-                    ids.append(i)
-                    twins.append(h)
+                    numbers.append(i)
                     found.append([{"a": a, "b": b} for a, b in got])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(twins, pa.int64()), pa.array(found, kind)], names=["q_id", "q_twin", "q_cuts"])
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(found, kind)], names=["q_no", "q_cuts"])
 
     return run
 
@@ -151,34 +196,38 @@ def _lines():
     return F.split("text", r"(?<=\n|[.!?] )", -1)
 
 
-def deleted(docs: DataFrame, least: int = MIN_WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
+def deleted(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """p_id, p_twin, p_keep (runs of characters that stay), p_gone (lines deleted) of the documents that lose lines."""
-    ship(docs.sparkSession)
+    spark = ship(docs.sparkSession)
     row = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)).alias("q_id"), F.xxhash64("text").alias("q_twin"))
     line = F.transform(_lines(), lambda x: F.struct(F.xxhash64(F.btrim(x, F.lit(" \t\r\n\f\x0b"))).alias("h"), F.regexp_count(x, F.lit(r"\S+")).alias("w"), F.length(x).alias("n")))
     sheet = docs.filter("text <> ''").select(*row, line.alias("q"))
     sheet = sheet.select("q_id", "q_twin", F.col("q.h").alias("q_lines"), F.col("q.w").alias("q_words"), F.col("q.n").alias("q_chars"))
-    sheet = cut(sheet.dropDuplicates(["q_id", "q_twin"]))
-    held = sheet.select("q_id", "q_twin", F.explode(F.arrays_zip("q_lines", "q_words")).alias("x")).filter(F.col("x.q_words") >= anchor).select("q_id", "q_twin", F.col("x.q_lines").alias("q_line"))
-    who = F.struct("q_id", "q_twin")
-    first = cut(held.groupBy("q_line").agg(F.min(who).alias("f"), F.max(who).alias("l")).filter("f <> l").select(F.col("q_line").alias("f_line"), F.col("f.q_id").alias("f_id"), F.col("f.q_twin").alias("f_twin")))
-    other = (F.col("q_id") != F.col("f_id")) | (F.col("q_twin") != F.col("f_twin"))
-    pairs = held.join(first, F.col("q_line") == F.col("f_line")).filter(other).select("q_id", "q_twin", "f_id", "f_twin").distinct()
-    pairs = pairs.join(sheet, ["q_id", "q_twin"])
-    theirs = sheet.select(F.col("q_id").alias("f_id"), F.col("q_twin").alias("f_twin"), F.col("q_lines").alias("f_lines"))
-    pairs = pairs.join(theirs, ["f_id", "f_twin"]).select("q_id", "q_twin", "q_lines", "q_words", "f_id", "f_twin", "f_lines")
-    cuts = pairs.mapInArrow(_align(least), "q_id bigint, q_twin bigint, q_cuts array<struct<a:int,b:int>>")
-    cuts = cuts.groupBy("q_id", "q_twin").agg(F.collect_list("q_cuts").alias("q_cuts"))
-    cuts = cuts.join(sheet.select("q_id", "q_twin", "q_chars"), ["q_id", "q_twin"]).select("q_id", "q_twin", "q_chars", "q_cuts")
-    return cuts.mapInArrow(_merge, "p_id bigint, p_twin bigint, p_keep array<struct<a:int,n:int>>, p_gone bigint")
-
-
-def dedup(docs: DataFrame, least: int = MIN_WORDS, anchor: int = ANCHOR_WORDS, counts: bool = False) -> DataFrame:
+    sheet = sheet.dropDuplicates(["q_id", "q_twin"]).orderBy("q_id", "q_twin")
+    sheet = cut(sheet.withColumn("q_no", F.monotonically_increasing_id()))
+    release(spark)
+    held = sheet.select("q_no", "q_lines", "q_words").mapInArrow(_held(least), "q_run bigint, q_no bigint")
+    first = held.groupBy("q_run").agg(F.min("q_no").alias("f_no"), F.max("q_no").alias("l")).filter("f_no < l")
+    first = cut(first.select(F.col("q_run").alias("f_run"), "f_no"))
+    release(spark)
+    pairs = held.join(first, F.col("q_run") == F.col("f_run")).filter("q_no <> f_no").select("q_no", "f_no").distinct()
+    pairs = pairs.join(sheet.select("q_no", "q_lines", "q_words"), "q_no")
+    theirs = sheet.select(F.col("q_no").alias("f_no"), F.col("q_lines").alias("f_lines"))
+    pairs = pairs.join(theirs, "f_no").select("q_no", "q_lines", "q_words", "f_no", "f_lines")
+    cuts = pairs.mapInArrow(_align(least), "q_no bigint, q_cuts array<struct<a:int,b:int>>")
+    cuts = cuts.groupBy("q_no").agg(F.collect_list("q_cuts").alias("q_cuts"))
+    cuts = cuts.join(sheet, "q_no").select("q_id", "q_twin", "q_chars", "q_cuts")
+    gone = cut(cuts.mapInArrow(_merge, "p_id bigint, p_twin bigint, p_keep array<struct<a:int,n:int>>, p_gone bigint"))
+    release(spark)
+    return gone
+
+
+def dedup(docs: DataFrame, least: int = MIN_WORDS, counts: bool = False) -> DataFrame:
     """The documents without the lines that repeat aligned blocks of earlier ones.
 
     Same rows and columns; with ``counts`` also n_lines (a trailing empty one included) and n_deleted.  A document that loses all lines has an empty text.
     """
-    gone = deleted(docs, least, anchor)
+    gone = deleted(docs, least)
     row = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)) == F.col("p_id")) & (F.xxhash64("text") == F.col("p_twin"))
     rest = F.array_join(F.transform("p_keep", lambda r: F.substr(F.col("text"), r["a"], r["n"])), "")
     text = F.when(F.col("p_keep").isNull(), F.col("text")).otherwise(rest)
