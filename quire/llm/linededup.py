@@ -7,8 +7,9 @@ however short its lines are.  A run that several documents hold points each of t
 so a run that very many documents share makes one pair for each of them instead of a pair for any two, and nothing needs
 a cap.  Rarity decides within a pair: patience diff anchors on the lines that occur once in both documents, takes the
 longest increasing chain of them, extends it over equal neighbours, and looks between anchors again.  Aligned lines that
-follow one another in both documents make a block; blocks of at least ``MIN_WORDS`` words are deleted from the later
-document.  Shorter blocks (licence notices, signatures) stay.
+follow one another in both documents make a block.  One chain misses passages that either document repeats or that stand
+in another order, so what it leaves is searched for runs that the earlier document holds anywhere.  Blocks of at least
+``MIN_WORDS`` words are deleted from the later document.  Shorter blocks (licence notices, signatures) stay.
 
 Earlier means smaller id; null ids are last; of equal ids the text's hash decides.  Rows equal in id and text are one
 document and change alike.  Null and empty texts stay as they are.
@@ -16,8 +17,9 @@ document and change alike.  Null and empty texts stay as they are.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -111,6 +113,29 @@ def blocks(aligned: list[tuple[int, int]], words: list[int], least: int) -> list
     return out
 
 
+def runs(lines: list[int], words: list[int], least: int) -> Iterator[tuple[int, int, tuple[int, ...]]]:
+    """(first line, line after the last, lines) of the shortest runs of ``least`` words from and up to every line with words."""
+    total = [0, *accumulate(words)]
+    for n, w in enumerate(words):
+        if not w:
+            continue
+        b = bisect_left(total, total[n] + least)
+        if b < len(total):
+            yield n, b, tuple(lines[n:b])
+        a = bisect_right(total, total[n + 1] - least) - 1
+        if a >= 0 and total[n] - total[a] >= least:  # else it is the run from a
+            yield a, n + 1, tuple(lines[a : n + 1])
+
+
+def shared(later: list[int], words: list[int], earlier: list[int], theirs: set[tuple[int, ...]], least: int, where: dict[int, list[int]] | None = None) -> list[tuple[int, int]]:
+    """Blocks of the later sequence that cover each of its runs of ``least`` words in ``theirs``, the earlier one's runs."""
+    found = blocks(patience(later, earlier, where), words, least)
+    done = bytearray(len(later))
+    for a, b in found:
+        done[a:b] = b"\1" * (b - a)
+    return found + [(a, b) for a, b, run in runs(later, words, least) if 0 in done[a:b] and run in theirs]
+
+
 def spans(words: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(first line, line after the last) of the shortest runs of ``least`` words from every line with words on.
 
@@ -154,17 +179,17 @@ def _held(least: int):
 
 def _align(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from quire.llm.linededup import blocks, patience, positions
+        from quire.llm.linededup import positions, runs, shared
 
-        held, where, lines = None, {}, []
+        held, where, lines, known = None, {}, [], set()
         kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         for batch in batches:
             numbers, found = [], []
-            for i, mine, words, first, theirs in zip(*(c.to_pylist() if n in (0, 3) else c for n, c in enumerate(batch.columns)), strict=True):
+            for i, mine, words, first, theirs, their_words in zip(*(c.to_pylist() if n in (0, 3) else c for n, c in enumerate(batch.columns)), strict=True):
                 if held != first:
                     lines = theirs.as_py()
-                    held, where = first, positions(lines)
-                if got := blocks(patience(mine.as_py(), lines, where), words.as_py(), least):
+                    held, where, known = first, positions(lines), {x for _, _, x in runs(lines, their_words.as_py(), least)}
+                if got := shared(mine.as_py(), words.as_py(), lines, known, least, where):
                     numbers.append(i)
                     found.append([{"a": a, "b": b} for a, b in got])
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(found, kind)], names=["q_no", "q_cuts"])
@@ -212,8 +237,8 @@ def deleted(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     release(spark)
     pairs = held.join(first, F.col("q_run") == F.col("f_run")).filter("q_no <> f_no").select("q_no", "f_no").distinct()
     pairs = pairs.join(sheet.select("q_no", "q_lines", "q_words"), "q_no")
-    theirs = sheet.select(F.col("q_no").alias("f_no"), F.col("q_lines").alias("f_lines"))
-    pairs = pairs.join(theirs, "f_no").select("q_no", "q_lines", "q_words", "f_no", "f_lines")
+    theirs = sheet.select(F.col("q_no").alias("f_no"), F.col("q_lines").alias("f_lines"), F.col("q_words").alias("f_words"))
+    pairs = pairs.join(theirs, "f_no").select("q_no", "q_lines", "q_words", "f_no", "f_lines", "f_words")
     cuts = pairs.mapInArrow(_align(least), "q_no bigint, q_cuts array<struct<a:int,b:int>>")
     cuts = cuts.groupBy("q_no").agg(F.collect_list("q_cuts").alias("q_cuts"))
     cuts = cuts.join(sheet, "q_no").select("q_id", "q_twin", "q_chars", "q_cuts")

@@ -20,3 +20,21 @@ def test_passage_of_short_lines(spark):
     passage = "".join(line(rng, 3) for _ in range(20))
     a, b, c = (line(rng, 9) for _ in range(3))
     assert left(spark, [a + passage, b + passage + c]) == {1: a + passage, 2: b + c}
+
+
+def test_runs_are_the_shortest_of_each_start_and_end():
+    rng = random.Random(2)
+    for _ in range(500):
+        words = [rng.choice([0, 0, 1, 2, 5, 9, 20, 30]) for _ in range(rng.randrange(14))]
+        fits = [(a, b) for a in range(len(words)) for b in range(a + 1, len(words) + 1) if words[a] and words[b - 1] and sum(words[a:b]) >= 20]
+        least = {x for x in fits if x[1] == min(b for a, b in fits if a == x[0]) or x[0] == max(a for a, b in fits if b == x[1])}
+        got = [(a, b) for a, b, _ in linededup.runs(list(range(len(words))), words, 20)]
+        assert len(got) == len(set(got)) and set(got) == least, words
+
+
+def test_repeated_and_reordered_passages(spark):
+    rng = random.Random(3)
+    p, q, u, v, x, y, z = ("".join(line(rng, 12) for _ in range(5)) for _ in range(7))
+    assert left(spark, [u + p + v, x + p + y + p + z])[2] == x + y + z
+    assert left(spark, [u + p + v + p + x, y + p + z])[2] == y + z
+    assert left(spark, [u + p + v + q + x, y + q + u + p + z])[2] == y + z
