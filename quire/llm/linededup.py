@@ -2,8 +2,8 @@
 
 Texts are cut into units that end with a line feed or, within a line, with the blank after a sentence's ``.``, ``!`` or
 ``?``: passages are often pasted into the middle of a line.  Every unit (blanks at its ends ignored) is hashed; "line"
-below means such a unit.  From every line with words on, the shortest run of lines with ``MIN_WORDS`` words is a key,
-however short its lines are.  A run that several documents hold points each of them to the earliest one that holds it;
+below means such a unit.  The shortest run of lines with ``MIN_WORDS`` words from every line with words on, and that up
+to every such line, is a key, however short its lines are: together these runs cover every block of as many words.  A run that several documents hold points each of them to the earliest one that holds it;
 so a run that very many documents share makes one pair for each of them instead of a pair for any two, and nothing needs
 a cap.  Rarity decides within a pair: patience diff anchors on the lines that occur once in both documents, takes the
 longest increasing chain of them, extends it over equal neighbours, and looks between anchors again.  Aligned lines that
@@ -137,15 +137,17 @@ def shared(later: list[int], words: list[int], earlier: list[int], theirs: set[t
 
 
 def spans(words: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first line, line after the last) of the shortest runs of ``least`` words from every line with words on.
+    """(first line, line after the last) of ``runs`` over many documents at once.
 
     ``words`` has the lines of several documents, one after the other; ``starts`` has where each begins, and the end.
     """
     total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
-    a = np.flatnonzero(words > 0)
-    b = np.searchsorted(total, total[a] + least)
-    fits = b <= starts[np.searchsorted(starts, a, side="right")]
-    return a[fits], b[fits]
+    n = np.flatnonzero(words > 0)
+    doc = np.searchsorted(starts, n, side="right")
+    b = np.searchsorted(total, total[n] + least)
+    a = np.searchsorted(total, total[n + 1] - least, side="right") - 1
+    on, back = b <= starts[doc], (a >= starts[doc - 1]) & (total[n] - total[a] >= least)
+    return np.concatenate([n[on], a[back]]), np.concatenate([b[on], n[back] + 1])
 
 
 def keys(lines: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -161,7 +163,7 @@ def keys(lines: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _held(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quire.llm.linededup import keys, spans
 
         for batch in batches:
@@ -171,10 +173,10 @@ def _held(least: int):
             starts = np.concatenate([[0], np.cumsum(lines.value_lengths().to_numpy(zero_copy_only=False))])
             a, b = spans(words.flatten().to_numpy(zero_copy_only=False), starts, least)
             row = np.searchsorted(starts, a, side="right") - 1
-            runs = keys(lines.flatten().to_numpy(zero_copy_only=False), a, b)
-            yield pa.RecordBatch.from_arrays([pa.array(runs), pa.array(numbers.to_numpy(zero_copy_only=False)[row])], names=["q_run", "q_no"])
+            run = keys(lines.flatten().to_numpy(zero_copy_only=False), a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(numbers.to_numpy(zero_copy_only=False)[row])], names=["q_run", "q_no"])
 
-    return run
+    return each
 
 
 def _align(least: int):

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from quire.llm import linededup
 
 
@@ -38,3 +40,48 @@ def test_repeated_and_reordered_passages(spark):
     assert left(spark, [u + p + v, x + p + y + p + z])[2] == x + y + z
     assert left(spark, [u + p + v + p + x, y + p + z])[2] == y + z
     assert left(spark, [u + p + v + q + x, y + q + u + p + z])[2] == y + z
+
+
+def test_spans_are_the_runs_of_every_document():
+    rng = random.Random(4)
+    docs = [[rng.choice([0, 0, 1, 2, 5, 9, 20, 30]) for _ in range(rng.randrange(1, 14))] for _ in range(300)]
+    starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    a, b = linededup.spans(np.concatenate(docs), starts, 20)
+    want = [(int(s) + x, int(s) + y) for s, d in zip(starts, docs) for x, y, _ in linededup.runs(d, d, 20)]
+    assert sorted(zip(a.tolist(), b.tolist())) == sorted(want)
+
+
+def test_lines_first_held_by_other_documents(spark):
+    rng = random.Random(5)
+    s = [line(rng, 18) for _ in range(3)]
+    own = [line(rng, 30) for _ in range(5)]
+    got = left(spark, [own[0] + s[0], own[1] + s[1], own[2] + s[2], own[3] + "".join(s), own[4] + "".join(s)])
+    assert got[4] == own[3] + "".join(s) and got[5] == own[4]
+    long, tail = line(rng, 22), line(rng, 6)
+    assert left(spark, [own[0] + long, own[1] + long + tail, long + tail + own[2]]) == {1: own[0] + long, 2: own[1] + tail, 3: own[2]}
+
+
+def brute(texts, least=20):
+    """Worded units that stay, by document: all but those in a run of ``least`` words that an earlier document has."""
+    bare = [[u.strip() for u in t.split("\n")] for t in texts]
+    out = []
+    for n, mine in enumerate(bare):
+        gone = set()
+        for theirs in bare[:n]:
+            for i in range(len(mine)):
+                for j in range(len(theirs)):
+                    k = 0
+                    while i + k < len(mine) and j + k < len(theirs) and mine[i + k] == theirs[j + k]:
+                        k += 1
+                    if sum(len(u.split()) for u in mine[i : i + k]) >= least:
+                        gone.update(range(i, i + k))
+        out.append([u for k, u in enumerate(mine) if u and k not in gone])
+    return out
+
+
+def test_line_dedup_is_brute_force(spark):
+    rng = random.Random(6)
+    pool = [line(rng, rng.choice([1, 2, 3, 6, 11, 18, 25])) for _ in range(14)] + ["\n", "\n"]
+    texts = ["".join(rng.choice(pool) if rng.random() < 0.5 else "".join(pool[(k := rng.randrange(12)) : k + 4]) for _ in range(rng.randrange(1, 12))) for _ in range(60)]
+    got = left(spark, texts)
+    assert [[u.strip() for u in got[n].split("\n") if u.strip()] for n in range(1, 61)] == brute(texts)
