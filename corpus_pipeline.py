@@ -51,7 +51,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe_encode_decode", tokenize),
 ]
 
-#: Trained scores, alignments, signatures and sampling are beyond SQL; the tests hold each stage against brute force.
+#: Trained scores, alignments, signatures and sampling are beyond SQL.  The tests hold the line stage against a brute-force
+#: search for repeated passages, and the other stages' rows against their operators, whose own tests have the brute force.
 ORACLE_SQL = None
 
 
