@@ -1,8 +1,9 @@
 """Toxicity by weak supervision: voters, a generative label model, a linear classifier on its posterior labels.
 
-Voters are lexicons and patterns that say toxic, clean or nothing of a sampled document: a seed lexicon; lexicons grown
-from the sample (words and word beginnings that toxic rows hold far more often, dealt into disjoint groups); the absence
-of all grown entries; shouting shapes; and the annotators' labels.  The label model has a class prior and, for each
+Voters say toxic, clean or nothing of a sampled document: a seed lexicon; lexicons grown from the sample (words and word
+beginnings that toxic rows hold far more often, dealt into disjoint groups); the absence of all grown entries; entries
+that clean rows hold more often; and the annotators' labels.  No voter is a pattern of its own: shapes of words count only
+where they pass the grown lexicons' tests, and all voters but the seeds come from the annotators' labels.  The label model has a class prior and, for each
 voter, the chance of each vote given the class, found by expectation maximisation.  Votes of one class that go together
 more than the class explains (correlations of the residuals) count for less: a voter's weight is the inverse of one plus
 its positive correlations with the others.  A logistic regression with an L1 penalty over hashed text features is then
