@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import cut, release, ship
+from quire.session import cut, release, ship, small_batches
 
 #: Words of the least block that is deleted, and of the runs that pair documents.
 MIN_WORDS = 20
+#: Documents, and pairs of them, in an Arrow batch.
+BATCH = 1_000
 #: An odd base of the runs' polynomial hashes modulo 2^64, and its inverse.
 _BASE = 0x9E3779B97F4A7C1B
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -235,7 +237,8 @@ def deleted(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     release(spark)
     held = sheet.select("q_no", "q_lines", "q_words").mapInArrow(_held(least), "q_run bigint, q_no bigint")
     first = held.groupBy("q_run").agg(F.min("q_no").alias("f_no"), F.max("q_no").alias("l")).filter("f_no < l")
-    first = cut(first.select(F.col("q_run").alias("f_run"), "f_no"))
+    with small_batches(spark, BATCH):
+        first = cut(first.select(F.col("q_run").alias("f_run"), "f_no"))
     release(spark)
     pairs = held.join(first, F.col("q_run") == F.col("f_run")).filter("q_no <> f_no").select("q_no", "f_no").distinct()
     pairs = pairs.join(sheet.select("q_no", "q_lines", "q_words"), "q_no")
@@ -244,7 +247,8 @@ def deleted(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     cuts = pairs.mapInArrow(_align(least), "q_no bigint, q_cuts array<struct<a:int,b:int>>")
     cuts = cuts.groupBy("q_no").agg(F.collect_list("q_cuts").alias("q_cuts"))
     cuts = cuts.join(sheet, "q_no").select("q_id", "q_twin", "q_chars", "q_cuts")
-    gone = cut(cuts.mapInArrow(_merge, "p_id bigint, p_twin bigint, p_keep array<struct<a:int,n:int>>, p_gone bigint"))
+    with small_batches(spark, BATCH):
+        gone = cut(cuts.mapInArrow(_merge, "p_id bigint, p_twin bigint, p_keep array<struct<a:int,n:int>>, p_gone bigint"))
     release(spark)
     return gone
 
