@@ -1,14 +1,16 @@
 """Exact top-k search by BM25 with block-max dynamic pruning, run per shard and merged with global statistics.
 
 Document counts, document frequencies and the mean length are taken over all documents first, so scores of all shards are
-comparable and their merge is exact.  Documents are dealt, in chunks, into shards of about ``SHARD``.  A shard's index has
-a posting list for each term; lists that a share of at least 1 / ``DENSE`` of the shard is in also have their largest
-impact in each block of ``BLOCK`` documents.
+comparable and their merge is exact.  Documents are dealt, in chunks, into shards of about ``SHARD`` documents and at most
+about ``SHARD_WORDS`` words.  A shard's documents are put in an order that brings like ones together, and are cut into
+blocks of ``BLOCK``; lists that a share of at least 1 / ``DENSE`` of the shard is in have their largest impact in each block.
 
-For a query, short (essential) lists are added up.  The best partial scores are completed first, which gives a threshold:
-the k-th best full score so far.  A block whose largest partial score plus block maxima of the long lists can't reach it is
-passed over, as is a document of a remaining block whose own partial score can't; long lists are read for what remains.
-Bounds are never below true scores, so the result is that of scoring every document.
+Queries meet a shard in batches.  Block-max pruning goes by document-aligned blocks instead of a cursor for each list:
+a block's bound for a query is the block maxima of its long lists, weighed and summed, and the block's best sum of its
+short lists.  The best partial scores are completed first, which gives a threshold: the k-th best full score so far.  From
+there on a block is the pivot of its query only while its bound reaches the threshold; the long lists of all other blocks
+are passed over.  What remains of all queries of a batch is scored block by block in one matrix product each.  Bounds are
+never below true scores, so the result is that of scoring every document.
 
 Terms are words as in ``textops`` (by 64-bit hash); a query is the set of a text's terms.  Terms that no other document
 holds are left out of queries: they can't add to another document.  A document without a common term is no result.
@@ -18,6 +20,7 @@ leave out rows of its own id; equal rows are all results, and queries equal in i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +33,9 @@ from quire.session import cut, ship, small_batches
 
 K, EVERY = 10, 50
 K1, B = 1.2, 0.75
-SHARD, CHUNK, QUERIES, BLOCK, DENSE = 16_000, 250, 64, 64, 16
+SHARD, SHARD_WORDS, CHUNK, QUERIES, BLOCK, DENSE = 16_000, 16_000_000, 250, 64, 64, 16
+#: Documents that others are put in order by.
+CENTRES = 48
 #: Packed rows (chunks of documents, blocks of queries) in an Arrow batch: about a megabyte each.
 BATCH = 16
 _U = np.uint64
@@ -112,6 +117,7 @@ class Shard:
         read = lambda n, kind: np.concatenate([np.frombuffer(c[n], kind) for c in chunks])
         self.ids = read(0, np.int64)
         self.n = n = len(self.ids)
+        self.sorted = np.sort(self.ids)
         terms = read(3, _U)
         order = np.argsort(terms, kind="stable")
         terms = terms[order]
@@ -133,50 +139,75 @@ class Shard:
         long_ = np.flatnonzero(sizes * DENSE >= max(n, DENSE * BLOCK))
         self.dense_of = np.full(len(self.terms), -1, np.int64)
         self.dense_of[long_] = np.arange(len(long_))
-        self.dense = np.zeros((len(long_), self.blocks * BLOCK))
+        dense = np.zeros((len(long_), self.blocks * BLOCK))
         for j, t in enumerate(long_):
             a, b = self.starts[t], self.starts[t + 1]
-            self.dense[j, self.docs[a:b]] = self.impacts[a:b]
-        self.most = self.dense.reshape(len(long_), self.blocks, BLOCK).max(axis=2)
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, scores) of the k best, ties by id; in no order."""
+            dense[j, self.docs[a:b]] = self.impacts[a:b]
+        if len(long_):
+            order = self._order(dense)
+            place = np.empty(n, np.int32)
+            place[order] = np.arange(n, dtype=np.int32)
+            self.docs, self.ids = place[self.docs], self.ids[order]
+            dense[:, :n] = dense[:, order]
+        self.most = dense.reshape(len(long_), self.blocks, BLOCK).max(axis=2)
+        self.dense = np.ascontiguousarray(dense.reshape(len(long_), self.blocks, BLOCK).transpose(1, 0, 2))
+
+    def _order(self, dense: np.ndarray) -> np.ndarray:
+        """The documents by the nearest of a few of them, and by nearness to it."""
+        x = dense[:, : self.n].astype(np.float32)
+        x /= np.sqrt((x * x).sum(axis=0)) + 1e-9
+        near = x.T @ x[:, np.linspace(0, self.n - 1, CENTRES).astype(int)]
+        home = near.argmax(axis=1)
+        return np.lexsort((-near[np.arange(self.n), home], home))
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, counts: np.ndarray, k: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(documents, scores) of the k best of each query, ties by id; in no order.  ``counts``: terms of each query."""
+        m, width = len(counts), self.blocks * BLOCK
+        row = np.repeat(np.arange(m), counts)
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         have = self.terms[at] == terms
-        at, w = at[have], weights[have]
+        at, w, row = at[have], weights[have], row[have]
         dense = self.dense_of[at]
         long_ = dense >= 0
-        lists, lw = dense[long_], w[long_]
-        at, w = at[~long_], w[~long_]
+        asked = np.zeros((m, self.dense.shape[1]))
+        asked[row[long_], dense[long_]] = w[long_]
+        at, w, row = at[~long_], w[~long_], row[~long_]
+        ends = np.searchsorted(row, np.arange(m + 1))
         a = self.starts[at]
         sizes = self.starts[at + 1] - a
-        partial = np.zeros(self.blocks * BLOCK)
-        if len(at):
-            spot = np.arange(int(sizes.sum())) + np.repeat(a - (np.cumsum(sizes) - sizes), sizes)
-            partial += np.bincount(self.docs[spot], self.impacts[spot] * np.repeat(w, sizes), minlength=len(partial))
-
-        def full(docs: np.ndarray) -> np.ndarray:
-            return np.round(partial[docs] + (self.dense[np.ix_(lists, docs)] * lw[:, None]).sum(axis=0), 9)
-
-        if not len(lists):
-            found = np.flatnonzero(partial > 0)
-            scores = np.round(partial[found], 9)
-        else:
-            head = np.argpartition(-partial[: self.n], min(4 * k, self.n - 1))[: 4 * k]
-            threshold = np.sort(full(head))[-k] if len(head) >= k else 0.0
-            bound = lw @ self.most[lists]
-            best = partial.reshape(self.blocks, BLOCK).max(axis=1)
-            open_ = np.flatnonzero(bound + best >= threshold - 1e-6)
-            docs = (open_[:, None] * BLOCK + np.arange(BLOCK)[None, :]).ravel()
-            found = docs[(partial[docs] + np.repeat(bound[open_], BLOCK) >= threshold - 1e-6) & (docs < self.n)]
-            scores = full(found)
-            found, scores = found[scores > 0], scores[scores > 0]
-        if len(found) > k:
-            least = -np.partition(-scores, k - 1)[k - 1]
-            found, scores = found[scores >= least], scores[scores >= least]
-            first = np.lexsort((self.ids[found], -scores))[:k]
-            found, scores = found[first], scores[first]
-        return found, scores
+        partial = np.zeros((m, width))
+        for q in range(m):
+            use = slice(ends[q], ends[q + 1])
+            size = sizes[use]
+            if len(size):
+                spot = np.arange(int(size.sum())) + np.repeat(a[use] - (np.cumsum(size) - size), size)
+                partial[q] = np.bincount(self.docs[spot], self.impacts[spot] * np.repeat(w[use], size), minlength=width)
+        scores = partial
+        threshold = np.zeros(m)
+        if asked.any():
+            bound = asked @ self.most + partial.reshape(m, self.blocks, BLOCK).max(axis=2)
+            for q in range(m):
+                if self.n > 4 * k[q]:
+                    lists = np.flatnonzero(asked[q])
+                    head = np.argpartition(-partial[q, : self.n], 4 * k[q])[: 4 * k[q]]
+                    rest = asked[q, lists] @ self.dense[head // BLOCK, :, head % BLOCK][:, lists].T
+                    threshold[q] = np.partition(partial[q, head] + rest, len(head) - k[q])[len(head) - k[q]]
+            pivot = bound >= threshold[:, None] - 1e-6
+            scores = np.full((m, width), -1.0)
+            for b in np.flatnonzero(pivot.any(axis=0)):
+                use, span = np.flatnonzero(pivot[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                scores[use, span] = partial[use, span] + asked[use] @ self.dense[b]
+        out = []
+        for q in range(m):
+            found = np.flatnonzero(scores[q, : self.n] >= max(threshold[q] - 1e-6, 1e-12))
+            best = np.round(scores[q, found], 9)
+            if len(found) > k[q]:
+                least = -np.partition(-best, k[q] - 1)[k[q] - 1]
+                found, best = found[best >= least], best[best >= least]
+                first = np.lexsort((self.ids[found], -best))[: k[q]]
+                found, best = found[first], best[first]
+            out.append((found, best))
+        return out
 
 
 def _search(n: int, mean: float, k: int):
@@ -200,9 +231,8 @@ def _search(n: int, mean: float, k: int):
                     continue
                 ids, counts, twins, terms, held = (np.frombuffer(c, t) for c, t in zip(cells, (np.int64, np.int32, np.int64, _U, np.int32), strict=True))
                 weights = np.log1p((n - held + 0.5) / (held + 0.5))
-                ends = np.cumsum(counts)
-                for i, twin, a, b in zip(ids, twins, ends - counts, ends, strict=True):
-                    docs, scores = shard.search(terms[a:b], weights[a:b], k + int((shard.ids == i).sum()))
+                most = k + np.searchsorted(shard.sorted, ids, "right") - np.searchsorted(shard.sorted, ids, "left")
+                for i, twin, (docs, scores) in zip(ids, twins, shard.search(terms, weights, counts, most), strict=True):
                     other = shard.ids[docs] != i
                     out[0].append(np.full(int(other.sum()), i))
                     out[1].append(np.full(int(other.sum()), twin))
@@ -228,7 +258,7 @@ def search(docs: DataFrame, queries: Column | None = None, k: int = K, shard: in
     asked = weighed.groupBy("id", "twin").agg(one.alias("q")).select("id", "twin", F.col("q.term").alias("terms"), F.col("q.df").alias("dfs"))
     asked = cut(asked)
     blocks = max(1, -(-asked.count() // QUERIES))
-    shards = max(1, -(-n // shard))
+    shards = max(1, -(-n // shard), math.ceil(n * mean / SHARD_WORDS))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id", "twin"), F.lit(blocks))).groupBy("block").applyInPandas(_pack, f"block bigint, {_PACKED}")
     cells = ["ids", "counts", "lengths", "terms", "values"]
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).select("shard", F.col("block").alias("part"), *cells)
