@@ -10,12 +10,12 @@ the expected number of rows, whatever the size of the corpus; rows are chosen by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.session import ship
@@ -86,32 +86,42 @@ def features(data: np.ndarray, offsets: np.ndarray, shapes: bool = True) -> tupl
     return np.concatenate(at), np.concatenate(out).astype(np.uint32)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from quire.llm.hashlinear import features
-    from quire.llm.textops import slices
+def held_out(doc_id: str | Column = "doc_id") -> Column:
+    """Rows whose labels are never learnt from."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id, F.lit("")).cast("binary")) % 4 == 2
 
-    for batch in batches:
-        out = []
-        for a, b, data, offsets in slices(batch.column(1)):
-            rows, got = features(data, offsets)
-            both = np.unique((rows.astype(_U) << _U(32)) | got)
-            ends = np.searchsorted(both >> _U(32), np.arange(b - a + 1))
-            low = (both & _U(0xFFFFFFFF)).astype(np.uint32)
-            out += [low[ends[r] : ends[r + 1]].tobytes() for r in range(b - a)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["y", "sketch"])
+
+def _sketch(mark: Callable[[list[str]], np.ndarray] | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from quire.llm.hashlinear import features
+        from quire.llm.textops import slices, strings
+
+        for batch in batches:
+            out = []
+            for a, b, data, offsets in slices(batch.column(1)):
+                rows, got = features(data, offsets)
+                both = np.unique((rows.astype(_U) << _U(32)) | got)
+                ends = np.searchsorted(both >> _U(32), np.arange(b - a + 1))
+                low = (both & _U(0xFFFFFFFF)).astype(np.uint32)
+                out += [low[ends[r] : ends[r + 1]].tobytes() for r in range(b - a)]
+            marks = mark(strings(batch.column(1))) if mark else np.zeros(batch.num_rows, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(marks, pa.int64())], names=["y", "sketch", "marks"])
+
+    return run
 
 
-def sample(labelled: DataFrame, most: int = SAMPLE) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Labels and sketches of at most about ``most`` rows of (doc_id, text, y), chosen by a hash of the id."""
+def sample(labelled: DataFrame, most: int = SAMPLE, mark: Callable[[list[str]], np.ndarray] | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Labels, sketches and marks (``mark`` of the texts) of at most about ``most`` rows of (doc_id, text, y), chosen by a hash of the id."""
     ship(labelled.sparkSession)
     known = labelled.filter("y is not null")
     n = known.count()
     share = int(2**31 * min(1.0, most / max(n, 1)))
     chosen = known.filter((F.xxhash64("doc_id", F.lit(11)).bitwiseAND(F.lit(2**31 - 1))) < share).select(F.col("y").cast("double"), "text")
-    got = chosen.mapInArrow(_sketch, "y double, sketch binary").toArrow()
+    got = chosen.mapInArrow(_sketch(mark), "y double, sketch binary, marks bigint").toArrow()
     keys = [x.as_buffer() for x in got.column("sketch").combine_chunks()] if got.num_rows else []
     order = sorted(range(len(keys)), key=lambda r: (got.column("y")[r].as_py(), keys[r].to_pybytes()))  # reruns agree
-    return np.array([got.column("y")[r].as_py() for r in order]), [np.frombuffer(keys[r], np.uint32) for r in order]
+    y, marks = (got.column(c).to_numpy()[order] if order else np.zeros(0, t) for c, t in (("y", float), ("marks", np.int64)))
+    return y, [np.frombuffer(keys[r], np.uint32) for r in order], marks
 
 
 class Matrix:

@@ -1,13 +1,18 @@
 """Toxicity by weak supervision: voters, a generative label model, a linear classifier on its posterior labels.
 
-Voters say toxic, clean or nothing of a sampled document: a seed lexicon; lexicons grown from the sample (words and word
-beginnings that toxic rows hold far more often, dealt into disjoint groups); the absence of all grown entries; entries
-that clean rows hold more often; and the annotators' labels.  No voter is a pattern of its own: shapes of words count only
-where they pass the grown lexicons' tests, and all voters but the seeds come from the annotators' labels.  The label model has a class prior and, for each
-voter, the chance of each vote given the class, found by expectation maximisation.  Votes of one class that go together
-more than the class explains (correlations of the residuals) count for less: a voter's weight is the inverse of one plus
-its positive correlations with the others.  A logistic regression with an L1 penalty over hashed text features is then
-fitted to the posterior labels, and it alone scores documents, so labels, ids, languages and sources are no inputs.
+Voters say toxic, clean or nothing of a sampled document.  Many read its text alone: two seed lexicons; lexicons grown from
+other rows (words and word beginnings that toxic rows of the other ``FOLDS`` - 1 folds hold far more often, dealt into
+disjoint groups at three strengths), so that no lexicon has seen the label of a row it votes on; the presence of what clean
+rows hold more often; and patterns of characters (``PATTERNS``: shouting, runs of exclamation marks, masked, stretched and
+spaced-out words, insults to a second person, threats, heaped insults).  The annotators are one more voter, with an
+accuracy to be estimated like all others.
+
+The label model has a class prior and, for each voter, the chance of each vote given the class, found by expectation
+maximisation from the mean vote.  Correlations of the votes within a class are estimated along with them, from what each
+vote differs from its expectation in that class; voters that go together count for less: a voter's weight is the inverse
+of one plus its correlations above ``NOISE``.  No voter is exempt.  A logistic regression with an L1 penalty over hashed
+text features is then fitted to the posterior labels, and it alone scores documents, so labels, ids, languages and sources
+are no inputs.
 
 Labels are used only of rows whose crc32(id as text) mod 4 is not 2.  Without usable labels the seed lexicon votes alone
 on nothing, and all scores are PRIOR.  Null counts as empty; an empty text has the score of a text without features.
@@ -15,23 +20,34 @@ on nothing, and all scores are PRIOR.  Null counts as empty; an empty text has t
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.hashlinear import SAMPLE, Matrix, Model, features, fit_logistic, sample, sigmoid, tails
+from quire.llm.hashlinear import SAMPLE, Matrix, Model, features, fit_logistic, held_out, sample, sigmoid, tails
 
 THRESHOLD, PRIOR = 0.3, 0.1
 #: The seed lexicon.
 SEEDS = ("idiot", "idiots", "moron", "morons", "stupid", "dumb", "loser", "losers", "scum", "trash", "garbage", "worthless", "pathetic", "disgusting", "clown", "vermin", "filth", "hate", "kill")
 #: Grown lexicons: (least standard score, least share of toxic rows among those that hold an entry), each dealt into GROUPS.
-GROUPS, GROWN = 3, ((6.0, 0.95), (4.0, 0.95), (3.0, 0.95))
+FOLDS, GROUPS, GROWN = 20, 3, ((5.0, 0.95), (3.5, 0.95), (2.5, 0.95))
 PENALTY, ROUNDS = 1e-3, 150
-
-
-def held_out(doc_id: str | Column = "doc_id") -> Column:
-    """Rows whose labels are never learnt from."""
-    return F.crc32(F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id, F.lit("")).cast("binary")) % 4 == 2
+#: Correlations up to this are taken as noise.
+NOISE = 0.05
+_SEED = "(?:" + "|".join(SEEDS) + ")"
+#: Pattern voters: (pattern, least number of places).
+PATTERNS = (
+    (re.compile(r"[!?]{2,}"), 3),
+    (re.compile(r"\b[^\W\d_a-z]{3,}(?: [^\W\d_a-z]{3,}){4}"), 1),
+    (re.compile(r"\b\w+[*#@$%]{2,}\w*"), 1),
+    (re.compile(r"([^\W\d_])\1{3,}"), 1),
+    (re.compile(r"\b(?:[^\W\d_] ){4,}[^\W\d_]\b"), 1),
+    (re.compile(rf"\byou(?:r|'re| are)? (?:\w+ ){{0,2}}{_SEED}\b", re.I), 1),
+    (re.compile(r"\b(?:kill|hurt|hate)s? (?:you|him|her|them|yourself)\b", re.I), 1),
+    (re.compile(rf"\b{_SEED}\b(?:\W+\w+){{0,12}}?\W+{_SEED}\b", re.I), 1),
+)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -49,56 +65,77 @@ def _seed_ids() -> np.ndarray:
     return np.unique(got[first])
 
 
-def votes(x: Matrix, y: np.ndarray) -> np.ndarray:
+def patterns(texts: list[str]) -> np.ndarray:
+    """One bit for each pattern that a text shows."""
+    out = np.zeros(len(texts), np.int64)
+    for n, text in enumerate(texts):
+        for k, (pattern, least) in enumerate(PATTERNS):
+            places = pattern.finditer(text)
+            if all(next(places, None) is not None for _ in range(least)):
+                out[n] |= 1 << k
+    return out
+
+
+def votes(x: Matrix, y: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """Votes (1 toxic, -1 clean, 0 nothing) of all voters, a column each; the last are the annotators."""
     have = np.bincount(x.cols, minlength=len(x.ids)).astype(float)
     toxic = x.back(y)
-    rate = np.clip(y.mean(), 1e-6, 1 - 1e-6)
-    z = (toxic - have * rate) / np.sqrt(have * rate * (1 - rate) + 1e-9)
-    pure = toxic / np.maximum(have, 1)
-
-    def any_of(mask: np.ndarray) -> np.ndarray:
-        return x.times(mask.astype(float)) > 0
-
-    out = [np.where(any_of(np.isin(x.ids, _seed_ids())), 1, 0)]
-    group = x.ids.astype(np.int64) * 2654435761 % (1 << 32) * GROUPS >> 32
-    for least, share in GROWN:
-        grown = (z >= least) & (pure >= share)
-        out += [np.where(any_of(grown & (group == g)), 1, 0) for g in range(GROUPS)]
-        out.append(np.where(any_of(grown), 0, -1))
-    out.append(np.where(any_of(z <= -3.0) & ~any_of((z >= 3.0) & (pure >= 0.5)), -1, 0))
-    out.append(np.where(y > 0.5, 1, -1))
-    return np.stack(out, axis=1)
-
-
-def label_model(v: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    fold = np.arange(x.n) * 2654435761 % (1 << 32) * FOLDS >> 32
+    key = x.ids.astype(np.int64) * 2654435761 % (1 << 32)
+    seed = np.isin(x.ids, _seed_ids())
+    of_fold = fold[x.rows]
+    grown = np.zeros((x.n, GROUPS * len(GROWN) + 3), np.int64)
+    for f in range(FOLDS):
+        mine = fold == f
+        use = of_fold == f
+        rows, cols = x.rows[use], x.cols[use]
+        others = have - np.bincount(cols, minlength=len(have))
+        theirs = toxic - np.bincount(cols, y[rows], minlength=len(have))
+        rate = np.clip(y[~mine].mean(), 1e-6, 1 - 1e-6) if not mine.all() else 0.5
+        z = (theirs - others * rate) / np.sqrt(others * rate * (1 - rate) + 1e-9)
+        pure = theirs / np.maximum(others, 1)
+        any_of = lambda mask, rows=rows, cols=cols: np.bincount(rows, mask[cols], minlength=x.n) > 0
+        said = [np.where(any_of(seed & (key >> 31 == g)), 1, 0) for g in (0, 1)]
+        said += [np.where(any_of((z >= least) & (pure >= share) & (key * GROUPS >> 32 == g)), 1, 0) for least, share in GROWN for g in range(GROUPS)]
+        said.append(np.where(any_of(z <= -3.0) & ~any_of((z >= 3.0) & (pure >= 0.5)), -1, 0))
+        grown[mine] = np.stack(said, axis=1)[mine]
+    shapes = (marks[:, None] >> np.arange(len(PATTERNS)) & 1).astype(np.int64)
+    return np.concatenate([grown, shapes, np.where(y > 0.5, 1, -1)[:, None]], axis=1)
+
+
+def label_model(v: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of the toxic class for each row, P(vote | class) as [voter, class, vote + 1], and the voters' weights."""
     n, m = v.shape
     hot = np.stack([v == k for k in (-1, 0, 1)], axis=2).astype(float)
-    post = np.clip((v > 0).mean(axis=1), 0.02, 0.98) * 0.5 + 0.5 * (v[:, -1] > 0)
-    weight = np.ones(m)
+    spoke = (v != 0).sum(axis=1)
+    post = np.where(spoke > 0, np.clip((v > 0).sum(axis=1) / np.maximum(spoke, 1), 0.02, 0.98), prior)
+    chance, weight = np.zeros((m, 2, 3)), np.ones(m)
     for _ in range(rounds):
         by = np.stack([1 - post, post], axis=1)
         chance = (np.einsum("nc,nmk->mck", by, hot) + 0.5) / (by.sum(axis=0)[None, :, None] + 1.5)
-        left = v - np.einsum("nc,mc->nm", by, chance @ np.array([-1.0, 0.0, 1.0]))
-        spread = np.sqrt((left**2).mean(axis=0)) + 1e-9
-        correlation = np.clip((left.T @ left) / n / np.outer(spread, spread), 0.0, 1.0)
+        expected = chance @ np.array([-1.0, 0.0, 1.0])
+        together = np.zeros((m, m))
+        for c in (0, 1):
+            left = v - expected[:, c]
+            together += (left * by[:, c : c + 1]).T @ left
+        spread = np.sqrt(np.diag(together)) + 1e-9
+        correlation = np.minimum(together / np.outer(spread, spread), 1.0)
+        correlation[correlation < NOISE] = 0.0
         np.fill_diagonal(correlation, 0.0)
         weight = 1.0 / (1.0 + correlation.sum(axis=1))
-        weight[-1] = 1.0  # the lexicons were grown from the annotators' labels, not these from the lexicons
         said = np.einsum("nmk,mk,m->n", hot, np.log(chance[:, 1]) - np.log(chance[:, 0]), weight)
-        prior = np.clip(by[:, 1].mean(), 1e-3, 1 - 1e-3)
+        prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
         post = sigmoid(said + np.log(prior / (1 - prior)))
     return post, chance, weight
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """Train on about ``most`` labelled rows at most."""
-    y, sketches = sample(training_rows(docs, labels), most)
+    y, sketches, marks = sample(training_rows(docs, labels), most, patterns)
     x = Matrix(sketches)
     if not x.n:
         return Model(cuts=np.array([np.log((1 - PRIOR) / PRIOR)]))
-    post, _, _ = label_model(votes(x, y), y.mean())
+    post, _, _ = label_model(votes(x, y, marks), y.mean())
     return fit_logistic(x, post, PENALTY, ROUNDS)
 
 
