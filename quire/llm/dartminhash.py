@@ -1,7 +1,7 @@
 """Near-duplicate classes from DartMinHash signatures of word shingles.
 
 A text is its set of hashed word shingles (five words; fewer if the text has fewer; a text without words is one shingle of
-all its bytes).  Every element owns a region: its weight by the rank axis.  Darts are thrown at regions in order of rank,
+all its bytes), or with ``weighted`` their multiset: an element weighs one, or as much as it occurs.  Every element owns a region: its weight by the rank axis.  Darts are thrown at regions in order of rank,
 by a hash of the element alone, so that equal elements get equal darts in all texts; a dart names a coordinate, and each of
 the ``COORDINATES`` coordinates keeps its earliest dart.  A text of total weight W reads the rank axis as far as
 ``t / W`` with t = k ln k + 2k, which fills all coordinates but rarely; where one stays empty the text reads on, twice as
@@ -15,7 +15,10 @@ families are compared exactly: in pairs of blocks of bounded size, each by produ
 occur twice in the two blocks.  Only links between components leave a task, one for two components.  So no pair of a
 bucket is given up: it is verified, or its two nodes are known to be connected; and no list of a family's pairs is made.
 
-Null and empty texts have no class partner.  A class is named by its smallest id; if all its ids are null, by a negative
+Components are found by star rounds; the few nodes that a large share of all edges meet are joined by broadcast (their
+number is bounded by that share), all others by shuffle, so no node's edges come together in one task.
+
+Null and empty texts have no class partner.  Ids that are no numbers raise (they are cast to bigint).  A class is named by its smallest id; if all its ids are null, by a negative
 number from its key.
 """
 
@@ -37,6 +40,8 @@ BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
 #: Nodes, and shingles, of a block of a family; columns of a matrix.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 1500, 1_200_000, 2048
+#: A node is hot from so many edges on, and from one of so many parts of all edges on: at most twice as many nodes are.
+HOT = 1000
 _U = np.uint64
 
 
@@ -121,52 +126,70 @@ def elements(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tupl
     return h, rows
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from quire.llm.dartminhash import BANDS, bands, elements, signatures
-    from quire.llm.textops import mix, slices
-
-    for batch in batches:
-        nodes, keys, counts = [], [], []
-        for _, _, data, offsets in slices(batch.column(2)):
-            n = len(offsets) - 1
-            h, rows = elements(data, offsets)
-            count = np.bincount(rows, minlength=n)
-            first = np.cumsum(count) - count
-            order = np.argsort(rows, kind="stable")
-            h, rows = h[order], rows[order]
-            digest = np.zeros((n, 2), _U)
-            full = count > 0
-            if full.any():
-                digest[full, 0] = np.add.reduceat(mix(h), first[full])
-                digest[full, 1] = np.add.reduceat(mix(h ^ _U(0x2545F4914F6CDD1D)), first[full])
-            raw = digest.tobytes()
-            nodes += [raw[16 * r : 16 * r + 16] if count[r] else None for r in range(n)]
-            key = bands(signatures(h, rows, n)).astype(np.int64)
-            keys += [key[r] if count[r] else None for r in range(n)]
-            counts.append(count)
-        flat = pa.array(np.concatenate([k for k in keys if k is not None] or [np.zeros(0, np.int64)]))
-        have = np.array([k is not None for k in keys], bool)
-        ends = np.concatenate([[0], np.cumsum(have * BANDS)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nodes, pa.binary()), lists, pa.array(np.concatenate(counts) if counts else np.zeros(0), pa.int64())], names=["id", "twin", "node", "bands", "n"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sorted distinct shingles of each text, as bytes, and their number."""
-    from quire.llm.dartminhash import elements
-    from quire.llm.textops import slices
-
-    for batch in batches:
-        out, counts = [], []
-        for _, _, data, offsets in slices(batch.column(1)):
-            h, rows = elements(data, offsets)
-            order = np.argsort(rows, kind="stable")
-            h, ends = h[order], np.cumsum(np.bincount(rows, minlength=len(offsets) - 1))
-            for a, b in zip([0, *ends[:-1]], ends, strict=True):
-                distinct = np.unique(h[a:b])
-                out.append(distinct.tobytes())
-                counts.append(len(distinct))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(out, pa.binary())], names=["node", "m", "shingles"])
+def regions(data: np.ndarray, offsets: np.ndarray, weighted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct elements of each text of a slice with their weights, by row and element: (element, row, weight)."""
+    h, rows = elements(data, offsets)
+    order = np.lexsort((h, rows))
+    h, rows = h[order], rows[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])
+    first = np.flatnonzero(new)
+    weights = np.diff(np.append(first, len(h))).astype(float) if weighted else np.ones(len(first))
+    return h[first], rows[first], weights
+
+
+def _sign(weighted: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from quire.llm.dartminhash import BANDS, bands, cells, regions, signatures
+        from quire.llm.textops import mix, slices
+
+        for batch in batches:
+            nodes, keys, counts = [], [], []
+            for _, _, data, offsets in slices(batch.column(2)):
+                n = len(offsets) - 1
+                h, rows, weights = regions(data, offsets, weighted)
+                count = np.bincount(rows, minlength=n)
+                first = np.cumsum(count) - count
+                digest = np.zeros((n, 2), _U)
+                full = count > 0
+                if full.any():
+                    weighed = h + weights.astype(_U) * _U(0xDB4F0B9175AE2165)
+                    digest[full, 0] = np.add.reduceat(mix(weighed), first[full])
+                    digest[full, 1] = np.add.reduceat(mix(weighed ^ _U(0x2545F4914F6CDD1D)), first[full])
+                raw = digest.tobytes()
+                nodes += [raw[16 * r : 16 * r + 16] if count[r] else None for r in range(n)]
+                h, rows, widths = cells(h, rows, weights)
+                key = bands(signatures(h, rows, n, widths if (widths < 1.0).any() else None)).astype(np.int64)
+                keys += [key[r] if count[r] else None for r in range(n)]
+                counts.append(count)
+            flat = pa.array(np.concatenate([k for k in keys if k is not None] or [np.zeros(0, np.int64)]))
+            have = np.array([k is not None for k in keys], bool)
+            ends = np.concatenate([[0], np.cumsum(have * BANDS)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nodes, pa.binary()), lists, pa.array(np.concatenate(counts) if counts else np.zeros(0), pa.int64())], names=["id", "twin", "node", "bands", "n"])
+
+    return run
+
+
+def _sets(weighted: bool):
+    """The sorted cells of each text, as bytes, and their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from quire.llm.dartminhash import cells, regions
+        from quire.llm.textops import slices
+
+        for batch in batches:
+            out, counts = [], []
+            for _, _, data, offsets in slices(batch.column(1)):
+                h, rows, _ = cells(*regions(data, offsets, weighted))
+                order = np.lexsort((h, rows))
+                h, ends = h[order], np.cumsum(np.bincount(rows, minlength=len(offsets) - 1))
+                for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                    out.append(h[a:b].tobytes())
+                    counts.append(b - a)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(out, pa.binary())], names=["node", "m", "shingles"])
+
+    return run
 
 
 def _verify(least: float):
@@ -220,17 +243,22 @@ def _family(least: float):
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (u, v): alternating large-star and small-star rounds until nothing changes.
 
-    Each round joins the edges with the smallest neighbour of each node; no neighbour list is ever gathered.
+    Each round joins the edges with the smallest neighbour of each node; no neighbour list is ever gathered.  A node of at
+    least ``most`` edges is hot; as an edge has two nodes, at most ``2 * edges / most`` are, and these are broadcast.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def joined(e: DataFrame, least: DataFrame, most: int) -> DataFrame:
+        hot = e.join(F.broadcast(least.filter(F.col("c") >= most)), F.col("u") == F.col("w"), "left")
+        return hot.filter("m is not null").select("u", "v", "m").unionByName(hot.filter("m is null").select("u", "v").join(least.filter(F.col("c") < most), F.col("u") == F.col("w")).select("u", "v", "m"))
+
+    def star(e: DataFrame, large: bool, most: int) -> DataFrame:
         if large:
             both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "w")
-            out = both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+            least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.col("w")).alias("m"), F.count("*").alias("c"))
+            out = joined(both, least, most).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:  # from each node to its smaller neighbours
-            least = e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
-            out = e.join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+            least = e.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"), F.count("*").alias("c"))
+            out = joined(e, least, most).select(F.col("v").alias("u"), F.col("m").alias("v"))
             out = out.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
         return out.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
@@ -240,7 +268,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = mark(e)
     while True:
-        e = cut(star(star(e, True), False))
+        most = max(HOT, int(seen[0]) // HOT)
+        e = cut(star(star(e, True, most), False, most))
         now = mark(e)
         release(e.sparkSession)
         if now == seen:
@@ -250,11 +279,11 @@ def components(edges: DataFrame) -> DataFrame:
     return cut(members.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def classes(docs: DataFrame, least: float = SIMILARITY, weighted: bool = False) -> DataFrame:
     """q_id, q_twin (hash of the text), class_id, q_first (is it its class's row to keep?) of every document."""
     spark = ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("twin"), "text")
-    signed = cut(rows.mapInArrow(_sign, "id bigint, twin bigint, node binary, bands array<bigint>, n bigint"))
+    signed = cut(rows.mapInArrow(_sign(weighted), "id bigint, twin bigint, node binary, bands array<bigint>, n bigint"))
     last = F.coalesce("id", F.lit((1 << 63) - 1))
     nodes = cut(signed.filter("node is not null").groupBy("node").agg(F.min(F.struct(last.alias("rank"), "twin")).alias("rep"), F.min("id").alias("least_id"), F.first("bands").alias("bands"), F.first("n").alias("n")))
 
@@ -268,7 +297,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     wanted = posts.select("node").distinct().join(nodes.select("node", "rep"), "node").select("node", "rep.rank", F.col("rep.twin").alias("twin_"))
     held = rows.withColumn("rank", last).join(wanted, ["rank"]).filter("twin = twin_").dropDuplicates(["node"]).select("node", "text")
-    sets = cut(held.mapInArrow(_sets, "node binary, m bigint, shingles binary"))
+    sets = cut(held.mapInArrow(_sets(weighted), "node binary, m bigint, shingles binary"))
     left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_set")) for x in "uv")
 
     def verified(p: DataFrame) -> DataFrame:
