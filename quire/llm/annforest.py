@@ -17,7 +17,9 @@ every shard returns k rows for a query, and a query's rows from all shards are m
 
 Vectors that are null, empty or zero, or hold null or non-finite components, and rows with a null id take no part; vectors
 of different dimension are never compared.  Rows equal in id and vector are one row.  Equal vectors of a shard are
-indexed once, with all their ids.  A query is not its own neighbour: rows of its id are left out.
+indexed once, with all their ids.  An id with several vectors is one query and one neighbour: the score of two ids is that
+of their nearest vectors, so no neighbour is named twice.  A query is not its own neighbour: rows of its id are left out.
+Ids that are no numbers raise (they are cast to bigint).
 """
 
 from __future__ import annotations
@@ -35,7 +37,9 @@ from quire.session import cut, ship
 
 K, EVERY = 20, 20
 SHARD, QUERIES = 16_384, 256
-TREES, BITS, MISS = 40, 24, 0.12
+TREES, BITS, MISS = 40, 24, 0.08
+#: Dimensions of vectors up to which the plan of shards is broadcast (a row for each).
+DIMENSIONS = 10_000
 
 
 class Forest:
@@ -46,6 +50,7 @@ class Forest:
         ids, vectors = ids[order], np.ascontiguousarray(vectors[order])
         rows = vectors.view(np.dtype((np.void, vectors.shape[1] * vectors.itemsize))).ravel()
         _, first, at = np.unique(rows, return_index=True, return_inverse=True)
+        self.repeats = int(np.unique(ids, return_counts=True)[1].max())  # vectors of one id
         by = np.argsort(at, kind="stable")
         ends = np.cumsum(np.bincount(at))
         self.ids = [ids[by[a:b]] for a, b in zip([0, *ends[:-1]], ends, strict=True)]  # of equal vectors, ascending
@@ -115,15 +120,21 @@ class Forest:
                     some = math.ceil((goal - self.trees * chance[to + 1]) / less) if less < 0 else self.trees
                     ahead = max(1, min(self.trees, max(some, ahead if to == level else 1)))
                 level = to
-            best = min(len(found), k + 17)
-            top = found[np.argpartition(-scores, best - 1)[:best]] if best else found
+            best = min(len(found), (k + 1) * self.repeats)
+            if best:  # all that single precision can't tell from the best
+                least = np.partition(scores, len(scores) - best)[len(scores) - best]
+                top = found[scores >= least - len(q) * 2.0**-21 * reach]
+            else:
+                top = found
             ids = [self.ids[c][: k + 1] for c in top]
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
             exact = np.repeat((self.exact[top] * q[None, :]).sum(axis=1), [len(x) for x in ids]) if ids else np.zeros(0)
             other = flat != me
             flat, exact = flat[other], exact[other]
-            first = np.lexsort((flat, -exact))[:k]
-            yield int(me), flat[first], exact[first]
+            order = np.lexsort((flat, -exact))
+            if self.repeats > 1:
+                order = order[np.sort(np.unique(flat[order], return_index=True)[1])]
+            yield int(me), flat[order[:k]], exact[order[:k]]
 
 
 def _pack(part: str):
@@ -168,12 +179,14 @@ def neighbours(vectors: DataFrame, every: int = EVERY, k: int = K, trees: int =
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), v.alias("v")).filter("id is not null and v is not null").filter(fine).dropDuplicates(["id", "v"])
     rows = cut(rows.withColumn("dim", F.size("v")))
     plan = rows.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(shard)).alias("shards"), F.ceil(F.count_if(F.col("id") % every == 0) / F.lit(QUERIES)).alias("blocks"))
-    rows = rows.join(plan, "dim")
+    plan = cut(plan)
+    rows = rows.join(F.broadcast(plan) if plan.count() <= DIMENSIONS else plan, "dim")
     shards = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(3)), F.col("shards"))).groupBy("dim", "shard").applyInPandas(_pack(""), _PACKED)
     blocks = rows.filter(F.col("id") % every == 0).withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks"))).groupBy("dim", "block").applyInPandas(_pack("q"), _PACKED)
     blocks = blocks.withColumnRenamed("shard", "block").withColumn("part", F.concat("part", F.col("block").cast("string")))
     asked = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).select("dim", "shard", "shards", "part", "ids", "data")
     met = shards.unionByName(asked).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "part")
     found = met.mapInArrow(_search(k, trees, bits, miss), "query_id bigint, vec_id bigint, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
