@@ -2,7 +2,8 @@
 
 ``ship(spark)`` sends this package to the executors (once per SparkContext), so Arrow-batched functions can import it
 wherever they run.  ``cut(df)`` ends a lineage with a checkpoint in the folder that the cluster names in
-``spark.checkpoint.dir``; a local folder is set only where the session names none (tests, local runs).
+``spark.checkpoint.dir``; a local folder is set only where the session names none and its master is local (tests, local
+runs), elsewhere that is an error.
 """
 
 from __future__ import annotations
@@ -52,11 +53,13 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; where the session has none, a local one is set."""
+    """The shared checkpoint folder; where a local session has none, a temporary one is set."""
     sc = spark.sparkContext
     at = sc.getCheckpointDir()
     if at is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-checkpoint-"))
         at = sc.getCheckpointDir()
     return at
