@@ -10,6 +10,7 @@ the expected number of rows, whatever the size of the corpus; rows are chosen by
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -25,6 +26,8 @@ SAMPLE = 10_000
 #: Documents of the sample that must hold a feature.
 LEAST_DOCUMENTS = 4
 PREFIXES = (4, 5, 6)
+#: Entries of a matrix that are multiplied at a time.
+PART = 1 << 20
 _U = np.uint64
 #: Edges of the shape bins (statistics in the order of ``shape``).
 EDGES = (
@@ -119,9 +122,9 @@ def sample(labelled: DataFrame, most: int = SAMPLE, mark: Callable[[list[str]],
     chosen = known.filter((F.xxhash64("doc_id", F.lit(11)).bitwiseAND(F.lit(2**31 - 1))) < share).select(F.col("y").cast("double"), "text")
     got = chosen.mapInArrow(_sketch(mark), "y double, sketch binary, marks bigint").toArrow()
     keys = [x.as_buffer() for x in got.column("sketch").combine_chunks()] if got.num_rows else []
-    order = sorted(range(len(keys)), key=lambda r: (got.column("y")[r].as_py(), keys[r].to_pybytes()))  # reruns agree
-    y, marks = (got.column(c).to_numpy()[order] if order else np.zeros(0, t) for c, t in (("y", float), ("marks", np.int64)))
-    return y, [np.frombuffer(keys[r], np.uint32) for r in order], marks
+    y, marks = (got.column(c).to_numpy() if keys else np.zeros(0, t) for c, t in (("y", float), ("marks", np.int64)))
+    order = sorted(range(len(keys)), key=lambda r: (zlib.crc32(keys[r]), len(keys[r]), y[r], marks[r]))  # reruns agree; equal texts come together
+    return y[order] if order else y, [np.frombuffer(keys[r], np.uint32) for r in order], marks[order] if order else marks
 
 
 class Matrix:
@@ -129,18 +132,32 @@ class Matrix:
 
     def __init__(self, sketches: list[np.ndarray], least: int = LEAST_DOCUMENTS):
         flat = np.concatenate(sketches) if sketches else np.zeros(0, np.uint32)
-        ids, at, count = np.unique(flat, return_inverse=True, return_counts=True)
-        rows = np.repeat(np.arange(len(sketches), dtype=np.int32), [len(x) for x in sketches])
-        keep = count >= min(least, max(1, len(sketches)))
-        use = keep[at]
-        self.n, self.ids = len(sketches), ids[keep]
-        self.rows, self.cols = rows[use], (np.cumsum(keep) - 1)[at[use]].astype(np.int32)
+        flat.sort()
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+        self.n = len(sketches)
+        self.ids = flat[first][np.diff(np.append(first, len(flat))) >= min(least, max(1, self.n))]
+        del flat, first
+        size = np.array([len(x) for x in sketches], np.int64)
+        rows, cols = [], []
+        for a in range(0, self.n, 500):  # a part of the rows at a time, to spare the driver's memory
+            part = np.concatenate(sketches[a : a + 500])
+            at = np.minimum(np.searchsorted(self.ids, part), max(len(self.ids) - 1, 0))
+            use = self.ids[at] == part if len(self.ids) else np.zeros(len(part), bool)
+            cols.append(at[use].astype(np.int32))
+            rows.append(np.repeat(np.arange(a, min(a + 500, self.n), dtype=np.int32), size[a : a + 500])[use])
+        self.rows, self.cols = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (rows, cols))
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.rows, w[self.cols], minlength=self.n)
+        out = np.zeros(self.n)
+        for a in range(0, len(self.rows), PART):
+            out += np.bincount(self.rows[a : a + PART], w[self.cols[a : a + PART]], minlength=self.n)
+        return out
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.cols, r[self.rows], minlength=len(self.ids))
+        out = np.zeros(len(self.ids))
+        for a in range(0, len(self.rows), PART):
+            out += np.bincount(self.cols[a : a + PART], r[self.rows[a : a + PART]], minlength=len(self.ids))
+        return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

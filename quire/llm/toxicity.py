@@ -7,9 +7,9 @@ rows hold more often; and patterns of characters (``PATTERNS``: shouting, runs o
 spaced-out words, insults to a second person, threats, heaped insults).  The annotators are one more voter, with an
 accuracy to be estimated like all others.
 
-The label model has a class prior and, for each voter, the chance of each vote given the class, found by expectation
-maximisation from the mean vote.  Correlations of the votes within a class are estimated along with them, from what each
-vote differs from its expectation in that class; voters that go together count for less: a voter's weight is the inverse
+The label model has a class prior (the annotators' rate) and, for each voter, the chance of each vote given the class, found
+by expectation maximisation from the mean vote.  Correlations of the votes within a class are estimated from what each vote differs from its
+expectation in that class; voters that go together count for less: a voter's weight is the inverse
 of one plus its correlations above ``NOISE``.  No voter is exempt.  A logistic regression with an L1 penalty over hashed
 text features is then fitted to the posterior labels, and it alone scores documents, so labels, ids, languages and sources
 are no inputs.
@@ -80,52 +80,58 @@ def votes(x: Matrix, y: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """Votes (1 toxic, -1 clean, 0 nothing) of all voters, a column each; the last are the annotators."""
     have = np.bincount(x.cols, minlength=len(x.ids)).astype(float)
     toxic = x.back(y)
-    fold = np.arange(x.n) * 2654435761 % (1 << 32) * FOLDS >> 32
     key = x.ids.astype(np.int64) * 2654435761 % (1 << 32)
     seed = np.isin(x.ids, _seed_ids())
-    of_fold = fold[x.rows]
+    edges = np.arange(FOLDS + 1) * x.n // FOLDS  # rows come in the order of a hash of their texts
     grown = np.zeros((x.n, GROUPS * len(GROWN) + 3), np.int64)
-    for f in range(FOLDS):
-        mine = fold == f
-        use = of_fold == f
-        rows, cols = x.rows[use], x.cols[use]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        use = slice(*np.searchsorted(x.rows, [a, b]))
+        rows, cols = x.rows[use] - a, x.cols[use]
         others = have - np.bincount(cols, minlength=len(have))
-        theirs = toxic - np.bincount(cols, y[rows], minlength=len(have))
-        rate = np.clip(y[~mine].mean(), 1e-6, 1 - 1e-6) if not mine.all() else 0.5
+        theirs = toxic - np.bincount(cols, y[a:b][rows], minlength=len(have))
+        rate = np.clip((y.sum() - y[a:b].sum()) / max(x.n - (b - a), 1), 1e-6, 1 - 1e-6)
         z = (theirs - others * rate) / np.sqrt(others * rate * (1 - rate) + 1e-9)
         pure = theirs / np.maximum(others, 1)
-        any_of = lambda mask, rows=rows, cols=cols: np.bincount(rows, mask[cols], minlength=x.n) > 0
+        any_of = lambda mask, rows=rows, cols=cols, n=b - a: np.bincount(rows, mask[cols], minlength=n) > 0
         said = [np.where(any_of(seed & (key >> 31 == g)), 1, 0) for g in (0, 1)]
         said += [np.where(any_of((z >= least) & (pure >= share) & (key * GROUPS >> 32 == g)), 1, 0) for least, share in GROWN for g in range(GROUPS)]
         said.append(np.where(any_of(z <= -3.0) & ~any_of((z >= 3.0) & (pure >= 0.5)), -1, 0))
-        grown[mine] = np.stack(said, axis=1)[mine]
+        grown[a:b] = np.stack(said, axis=1)
     shapes = (marks[:, None] >> np.arange(len(PATTERNS)) & 1).astype(np.int64)
     return np.concatenate([grown, shapes, np.where(y > 0.5, 1, -1)[:, None]], axis=1)
 
 
-def label_model(v: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of the toxic class for each row, P(vote | class) as [voter, class, vote + 1], and the voters' weights."""
+def label_model(v: np.ndarray, prior: float, passes: int = 2, rounds: int = 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of the toxic class for each row, P(vote | class) as [voter, class, vote + 1], and the voters' weights.
+
+    Each pass is an expectation maximisation with fixed weights; the first one's are equal.  Correlations are taken at the end
+    of a pass only: within rounds, soft posteriors and the correlations that they cause would feed each other.
+    """
     n, m = v.shape
     hot = np.stack([v == k for k in (-1, 0, 1)], axis=2).astype(float)
     spoke = (v != 0).sum(axis=1)
-    post = np.where(spoke > 0, np.clip((v > 0).sum(axis=1) / np.maximum(spoke, 1), 0.02, 0.98), prior)
-    chance, weight = np.zeros((m, 2, 3)), np.ones(m)
-    for _ in range(rounds):
-        by = np.stack([1 - post, post], axis=1)
-        chance = (np.einsum("nc,nmk->mck", by, hot) + 0.5) / (by.sum(axis=0)[None, :, None] + 1.5)
-        expected = chance @ np.array([-1.0, 0.0, 1.0])
-        together = np.zeros((m, m))
-        for c in (0, 1):
-            left = v - expected[:, c]
-            together += (left * by[:, c : c + 1]).T @ left
-        spread = np.sqrt(np.diag(together)) + 1e-9
-        correlation = np.minimum(together / np.outer(spread, spread), 1.0)
-        correlation[correlation < NOISE] = 0.0
-        np.fill_diagonal(correlation, 0.0)
-        weight = 1.0 / (1.0 + correlation.sum(axis=1))
-        said = np.einsum("nmk,mk,m->n", hot, np.log(chance[:, 1]) - np.log(chance[:, 0]), weight)
-        prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
-        post = sigmoid(said + np.log(prior / (1 - prior)))
+    prior = np.clip(prior, 1e-3, 1 - 1e-3)
+    first = np.where(spoke > 0, np.clip((v > 0).sum(axis=1) / np.maximum(spoke, 1), 0.02, 0.98), prior)
+    post, chance, weight = first, np.zeros((m, 2, 3)), np.ones(m)
+    for n_pass in range(passes):
+        post = first
+        for _ in range(rounds):
+            by = np.stack([1 - post, post], axis=1)
+            chance = (np.einsum("nc,nmk->mck", by, hot) + 0.5) / (by.sum(axis=0)[None, :, None] + 1.5)
+            said = np.einsum("nmk,mk,m->n", hot, np.log(chance[:, 1]) - np.log(chance[:, 0]), weight)
+            post = sigmoid(said + np.log(prior / (1 - prior)))
+        if n_pass + 1 < passes:
+            by = np.stack([1 - post, post], axis=1)
+            expected = chance @ np.array([-1.0, 0.0, 1.0])
+            together = np.zeros((m, m))
+            for c in (0, 1):
+                left = v - expected[:, c]
+                together += (left * by[:, c : c + 1]).T @ left
+            spread = np.sqrt(np.diag(together)) + 1e-9
+            correlation = np.minimum(together / np.outer(spread, spread), 1.0)
+            correlation[correlation < NOISE] = 0.0
+            np.fill_diagonal(correlation, 0.0)
+            weight = 1.0 / (1.0 + correlation.sum(axis=1))
     return post, chance, weight
 
 
@@ -133,6 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """Train on about ``most`` labelled rows at most."""
     y, sketches, marks = sample(training_rows(docs, labels), most, patterns)
     x = Matrix(sketches)
+    del sketches
     if not x.n:
         return Model(cuts=np.array([np.log((1 - PRIOR) / PRIOR)]))
     post, _, _ = label_model(votes(x, y, marks), y.mean())
