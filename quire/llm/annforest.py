@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.textops import tidy
 from quire.session import cut, ship
 
 K, EVERY = 20, 20
@@ -186,7 +187,7 @@ def neighbours(vectors: DataFrame, every: int = EVERY, k: int = K, trees: int =
     blocks = blocks.withColumnRenamed("shard", "block").withColumn("part", F.concat("part", F.col("block").cast("string")))
     asked = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).select("dim", "shard", "shards", "part", "ids", "data")
     met = shards.unionByName(asked).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "part")
-    found = met.mapInArrow(_search(k, trees, bits, miss), "query_id bigint, vec_id bigint, score double")
+    found = met.mapInArrow(tidy(_search(k, trees, bits, miss)), "query_id bigint, vec_id bigint, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.textops import tidy
 from quire.session import cut, ship, small_batches
 
 K, EVERY = 10, 50
@@ -248,11 +249,11 @@ def search(docs: DataFrame, queries: Column | None = None, k: int = K, shard: in
     """query_id, rank (from 1), doc_id, score of the k best documents for every document that ``queries`` holds of (default: ids divisible by EVERY)."""
     spark = ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null")
-    counts = cut(rows.select("text").mapInArrow(_frequencies, "term bigint, n bigint, words bigint").groupBy("term").agg(F.sum("n").alias("df"), F.sum("words").alias("words")))
+    counts = cut(rows.select("text").mapInArrow(tidy(_frequencies), "term bigint, n bigint, words bigint").groupBy("term").agg(F.sum("n").alias("df"), F.sum("words").alias("words")))
     stats = counts.filter("term is null").first()
     n, mean = (stats["df"], max(stats["words"] / max(stats["df"], 1), 1e-9)) if stats else (0, 1.0)
     asked = rows.filter(F.col("id") % EVERY == 0 if queries is None else queries).withColumn("twin", F.xxhash64("text")).dropDuplicates(["id", "twin"])
-    asked = asked.select("id", "twin", "text").mapInArrow(_terms, "id bigint, twin bigint, terms array<bigint>")
+    asked = asked.select("id", "twin", "text").mapInArrow(tidy(_terms), "id bigint, twin bigint, terms array<bigint>")
     weighed = asked.select("id", "twin", F.explode("terms").alias("term")).join(counts.filter("df > 1").select("term", "df"), "term")
     one = F.array_sort(F.collect_list(F.struct("term", "df")))
     asked = weighed.groupBy("id", "twin").agg(one.alias("q")).select("id", "twin", F.col("q.term").alias("terms"), F.col("q.df").alias("dfs"))
@@ -262,9 +263,9 @@ def search(docs: DataFrame, queries: Column | None = None, k: int = K, shard: in
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id", "twin"), F.lit(blocks))).groupBy("block").applyInPandas(_pack, f"block bigint, {_PACKED}")
     cells = ["ids", "counts", "lengths", "terms", "values"]
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).select("shard", F.col("block").alias("part"), *cells)
-    held = rows.mapInArrow(_chunks, f"key bigint, {_PACKED}").select(F.pmod(F.xxhash64("key"), F.lit(shards).cast("long")).alias("shard"), F.lit(-1).cast("long").alias("part"), *cells)
+    held = rows.mapInArrow(tidy(_chunks), f"key bigint, {_PACKED}").select(F.pmod(F.xxhash64("key"), F.lit(shards).cast("long")).alias("shard"), F.lit(-1).cast("long").alias("part"), *cells)
     met = held.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "part")
     with small_batches(spark, BATCH):
-        found = cut(met.mapInArrow(_search(n, mean, k), "query_id bigint, twin bigint, doc_id bigint, score double"))
+        found = cut(met.mapInArrow(tidy(_search(n, mean, k)), "query_id bigint, twin bigint, doc_id bigint, score double"))
     rank = F.row_number().over(Window.partitionBy("query_id", "twin").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

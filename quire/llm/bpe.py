@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quire.llm.textops import tidy
 from quire.session import ship
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
@@ -264,7 +265,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 )
 
     schema = f"`{id_col}` {kind}, token_ids array<int>, n_tokens bigint, ids_text string, decoded string"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -289,4 +290,4 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

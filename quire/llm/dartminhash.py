@@ -33,13 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import cut, release, ship
+from quire.llm.textops import tidy, trim
+from quire.session import cut, release, ship, small_batches
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
 #: Nodes, and shingles, of a block of a family; columns of a matrix.
-BLOCK, BLOCK_SHINGLES, COLUMNS = 1500, 1_200_000, 2048
+BLOCK, BLOCK_SHINGLES, COLUMNS = 1500, 800_000, 1024
+#: Documents, and pairs of them, in an Arrow batch.
+BATCH = 1_000
 #: A node is hot from so many edges on, and from one of so many parts of all edges on: at most twice as many nodes are.
 HOT = 1000
 _U = np.uint64
@@ -225,17 +228,24 @@ def _family(least: float):
         other = slice(split, n) if key[1] != key[2] else slice(0, n)
         common = np.zeros((split, n - split if key[1] != key[2] else n), np.float32)
         top = int(token[-1]) + 1 if len(token) else 0
+        m = None
         for a in range(0, top, COLUMNS):
             part = slice(*np.searchsorted(token, [a, a + COLUMNS]))
             m = np.zeros((n, COLUMNS), np.float32)
             m[rows[part], token[part] - a] = 1.0
             common += m[:split] @ m[other].T
-        union = size[:split, None] + size[other][None, :] - common
         names, home = np.unique(pdf["home"].to_numpy(object), return_inverse=True)
-        alike = (common >= least * union - 1e-6) & (home[:split, None] != home[other][None, :])
-        i, j = np.nonzero(alike)
-        pairs = {(min(x, y), max(x, y)) for x, y in zip(home[:split][i].tolist(), home[other][j].tolist(), strict=True)}
-        return pd.DataFrame({"u": [names[x] for x, _ in sorted(pairs)], "v": [names[y] for _, y in sorted(pairs)]}, columns=["u", "v"])
+        found = [np.zeros(0, np.int64)]
+        for a in range(0, split, 128):
+            part = slice(a, min(a + 128, split))
+            union = size[part, None] + size[other][None, :] - common[part]
+            i, j = np.nonzero((common[part] >= least * union - 1e-6) & (home[part, None] != home[other][None, :]))
+            x, y = home[part][i], home[other][j]
+            found.append(np.unique(np.minimum(x, y) * len(names) + np.maximum(x, y)))
+        pairs = np.unique(np.concatenate(found))
+        del sets, token, rows, common, m
+        trim()
+        return pd.DataFrame({"u": names[pairs // len(names)], "v": names[pairs % len(names)]}, columns=["u", "v"])
 
     return run
 
@@ -283,7 +293,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY, weighted: bool = False)
     """q_id, q_twin (hash of the text), class_id, q_first (is it its class's row to keep?) of every document."""
     spark = ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("twin"), "text")
-    signed = cut(rows.mapInArrow(_sign(weighted), "id bigint, twin bigint, node binary, bands array<bigint>, n bigint"))
+    with small_batches(spark, BATCH):
+        signed = cut(rows.mapInArrow(tidy(_sign(weighted)), "id bigint, twin bigint, node binary, bands array<bigint>, n bigint"))
     last = F.coalesce("id", F.lit((1 << 63) - 1))
     nodes = cut(signed.filter("node is not null").groupBy("node").agg(F.min(F.struct(last.alias("rank"), "twin")).alias("rep"), F.min("id").alias("least_id"), F.first("bands").alias("bands"), F.first("n").alias("n")))
 
@@ -297,11 +308,13 @@ def classes(docs: DataFrame, least: float = SIMILARITY, weighted: bool = False)
 
     wanted = posts.select("node").distinct().join(nodes.select("node", "rep"), "node").select("node", "rep.rank", F.col("rep.twin").alias("twin_"))
     held = rows.withColumn("rank", last).join(wanted, ["rank"]).filter("twin = twin_").dropDuplicates(["node"]).select("node", "text")
-    sets = cut(held.mapInArrow(_sets(weighted), "node binary, m bigint, shingles binary"))
+    with small_batches(spark, BATCH):
+        sets = cut(held.mapInArrow(tidy(_sets(weighted)), "node binary, m bigint, shingles binary"))
     left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_set")) for x in "uv")
 
     def verified(p: DataFrame) -> DataFrame:
-        return cut(p.join(left, "u").join(right, "v").select("u", "v", "u_set", "v_set").mapInArrow(_verify(least), "u binary, v binary"))
+        with small_batches(spark, BATCH):
+            return cut(p.join(left, "u").join(right, "v").select("u", "v", "u_set", "v_set").mapInArrow(tidy(_verify(least)), "u binary, v binary"))
 
     links = verified(pairs)
     release(spark)

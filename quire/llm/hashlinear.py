@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.textops import tidy
 from quire.session import ship
 
 #: Expected number of labelled rows that a model is fitted on, at most.
@@ -120,7 +121,7 @@ def sample(labelled: DataFrame, most: int = SAMPLE, mark: Callable[[list[str]],
     n = known.count()
     share = int(2**31 * min(1.0, most / max(n, 1)))
     chosen = known.filter((F.xxhash64("doc_id", F.lit(11)).bitwiseAND(F.lit(2**31 - 1))) < share).select(F.col("y").cast("double"), "text")
-    got = chosen.mapInArrow(_sketch(mark), "y double, sketch binary, marks bigint").toArrow()
+    got = chosen.mapInArrow(tidy(_sketch(mark)), "y double, sketch binary, marks bigint").toArrow()
     keys = [x.as_buffer() for x in got.column("sketch").combine_chunks()] if got.num_rows else []
     y, marks = (got.column(c).to_numpy() if keys else np.zeros(0, t) for c, t in (("y", float), ("marks", np.int64)))
     order = sorted(range(len(keys)), key=lambda r: (zlib.crc32(keys[r]), len(keys[r]), y[r], marks[r]))  # reruns agree; equal texts come together
@@ -265,4 +266,4 @@ def tails(docs: DataFrame, model: Model, id_col: str = "doc_id", keep_text: bool
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * k), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.columns if keep_text else batch.columns[:1]), lists], names=[*columns, "q_tails"])
 
-    return docs.select(*(columns if keep_text else [id_col, "text"])).mapInArrow(run, f"{fields}, q_tails array<double>")
+    return docs.select(*(columns if keep_text else [id_col, "text"])).mapInArrow(tidy(run), f"{fields}, q_tails array<double>")

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quire.llm.textops import tidy
 from quire.session import ship
 
 #: Phrases of the base contract and their labels.
@@ -186,4 +187,4 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             )
 
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_words bigint, places array<struct<word:bigint,label:string,base:boolean>>, labels array<string>, score double"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.textops import tidy
 from quire.session import cut, release, ship, small_batches
 
 #: Words of the least block that is deleted, and of the runs that pair documents.
@@ -235,7 +236,7 @@ def deleted(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     sheet = sheet.dropDuplicates(["q_id", "q_twin"]).orderBy("q_id", "q_twin")
     sheet = cut(sheet.withColumn("q_no", F.monotonically_increasing_id()))
     release(spark)
-    held = sheet.select("q_no", "q_lines", "q_words").mapInArrow(_held(least), "q_run bigint, q_no bigint")
+    held = sheet.select("q_no", "q_lines", "q_words").mapInArrow(tidy(_held(least)), "q_run bigint, q_no bigint")
     first = held.groupBy("q_run").agg(F.min("q_no").alias("f_no"), F.max("q_no").alias("l")).filter("f_no < l")
     with small_batches(spark, BATCH):
         first = cut(first.select(F.col("q_run").alias("f_run"), "f_no"))
@@ -244,11 +245,11 @@ def deleted(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     pairs = pairs.join(sheet.select("q_no", "q_lines", "q_words"), "q_no")
     theirs = sheet.select(F.col("q_no").alias("f_no"), F.col("q_lines").alias("f_lines"), F.col("q_words").alias("f_words"))
     pairs = pairs.join(theirs, "f_no").select("q_no", "q_lines", "q_words", "f_no", "f_lines", "f_words")
-    cuts = pairs.mapInArrow(_align(least), "q_no bigint, q_cuts array<struct<a:int,b:int>>")
+    cuts = pairs.mapInArrow(tidy(_align(least)), "q_no bigint, q_cuts array<struct<a:int,b:int>>")
     cuts = cuts.groupBy("q_no").agg(F.collect_list("q_cuts").alias("q_cuts"))
     cuts = cuts.join(sheet, "q_no").select("q_id", "q_twin", "q_chars", "q_cuts")
     with small_batches(spark, BATCH):
-        gone = cut(cuts.mapInArrow(_merge, "p_id bigint, p_twin bigint, p_keep array<struct<a:int,n:int>>, p_gone bigint"))
+        gone = cut(cuts.mapInArrow(tidy(_merge), "p_id bigint, p_twin bigint, p_keep array<struct<a:int,n:int>>, p_gone bigint"))
     release(spark)
     return gone
 

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.textops import tidy
 from quire.session import cut, ship
 
 BLOCK, RESERVE = 4096, 512
@@ -47,7 +48,7 @@ def sized(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.col("source").cast("string"), "doc_id", F.xxhash64("text"), "text")
-    return rows.mapInArrow(run, f"q_source string, q_id {kind}, q_twin bigint, q_size bigint")
+    return rows.mapInArrow(tidy(run), f"q_source string, q_id {kind}, q_twin bigint, q_size bigint")
 
 
 def ranked(sources: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quire.llm.textops import tidy
 from quire.session import ship
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -125,7 +126,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=[id_col, "spans"])
 
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, spans array<struct<kind:string,start:bigint,`end`:bigint>>"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", mark: str = "[SECRET]") -> DataFrame:
@@ -148,4 +149,4 @@ def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", mark
                 texts.append(text if not out else "".join(out) + text[done:])
             yield batch.set_column(at, batch.schema.field(at).name, pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -7,7 +7,9 @@ ASCII letters are folded to lower case before hashing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -149,6 +151,23 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.n
     return np.concatenate(out), np.concatenate(at)
 
 
+def trim() -> None:
+    """Give freed memory back to the system; an idle Python worker would hold it beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over a partition, then ``trim``."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return each
+
+
 def strings(texts: pa.Array) -> list[str]:
     """Python strings; nulls count as empty."""
     return ["" if t is None else t for t in texts.to_pylist()]
