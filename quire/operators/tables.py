@@ -77,10 +77,23 @@ def assign_cells(texts: DataFrame, xs: DataFrame, ys: DataFrame) -> DataFrame:
 
 
 def gutter_histogram(items: DataFrame, by: list[str]) -> DataFrame:
-    """Lines that cover each bucket of BUCKET points from the region's left edge, gaps included as rows that are missing."""
+    """Lines that cover each bucket of BUCKET points from the region's left edge, gaps included as rows that are missing.
+
+    A line's spans are merged first; then the lines that begin less those that end, summed along the buckets, give the
+    count, so a span costs two rows however wide it is, and only constant stretches are written out as buckets.
+    """
     left = items.withColumn("left", F.min("x0").over(Window.partitionBy(*by)))
     low, high = F.floor((F.col("x0") - F.col("left")) / BUCKET), F.floor((F.col("x1") - F.col("left")) / BUCKET)
-    return left.select(*by, "line", F.explode(F.sequence(F.greatest(low, F.lit(0)), high)).alias("bucket")).groupBy(*by, "bucket").agg(F.count_distinct("line").alias("lines"))
+    spans = left.select(*by, "line", F.greatest(low, F.lit(0)).alias("low"), high.alias("high")).filter("high >= low")
+    order = Window.partitionBy(*by, "line").orderBy("low", "high")
+    reach = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("fresh", F.coalesce(F.col("low") > reach + 1, F.lit(True)).cast("int")).withColumn("island", F.sum("fresh").over(order))
+    merged = spans.groupBy(*by, "line", "island").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    ends = F.explode(F.array(F.struct(F.col("low").alias("at"), F.lit(1).alias("step")), F.struct((F.col("high") + 1).alias("at"), F.lit(-1).alias("step"))))
+    steps = merged.select(*by, ends.alias("e")).groupBy(*by, F.col("e.at").alias("at")).agg(F.sum("e.step").alias("step"))
+    along = Window.partitionBy(*by).orderBy("at")
+    runs = steps.withColumn("lines", F.sum("step").over(along)).withColumn("next", F.lead("at").over(along)).filter("lines > 0")
+    return runs.select(*by, F.explode(F.sequence("at", F.col("next") - 1)).alias("bucket"), "lines")
 
 
 def visual_regions(lines: DataFrame) -> DataFrame:

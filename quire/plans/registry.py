@@ -473,3 +473,6 @@ def job_results(spark, sf):
 def event_windows(spark, sf):
     got = jobs.status_counts(table(spark, sf, "events"))
     return got.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", (F.round(F.col("total") * 100) / 100).alias("total"))
+
+
+from quire.plans import office  # noqa: E402, F401  (registers its queries here)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators import flow
-from quire.sources.opc import descendants
+from quire.sources.opc import descendants, relationship_id
 
 PART = ["path", "part"]
 #: Alternate content that is understood, field and group depth, chart types, error codes with their exit codes.
@@ -114,7 +114,7 @@ def stories(nodes: DataFrame, rels: DataFrame) -> DataFrame:
     doc = nodes.filter("part = 'word/document.xml'")
     sect = doc.filter("name = 'sectPr'").select(*PART, "node_id", "last_id", (F.row_number().over(Window.partitionBy("path").orderBy("node_id")) - 1).alias("section"))
     ref = descendants(doc, sect).filter("name in ('headerReference', 'footerReference')").join(sect.select(*PART, F.col("node_id").alias("root_id"), "section"), [*PART, "root_id"])
-    key = F.filter(F.map_values("attrs"), lambda v: F.startswith(v, F.lit("rId")))[0]
+    key = relationship_id()
     asked = ref.select("path", "section", F.regexp_replace("name", "Reference$", "").alias("kind"), F.coalesce(F.col("attrs")["type"], F.lit("default")).alias("variant"), key.alias("rel_id"))
     target = rels.filter("source_part = 'word/document.xml'").select("path", "rel_id", F.col("target").alias("story"))
     roots = nodes.filter("parent_id is null").select("path", F.col("part").alias("story"), "part", "node_id", "last_id")

@@ -86,6 +86,12 @@ def office_kind(found: DataFrame) -> DataFrame:
     return found.groupBy("path").agg(F.when(has("ppt/presentation.xml"), "pptx").when(has("word/document.xml"), F.when(macros, "docm").otherwise("docx")).otherwise("other").alias("kind"))
 
 
+def attributes(attrs: dict[str, str]) -> dict[str, str]:
+    """Attributes by local name, those of a namespace also by "namespace}name"; a name without namespace wins over one with."""
+    out = {k.rpartition("}")[2]: v for k, v in reversed(attrs.items()) if "}" in k}
+    return out | attrs
+
+
 class Tree:
     """Expat events of one part as rows in document order; a text row's words are its own text pieces joined."""
 
@@ -101,7 +107,7 @@ class Tree:
         parent = self.open[-1] if self.open else None
         if parent is not None:
             self.children[parent] += 1
-        self.rows.append([len(self.rows), parent, None, len(self.open), self.children[parent] - 1 if parent is not None else 0, local, ns, {k.rpartition("}")[2]: v for k, v in attrs.items()}, ""])
+        self.rows.append([len(self.rows), parent, None, len(self.open), self.children[parent] - 1 if parent is not None else 0, local, ns, attributes(attrs), ""])
         self.children.append(0)
         self.open.append(len(self.rows) - 1)
 
@@ -198,12 +204,17 @@ def paragraphs(nodes: DataFrame) -> DataFrame:
     return out.select("path", (F.row_number().over(order) - 1).alias("ord"), "style", "list", F.when(F.col("list").isNotNull(), F.coalesce("level", F.lit(0))).alias("level"), F.coalesce("content", F.lit("")).alias("content"))
 
 
+def relationship_id() -> Column:
+    """The id of an element's relationship, whatever its form; null without one."""
+    return F.try_element_at(F.map_values(F.map_filter("attrs", lambda k, _: k.rlike("/relationships}id$"))), F.lit(1))
+
+
 def slides(nodes: DataFrame, rels: DataFrame) -> DataFrame:
     """(path, page, part) of slides in presentation order."""
     ids = nodes.filter("part = 'ppt/presentation.xml' and name = 'sldId'")
     rel = rels.filter("source_part = 'ppt/presentation.xml'").select("path", F.col("rel_id").alias("r"), F.col("target").alias("part"))
     order = Window.partitionBy("path").orderBy("node_id")
-    keyed = ids.select("path", "node_id", F.filter(F.map_values("attrs"), lambda v: F.startswith(v, F.lit("rId")))[0].alias("r"))
+    keyed = ids.select("path", "node_id", relationship_id().alias("r"))
     return keyed.join(rel, ["path", "r"]).select("path", F.row_number().over(order).alias("page"), "part")
 
 
