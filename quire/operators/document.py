@@ -25,6 +25,17 @@ _ITEM = re.compile(r"\(?([A-Za-z]|[0-9]{1,3})[.)]")
 _CONTROL = re.compile(r"[\x00-\x1f\x7f-\x9f]")
 
 
+def size_clusters(sizes: np.ndarray, body: float) -> list[float]:
+    """As ``layout.size_clusters``, of one page: medians of clusters of distinct sizes, largest first."""
+    out: list[list[float]] = []
+    for s in sorted(set(sizes.tolist()), reverse=True):
+        if out and abs(s - float(np.median(out[-1]))) <= max(0.4, body * 0.04):
+            out[-1].append(s)
+        else:
+            out.append([s])
+    return [float(np.median(c)) for c in out]
+
+
 def _gap(space: str) -> int:
     """0 no white space, 1 white space, 2 with a line break."""
     return 2 if re.search(T.BREAK, space) else 1 if space else 0
@@ -147,7 +158,7 @@ def render(blocks: list[dict], body: float) -> str:
     """Markdown of one page's blocks, which have their columns."""
     blocks = _rows(blocks)
     free = [b for b in blocks if not b["level"] and _heading(b, body)]
-    ranks = np.array(layout.size_clusters(np.array([b["size"] for b in free]), body))
+    ranks = np.array(size_clusters(np.array([b["size"] for b in free]), body))
     for b in free:
         level = min(int(np.abs(ranks - b["size"]).argmin()) + 1, 4)
         b["level"] = level - 1 if b["bold"] and level > 1 else level

