@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions import geometry as G
 from quire.functions import text as T
+from quire.sources.ooxml import ERRORS
 
 #: Finest granularity, geometry and page selection of each format; ranks of granularities.
 CAPABILITIES = (("pdf", "char", "exact", True), ("pptx", "element", "container", True), ("docx", "element", "flow", False))
 RANKS = {"element": 0, "word": 1, "char": 2}
-#: Exit codes of errors; content types of output formats.
-EXIT_CODES = {"unsupported_format": 2, "encrypted_pdf": 3, "parse_failure": 4, "io_error": 5, "too_many_pages": 6, "granularity_unavailable": 8, "page_out_of_range": 9, "page_selection_unsupported": 10}
+EXIT_CODES = {code: exit_code for code, exit_code, _ in ERRORS}
+#: Content types of output formats.
 CONTENT_TYPES = {"json": "application/json", "lean": "text/plain; charset=utf-8", "markdown": "text/markdown; charset=utf-8"}
 #: Names of PDF colour spaces by number, from 1; chart types; frame kinds by the end of a URI; placement frames.
 COLOR_SPACES = ("DeviceGray", "DeviceRGB", "DeviceCMYK", "CalGray", "CalRGB", "Lab", "ICCBased", "Separation", "DeviceN", "Indexed", "Pattern")
@@ -62,6 +64,12 @@ def page_requests(requests: DataFrame) -> DataFrame:
     return requests.select("id", begin.alias("begin"), end.alias("end"), error.alias("error"), lookup(error, EXIT_CODES).alias("exit_code"))
 
 
+def sniff_errors(files: DataFrame) -> DataFrame:
+    """Files (path, format, length) with ``error``: none of the known formats, legacy or encrypted Office, or more than ``most`` bytes."""
+    error = F.when(F.col("length") > F.col("most"), "too_large").when(F.col("format").isNull() | (F.col("format") == "cfb"), "unsupported_format")
+    return files.withColumn("error", error)
+
+
 def content_type(output: Column) -> Column:
     return lookup(output, CONTENT_TYPES)
 
@@ -211,6 +219,12 @@ def last_styles(glyphs: DataFrame, key: list[str], style: list[str], order: list
     return glyphs.groupBy(*key).agg(F.max_by(F.struct(*style), F.struct(*order)).alias("style")).select(*key, "style.*")
 
 
+def element_order(elements: DataFrame, by: list[str], index: str) -> DataFrame:
+    """Elements numbered from 0 by their scaled top and left edges, then by ``index``."""
+    order = Window.partitionBy(*by).orderBy(G.scaled("y0"), G.scaled("x0"), index)
+    return elements.withColumn("number", (F.row_number().over(order) - 1).cast("int"))
+
+
 def spread(values: DataFrame, by: list[str], value: str) -> DataFrame:
     """The population deviation of each group, null for a single value."""
     return values.groupBy(*by).agg(F.when(F.count(value) >= 2, F.stddev_pop(value)).alias("spread"))

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions import geometry as G
+from quire.operators import lean
 from quire.operators import office as O
 from quire.plans import inputs as I
 from quire.plans.registry import query
 from quire.session import table
+from quire.sources import ooxml, opc
+from quire.streaming import jobs
 
 
 def _pick(key: str, *values) -> Column:
@@ -205,3 +209,65 @@ def glyph_styles(spark, sf):
 def column_spread(spark, sf):
     got = O.spread(table(spark, sf, "lineitem"), ["l_orderkey"], "l_quantity")
     return got.withColumn("spread", F.round(F.col("spread") * 1000) / 1000)
+
+
+_HEADS = ("255044462d312e37", "504b0304aa", "d0cf11e0a1b11ae1ff", "00255044462d", "504b0506", "")
+_KINDS = "CASE p_partkey % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'zip' WHEN 2 THEN 'cfb' WHEN 3 THEN 'pdf' END"
+
+
+@query(f"SELECT path, format, CASE WHEN length > 12 THEN 'too_large' WHEN format IS NULL OR format = 'cfb' THEN 'unsupported_format' END AS error FROM (SELECT p_partkey AS path, {_KINDS} AS format, CASE p_partkey % 6 WHEN 0 THEN 8 WHEN 1 THEN 5 WHEN 2 THEN 9 WHEN 3 THEN 6 WHEN 4 THEN 4 ELSE 0 END + p_size % 9 AS length FROM part)")
+def sniffed_files(spark, sf):
+    content = F.concat(F.unhex(_pick("p_partkey", *_HEADS)), F.repeat(F.lit(" "), F.col("p_size") % 9).cast("binary"))
+    files = table(spark, sf, "part").select(F.col("p_partkey").alias("path"), content.alias("content"), F.lit(12).alias("most"))
+    return O.sniff_errors(files.select("path", "most", F.octet_length("content").alias("length"), opc.sniff(F.col("content")).alias("format"))).select("path", "format", "error")
+
+
+_CODES = ("unsupported_format", "encrypted_pdf", "parse_failure", "io_error", "too_many_pages", "timeout", "no such code")
+
+
+@query(f"SELECT path, CASE WHEN path % 7 = 6 THEN 'internal' ELSE {_sql('path', *_CODES)} END AS code, CASE path % 7 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 4 WHEN 3 THEN 5 WHEN 4 THEN 6 ELSE 1 END AS exit_code, CASE path % 7 WHEN 0 THEN 415 WHEN 1 THEN 422 WHEN 2 THEN 422 WHEN 3 THEN 500 WHEN 4 THEN 413 WHEN 5 THEN 504 ELSE 500 END AS status FROM (SELECT c_custkey AS path FROM customer)")
+def error_envelopes(spark, sf):
+    failed = table(spark, sf, "customer").select(F.col("c_custkey").alias("path"), _pick("c_custkey", *_CODES).alias("code"))
+    return ooxml.error_rows(failed).select("path", "code", "exit_code", "status")
+
+
+_EDGES = "l_quantity AS x0, CASE WHEN l_linenumber = 5 THEN 'NaN'::DOUBLE ELSE l_discount END AS y0, l_extendedprice / 1000.0::DOUBLE AS x1, CASE WHEN l_linenumber = 6 THEN 'Infinity'::DOUBLE ELSE l_tax END AS y1"
+
+
+@query(f"SELECT l_orderkey, count(*) AS n FROM (SELECT l_orderkey, {_EDGES} FROM lineitem) WHERE isfinite(x0) AND isfinite(y0) AND isfinite(x1) AND isfinite(y1) AND x1 >= x0 AND y1 >= y0 GROUP BY l_orderkey")
+def ordered_boxes(spark, sf):
+    number = F.col("l_linenumber")
+    y0, y1 = F.when(number == 5, float("nan")).otherwise(F.col("l_discount")), F.when(number == 6, float("inf")).otherwise(F.col("l_tax"))
+    boxes = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_quantity").alias("x0"), y0.alias("y0"), (F.col("l_extendedprice") / 1000.0).alias("x1"), y1.alias("y1"))
+    return boxes.filter(G.ordered_box()).groupBy("l_orderkey").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, page, element, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, element) - 1 AS INTEGER) AS number FROM ({I.BLOCKS})")
+def element_order(spark, sf):
+    return O.element_order(I.blocks(spark, sf), ["doc_id", "page"], "element").select("doc_id", "page", "element", "number")
+
+
+@query(f"SELECT id, status, 'char' AS granularity, 'json' AS format, id % 2 = 0 AS classify, CAST(NULL AS VARCHAR) AS pages FROM ({I.JOBS})")
+def job_migration(spark, sf):
+    old = I.jobs(spark, sf).withColumn("classify", F.col("id") % 2 == 0)
+    return jobs.migrate(old).select("id", "status", "granularity", "format", "classify", "pages")
+
+
+@query(f"SELECT id, CASE WHEN k <= 5 THEN 'running' ELSE status END AS status FROM (SELECT id, status, CASE WHEN status = 'queued' THEN row_number() OVER (PARTITION BY status ORDER BY created_at, id) END AS k FROM ({I.JOBS}))")
+def job_claims(spark, sf):
+    return jobs.claim(I.jobs(spark, sf), F.current_timestamp(), 5).select("id", "status")
+
+
+@query(f"SELECT doc_id, sum(strlen(t) + 1) > 2000 AS too_large, CAST(sum(strlen(t) + 1) AS BIGINT) AS bytes FROM ({I.LINES}) GROUP BY doc_id")
+def byte_caps(spark, sf):
+    return lean.capped(I.lines(spark, sf).withColumnRenamed("t", "line"), 2000)
+
+
+_ROLES, _LISTS = ("h1", "h9", "title", "quote", "body", "h10"), ("ordered", "bullet", None, None, None)
+
+
+@query(f"""SELECT p_partkey, CASE {_sql('p_size', *_LISTS)} WHEN 'ordered' THEN 'LI ' || (p_size % 9) || ' o ' || p_brand || ' ' || p_name WHEN 'bullet' THEN 'LI ' || (p_size % 9) || ' b ' || p_brand || ' ' || p_name
+ELSE CASE p_partkey % 6 WHEN 0 THEN 'H1' WHEN 1 THEN 'H9' WHEN 2 THEN 'TI' WHEN 3 THEN 'Q' ELSE 'P' END || ' ' || p_name END AS line FROM part""")
+def flow_paragraph_lines(spark, sf):
+    line = lean.paragraph_line(_pick("p_partkey", *_ROLES), F.col("p_name"), _pick("p_size", *_LISTS), F.col("p_size") % 9, F.col("p_brand"))
+    return table(spark, sf, "part").select("p_partkey", line.alias("line"))

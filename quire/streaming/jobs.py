@@ -16,6 +16,17 @@ TTL = 86_400
 #: Which status may follow which.
 FOLLOWS = {"queued": ("running",), "running": ("succeeded", "failed", "queued"), "succeeded": (), "failed": ()}
 
+#: Options of jobs, with their types and defaults.
+OPTIONS = {"granularity": ("string", "char"), "format": ("string", "json"), "classify": ("boolean", False), "pages": ("string", None)}
+
+
+def migrate(jobs: DataFrame) -> DataFrame:
+    """A job table of any age with all columns of options, those that it lacks at their defaults."""
+    for name, (kind, value) in OPTIONS.items():
+        if name not in jobs.columns:
+            jobs = jobs.withColumn(name, F.lit(value).cast(kind))
+    return jobs
+
 
 def recover(jobs: DataFrame) -> DataFrame:
     """After a restart: jobs that were running are queued again."""
