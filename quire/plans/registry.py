@@ -481,4 +481,4 @@ def event_windows(spark, sf):
     return got.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", (F.round(F.col("total") * 100) / 100).alias("total"))
 
 
-from quire.plans import office  # noqa: E402, F401  (registers its queries here)
+from quire.plans import office, packages  # noqa: E402, F401  (they register their queries here)
