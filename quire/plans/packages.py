@@ -1,13 +1,16 @@
-"""Queries over Office packages, one made of each row of ``part``, with the rows that their oracle SQL expects of them."""
+"""Queries over Office packages, records and drawn pages, one made of each row of ``part``, with the rows that their oracle SQL expects of them."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.operators import document, tables
 from quire.plans.registry import query
 from quire.session import table
-from quire.sources import ooxml, opc
+from quire.sources import ooxml, opc, records
 
 _R = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 
@@ -133,3 +136,64 @@ def package_errors(spark, sf):
     text = F.when(F.expr("p_size % 3 = 0"), F.lit('<!DOCTYPE a><a/>')).when(F.expr("p_size % 3 = 1"), F.lit("<a><b></a>")).otherwise(F.lit("<a/>"))
     got = _nodes(spark, sf, **{"word/document.xml": text}).filter("error is not null")
     return got.select("path", F.when(F.col("error").contains("document type"), "DOCTYPE").otherwise("broken").alias("problem"))
+
+
+# Nested records, and tables found on their pages
+
+_TEXT = '{{"type":"text","id":"p1-e{n}","bbox":{{"x0":72.0,"y0":{y}.0,"x1":300.04,"y1":{y1}.0}},"content":"{text}","font":{{"name":"F","size":{size}.0,"bold":{bold},"italic":false}},"color":{{"fill":[{fill},0,0]}}{more}}}'
+
+
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    """A record of one page for each row of ``part``: a heading, a paragraph of two lines with runs, a linked line, a list item."""
+    run = lambda text, bold: f'{{"content":"{text}","font":{{"name":"F","size":10.0,"bold":{bold},"italic":false}}}}'
+    line = lambda n, text, y, size=10, bold="false", fill=0, more="": _TEXT.format(n=n, text=text, y=y, y1=y + size, size=size, bold=bold, fill=fill, more=more)
+    page = ",".join([
+        line(0, "[p_name]", 72, 20, "true"),
+        line(1, "of *[p_type]* that goes", 110, fill=9),
+        line(2, "on [p_brand]", 121, more=f',"runs":[{run("on ", "false")},{run("[p_brand]", "true")}]'),
+        line(3, "see [p_size]", 150),
+        line(4, "7) item", 180),
+        '{"type":"annotation","id":"p1-e5","bbox":{"x0":72.0,"y0":150.0,"x1":90.0,"y1":160.0},"subtype":"link","uri":"https://x.test/[p_partkey] b"}',
+    ])
+    text = f'{{"schema_version":"1.1","source":{{"format":"pdf","sha256":"0","size_bytes":1}},"document":{{"page_count":1,"metadata":{{"title":"[p_brand]"}}}},"warnings":[],"pages":[{{"page_number":1,"width":612.0,"height":792.0,"rotation":0,"scanned":false,"elements":[{page}],"hidden":[]}}]}}'
+    pieces = [F.expr(p).cast("string") if n % 2 else F.lit(p) for n, p in enumerate(re.split(r"\[(p_[a-z]+)\]", text))]
+    return table(spark, sf, "part").select("p_partkey", F.from_json(F.concat(*pieces), records.SCHEMA).alias("r")).select(F.col("p_partkey").alias("doc_id"), "r.*")
+
+
+@query("SELECT p_partkey AS doc_id, '# ' || p_name || chr(10) || chr(10) || 'of \\*' || p_type || '\\* that goes on **' || replace(p_brand, '#', '\\#') || '**' || chr(10) || chr(10) || '[see ' || p_size || '](https://x.test/' || p_partkey || '%20b)' || chr(10) || chr(10) || '7. item' || chr(10) AS markdown FROM part")
+def record_markdown(spark, sf):
+    return document.markdown(records.tables(_records(spark, sf)))
+
+
+_LINE_JSON = """'{{"type":"text","bbox":[72.0,' || {y} || '.0,300.0,' || {y1} || '.0],"text":"' || {text} || '","font":{{"name":"F","size":' || {size} || '.0{bold}}}{more}}}'"""
+_PAGE_JSON = " || ',' || ".join([
+    _LINE_JSON.format(y=72, y1=92, size=20, text="p_name", bold=',"bold":true', more=""),
+    _LINE_JSON.format(y=110, y1=120, size=10, text="'of *' || p_type || '* that goes'", bold="", more=',"color":{"fill":[9,0,0]}'),
+    _LINE_JSON.format(y=121, y1=131, size=10, text="'on ' || p_brand", bold="", more=""",\"runs\":[{\"content\":\"on \",\"font\":{\"name\":\"F\",\"size\":10.0}},{\"content\":\"' || p_brand || '\",\"font\":{\"name\":\"F\",\"size\":10.0,\"bold\":true}}]"""),
+    _LINE_JSON.format(y=150, y1=160, size=10, text="'see ' || p_size", bold="", more=""),
+    _LINE_JSON.format(y=180, y1=190, size=10, text="'7) item'", bold="", more=""),
+    """'{"type":"annotation","bbox":[72.0,150.0,90.0,160.0],"subtype":"link","uri":"https://x.test/' || p_partkey || ' b"}'""",
+])
+
+
+@query(f"""SELECT p_partkey AS doc_id, '{{"granularity":"element","schema_version":"1.9","source":{{"format":"pdf","sha256":"0","size_bytes":1}},"document":{{"page_count":1,"metadata":{{"title":"' || p_brand || '"}}}},"pages":[{{"page_number":1,"width":612.0,"height":792.0,"rotation":0,"scanned":false,"elements":[' || {_PAGE_JSON} || ']}}]}}' AS json FROM part""")
+def record_compact(spark, sf):
+    return records.compact(_records(spark, sf))
+
+
+@query("""SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 2 = 0 THEN 'ruled' ELSE 'aligned' END AS kind, CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 4 END::INTEGER AS n_rows, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 3 END::INTEGER AS n_cols,
+CASE WHEN p_partkey % 4 = 0 THEN '0:0:2:' || p_size || ' 0 0' || chr(10) || p_size || ' 0 1' || '|' ELSE '' END || array_to_string(list_transform(list_filter(range(0, 12), lambda i: CASE WHEN p_partkey % 2 = 0 THEN i // 3 < 3 AND i % 3 < 2 AND (p_partkey % 4 <> 0 OR i // 3 > 0) ELSE true END), lambda i: (i // 3) || ':' || (i % 3) || ':1:' || p_size || ' ' || (i // 3) || ' ' || (i % 3)), '|') AS cells,
+CASE WHEN p_partkey % 2 = 0 THEN 6 ELSE 12 END::INTEGER AS consumed FROM part""")
+def table_detection(spark, sf):
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page"), "p_size")
+    place = part.select("*", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("i")).withColumn("r", F.floor(F.col("i") / 3).cast("int")).withColumn("c", F.col("i") % 3)
+    ruled = F.col("doc_id") % 2 == 0
+    content = F.concat_ws(" ", F.col("p_size").cast("string"), F.col("r").cast("string"), F.col("c").cast("string"))
+    x0, y0 = F.lit(105.0) + F.col("c") * 100.0, F.when(ruled, F.lit(104.0) + F.col("r") * 20.0).otherwise(F.lit(100.0) + F.col("r") * 14.0)
+    texts = place.filter(~ruled | ((F.col("r") < 3) & (F.col("c") < 2))).select("doc_id", "page", F.concat(F.lit("t"), F.lpad(F.col("i").cast("string"), 2, "0")).alias("element"), content.alias("content"), x0.alias("x0"), y0.alias("y0"), (x0 + 40.0).alias("x1"), (y0 + 10.0).alias("y1"))
+    across = F.col("i") < 4  # four rulings across, three down; in every second grid the middle one begins below the first row
+    top = F.when((F.col("i") == 5) & (F.col("doc_id") % 4 == 0), 120.0).otherwise(100.0)
+    edges = (F.when(across, 100.0).otherwise(F.lit(100.0) + (F.col("i") - 4) * 100.0), F.when(across, F.lit(100.0) + F.col("i") * 20.0).otherwise(top), F.when(across, 300.0).otherwise(F.lit(100.0) + (F.col("i") - 4) * 100.0), F.when(across, F.lit(100.0) + F.col("i") * 20.0).otherwise(160.0))
+    paths = place.filter(ruled & (F.col("i") < 7)).select("doc_id", "page", F.concat(F.lit("v"), F.col("i").cast("string")).alias("element"), *(e.alias(n) for e, n in zip(edges, ("x0", "y0", "x1", "y1"), strict=True)), F.lit(True).alias("stroked"), F.lit(False).alias("filled"), F.lit(0.5).alias("stroke_width"))
+    cells = F.array_join(F.transform("cells", lambda c: F.concat_ws(":", c["row"].cast("string"), c["col"].cast("string"), c["col_span"].cast("string"), c["content"])), "|")
+    return tables.detect(texts, paths).filter("warning is null").select("doc_id", "kind", "n_rows", "n_cols", cells.alias("cells"), F.size("consumed").alias("consumed"))
