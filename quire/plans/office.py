@@ -186,7 +186,7 @@ def story_caps(spark, sf):
 
 @query(f"SELECT doc_id, i, regexp_replace(t, '{I.WS}+$', '') AS content FROM ({I.LINES}) WHERE regexp_replace(t, '{I.WS}', '', 'g') <> ''")
 def visible_runs(spark, sf):
-    return O.visible_runs(I.lines(spark, sf).withColumnRenamed("t", "content")).select("doc_id", "i", "content")
+    return O.visible_runs(I.lines(spark, sf).withColumnRenamed("t", "content")).select("doc_id", F.col("i").cast("bigint").alias("i"), "content")
 
 
 _SPACES = ("", *O.COLOR_SPACES, "")
