@@ -1,6 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again as the next one's documents.
 
-The files between stages go to the folder that the cluster names in ``spark.checkpoint.dir``.
+The files between stages go to the folder that the cluster names in ``spark.checkpoint.dir``; a stage's files are deleted
+once the next stage is written.  The last stage is not written, so the files that it reads stay.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import bpe, dartminhash, linededup, mixing, toxicity
-from quire.session import checkpoint_dir, table
+from quire.session import checkpoint_dir, remove, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +61,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
