@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
 from quire.functions import text as T
-from quire.operators import layout, tables
+from quire.operators import layout, pages, tables
 from quire.operators.pages import KEY
 from quire.session import cut, ship
+from quire.sources import records
 
 _WS = re.compile("[" + T.WS[1:-1] + "]+")
 _MARKER = re.compile(rf"[{T.WS[1:-1]}]*([^{T.WS[1:-1]}]+)([{T.WS[1:-1]}]+)(?=[{T.WS[1:-1]}]*[^{T.WS[1:-1]}])")
@@ -185,18 +186,45 @@ def render(blocks: list[dict], body: float) -> str:
     return "\n\n".join(out)
 
 
-def markdown(t: dict[str, DataFrame]) -> DataFrame:
+#: What detectors say of candidates that they don't trust.
+SKIPPED = {"ruled": "ruled-table candidate skipped", "aligned": "borderless-table candidate skipped"}
+TOO_DENSE = "ruled-table candidate skipped because path density exceeded the Markdown detector limit"
+
+
+def detector_warnings(found: DataFrame) -> DataFrame:
+    """(doc_id, page, ord, message) of the detector's warning rows: ruled before borderless, those of one page by reason."""
+    said = F.when(F.col("kind") == "ruled", SKIPPED["ruled"]).otherwise(SKIPPED["aligned"])
+    why = F.when(F.col("warning").startswith("path density"), TOO_DENSE).otherwise(F.concat(said, F.lit(": "), F.col("warning")))
+    message = F.concat(F.lit("page "), F.col("page").cast("string"), F.lit(": "), why)
+    order = layout.Window.partitionBy("doc_id").orderBy("page", F.col("kind") != "ruled", "warning")
+    return found.filter("warning is not null").select("doc_id", "page", F.row_number().over(order).alias("ord"), message.alias("message"))
+
+
+def with_context(printed: DataFrame, context: DataFrame) -> DataFrame:
+    """Documents of Markdown (each with its final line feed) with the context after the pages; a document may have either alone."""
+    both = printed.join(context, "doc_id", "full")
+    return both.select("doc_id", F.concat(F.concat_ws("\n\n", F.regexp_replace("markdown", r"\n\z", ""), "context"), F.lit("\n")).alias("markdown"))
+
+
+def classes(t: dict[str, DataFrame]) -> DataFrame:
+    """Page classes of documents in the tables of ``records.tables``."""
+    return pages.classify(pages.signals(t["pages"], t["boxes"], t["glyphs"]), records.garbled_warnings(t["warnings"]))
+
+
+def markdown(t: dict[str, DataFrame], tag: str | None = None) -> DataFrame:
     """(doc_id, markdown) of documents in the tables of ``records.tables``.
 
-    Detected tables of PDF pages take the place of their texts: HTML with merged cells, else pipes.
+    Detected tables of PDF pages take the place of their texts: HTML with merged cells, else pipes.  With
+    ``tag``, the record's warnings, the detectors' and then hidden items, as comments that begin with it, follow the pages.
     """
     ship(t["texts"].sparkSession)
     pdf = t["pages"].filter("format = 'pdf'").select(*KEY)
     texts = t["texts"].filter(T.clean_text("content") != "")
-    found = tables.detect(texts.join(pdf, KEY, "left_semi"), t["paths"].join(pdf, KEY, "left_semi")).filter("warning is null")
-    order = F.row_number().over(layout.Window.partitionBy(*KEY).orderBy("y0", "x0", "y1", "x1")) - 1
+    found = tables.detect(texts.join(pdf, KEY, "left_semi"), t["paths"].join(pdf, KEY, "left_semi"))
+    order = F.row_number().over(layout.Window.partitionBy(*KEY, F.col("warning").isNull()).orderBy("y0", "x0", "y1", "x1")) - 1
     found = found.withColumn("element", F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("-table-"), order.cast("string")))
-    found = cut(found)  # read four times below
+    every = cut(found)  # read five times below
+    found = every.filter("warning is null")
     cells = found.select(*KEY, "element", F.explode("cells").alias("c")).select(*KEY, "element", "c.*")
     by = [*KEY, "element"]
     merged = cells.groupBy(*by).agg((F.max(F.greatest("row_span", "col_span")) > 1).alias("spans"))
@@ -215,7 +243,7 @@ def markdown(t: dict[str, DataFrame]) -> DataFrame:
     hrefs = links.join(t["annotations"].select(*KEY, F.col("element").alias("annotation"), "uri", "place"), [*KEY, "annotation"]).groupBy(*by).agg(F.min_by("uri", "place").alias("link"))
     body = layout.body_size(block)
     columns = layout.columns(block, t["pages"])
-    every = layout.assign_columns(block.unionByName(grid), columns).join(hrefs, by, "left").join(body, "doc_id", "left").withColumn("body", F.coalesce("body", F.lit(layout.BODY)))
+    placed = layout.assign_columns(block.unionByName(grid), columns).join(hrefs, by, "left").join(body, "doc_id", "left").withColumn("body", F.coalesce("body", F.lit(layout.BODY)))
 
     def page(key, pdf: pd.DataFrame) -> pd.DataFrame:
         blocks = []
@@ -229,4 +257,9 @@ def markdown(t: dict[str, DataFrame]) -> DataFrame:
         return pd.DataFrame({"doc_id": [key[0]], "page": [key[1]], "markdown": [render(blocks, float(pdf["body"].iloc[0]))]})
 
     kind = t["pages"].schema["doc_id"].dataType.simpleString()
-    return layout.document_markdown(every.groupBy(*KEY).applyInPandas(page, f"doc_id {kind}, page int, markdown string"))
+    printed = layout.document_markdown(placed.groupBy(*KEY).applyInPandas(page, f"doc_id {kind}, page int, markdown string"))
+    if tag is None:
+        return printed
+    late = detector_warnings(every).select("doc_id", F.struct(F.lit(1).alias("late"), "ord").alias("ord"), "message")
+    said = t["warnings"].select("doc_id", F.struct(F.lit(0).alias("late"), F.col("ord").cast("int").alias("ord")).alias("ord"), "message")
+    return with_context(printed, layout.trailing_context(said.unionByName(late), t["hidden"], tag))

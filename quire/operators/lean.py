@@ -15,12 +15,42 @@ from quire.functions import text as T
 #: Record tags by block role, list kind and break kind.
 ROLES = {"title": "TI", "quote": "Q"}
 LIST_KINDS = {"ordered": "o", "bullet": "b"}
+#: Versions and legends of the line formats; the longer ones where a document has runs, tables or charts.
+PAGED_VERSION, FLOW_VERSION = "1.9", "1.7"
+ELEMENT_LEGEND = "#legend T x0 y0 x1 y1 font size style text | r font size style [href#<uri>] text | TB x0 y0 x1 y1 rows cols | c row col rowspan colspan x0 y0 x1 y1 font size style text | CH x0 y0 x1 y1 type [title] | s series-name | p [category] value | I/P x0 y0 x1 y1 | A x0 y0 x1 y1 subtype uri | pt, top-left origin"
+WORD_LEGEND = "#legend T x0 y0 x1 y1 font size style | w x0 y0 x1 y1 word | r font size style [href#<uri>] text | TB x0 y0 x1 y1 rows cols | c row col rowspan colspan x0 y0 x1 y1 font size style text | CH x0 y0 x1 y1 type [title] | s series-name | p [category] value | I/P x0 y0 x1 y1 | A x0 y0 x1 y1 subtype uri | pt, top-left origin"
+PLAIN_ELEMENT_LEGEND = "#legend T x0 y0 x1 y1 font size style text | I/P x0 y0 x1 y1 | A x0 y0 x1 y1 subtype uri | pt, top-left origin"
+PLAIN_WORD_LEGEND = "#legend T x0 y0 x1 y1 font size style | w x0 y0 x1 y1 word | I/P x0 y0 x1 y1 | A x0 y0 x1 y1 subtype uri | pt, top-left origin"
+FLOW_LEGEND = "#legend #section width height | H1..H9/TI/Q/P text | LI level o|b label text | r font size style [href#<uri>] text | TB cols col-width... | c row col rowspan colspan text | I [width height] | BR page|column|section | ~page N | pt, authored flow; no resolved coordinates"
+HIDDEN_LEGEND = "#legend <hidden> kind [element-id] content | non-visible document context"
 
 
 def style(bold: str = "bold", italic: str = "italic", fill: str = "fill") -> Column:
     return G.lean_style(F.coalesce(F.col(bold), F.lit(False)), F.coalesce(F.col(italic), F.lit(False)), F.col(fill))
 
 
+def header_lines(documents: DataFrame, counted: str, legend: Column, granularity: str, version: str, mark: str) -> DataFrame:
+    """The first lines of documents: the mark with version and counts, the legend, and that of hidden items if there are any.
+
+    ``documents``: doc_id, n_parts (pages or sections, called ``counted``), n_warnings, any_hidden.
+    """
+    warned = F.when(F.col("n_warnings") > 0, F.concat(F.lit(" warnings="), F.col("n_warnings").cast("string"))).otherwise("")
+    head = F.concat(F.lit(f"#{mark} {granularity} v{version} {counted}="), F.col("n_parts").cast("string"), warned)
+    lines = F.array_compact(F.array(head, legend, F.when(F.col("any_hidden"), HIDDEN_LEGEND)))
+    return documents.select("doc_id", F.lit(-1).alias("page"), F.lit(-2).alias("place"), F.lit(0).alias("part"), F.posexplode(lines).alias("step", "line"))
+
+
+def warning_lines(warnings: DataFrame) -> DataFrame:
+    line = F.concat(F.lit("#warning "), T.collapse_warning("message"))
+    return warnings.select("doc_id", F.lit(-1).alias("page"), F.lit(-1).alias("place"), F.lit(0).alias("part"), F.col("ord").cast("int").alias("step"), line.alias("line"))
+
+
+def section_lines(sections: DataFrame) -> DataFrame:
+    """The header of each section of a flow document (doc_id, section, width, height); its blocks' places are 0 and up."""
+    head = F.concat_ws(" ", F.lit("#section"), G.lean_number("width"), G.lean_number("height"))
+    return sections.select("doc_id", F.col("section").alias("page"), F.lit(-1).alias("place"), F.lit(0).alias("part"), F.lit(0).alias("step"), head.alias("line"))
+
+
 def page_lines(pages: DataFrame) -> DataFrame:
     """The header of each page: number, size, rotation if any, and the scanned mark."""
     head = F.concat(
@@ -37,13 +67,19 @@ def text_lines(elements: DataFrame, with_content: bool = True) -> DataFrame:
     return elements.select("doc_id", "page", "place", F.lit(0).alias("part"), F.lit(0).alias("step"), F.concat_ws(" ", *parts).alias("line"))
 
 
-def run_lines(runs: DataFrame) -> DataFrame:
-    """Runs of elements that have more than one run or a link; ``run`` is the run's place."""
-    some = runs.groupBy("doc_id", "page", "place").agg(F.count("*").alias("n"), F.max("href").alias("any_href")).filter("n > 1 or any_href is not null")
+#: Steps between two cells of a table; a cell's runs take those after its own.
+CELL_STEPS = 100_000
+
+
+def run_lines(runs: DataFrame, cells: bool = False) -> DataFrame:
+    """Runs of elements, or of table cells, that have more than one run or a link; ``run`` is the run's place."""
+    by = ["doc_id", "page", "place", *(["cell"] if cells else [])]
+    some = runs.groupBy(*by).agg(F.count("*").alias("n"), F.max("href").alias("any_href")).filter("n > 1 or any_href is not null")
     head = F.concat_ws(" ", F.lit("r"), T.font_name("font"), G.lean_number("size"), style())
     link = F.when(F.col("href").isNotNull(), F.concat(F.lit("href#<"), T.escape_record("href"), F.lit("> "))).otherwise("")
     line = F.concat(head, F.lit(" "), link, T.escape_record("content"))
-    return runs.join(some.select("doc_id", "page", "place"), ["doc_id", "page", "place"], "left_semi").select("doc_id", "page", "place", F.lit(1).alias("part"), F.col("run").cast("int").alias("step"), line.alias("line"))
+    part, step = (3, F.col("cell").cast("long") * CELL_STEPS + F.col("run") + 1) if cells else (1, F.col("run").cast("long"))
+    return runs.join(some.select(*by), by, "left_semi").select("doc_id", "page", "place", F.lit(part).alias("part"), step.alias("step"), line.alias("line"))
 
 
 def word_lines(words: DataFrame) -> DataFrame:
@@ -55,7 +91,7 @@ def cell_lines(cells: DataFrame) -> DataFrame:
     """Table cells: place and spans, box, then font, size and style of the first run (dashes without one) and content."""
     font = F.when(F.col("font").isNull(), "- - -").otherwise(F.concat_ws(" ", T.font_name("font"), G.lean_number("size"), style()))
     line = F.concat_ws(" ", F.lit("c"), "row", "col", "row_span", "col_span", G.lean_box(), font, T.escape_record("content"))
-    return cells.select("doc_id", "page", "place", F.lit(3).alias("part"), F.col("cell").cast("int").alias("step"), line.alias("line"))
+    return cells.select("doc_id", "page", "place", F.lit(3).alias("part"), (F.col("cell").cast("long") * CELL_STEPS).alias("step"), line.alias("line"))
 
 
 def box_lines(boxes: DataFrame) -> DataFrame:
@@ -96,6 +132,21 @@ def document_text(*lines: DataFrame, by: list[str] | None = None) -> DataFrame:
     return every.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
 
 
+def paged(t: dict[str, DataFrame], words: bool = False, mark: str = "quire") -> DataFrame:
+    """(doc_id, text): documents in the tables of ``records.tables`` as lines, each ended by a line feed; ``mark`` names the producer in the first."""
+    detailed, plain = (WORD_LEGEND, PLAIN_WORD_LEGEND) if words else (ELEMENT_LEGEND, PLAIN_ELEMENT_LEGEND)
+    legend = F.when(F.col("detailed"), detailed).otherwise(plain)
+    head = header_lines(t["documents"], "pages", legend, "word" if words else "element", PAGED_VERSION, mark)
+    parts = [warning_lines(t["warnings"]), page_lines(t["pages"]), text_lines(t["texts"], not words), run_lines(t["runs"]), cell_lines(t["cells"]), run_lines(t["cell_runs"], cells=True), box_lines(t["boxes"]), chart_lines(t["points"]), hidden_lines(t["hidden"])]
+    return document_text(head, *parts, *([word_lines(t["words"])] if words else [])).select("doc_id", F.concat("text", F.lit("\n")).alias("text"))
+
+
+def flowing(documents: DataFrame, warnings: DataFrame, sections: DataFrame, blocks: DataFrame, hidden: DataFrame, mark: str = "quire") -> DataFrame:
+    """(doc_id, text): flow documents as lines; ``blocks`` as of ``flow_lines``, ``hidden`` with the section as its page."""
+    head = header_lines(documents, "sections", F.lit(FLOW_LEGEND), "element", FLOW_VERSION, mark)
+    return document_text(head, warning_lines(warnings), section_lines(sections), flow_lines(blocks), hidden_lines(hidden)).select("doc_id", F.concat("text", F.lit("\n")).alias("text"))
+
+
 def capped(lines: DataFrame, most: int, by: str = "doc_id") -> DataFrame:
     """Documents whose lines, each with its line feed, are at most ``most`` bytes; others only as (id, too_large)."""
     return lines.groupBy(by).agg((F.sum(F.octet_length("line") + 1) > most).alias("too_large"), F.sum(F.octet_length("line") + 1).alias("bytes"))

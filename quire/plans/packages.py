@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import document, tables
+from quire.operators import document, lean, tables
 from quire.plans.registry import query
 from quire.session import table
 from quire.sources import ooxml, opc, records
@@ -143,8 +143,11 @@ def package_errors(spark, sf):
 _TEXT = '{{"type":"text","id":"p1-e{n}","bbox":{{"x0":72.0,"y0":{y}.0,"x1":300.04,"y1":{y1}.0}},"content":"{text}","font":{{"name":"F","size":{size}.0,"bold":{bold},"italic":false}},"color":{{"fill":[{fill},0,0]}}{more}}}'
 
 
-def _records(spark: SparkSession, sf: str) -> DataFrame:
-    """A record of one page for each row of ``part``: a heading, a paragraph of two lines with runs, a linked line, a list item."""
+def _records(spark: SparkSession, sf: str, warnings: str = "", hidden: str = "") -> DataFrame:
+    """A record of one page for each row of ``part``: a heading, a paragraph of two lines with runs, a linked line, a list item.
+
+    Every second one has the warning and the hidden item, given as JSON.
+    """
     run = lambda text, bold: f'{{"content":"{text}","font":{{"name":"F","size":10.0,"bold":{bold},"italic":false}}}}'
     line = lambda n, text, y, size=10, bold="false", fill=0, more="": _TEXT.format(n=n, text=text, y=y, y1=y + size, size=size, bold=bold, fill=fill, more=more)
     page = ",".join([
@@ -155,9 +158,11 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
         line(4, "7) item", 180),
         '{"type":"annotation","id":"p1-e5","bbox":{"x0":72.0,"y0":150.0,"x1":90.0,"y1":160.0},"subtype":"link","uri":"https://x.test/[p_partkey] b"}',
     ])
-    text = f'{{"schema_version":"1.1","source":{{"format":"pdf","sha256":"0","size_bytes":1}},"document":{{"page_count":1,"metadata":{{"title":"[p_brand]"}}}},"warnings":[],"pages":[{{"page_number":1,"width":612.0,"height":792.0,"rotation":0,"scanned":false,"elements":[{page}],"hidden":[]}}]}}'
+    text = f'{{"schema_version":"1.1","source":{{"format":"pdf","sha256":"0","size_bytes":1}},"document":{{"page_count":1,"metadata":{{"title":"[p_brand]"}}}},"warnings":[[p_warnings]],"pages":[{{"page_number":1,"width":612.0,"height":792.0,"rotation":0,"scanned":false,"elements":[{page}],"hidden":[[p_hidden]]}}]}}'
     pieces = [F.expr(p).cast("string") if n % 2 else F.lit(p) for n, p in enumerate(re.split(r"\[(p_[a-z]+)\]", text))]
-    return table(spark, sf, "part").select("p_partkey", F.from_json(F.concat(*pieces), records.SCHEMA).alias("r")).select(F.col("p_partkey").alias("doc_id"), "r.*")
+    odd = lambda s: F.when(F.col("p_partkey") % 2 == 1, s).otherwise("")
+    part = table(spark, sf, "part").withColumn("p_warnings", odd(warnings)).withColumn("p_hidden", odd(hidden))
+    return part.select("p_partkey", F.from_json(F.concat(*pieces), records.SCHEMA).alias("r")).select(F.col("p_partkey").alias("doc_id"), "r.*")
 
 
 @query("SELECT p_partkey AS doc_id, '# ' || p_name || chr(10) || chr(10) || 'of \\*' || p_type || '\\* that goes on **' || replace(p_brand, '#', '\\#') || '**' || chr(10) || chr(10) || '[see ' || p_size || '](https://x.test/' || p_partkey || '%20b)' || chr(10) || chr(10) || '7. item' || chr(10) AS markdown FROM part")
@@ -197,3 +202,96 @@ def table_detection(spark, sf):
     paths = place.filter(ruled & (F.col("i") < 7)).select("doc_id", "page", F.concat(F.lit("v"), F.col("i").cast("string")).alias("element"), *(e.alias(n) for e, n in zip(edges, ("x0", "y0", "x1", "y1"), strict=True)), F.lit(True).alias("stroked"), F.lit(False).alias("filled"), F.lit(0.5).alias("stroke_width"))
     cells = F.array_join(F.transform("cells", lambda c: F.concat_ws(":", c["row"].cast("string"), c["col"].cast("string"), c["col_span"].cast("string"), c["content"])), "|")
     return tables.detect(texts, paths).filter("warning is null").select("doc_id", "kind", "n_rows", "n_cols", cells.alias("cells"), F.size("consumed").alias("consumed"))
+
+
+_WARNING, _HIDDEN = '"two\\nlines_"', '{"kind":"note","element":"p1-e0","content":"a --> b"}'
+_FULL_TEXT = """'{{"type":"text","id":"p1-e{n}","bbox":{{"x0":72.0,"y0":{y}.0,"x1":300.04,"y1":{y1}.0}},"content":"' || {text} || '","font":{{"name":"F","size":{size}.0,"bold":{bold},"italic":false}},"color":{{"fill":[{fill},0,0],"stroke":null}}{more}}}'"""
+_FULL_PAGE = " || ',' || ".join([
+    _FULL_TEXT.format(n=0, y=72, y1=92, size=20, text="p_name", bold="true", fill=0, more=""),
+    _FULL_TEXT.format(n=1, y=110, y1=120, size=10, text="'of *' || p_type || '* that goes'", bold="false", fill=9, more=""),
+    _FULL_TEXT.format(n=2, y=121, y1=131, size=10, text="'on ' || p_brand", bold="false", fill=0, more=""",\"runs\":[{\"content\":\"on \",\"font\":{\"name\":\"F\",\"size\":10.0,\"bold\":false,\"italic\":false}},{\"content\":\"' || p_brand || '\",\"font\":{\"name\":\"F\",\"size\":10.0,\"bold\":true,\"italic\":false}}]"""),
+    _FULL_TEXT.format(n=3, y=150, y1=160, size=10, text="'see ' || p_size", bold="false", fill=0, more=""),
+    _FULL_TEXT.format(n=4, y=180, y1=190, size=10, text="'7) item'", bold="false", fill=0, more=""),
+    """'{"type":"annotation","id":"p1-e5","bbox":{"x0":72.0,"y0":150.0,"x1":90.0,"y1":160.0},"subtype":"link","uri":"https://x.test/' || p_partkey || ' b"}'""",
+])
+_SOURCE = '"source":{"format":"pdf","sha256":"0","size_bytes":1},"document":{"page_count":1,"metadata":{"title":"\' || p_brand || \'"'
+_PAGE = '"pages":[{"page_number":1,"width":612.0,"height":792.0,"rotation":0,"scanned":false'
+#: The texts cover 228.04 by 60 of 612 by 792 points; the confidence grows from a half with the share over 0.005, up to 0.15.
+_CLASS = ""","classification":{"kind":"text","confidence":' || CAST(round(0.5::DOUBLE + 0.5::DOUBLE * (228.04::DOUBLE * 60 / (612 * 792) - 0.005) / 0.145, 3) AS VARCHAR) || ',"needs_ocr":false,"reasons":["text_coverage=0.028","text_elements=5"]}"""
+_IF_ODD = "CASE WHEN p_partkey % 2 = 1 THEN '{}' ELSE '{}' END"
+
+
+def _json_of(head: str, warnings: str, kind: str, elements: str, null_author: bool = True) -> str:
+    author = ',"author":null' if null_author else ""
+    hidden = _IF_ODD.format(f',"hidden":[{_HIDDEN}]', "")
+    return f"SELECT p_partkey AS doc_id, '{{{head},{_SOURCE}{author}}}}},' || {warnings} || '{_PAGE}{kind},\"elements\":[' || {elements} || ']' || {hidden} || '}}]}}' AS json FROM part"
+
+
+_ALL_WARNINGS, _SOME_WARNINGS = (_IF_ODD.format(f'"warnings":[{_WARNING}],', none) for none in ('"warnings":[],', ""))
+
+
+@query(_json_of('"schema_version":"1.1"', _ALL_WARNINGS, "", _FULL_PAGE))
+def record_full(spark, sf):
+    return records.full(_records(spark, sf, _WARNING, _HIDDEN))
+
+
+@query(_json_of('"granularity":"char","schema_version":"1.6"', _SOME_WARNINGS, "", _FULL_PAGE))
+def record_explicit(spark, sf):
+    return records.full(_records(spark, sf, _WARNING, _HIDDEN), explicit=True)
+
+
+def _classified(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _records(spark, sf, _WARNING, _HIDDEN)
+    return records.with_classes(rows, document.classes(records.tables(rows)))
+
+
+@query(_json_of('"schema_version":"1.8"', _ALL_WARNINGS, _CLASS, _FULL_PAGE))
+def record_classified(spark, sf):
+    return records.full(_classified(spark, sf))
+
+
+@query(_json_of('"granularity":"element","schema_version":"1.8"', _ALL_WARNINGS, _CLASS, _PAGE_JSON, null_author=False))
+def record_classified_compact(spark, sf):
+    return records.compact(_classified(spark, sf))
+
+
+def _lean_of(granularity: str, legend: str, texts: bool) -> str:
+    """Lines of the records above."""
+    line = lambda y, y1, style, text, size=10: f"T 72 {y} 300 {y1} F {size} {style}" + (f" ' || {text} || '" if texts else "")
+    rows = [
+        line(72, 92, "b", "p_name", 20), line(110, 120, "-#090000", "'of *' || p_type || '* that goes'"), line(121, 131, "-", "'on ' || p_brand"), "r F 10 - on ", "r F 10 b ' || p_brand || '",
+        line(150, 160, "-", "'see ' || p_size"), line(180, 190, "-", "'7) item'"), "A 72 150 90 160 link https://x.test/' || p_partkey || ' b",
+    ]
+    out = [f"'#quire {granularity} v1.9 pages=1'", _IF_ODD.format(" warnings=1", ""), f"chr(10) || '{legend}' || chr(10)"]
+    out += [_IF_ODD.format(f"{lean.HIDDEN_LEGEND}@#warning two lines_@", ""), "'#page 1 612x792' || chr(10)", *(f"'{row}' || chr(10)" for row in rows), _IF_ODD.format("<hidden>@note p1-e0 a --> b@</hidden>@", "")]
+    return f"SELECT p_partkey AS doc_id, replace({' || '.join(out)}, '@', chr(10)) AS text FROM part"
+
+
+@query(_lean_of("element", lean.ELEMENT_LEGEND, True))
+def record_lean(spark, sf):
+    return lean.paged(records.tables(_records(spark, sf, _WARNING, _HIDDEN)))
+
+
+@query(_lean_of("word", lean.WORD_LEGEND, False))
+def record_lean_words(spark, sf):
+    return lean.paged(records.tables(_records(spark, sf, _WARNING, _HIDDEN)), words=True)
+
+
+@query("SELECT p_partkey AS doc_id, right(replace(CASE WHEN p_partkey % 2 = 1 THEN '7. item@@> [!WARNING]@> two lines\\_@@<!-- hidden: note [p1-e0] a - -&gt; b -->@' ELSE 'b)@@7. item@' END, '@', chr(10)), 12) AS ending, p_partkey % 2 = 1 AS noted FROM part")
+def record_context(spark, sf):
+    got = document.markdown(records.tables(_records(spark, sf, _WARNING, _HIDDEN)), "hidden")
+    return got.select("doc_id", F.substring("markdown", -12, 12).alias("ending"), F.col("markdown").contains("\n\n7. item\n\n> [!WARNING]\n> two lines\\_\n\n<!-- hidden: note [p1-e0] a - -&gt; b -->\n").alias("noted"))
+
+
+@query(f"""SELECT p_partkey AS doc_id, replace('#quire element v1.7 sections=2' || CASE WHEN p_size % 2 = 0 THEN ' warnings=1' ELSE '' END || '@{lean.FLOW_LEGEND}@' || CASE WHEN p_size % 2 = 0 THEN '{lean.HIDDEN_LEGEND}@#warning of it@' ELSE '' END || '#section 612 792@TI ' || p_name || '@#section 500.5 ' || p_size || '@BR page@~page 3@P ' || p_brand || '@' || CASE WHEN p_size % 2 = 0 THEN '<hidden>@comment c1 ' || p_type || '@</hidden>@' ELSE '' END, '@', chr(10)) AS text FROM part""")
+def flow_document_lines(spark, sf):
+    part, null = table(spark, sf, "part").withColumn("doc_id", F.col("p_partkey")), lambda kind: F.lit(None).cast(kind)
+    some = part.filter("p_size % 2 = 0")
+    documents = part.select("doc_id", F.lit(2).alias("n_parts"), F.when(F.col("p_size") % 2 == 0, 1).otherwise(0).alias("n_warnings"), (F.col("p_size") % 2 == 0).alias("any_hidden"))
+    sections = part.select("doc_id", F.lit(0).alias("section"), F.lit(612.0).alias("width"), F.lit(792.0).alias("height")).unionByName(part.select("doc_id", F.lit(1).alias("section"), F.lit(500.5).alias("width"), F.col("p_size").cast("double").alias("height")))
+    more = [null("string").alias(n) for n in ("list_kind", "list_label")] + [null("int").alias(n) for n in ("list_level", "row", "col", "row_span", "col_span", "n_cols")] + [null("double").alias(n) for n in ("width", "height")] + [null("array<double>").alias("col_widths")]
+    block = lambda section, role, content, breaks, approx: part.select("doc_id", F.lit(section).alias("section"), F.lit(0).alias("place"), F.lit("paragraph").alias("kind"), F.lit(role).alias("role"), F.col(content).alias("content"), breaks.alias("breaks"), approx.alias("approx_page"), *more)
+    blocks = block(0, "title", "p_name", null("array<string>"), null("int")).unionByName(block(1, "body", "p_brand", F.array(F.lit("page")), F.lit(3)))
+    warnings = some.select("doc_id", F.lit(0).alias("ord"), F.lit("of\n\tit").alias("message"))
+    hidden = some.select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("ord"), F.lit("comment").alias("kind"), F.lit("c1").alias("element"), F.col("p_type").alias("content"))
+    return lean.flowing(documents, warnings, sections, blocks, hidden)

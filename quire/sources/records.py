@@ -6,7 +6,7 @@ the operators work on; places in arrays become explicit orders, so nothing depen
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
@@ -63,8 +63,10 @@ def tables(records: DataFrame) -> dict[str, DataFrame]:
     first = F.get("c.runs", F.lit(0))
     point = element.filter("e.type = 'chart'").select(*key, F.posexplode("e.series").alias("series", "s"))
     named = F.concat(F.when(F.col("s.name").isNotNull(), F.array(F.struct(F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("value")))).otherwise(F.array().cast("array<struct<category:string,value:string>>")), F.col("s.points"))
+    detailed = F.exists("pages", lambda p: F.exists(p["elements"], lambda e: e["type"].isin("table", "chart") | ((e["type"] == "text") & e["runs"].isNotNull())))
+    counts = [F.greatest(F.size("pages"), F.lit(0)).alias("n_parts"), F.greatest(F.size("warnings"), F.lit(0)).alias("n_warnings"), F.coalesce(F.exists("pages", lambda p: F.size(p["hidden"]) > 0), F.lit(False)).alias("any_hidden"), F.coalesce(detailed, F.lit(False)).alias("detailed")]
     return {
-        "documents": records.select("doc_id", "granularity", "schema_version", "source.*", "document.page_count", "document.metadata.title", "document.metadata.author"),
+        "documents": records.select("doc_id", "granularity", "schema_version", "source.*", "document.page_count", "document.metadata.title", "document.metadata.author", *counts),
         "warnings": records.select("doc_id", F.posexplode("warnings").alias("ord", "message")),
         "pages": page.select("doc_id", "format", F.col("p.page_number").alias("page"), F.col("p.width").alias("width"), F.col("p.height").alias("height"), F.col("p.rotation").alias("rotation"), F.col("p.scanned").alias("scanned")),
         "boxes": boxes,
@@ -73,6 +75,7 @@ def tables(records: DataFrame) -> dict[str, DataFrame]:
         "words": word.select(*key, (F.col("line") * 10_000 + F.col("w")).alias("word"), F.col("x.content").alias("content"), *_flat_box("x.bbox")),
         "runs": run(element.filter("e.type = 'text'"), [], "e.runs"),
         "cells": cell.select(*key, "cell", *_flat_box("c.bbox"), "c.row", "c.col", "c.row_span", "c.col_span", "c.content", first["font"]["name"].alias("font"), first["font"]["size"].alias("size"), first["font"]["bold"].alias("bold"), first["font"]["italic"].alias("italic"), first["color"]["fill"].alias("fill")),
+        "cell_runs": run(cell, ["cell"], "c.runs"),
         "points": point.select(*key, "series", F.col("s.name").alias("name"), F.posexplode(named).alias("n", "q")).select(*key, "name", (F.col("series") * 100_000 + F.col("n")).alias("step"), "q.category", F.when((F.col("n") == 0) & F.col("name").isNotNull(), None).otherwise(F.col("q.value")).alias("value")),
         "paths": element.filter("e.type = 'path'").select(*key, *_flat_box(), F.col("e.stroke").isNotNull().alias("stroked"), F.col("e.fill").isNotNull().alias("filled"), F.col("e.stroke_width").alias("stroke_width")),
         "annotations": element.filter("e.type = 'annotation'").select(*key, *_flat_box(), F.col("e.subtype").alias("subtype"), F.col("e.uri").alias("uri")),
@@ -86,8 +89,77 @@ def garbled_warnings(warnings: DataFrame) -> DataFrame:
     return got.select("doc_id", F.col("page").cast("int").alias("page"))
 
 
+def _json(c: Column) -> Column:
+    """JSON of a value with the null fields of structs; null for null."""
+    whole = F.to_json(F.array(c), {"ignoreNullFields": "false"})
+    return F.when(c.isNotNull(), F.substr(whole, F.lit(2), F.length(whole) - 2))
+
+
+def _member(name: str, json: Column, null: bool = False) -> Column:
+    """A member of an object; one without value is left out, or null if so asked."""
+    return F.concat(F.lit(f'"{name}":'), F.coalesce(json, F.lit("null")) if null else json)
+
+
+def _object(*members: Column) -> Column:
+    return F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
+
+
+def _list(items: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+
+
+def with_classes(records: DataFrame, classes: DataFrame) -> DataFrame:
+    """Records with a map of each page's class (as of ``pages.classify``) for ``full`` and ``compact``."""
+    entry = F.struct("page", F.struct("kind", "confidence", "needs_ocr", "reasons").alias("c"))
+    return records.join(classes.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(entry)).alias("classes")), "doc_id", "left")
+
+
+def full(records: DataFrame, explicit: bool = False) -> DataFrame:
+    """(doc_id, json): whole records down to glyphs, members in schema order.
+
+    Version 1.1, 1.6 with the granularity named if it was asked for (``explicit``), 1.8 with page classes if the records
+    have them.  Optional members without value are left out, others are null.  Hex digits of escapes are upper case.
+    """
+    classified = "classes" in records.columns
+    plain = lambda e, *names, null=False: [_member(n, _json(e[n]), null) for n in names]
+    run = lambda r: _object(*plain(r, "content", "font", "color", "href"))
+    runs = lambda e: _member("runs", _list(F.transform(e["runs"], run)))
+    cell = lambda c: _object(*plain(c, "bbox", "row", "col", "row_span", "col_span", "content"), runs(c))
+    kinds = {
+        "text": lambda e: [*plain(e, "content", "font", "color", "lines"), runs(e)],
+        "table": lambda e: [*plain(e, "rows", "cols"), _member("cells", _list(F.transform(e["cells"], cell)))],
+        "chart": lambda e: [*plain(e, "chart_type", "title"), _member("series", F.to_json(e["series"]))],
+        "image": lambda e: plain(e, "quad", "pixel_width", "pixel_height", "colorspace", "content_hash", null=True),
+        "path": lambda e: plain(e, "fill", "stroke", "stroke_width", null=True),
+        "annotation": lambda e: [*plain(e, "subtype"), *plain(e, "uri", null=True)],
+    }
+
+    def element(e: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for kind, members in reversed(kinds.items()):
+            out = F.when(e["type"] == kind, _object(*plain(e, "type", "id", "bbox"), *members(e))).otherwise(out)
+        return out
+
+    def page(p: Column) -> Column:
+        kind = [_member("classification", _json(F.try_element_at("classes", p["page_number"])))] if classified else []
+        hidden = _member("hidden", F.when(F.size(p["hidden"]) > 0, F.to_json(p["hidden"])))
+        return _object(*plain(p, "page_number", "width", "height", "rotation", "scanned"), *kind, _member("elements", _list(F.transform(p["elements"], element))), hidden)
+
+    head = [_member("granularity", F.lit('"char"'))] if explicit else []
+    head += [_member("schema_version", F.lit('"1.8"' if classified else '"1.6"' if explicit else '"1.1"')), _member("source", _json(F.col("source"))), _member("document", _json(F.col("document")))]
+    warnings = F.to_json("warnings")
+    if explicit and not classified:
+        warnings = F.when(F.size("warnings") > 0, warnings)
+    return records.select("doc_id", _object(*head, _member("warnings", warnings), _member("pages", _list(F.transform("pages", page)))).alias("json"))
+
+
 def compact(records: DataFrame, words: bool = False) -> DataFrame:
-    """(doc_id, json): the compact projection at element or word granularity, boxes to one decimal; black, false and absent fields left out."""
+    """(doc_id, json): the compact projection at element or word granularity, boxes to one decimal; black, false and absent fields left out.
+
+    Version 1.9, or 1.8 with page classes and all warnings if the records have classes.
+    """
+    classified = "classes" in records.columns
+    kind = lambda p: [F.try_element_at("classes", p["page_number"]).alias("classification")] if classified else []
     box = lambda b: F.array(*(G.round1(b[n]) for n in G.BOX))
     black = lambda c: F.when(c.isNotNull() & (c != F.array(*[F.lit(0).cast("smallint")] * 3)), c)
     color = lambda c: F.when(black(c["fill"]).isNotNull() | black(c["stroke"]).isNotNull(), F.struct(black(c["fill"]).alias("fill"), black(c["stroke"]).alias("stroke")))
@@ -107,8 +179,8 @@ def compact(records: DataFrame, words: bool = False) -> DataFrame:
         e["rows"].alias("rows"), e["cols"].alias("cols"), F.transform(e["cells"], cell).alias("cells"), e["chart_type"].alias("chart_type"), F.when(is_(e, "chart"), e["title"]).alias("title"), e["series"].alias("series"),
         e["fill"].alias("fill"), e["stroke"].alias("stroke"), G.round1(e["stroke_width"]).alias("stroke_width"), e["subtype"].alias("subtype"), e["uri"].alias("uri"),
     )
-    page = lambda p: F.struct(*(p[n].alias(n) for n in ("page_number", "width", "height", "rotation", "scanned")), F.transform(p["elements"], element).alias("elements"), F.when(F.size(p["hidden"]) > 0, p["hidden"]).alias("hidden"))
-    whole = F.struct(F.lit("word" if words else "element").alias("granularity"), F.lit("1.9").alias("schema_version"), "source", "document", F.when(F.size("warnings") > 0, F.col("warnings")).alias("warnings"), F.transform("pages", page).alias("pages"))
+    page = lambda p: F.struct(*(p[n].alias(n) for n in ("page_number", "width", "height", "rotation", "scanned")), *kind(p), F.transform(p["elements"], element).alias("elements"), F.when(F.size(p["hidden"]) > 0, p["hidden"]).alias("hidden"))
+    whole = F.struct(F.lit("word" if words else "element").alias("granularity"), F.lit("1.8" if classified else "1.9").alias("schema_version"), "source", "document", F.when(F.lit(classified) | (F.size("warnings") > 0), F.col("warnings")).alias("warnings"), F.transform("pages", page).alias("pages"))
     json = F.to_json(whole)
     if words:  # the marked strings are arrays of tuples, which have no Spark type: their quotes go, and what JSON escaped in them
         parts = F.split(json, r'"\\u0001|\\u0001"', -1)

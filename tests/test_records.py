@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from quire.operators import document
+from quire.operators import document, lean
 from quire.sources import records
 
 
@@ -51,3 +51,64 @@ def test_page_selection_and_warnings(spark, folder):
     t = records.tables(records.read(spark, folder, 2, 3))
     assert t["pages"].count() == 0
     assert [tuple(r) for r in records.garbled_warnings(records.tables(records.read(spark, folder))["warnings"]).collect()] == [("one", 1)]
+
+
+@pytest.fixture(scope="module")
+def rich(tmp_path_factory):
+    """A page with every kind of element, optional members with and without values, and an empty document."""
+    at = tmp_path_factory.mktemp("rich")
+    box = {"x0": 1.0, "y0": 2.0, "x1": 3.25, "y1": 4.0}
+    run = lambda c, **more: {"content": c, "font": {"name": "A B", "size": 9.0, "bold": False, "italic": True}, "color": {"fill": [1, 2, 3], "stroke": None}} | more
+    cell = lambda n, content, **more: {"bbox": box, "row": 0, "col": n, "row_span": 1, "col_span": 1, "content": content} | more
+    glyph = {"content": "h", "bbox": box, "unicode": 104}
+    elements = [
+        text(0, "hi", 10.0, lines=[{"bbox": box, "baseline_y": 3.0, "words": [{"content": 'h"', "bbox": box, "chars": [glyph]}]}]),
+        {"type": "table", "id": "t", "bbox": box, "rows": 1, "cols": 3, "cells": [cell(0, "one", runs=[run("o"), run("ne")]), cell(1, ""), cell(2, "x", runs=[run("x", href="https://x.test/")])]},
+        {"type": "chart", "id": "c", "bbox": box, "chart_type": "bar", "title": "T", "series": [{"name": "s1", "points": [{"category": "k", "value": "1"}, {"value": "2"}]}, {"points": [{"value": "3"}]}]},
+        {"type": "image", "id": "i", "bbox": box, "quad": [[1.0, 2.0], [3.0, 2.0], [3.0, 4.0], [1.0, 4.0]], "pixel_width": 7, "pixel_height": None, "colorspace": None, "content_hash": "ab"},
+        {"type": "path", "id": "p", "bbox": box, "fill": None, "stroke": [0, 0, 0], "stroke_width": 0.5},
+        {"type": "annotation", "id": "a", "bbox": box, "subtype": "widget", "uri": None},
+    ]
+    pages = [{"page_number": 4, "width": 612.0, "height": 792.5, "rotation": 90, "scanned": True, "elements": elements, "hidden": [{"kind": "note", "content": "below"}]}]
+    whole = {"schema_version": "1.1", "source": {"format": "pptx", "sha256": "0", "size_bytes": 1}, "document": {"page_count": 1, "metadata": {"title": None, "author": "me"}}, "warnings": [], "pages": pages}
+    (at / "all.json").write_text(json.dumps(whole))
+    (at / "none.json").write_text(json.dumps(whole | {"pages": []}))
+    return str(at)
+
+
+def test_full_records_come_back(spark, rich):
+    rows = records.read(spark, rich)
+    got = {r.doc_id: json.loads(r.json) for r in records.full(rows).collect()}
+    for name in ("all", "none"):
+        want = json.loads(open(f"{rich}/{name}.json").read())
+        assert got[name] == want and list(got[name]) == list(want)
+    explicit = json.loads(records.full(rows, explicit=True).filter("doc_id = 'all'").first().json)
+    assert list(explicit) == ["granularity", "schema_version", "source", "document", "pages"] and explicit["pages"] == got["all"]["pages"]
+
+
+def test_classes_of_full_and_compact_records(spark, rich):
+    rows = records.read(spark, rich)
+    rows = records.with_classes(rows, document.classes(records.tables(rows)))
+    full, small = ({r.doc_id: json.loads(r.json) for r in f(rows).collect()} for f in (records.full, records.compact))
+    assert full["none"]["pages"] == [] and full["all"]["schema_version"] == small["all"]["schema_version"] == "1.8"
+    page = full["all"]["pages"][0]
+    assert list(page).index("classification") == 5 and page["classification"] == small["all"]["pages"][0]["classification"]
+    assert small["all"]["warnings"] == []
+
+
+def test_lean_documents(spark, rich):
+    got = {r.doc_id: r.text for r in lean.paged(records.tables(records.read(spark, rich)), words=True, mark="m").collect()}
+    assert got["none"] == f"#m word v1.9 pages=0\n{lean.PLAIN_WORD_LEGEND}\n"
+    box = "1 2 3.3 4"
+    want = [
+        "#m word v1.9 pages=1", lean.WORD_LEGEND, lean.HIDDEN_LEGEND, "#page 4 612x792.5 rot=90 scanned", "T 72 10 84 20 F 10 -", f'w {box} h"',
+        f"TB {box} 1 3", f"c 0 0 1 1 {box} A_B 9 i#010203 one", "r A_B 9 i#010203 o", "r A_B 9 i#010203 ne", f"c 0 1 1 1 {box} - - - ", f"c 0 2 1 1 {box} A_B 9 i#010203 x", "r A_B 9 i#010203 href#<https://x.test/> x",
+        f"CH {box} bar T", "s s1", "p k 1", "p 2", "p 3", f"I {box}", f"P {box}", f"A {box} widget -", "<hidden>", "note below", "</hidden>",
+    ]
+    assert got["all"].split("\n") == [*want, ""]
+
+
+def test_context_follows_the_pages(spark, folder, rich):
+    assert document.markdown(records.tables(records.read(spark, folder)), "hid").first().markdown.endswith("\n\nSame row\n\n> [!WARNING]\n> page 1: suspected\\_garbled\\_text: x\n")
+    got = [(r.doc_id, r.markdown) for r in document.markdown(records.tables(records.read(spark, rich)), "hid").collect()]
+    assert len(got) == 1 and got[0][1].endswith("\n\n<!-- hid: note below -->\n")
