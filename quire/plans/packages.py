@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import document, lean, tables
 from quire.plans.registry import query
-from quire.session import table
+from quire.session import spread, table
 from quire.sources import ooxml, opc, records
 
 _R = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -25,7 +25,7 @@ def _xml(text: str) -> Column:
 
 def _nodes(spark: SparkSession, sf: str, **files: Column) -> DataFrame:
     """The elements of packages with these parts; a part that is null for a row is not there."""
-    rows = table(spark, sf, "part")
+    rows = spread(table(spark, sf, "part"))
     parts = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), text.cast("binary").alias("bytes")) for name, text in files.items())))
     found = rows.select(F.col("p_partkey").cast("string").alias("path"), parts.alias("p")).select("path", "p.name", "p.bytes", F.lit(None).cast("string").alias("error"))
     return opc.xml_nodes(found.filter("bytes is not null"))

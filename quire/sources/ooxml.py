@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators import flow
-from quire.sources.opc import descendants, relationship_id
+from quire.sources.opc import above, descendants, inside, itself, joined, relationship_id
 
 PART = ["path", "part"]
 #: Alternate content that is understood, field and group depth, chart types, error codes with their exit codes.
@@ -98,6 +98,17 @@ def _body_text(nodes: DataFrame, roots: DataFrame, keep: list[str]) -> DataFrame
     return got.select("path", *keep, F.regexp_replace(F.array_join(F.transform("q", lambda x: x["t"]), ""), r"^\n+|\n+$", "").alias("content"))
 
 
+def _piece() -> Column:
+    """(node_id, t) of an element that has or separates text, else null."""
+    t = F.when(F.col("name") == "t", F.col("text")).when(F.col("name") == "tab", "\t").when(F.col("name").isin("br", "p"), "\n")
+    return F.when(t.isNotNull(), F.struct("node_id", t.alias("t")))
+
+
+def _story(pieces: Column) -> Column:
+    """Text of ``_piece``s, paragraphs by line feeds; null without any."""
+    return F.when(F.size(pieces) > 0, F.regexp_replace(joined(pieces), r"^\n+|\n+$", ""))
+
+
 def notes(nodes: DataFrame) -> DataFrame:
     """(path, kind, id, content, missing): referenced footnotes, endnotes and comments, each once, in order of first reference."""
     refs = {"footnoteReference": "footnote", "endnoteReference": "endnote", "commentReference": "comment"}
@@ -152,17 +163,22 @@ def charts(nodes: DataFrame) -> dict[str, DataFrame]:
 
 
 def grids(nodes: DataFrame) -> DataFrame:
-    """(path, part, table, row, col, row_span, col_span, content) of slide tables; cells that continue a merge are left out."""
-    tbl = nodes.filter("name = 'tbl'").withColumn("table", F.row_number().over(Window.partitionBy(*PART).orderBy("node_id")) - 1)
-    tr = nodes.filter("name = 'tr'").join(tbl.select(*PART, F.col("node_id").alias("parent_id"), "table"), [*PART, "parent_id"])
-    tr = tr.withColumn("row", F.row_number().over(Window.partitionBy(*PART, "table").orderBy("node_id")) - 1)
-    tc = nodes.filter("name = 'tc'").join(tr.select(*PART, F.col("node_id").alias("parent_id"), "table", "row"), [*PART, "parent_id"])
-    tc = tc.withColumn("col", F.row_number().over(Window.partitionBy(*PART, "table", "row").orderBy("node_id")) - 1)
+    """(path, part, table, row, col, row_span, col_span, content) of slide tables; cells that continue a merge are left out.
+
+    Tables, rows and cells are numbered among their siblings, so rows of a table and of a row stand before what they hold.
+    """
+    named = nodes.filter(F.col("name").isin("tbl", "t", "tab", "br", "p") | ((F.col("name") == "tr") & F.col("trail").rlike("(?<![^/])[0-9]+:tbl/$")) | ((F.col("name") == "tc") & F.col("trail").rlike("(?<![^/])[0-9]+:tbl/[0-9]+:tr/$")))
+    keys = F.when(F.col("name").isin("tbl", "tr", "tc"), F.array("node_id")).otherwise(above("tc"))
     on = lambda key: F.coalesce(F.col("attrs")[key].isin("1", "true", "on"), F.lit(False))
     span = lambda key: F.least(F.greatest(F.coalesce(F.expr(f"try_cast(attrs['{key}'] as int)"), F.lit(1)), F.lit(1)), F.lit(10_000))
-    cells = tc.filter(~on("hMerge") & ~on("vMerge")).select(*PART, "node_id", "last_id", "table", "row", "col", span("rowSpan").alias("row_span"), span("gridSpan").alias("col_span"))
-    text = _body_text(nodes, cells, ["part", "table", "row", "col"])
-    return cells.select(*PART, "table", "row", "col", "row_span", "col_span").join(text, [*PART, "table", "row", "col"], "left").withColumn("content", F.coalesce("content", F.lit("")))
+    tbl = F.when(F.col("name") == "tbl", F.col("node_id")).when(F.col("name") == "tr", F.col("parent_id")).otherwise(F.regexp_extract("trail", "([0-9]+):tbl/[0-9]+:tr/$", 1).cast("bigint"))
+    tr = F.when(F.col("name") == "tr", F.col("node_id")).when(F.col("name") == "tc", F.col("parent_id"))
+    head = F.when(F.col("name").isin("tbl", "tr", "tc"), F.struct(tbl.alias("tbl"), tr.alias("tr"), F.when(F.col("name") == "tc", F.col("node_id")).alias("tc"), (on("hMerge") | on("vMerge")).alias("merged"), span("rowSpan").alias("row_span"), span("gridSpan").alias("col_span")))
+    each = named.select(*PART, head.alias("head"), _piece().alias("piece"), F.explode(keys).alias("key")).repartition(*PART)
+    cells = each.groupBy(*PART, "key").agg(F.max("head").alias("head"), F.collect_list("piece").alias("q")).filter("head is not null").select(*PART, "head.*", "q")
+    place = lambda by, c, less: F.dense_rank().over(Window.partitionBy(*PART, *by).orderBy(c)) - less
+    cells = cells.select("*", place([], "tbl", 1).alias("table")).select("*", place(["tbl"], "tr", 2).alias("row")).select("*", place(["tbl", "tr"], "tc", 2).alias("col"))
+    return cells.filter("tc is not null and not merged").select(*PART, "table", "row", "col", "row_span", "col_span", F.coalesce(_story(F.col("q")), F.lit("")).alias("content"))
 
 
 def group_boxes(nodes: DataFrame) -> DataFrame:

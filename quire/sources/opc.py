@@ -24,7 +24,9 @@ from quire.session import ship
 #: Limits of packages and of XML parts.
 ENTRIES, ENTRY_BYTES, TOTAL_BYTES, RATIO, DEPTH, NODES = 4096, 64 << 20, 512 << 20, 200, 256, 5_000_000
 PARTS = "path string, name string, size bigint, compressed bigint, bytes binary, error string"
-XML = "path string, part string, node_id bigint, parent_id bigint, last_id bigint, depth int, ord int, name string, ns string, attrs map<string,string>, text string, error string"
+XML = "path string, part string, node_id bigint, parent_id bigint, last_id bigint, depth int, ord int, name string, ns string, attrs map<string,string>, text string, error string, trail string"
+#: Rows and characters of a batch of elements.
+BATCH_ROWS, BATCH_CHARACTERS = 8192, 4 << 20
 
 
 def sniff(content: Column) -> Column:
@@ -131,26 +133,73 @@ def parse(data: bytes) -> list[list]:
     return tree.rows
 
 
+def trails(rows: list[list]) -> Iterator[str]:
+    """For each row of ``parse`` the elements above it, outermost first, as "node:name/" each."""
+    above: list[str] = []
+    for r in rows:
+        del above[r[3] :]
+        trail = above[-1] if above else ""
+        yield trail
+        above.append(f"{trail}{r[0]}:{r[5]}/")
+
+
 def xml_nodes(found: DataFrame) -> DataFrame:
-    """The elements of all XML parts (names ending in .xml or .rels), or an error row for a part."""
+    """The elements of all XML parts (names ending in .xml or .rels), or an error row for a part.
+
+    ``trail`` names what is above an element, so "inside" needs no join (``above``).  Batches hold many small parts, or
+    a piece of a large one.
+    """
     ship(found.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from quire.sources.opc import parse
+        from quire.sources.opc import BATCH_CHARACTERS, BATCH_ROWS, parse, trails
+
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.string()]
+        names = ["path", "part", "node_id", "parent_id", "last_id", "depth", "ord", "name", "ns", "attrs", "text", "error", "trail"]
+        held: list[tuple] = []
+        size = 0
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string()]
-        names = ["path", "part", "node_id", "parent_id", "last_id", "depth", "ord", "name", "ns", "attrs", "text", "error"]
         for batch in batches:
             for path, part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 try:
-                    rows = [[path, part, *r[:7], list(r[7].items()), r[8], None] for r in parse(data.as_py())]
+                    rows = parse(data.as_py())
                 except (expat.ExpatError, ValueError) as e:
-                    rows = [[path, part, None, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    held.append((path, part, *[None] * 9, f"{type(e).__name__}: {e}", None))
+                    rows = []
+                for r, trail in zip(rows, trails(rows), strict=True):
+                    held.append((path, part, *r[:7], list(r[7].items()), r[8], None, trail))
+                    size += len(r[8]) + len(trail) + sum(map(len, r[7].values()))
+                    if len(held) >= BATCH_ROWS or size >= BATCH_CHARACTERS:
+                        yield batch_of()
+                        held, size = [], 0
+        if held:
+            yield batch_of()
 
     return found.filter("error is null and (name like '%.xml' or name like '%.rels')").select("path", "name", "bytes").mapInArrow(run, XML)
 
 
+def _link(*names: str) -> str:
+    return rf"(?<![^/])([0-9]+):(?:{'|'.join(names)})/"
+
+
+def above(*names: str) -> Column:
+    """The ids of the elements of some names above an element, outermost first."""
+    return F.transform(F.regexp_extract_all("trail", F.lit(_link(*names))), lambda x: x.cast("bigint"))
+
+
+def inside(*names: str, trail: str = "trail") -> Column:
+    """Whether an element of one of some names is above."""
+    return F.col(trail).rlike(_link(*names))
+
+
+def itself(*names: str) -> Column:
+    """The element's own id if it has one of some names, as an array like ``above``."""
+    return F.when(F.col("name").isin(*names), F.array("node_id")).otherwise(F.array().cast("array<bigint>"))
+
+
 def descendants(nodes: DataFrame, above: DataFrame) -> DataFrame:
     """Descendants of some nodes (path, part, node_id, last_id as of ``xml_nodes``): interval containment in document order."""
     a = above.select("path", "part", F.col("node_id").alias("root_id"), F.col("last_id").alias("root_last"))
@@ -187,6 +236,11 @@ def _texts(inside: DataFrame, by: list[str], leaf: Column, value: Column) -> Dat
     return got.select(*by, F.array_join(F.transform("q", lambda x: x["t"]), "").alias("content"))
 
 
+def joined(pieces: Column) -> Column:
+    """Texts of (node_id, t) in document order, joined."""
+    return F.array_join(F.transform(F.array_sort(pieces), lambda x: x["t"]), "")
+
+
 def paragraphs(nodes: DataFrame) -> DataFrame:
     """Paragraphs of main document parts: path, ord, style, list, level, content (tabs and breaks as white space, deletions left out)."""
     body = nodes.filter("part = 'word/document.xml'")
