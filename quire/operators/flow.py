@@ -129,9 +129,13 @@ def tracks(sizes: DataFrame, by: list[str], extent: str) -> DataFrame:
 
 def pair_points(categories: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
     """Chart points paired by index: values with a category first, then those without; categories without a value are dropped."""
-    got = values.join(categories, [*by, "idx"], "left")
+    return placed(values.join(categories, [*by, "idx"], "left"), by)
+
+
+def placed(points: DataFrame, by: list[str]) -> DataFrame:
+    """Points with ``place``: those with a category first, each kind by index."""
     order = Window.partitionBy(*by).orderBy(F.col("category").isNull(), "idx")
-    return got.withColumn("place", F.row_number().over(order) - 1)
+    return points.withColumn("place", F.row_number().over(order) - 1)
 
 
 def chart_number(value: Column, code: Column) -> Column:

@@ -108,7 +108,7 @@ def package_charts(spark, sf):
     series = f'<c:ser><c:tx><c:strRef><c:strCache>{point(0, "{p_brand}")}</c:strCache></c:strRef></c:tx><c:cat><c:strCache>{point(0, "{p_type}")}{point(9, "alone")}</c:strCache></c:cat><c:val><c:numCache>{point(0, "{p_size}")}{point(1, "{p_size + 1}")}{point(2, "n/a")}</c:numCache></c:val></c:ser>'
     text = f'<c:chartSpace xmlns:c="c" xmlns:a="a"><c:chart><c:title><c:tx><a:p><a:r><a:t>Of {{p_name}}</a:t></a:r></a:p></c:tx></c:title><c:plotArea><c:lineChart>{series}</c:lineChart></c:plotArea></c:chart></c:chartSpace>'
     got = ooxml.charts(_nodes(spark, sf, **{"ppt/charts/chart3.xml": _xml(text)}))
-    return got["points"].join(got["charts"], ooxml.PART).select("path", "type", "title", "name", "category", "value")
+    return got["points"].hint("merge").join(got["charts"], ooxml.PART).select("path", "type", "title", "name", "category", "value")
 
 
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS path, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, CAST(s AS INTEGER) AS col_span, content FROM part, LATERAL (VALUES (0, 0, greatest(p_size % 4, 1), p_name), (1, 0, 1, p_brand), (1, 1, 1, '')) t(r, c, s, content)""")

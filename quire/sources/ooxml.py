@@ -137,29 +137,30 @@ def charts(nodes: DataFrame) -> dict[str, DataFrame]:
     """``charts`` (path, part, type, title) and ``points`` (path, part, series, name, idx, category, value, place) of chart parts."""
     own = nodes.filter("part like '%/charts/chart%.xml'")
     kinds = F.create_map(*(F.lit(x) for kv in CHARTS.items() for x in kv))
-    typed = own.filter(F.col("name").rlike("Chart$")).groupBy(*PART).agg(F.min_by("name", "node_id").alias("k"))
-    title = _body_text(own, own.filter("name = 'title' and depth = 2"), ["part"]).withColumnRenamed("content", "title")
-    heads = typed.join(title, PART, "left").select(*PART, F.coalesce(F.element_at(kinds, F.col("k")), F.lit("other")).alias("type"), "title")
-    ser = own.filter("name = 'ser'").withColumn("series", F.row_number().over(Window.partitionBy(*PART).orderBy("node_id")) - 1)
-    held = descendants(own, ser).join(ser.select(*PART, F.col("node_id").alias("root_id"), "series"), [*PART, "root_id"])
-
-    def below(name: str) -> DataFrame:
-        roots = held.filter(F.col("name") == name).select(*PART, "node_id", "last_id", "series")
-        return descendants(own, roots).join(roots.select(*PART, F.col("node_id").alias("root_id"), "series"), [*PART, "root_id"])
-
-    def points(name: str) -> DataFrame:
-        inside = below(name)
-        pt = inside.filter("name = 'pt'").select(*PART, "series", F.col("node_id").alias("pt"), F.col("last_id").alias("pt_last"), F.expr("try_cast(attrs['idx'] as bigint)").alias("idx"))
-        v = inside.filter("name = 'v'").select(*PART, "series", F.col("node_id").alias("v"), F.col("text").alias("raw"))
-        return pt.join(v, [*PART, "series"]).filter("v > pt and v <= pt_last and raw <> '' and idx is not null").groupBy(*PART, "series", "idx").agg(F.min_by("raw", "v").alias("raw"))
-
-    code = below("val").filter("name = 'formatCode'").groupBy(*PART, "series").agg(F.min_by("text", "node_id").alias("code"))
-    number = F.expr("try_cast(raw as double)")
-    values = points("val").withColumn("number", number).filter("number is not null and not isnan(number) and abs(number) < double('infinity')").join(code, [*PART, "series"], "left")
-    values = values.select(*PART, "series", "idx", flow.chart_number(F.col("number"), F.coalesce("code", F.lit("General"))).alias("value"))
-    categories = points("cat").select(*PART, "series", "idx", F.col("raw").alias("category"))
-    names = below("tx").filter("name = 'v'").groupBy(*PART, "series").agg(F.min_by("text", "node_id").alias("name"))
-    return {"charts": heads, "points": flow.pair_points(categories, values, [*PART, "series"]).join(names, [*PART, "series"], "left")}
+    titled = F.col("trail").rlike("^([0-9]+:[^/]*/){2}[0-9]+:title/")
+    chart = F.when(F.col("name").rlike("Chart$"), F.struct("node_id", "name"))
+    heads = own.select(*PART, chart.alias("chart"), F.when(titled, _piece()).alias("piece")).filter("chart is not null or piece is not null").repartition(*PART).groupBy(*PART).agg(F.min("chart")["name"].alias("k"), F.collect_list("piece").alias("q")).filter("k is not null")
+    heads = heads.select(*PART, F.coalesce(F.try_element_at(kinds, F.col("k")), F.lit("other")).alias("type"), _story(F.col("q")).alias("title"))
+
+    # values and points with the points' own places, then with the series above them
+    named = own.filter(F.col("name").isin("ser", "pt", "v", "formatCode"))
+    keys = F.concat(F.when(F.col("name") == "v", above("pt")).otherwise(F.array().cast("array<bigint>")), F.array("node_id"))
+    each = named.select(*PART, "node_id", "name", "text", "trail", F.expr("try_cast(attrs['idx'] as bigint)").alias("idx"), F.explode(keys).alias("key")).repartition(*PART)
+    itself_ = F.col("node_id") == F.col("key")
+    held = each.groupBy(*PART, "key").agg(F.max(F.when(itself_, F.struct("name", "trail", "idx", "text"))).alias("e"), F.min(F.when(~itself_ & (F.col("text") != ""), F.struct("node_id", "text"))).alias("raw"))
+    held = held.select(*PART, "key", "e.*", "raw").withColumn("node_id", F.col("key"))
+    by = [*PART, "ser"]
+    held = held.select(*PART, "key", "name", "trail", "idx", "text", "raw", F.explode(F.concat(above("ser"), itself("ser"))).alias("ser"))
+    held = held.withColumn("below", F.expr("substring_index(concat('/', trail), concat('/', cast(ser as string), ':ser/'), -1)")).withColumn("idx", F.when(F.col("name") == "pt", F.col("idx")))
+    within = lambda name: inside(name, trail="below")
+    first = lambda fits: F.min(F.when(fits, F.struct("key", "text")))["text"]
+    point = lambda name: F.min(F.when(F.col("idx").isNotNull() & within(name), F.col("raw")))["text"]
+    got = held.groupBy(*by, "idx").agg(point("val").alias("raw"), point("cat").alias("category"), first((F.col("name") == "formatCode") & within("val")).alias("code"), first((F.col("name") == "v") & within("tx")).alias("name"))
+    series = Window.partitionBy(*by)
+    got = got.withColumn("series", F.dense_rank().over(Window.partitionBy(*PART).orderBy("ser")) - 1).withColumn("code", F.max("code").over(series)).withColumn("name", F.max("name").over(series)).withColumn("number", F.expr("try_cast(raw as double)"))
+    values = got.filter("idx is not null and number is not null and not isnan(number) and abs(number) < double('infinity')")
+    values = values.withColumn("value", flow.chart_number(F.col("number"), F.coalesce("code", F.lit("General"))))
+    return {"charts": heads, "points": flow.placed(values, by).select(*PART, "series", "idx", "value", "category", "place", "name")}
 
 
 def grids(nodes: DataFrame) -> DataFrame:
