@@ -112,12 +112,20 @@ def _story(pieces: Column) -> Column:
 def notes(nodes: DataFrame) -> DataFrame:
     """(path, kind, id, content, missing): referenced footnotes, endnotes and comments, each once, in order of first reference."""
     refs = {"footnoteReference": "footnote", "endnoteReference": "endnote", "commentReference": "comment"}
+    names = list(refs.values())
     kind = F.create_map(*(F.lit(x) for kv in refs.items() for x in kv))
-    asked = nodes.filter(F.col("part") == "word/document.xml").filter(F.col("name").isin(*refs)).groupBy("path", F.element_at(kind, F.col("name")).alias("kind"), F.col("attrs")["id"].alias("id")).agg(F.min("node_id").alias("first"))
-    bodies = nodes.filter("part in ('word/footnotes.xml', 'word/endnotes.xml', 'word/comments.xml') and name in ('footnote', 'endnote', 'comment')").withColumn("kind", F.col("name")).withColumn("id", F.col("attrs")["id"]).filter(~F.startswith(F.col("id"), F.lit("-")))
-    text = _body_text(nodes, bodies, ["kind", "id"])
+    asked = F.col("part") == "word/document.xml"
+    of_notes = F.col("part").isin("word/footnotes.xml", "word/endnotes.xml", "word/comments.xml")
+    named = nodes.filter((asked & F.col("name").isin(*refs)) | (of_notes & F.col("name").isin("t", "tab", "br", "p", *names)))
+    roots = F.when(asked, F.array("node_id")).otherwise(F.concat(above(*names), itself(*names)))
+    each = named.select(*PART, "node_id", F.coalesce(F.try_element_at(kind, F.col("name")), F.col("name")).alias("kind"), F.col("attrs")["id"].alias("id"), _piece().alias("piece"), F.explode(roots).alias("root_id")).repartition("path")
+    own = F.col("node_id") == F.col("root_id")
+    found = each.groupBy(*PART, "root_id").agg(F.max(F.when(own, F.col("kind"))).alias("kind"), F.max(F.when(own, F.col("id"))).alias("id"), F.collect_list(F.when(~own, F.col("piece"))).alias("q"))
+    found = found.filter(asked | ~F.startswith(F.col("id"), F.lit("-")))
+    got = found.groupBy("path", "kind", "id").agg(F.min(F.when(asked, F.col("root_id"))).alias("first"), F.flatten(F.collect_list("q")).alias("q")).filter("first is not null")
     order = Window.partitionBy("path").orderBy("first")
-    return asked.join(text, ["path", "kind", "id"], "left").select("path", "kind", "id", "content", F.col("content").isNull().alias("missing"), (F.row_number().over(order) - 1).alias("ord"))
+    content = _story(F.col("q"))
+    return got.select("path", "kind", "id", content.alias("content"), content.isNull().alias("missing"), (F.row_number().over(order) - 1).alias("ord"))
 
 
 def stories(nodes: DataFrame, rels: DataFrame) -> DataFrame:
