@@ -242,20 +242,18 @@ def joined(pieces: Column) -> Column:
 
 
 def paragraphs(nodes: DataFrame) -> DataFrame:
-    """Paragraphs of main document parts: path, ord, style, list, level, content (tabs and breaks as white space, deletions left out)."""
-    body = nodes.filter("part = 'word/document.xml'")
-    p = body.filter("name = 'p'")
-    inside = descendants(body, p)
-    gone = descendants(body, body.filter("name in ('del', 'moveFrom')")).select("path", "part", "node_id").distinct()
-    live = inside.join(gone, ["path", "part", "node_id"], "left_anti")
-    leaf = F.col("name").isin("t", "tab", "br", "cr")
-    value = F.when(F.col("name") == "t", F.col("text")).when(F.col("name") == "tab", "\t").otherwise("\n")
-    text = _texts(live, ["path", "root_id"], leaf, value)
-    attr = lambda name: F.max(F.when(F.col("name") == name, F.col("attrs")["val"]))
-    props = inside.groupBy("path", "root_id").agg(attr("pStyle").alias("style"), attr("numId").alias("list"), attr("ilvl").cast("int").alias("level"))
-    out = p.select("path", F.col("node_id").alias("root_id")).join(props, ["path", "root_id"], "left").join(text, ["path", "root_id"], "left")
+    """Paragraphs of main document parts: path, ord, style, list, level, content (tabs and breaks as white space, deletions left out).
+
+    An element counts for each paragraph above it.
+    """
+    named = nodes.filter("part = 'word/document.xml'").filter(F.col("name").isin("p", "t", "tab", "br", "cr", "pStyle", "numId", "ilvl"))
+    value = F.when(F.col("name") == "t", F.col("text")).when(F.col("name") == "tab", "\t").when(F.col("name").isin("br", "cr"), "\n")
+    piece = F.when(value.isNotNull() & ~inside("del", "moveFrom"), F.struct("node_id", value.alias("t")))
+    each = named.select("path", "name", F.col("attrs")["val"].alias("val"), piece.alias("piece"), F.explode(F.concat(above("p"), itself("p"))).alias("root_id"))
+    attr = lambda name: F.max(F.when(F.col("name") == name, F.col("val")))
+    out = each.repartition("path").groupBy("path", "root_id").agg(attr("pStyle").alias("style"), attr("numId").alias("list"), attr("ilvl").cast("int").alias("level"), joined(F.collect_list("piece")).alias("content"))
     order = Window.partitionBy("path").orderBy("root_id")
-    return out.select("path", (F.row_number().over(order) - 1).alias("ord"), "style", "list", F.when(F.col("list").isNotNull(), F.coalesce("level", F.lit(0))).alias("level"), F.coalesce("content", F.lit("")).alias("content"))
+    return out.select("path", (F.row_number().over(order) - 1).alias("ord"), "style", "list", F.when(F.col("list").isNotNull(), F.coalesce("level", F.lit(0))).alias("level"), "content")
 
 
 def relationship_id() -> Column:
