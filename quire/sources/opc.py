@@ -267,7 +267,8 @@ def slides(nodes: DataFrame, rels: DataFrame) -> DataFrame:
     rel = rels.filter("source_part = 'ppt/presentation.xml'").select("path", F.col("rel_id").alias("r"), F.col("target").alias("part"))
     order = Window.partitionBy("path").orderBy("node_id")
     keyed = ids.select("path", "node_id", relationship_id().alias("r"))
-    return keyed.join(rel, ["path", "r"]).select("path", F.row_number().over(order).alias("page"), "part")
+    # dealt by the package alone, which the numbers need; never broadcast: what Python makes is larger than Spark's estimate
+    return keyed.repartition("path").hint("merge").join(rel.repartition("path"), ["path", "r"]).select("path", F.row_number().over(order).alias("page"), "part")
 
 
 def slide_shapes(nodes: DataFrame, slide: DataFrame) -> DataFrame:
