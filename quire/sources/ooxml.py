@@ -90,14 +90,6 @@ def field_instructions(events: DataFrame, by: list[str]) -> DataFrame:
     return pieces.groupBy(*by, "field").agg(F.trim(text).alias("instruction"))
 
 
-def _body_text(nodes: DataFrame, roots: DataFrame, keep: list[str]) -> DataFrame:
-    """Text below roots, paragraphs by line feeds."""
-    inside = descendants(nodes, roots).filter("name in ('t', 'tab', 'br', 'p')").join(roots.select(*PART, F.col("node_id").alias("root_id"), *keep), [*PART, "root_id"])
-    piece = F.when(F.col("name") == "t", F.col("text")).when(F.col("name") == "tab", "\t").otherwise("\n")
-    got = inside.groupBy("path", *keep).agg(F.array_sort(F.collect_list(F.struct("node_id", piece.alias("t")))).alias("q"))
-    return got.select("path", *keep, F.regexp_replace(F.array_join(F.transform("q", lambda x: x["t"]), ""), r"^\n+|\n+$", "").alias("content"))
-
-
 def _piece() -> Column:
     """(node_id, t) of an element that has or separates text, else null."""
     t = F.when(F.col("name") == "t", F.col("text")).when(F.col("name") == "tab", "\t").when(F.col("name").isin("br", "p"), "\n")
@@ -130,15 +122,20 @@ def notes(nodes: DataFrame) -> DataFrame:
 
 def stories(nodes: DataFrame, rels: DataFrame) -> DataFrame:
     """(path, section, kind, variant, content) of header and footer stories, by the sections that refer to them."""
-    doc = nodes.filter("part = 'word/document.xml'")
-    sect = doc.filter("name = 'sectPr'").select(*PART, "node_id", "last_id", (F.row_number().over(Window.partitionBy("path").orderBy("node_id")) - 1).alias("section"))
-    ref = descendants(doc, sect).filter("name in ('headerReference', 'footerReference')").join(sect.select(*PART, F.col("node_id").alias("root_id"), "section"), [*PART, "root_id"])
-    key = relationship_id()
-    asked = ref.select("path", "section", F.regexp_replace("name", "Reference$", "").alias("kind"), F.coalesce(F.col("attrs")["type"], F.lit("default")).alias("variant"), key.alias("rel_id"))
-    target = rels.filter("source_part = 'word/document.xml'").select("path", "rel_id", F.col("target").alias("story"))
-    roots = nodes.filter("parent_id is null").select("path", F.col("part").alias("story"), "part", "node_id", "last_id")
-    text = _body_text(nodes, roots, ["story"])
-    return asked.join(target, ["path", "rel_id"]).join(text, ["path", "story"], "left").select("path", "section", "kind", "variant", "content")
+    of_doc = F.col("part") == "word/document.xml"
+    is_ref = of_doc & F.col("name").isin("headerReference", "footerReference")
+    sections = F.when(of_doc & (F.col("name") == "sectPr"), F.col("node_id"))
+    asks = F.transform(above("sectPr"), lambda r: F.struct(r.alias("root_id"), F.regexp_replace("name", "Reference$", "").alias("kind"), F.coalesce(F.col("attrs")["type"], F.lit("default")).alias("variant"), relationship_id().alias("rel_id")))
+    each = nodes.select(*PART, sections.alias("sect"), F.when(is_ref, asks).alias("asked"), F.when(F.col("parent_id").isNotNull(), _piece()).alias("piece")).filter("sect is not null or asked is not null or piece is not null").repartition("path")
+    parts = each.groupBy(*PART).agg(F.array_sort(F.collect_list("sect")).alias("sects"), F.flatten(F.collect_list("asked")).alias("asked"), F.collect_list("piece").alias("q"))
+    story = F.struct(F.col("part").alias("story"), _story(F.col("q")).alias("content"))
+    whole = parts.groupBy("path").agg(F.flatten(F.collect_list("sects")).alias("sects"), F.flatten(F.collect_list("asked")).alias("asked"), F.collect_list(story).alias("stories")).filter("size(asked) > 0")
+    target = rels.filter("source_part = 'word/document.xml'").repartition("path").groupBy("path").agg(F.collect_list(F.struct("rel_id", F.col("target").alias("story"))).alias("targets"))
+    both = whole.hint("merge").join(target, "path").withColumn("by_part", F.map_from_entries("stories"))
+    content = lambda t: F.when(t["story"].isNotNull(), F.try_element_at("by_part", t["story"]))
+    told = lambda a, t: F.struct((F.array_position("sects", a["root_id"]) - 1).cast("int").alias("section"), a["kind"].alias("kind"), a["variant"].alias("variant"), content(t).alias("content"))
+    matched = F.flatten(F.transform("asked", lambda a: F.transform(F.filter("targets", lambda t: t["rel_id"] == a["rel_id"]), lambda t: told(a, t))))
+    return both.select("path", F.explode(matched).alias("s")).select("path", "s.*")
 
 
 def charts(nodes: DataFrame) -> dict[str, DataFrame]:
