@@ -74,8 +74,11 @@ def visible_text(events: DataFrame, by: list[str]) -> DataFrame:
         shown = F.array(F.struct(e["ord"].cast("bigint").alias("ord"), F.forall(stack, lambda x: x).alias("visible")))
         return F.struct(new.alias("stack"), beyond.cast("int").alias("over"), F.when(e["event"] == "text", F.concat(acc["out"], shown)).otherwise(acc["out"]).alias("out"))
 
-    flags = events.groupBy(*by).agg(F.aggregate(F.array_sort(F.collect_list(item)), start, fold)["out"].alias("q")).select(*by, F.explode("q").alias("q")).select(*by, "q.ord", "q.visible")
-    return events.join(flags, [*by, "ord"])
+    rest = [c for c in events.columns if c not in (*by, "ord")]
+    held = events.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ord", "event", F.struct(*rest).alias("row")))).alias("q"))
+    flags = F.aggregate(F.transform("q", lambda e: F.struct(e["ord"].alias("ord"), e["event"].alias("event"))), start, fold)["out"]
+    shown = held.select(*by, F.explode(F.arrays_zip(F.filter("q", lambda e: e["event"] == "text").alias("e"), flags.alias("f"))).alias("z"))
+    return shown.select(*by, "z.e.ord", "z.e.row.*", "z.f.visible")
 
 
 def field_instructions(events: DataFrame, by: list[str]) -> DataFrame:
