@@ -68,12 +68,16 @@ def interval_coverage(spans: DataFrame, by: list[str], low: str, high: str, star
 
 
 def assign_cells(texts: DataFrame, xs: DataFrame, ys: DataFrame) -> DataFrame:
-    """The first grid interval on either axis (edges within SNAP) that holds each text's centre: xs and ys have (i, low, high) by page."""
-    centred = texts.withColumn("cx", (F.col("x0") + F.col("x1")) / 2.0).withColumn("cy", (F.col("y0") + F.col("y1")) / 2.0)
-    in_x = centred.join(xs.select(*KEY, F.col("i").alias("col"), F.col("low").alias("xl"), F.col("high").alias("xh")), KEY).filter(F.col("cx").between(F.col("xl") - SNAP, F.col("xh") + SNAP))
-    in_x = in_x.groupBy(*KEY, "element", "cx", "cy").agg(F.min("col").alias("col"))
-    in_y = in_x.join(ys.select(*KEY, F.col("i").alias("row"), F.col("low").alias("yl"), F.col("high").alias("yh")), KEY).filter(F.col("cy").between(F.col("yl") - SNAP, F.col("yh") + SNAP))
-    return in_y.groupBy(*KEY, "element", "col").agg(F.min("row").alias("row"))
+    """The first grid interval on either axis (edges within SNAP) that holds each text's centre: xs and ys have (i, low, high) by page.
+
+    A page's intervals come to its texts as arrays, so no text is multiplied by them; they are never broadcast, because
+    Spark's estimate knows nothing of how many there are.
+    """
+    held = lambda axis, name: axis.groupBy(*KEY).agg(F.collect_list(F.struct("i", "low", "high")).alias(name)).hint("merge")
+    first = lambda name, at: F.array_min(F.transform(F.filter(name, lambda e: at.between(e["low"] - SNAP, e["high"] + SNAP)), lambda e: e["i"]))
+    near = texts.join(held(xs, "xs"), KEY).join(held(ys, "ys"), KEY)
+    near = near.select(*KEY, "element", first("xs", (F.col("x0") + F.col("x1")) / 2.0).alias("col"), first("ys", (F.col("y0") + F.col("y1")) / 2.0).alias("row"))
+    return near.filter("col is not null and row is not null").groupBy(*KEY, "element", "col").agg(F.min("row").alias("row"))
 
 
 def gutter_histogram(items: DataFrame, by: list[str]) -> DataFrame:
