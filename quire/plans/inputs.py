@@ -6,7 +6,7 @@ more after each comma.  Every row of a table takes part.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.session import table
@@ -30,15 +30,21 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 PAGES = f"SELECT doc_id, unnest(range(1, CAST(m // 50 + 2 AS INTEGER))) AS page, 612.0::DOUBLE AS width, 792.0::DOUBLE AS height FROM (SELECT doc_id, max(i) AS m FROM ({LINES}) GROUP BY doc_id)"
 
 
+def _placed(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines with page, element, their place on the page and their baseline."""
+    at = F.pmod("i", F.lit(50))
+    page = F.floor(F.col("i") / 50).cast("int")
+    return lines(spark, sf).filter("t <> ''").select("doc_id", (page + 1).alias("page"), F.concat(F.lit("e"), page.cast("string")).alias("element"), (at * 1000000).alias("first"), (F.lit(72.0) + at * 14.0).alias("base"), "t")
+
+
 def glyphs(spark: SparkSession, sf: str) -> DataFrame:
-    each = lines(spark, sf).select("doc_id", "i", F.posexplode(F.regexp_extract_all("t", F.lit("(?s)(.)"))).alias("j", "content"))
-    before = Window.partitionBy("doc_id", "i").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
-    commas = F.coalesce(F.sum((F.col("content") == ",").cast("int")).over(before), F.lit(0))
-    x0, base = F.lit(72.0) + F.col("j") * 6.0 + commas * 4.0, F.lit(72.0) + F.pmod("i", F.lit(50)) * 14.0
-    return each.select(
-        "doc_id", (F.floor(F.col("i") / 50).cast("int") + 1).alias("page"), F.concat(F.lit("e"), F.floor(F.col("i") / 50).cast("string")).alias("element"), (F.pmod("i", F.lit(50)) * 1000000 + F.col("j")).cast("int").alias("ord"),
-        "content", x0.alias("x0"), (base - 10.0).alias("y0"), (x0 + 6.0).alias("x1"), (base + 2.0).alias("y1"), F.lit(10.0).alias("font_size"), base.alias("baseline"),
-    )
+    # a line in pieces that end with a comma: the piece's number is that of the commas before, so no window is needed
+    piece = _placed(spark, sf).select("*", F.posexplode(F.split("t", "(?<=,)", -1)).alias("commas", "p")).filter("p <> ''")
+    start = F.when(F.col("commas") == 0, 0).otherwise(F.length(F.expr("substring_index(t, ',', commas)")) + 1)
+    piece = piece.select("doc_id", "page", "element", "base", (F.col("first") + start).alias("first"), (F.lit(72.0) + start * 6.0 + F.col("commas") * 4.0).alias("x"), "p")
+    each = piece.select("*", F.posexplode(F.split("p", "", -1)).alias("k", "content"))
+    x0, base = F.col("x") + F.col("k") * 6.0, F.col("base")
+    return each.select("doc_id", "page", "element", (F.col("first") + F.col("k")).cast("int").alias("ord"), "content", x0.alias("x0"), (base - 10.0).alias("y0"), (x0 + 6.0).alias("x1"), (base + 2.0).alias("y1"), F.lit(10.0).alias("font_size"), base.alias("baseline"))
 
 
 GLYPHS = f"""SELECT doc_id, CAST(i // 50 + 1 AS INTEGER) AS page, 'e' || (i // 50) AS element, (i % 50) * 1000000 + j AS ord, content, x0, base - 10.0 AS y0, x0 + 6.0 AS x1, base + 2.0 AS y1, 10.0::DOUBLE AS font_size, base AS baseline, i % 50 AS row
@@ -48,7 +54,10 @@ FROM (SELECT doc_id, i, unnest(range(len(c))) AS j, unnest(c) AS content FROM (S
 
 def boxes(spark: SparkSession, sf: str) -> DataFrame:
     """A text box of each page with glyphs, an image on each page that covers none to nine tenths of it, by the id, and a path."""
-    text = glyphs(spark, sf).groupBy("doc_id", "page", "element").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("characters"))
+    # a line's glyphs go from 72 to the right edge of the last one, which the commas before it shift
+    before = F.expr("length(t) - 1 - length(replace(substring(t, 1, length(t) - 1), ',', ''))")
+    right = F.lit(72.0) + F.length("t") * 6.0 + before * 4.0
+    text = _placed(spark, sf).groupBy("doc_id", "page", "element").agg(F.min(F.lit(72.0)).alias("x0"), (F.min("base") - 10.0).alias("y0"), F.max(right).alias("x1"), (F.max("base") + 2.0).alias("y1"), F.sum(F.length("t")).alias("characters"))
     text = text.select("doc_id", "page", F.lit("text").alias("kind"), "element", "x0", "y0", "x1", "y1", "characters")
     share = F.element_at(F.array(F.lit(0.0), F.lit(0.25), F.lit(0.65), F.lit(0.9)), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
     p = pages(spark, sf)
