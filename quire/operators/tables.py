@@ -1,21 +1,23 @@
 """Table detection: ruled grids from vector paths and borderless grids from aligned text.
 
 Rulings, density gates, crossings, coverage, cell assignment, gutters and regions are relational operators of their own.
-The end-to-end detectors gate pages relationally, so only candidate pages (at most LIMIT rulings or texts each) reach the
-per-page functions, which do what depends on order: components, separators, merged cells, owners of spans.
+The end-to-end detectors gate pages relationally, so only candidate pages reach the per-page functions, in Arrow batches;
+these do what depends on order: components, separators, merged cells, owners of spans.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
 from quire.functions import text as T
 from quire.operators.pages import KEY
-from quire.session import ship
+from quire.session import ship, spread
 
 #: Tolerances and thresholds, in points and shares.
 SNAP, JOIN, LEAST_RULING, LIMIT, SEPARATORS = 1.5, 2.0, 8.0, 512, 64
@@ -124,75 +126,87 @@ def clusters(values: np.ndarray) -> np.ndarray:
             out[-1].append(v)
         else:
             out.append([v])
-    return np.array([float(np.median(g)) for g in out])
+    return np.array([float(g[0] if len(g) == 1 else np.median(g)) for g in out])
 
 
-def covered(low: np.ndarray, high: np.ndarray, start: float, end: float) -> float:
+def covered(spans: list[tuple[float, float]], start: float, end: float) -> float:
     """Share of an interval under the union of spans, gaps of up to JOIN bridged."""
     if end <= start:
         return 0.0
-    a, b = np.maximum(low, start), np.minimum(high, end)
-    keep = b > a
-    if not keep.any():
-        return 0.0
-    order = np.lexsort((b[keep], a[keep]))
-    a, b = a[keep][order], b[keep][order]
-    reach = np.maximum.accumulate(b)
-    fresh = np.flatnonzero(np.concatenate([[True], a[1:] > reach[:-1] + JOIN]))
-    ends = reach[np.append(fresh[1:] - 1, len(a) - 1)]
-    return float(np.clip((ends - a[fresh]).sum() / (end - start), 0.0, 1.0))
+    total, first, reach = 0.0, None, 0.0
+    for a, b in sorted((max(a, start), min(b, end)) for a, b in spans if min(b, end) > max(a, start)):
+        if first is None:
+            first, reach = a, b
+        elif a > reach + JOIN:
+            total += reach - first
+            first, reach = a, b
+        else:
+            reach = max(reach, b)
+    return 0.0 if first is None else min(max((total + reach - first) / (end - start), 0.0), 1.0)
+
+
+#: Columns by name, of one page's texts or rulings.
+Rows = dict[str, np.ndarray]
+
+
+def _take(rows: Rows, at) -> Rows:
+    return {c: x[at] for c, x in rows.items()}
+
+
+def _sorted(rows: Rows, *by: str) -> Rows:
+    keys = list(zip(*(rows[c].tolist() for c in by), strict=True))
+    return _take(rows, sorted(range(len(keys)), key=keys.__getitem__))
 
 
-def component_labels(h: pd.DataFrame, v: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def component_labels(h: Rows, v: Rows) -> tuple[np.ndarray, np.ndarray]:
     """Components of the crossing graph: labels of the horizontal and of the vertical rulings."""
-    hp, hl, hh = (h[c].to_numpy()[:, None] for c in ("position", "low", "high"))
-    vp, vl, vh = (v[c].to_numpy()[None, :] for c in ("position", "low", "high"))
+    hp, hl, hh = (h[c][:, None] for c in ("position", "low", "high"))
+    vp, vl, vh = (v[c][None, :] for c in ("position", "low", "high"))
     meet = (vp >= hl - SNAP) & (vp <= hh + SNAP) & (hp >= vl - SNAP) & (hp <= vh + SNAP)
-    a, b = np.arange(len(h)), len(h) + np.arange(len(v))
+    a, b = np.arange(len(hp)), len(hp) + np.arange(vp.size)
+    none = len(a) + len(b)
     while True:
-        low = np.where(meet, b[None, :], len(h) + len(v)).min(axis=1, initial=len(h) + len(v))
+        low = np.where(meet, b[None, :], none).min(axis=1, initial=none)
         na = np.minimum(a, low)
-        nb = np.minimum(b, np.where(meet, na[:, None], len(h) + len(v)).min(axis=0, initial=len(h) + len(v)))
+        nb = np.minimum(b, np.where(meet, na[:, None], none).min(axis=0, initial=none))
         if (na == a).all() and (nb == b).all():
             return a, b
         a, b = na, nb
 
 
-def _interval(edges: np.ndarray, value: float) -> int:
-    hit = np.flatnonzero((value >= edges[:-1] - SNAP) & (value <= edges[1:] + SNAP))
-    return int(hit[0]) if len(hit) else -1
+def _interval(edges: list[float], value: float) -> int:
+    return next((n for n in range(len(edges) - 1) if edges[n] - SNAP <= value <= edges[n + 1] + SNAP), -1)
 
 
 def _clean(s: str) -> str:
     return " ".join(s.split())
 
 
-def grid_table(h: pd.DataFrame, v: pd.DataFrame, texts: pd.DataFrame) -> tuple[dict | None, str | None]:
+def grid_table(h: Rows, v: Rows, texts: Rows) -> tuple[dict | None, str | None]:
     """The table of one component of rulings, or why there is none."""
-    xs, ys = clusters(v["position"].to_numpy()), clusters(h["position"].to_numpy())
+    xs, ys = clusters(v["position"]), clusters(h["position"])
     if len(xs) < 3 or len(ys) < 3:
         return None, None
     if max(len(xs), len(ys)) > SEPARATORS:
         return None, "too many row or column separators"
 
-    def share(lines: pd.DataFrame, at: float, start: float, end: float) -> float:
-        near = (lines["position"] - at).abs().to_numpy() <= SNAP
-        return covered(lines["low"].to_numpy()[near], lines["high"].to_numpy()[near], start, end)
-
-    across = [share(h, y, xs[0], xs[-1]) for y in ys]
-    down = [share(v, x, ys[0], ys[-1]) for x in xs]
+    xs, ys = xs.tolist(), ys.tolist()
+    near = lambda lines, edges: [[(a, b) for p, a, b in lines if abs(p - at) <= SNAP] for at in edges]
+    at_y, at_x = (near(list(zip(*(r[c].tolist() for c in ("position", "low", "high")), strict=True)), edges) for r, edges in ((h, ys), (v, xs)))
+    across = [covered(spans, xs[0], xs[-1]) for spans in at_y]
+    down = [covered(spans, ys[0], ys[-1]) for spans in at_x]
     if min(across[0], across[-1], down[0], down[-1]) < OUTER or min(across + down) < INNER:
         return None, "rulings do not form a closed grid"
     rows, cols = len(ys) - 1, len(xs) - 1
     held: dict[tuple[int, int], list[int]] = {}
-    for n, (x0, y0, x1, y1) in enumerate(texts[list(G.BOX)].to_numpy()):
+    for n, (x0, y0, x1, y1) in enumerate(zip(*(texts[c].tolist() for c in G.BOX), strict=True)):
         cell = _interval(ys, (y0 + y1) / 2), _interval(xs, (x0 + x1) / 2)
         if min(cell) >= 0:
             held.setdefault(cell, []).append(n)
     if len(held) < max(4, -(-rows * cols // 3)) or len({r for r, _ in held}) < 2 or len({c for _, c in held}) < 2:
         return None, "grid has too little cell text"
-    wall = np.array([[share(v, xs[c], ys[r], ys[r + 1]) >= PRESENT for c in range(cols + 1)] for r in range(rows)])
-    floor = np.array([[share(h, ys[r], xs[c], xs[c + 1]) >= PRESENT for c in range(cols)] for r in range(rows + 1)])
+    wall = np.array([[covered(at_x[c], ys[r], ys[r + 1]) >= PRESENT for c in range(cols + 1)] for r in range(rows)])
+    floor = np.array([[covered(at_y[r], xs[c], xs[c + 1]) >= PRESENT for c in range(cols)] for r in range(rows + 1)])
     taken, cells, used = np.zeros((rows, cols), bool), [], []
     for r in range(rows):
         for c in range(cols):
@@ -202,33 +216,30 @@ def grid_table(h: pd.DataFrame, v: pd.DataFrame, texts: pd.DataFrame) -> tuple[d
             below = next((k for k in range(r + 1, rows) if floor[k, c:right].any()), rows)
             taken[r:below, c:right] = True
             mine = [n for rr in range(r, below) for cc in range(c, right) for n in held.pop((rr, cc), [])]
-            got = texts.iloc[mine].sort_values(["y0", "x0", "y1", "element"], kind="stable")
+            got = _sorted(_take(texts, mine), "y0", "x0", "y1", "element")
             used += got["element"].tolist()
             cells.append({"row": r, "col": c, "row_span": below - r, "col_span": right - c, "content": "\n".join(x for x in map(_clean, got["content"]) if x)})
     return {"x0": xs[0], "y0": ys[0], "x1": xs[-1], "y1": ys[-1], "n_rows": rows, "n_cols": cols, "cells": cells, "consumed": sorted(set(used))}, None
 
 
-def _ruled(key, lines: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-    base = {"doc_id": key[0], "page": key[1], "kind": "ruled", "x0": None, "y0": None, "x1": None, "y1": None, "n_rows": None, "n_cols": None, "cells": None, "consumed": None, "warning": None}
+def _ruled(lines: Rows, texts: Rows) -> list[dict]:
+    """The ruled tables of a page, and why others are none."""
     out = []
-    if len(lines) > LIMIT:
-        out.append(base | {"warning": "path density exceeded the detector limit"})
-    elif len(lines):
-        lines = lines.sort_values(["axis", "position", "low", "high"], kind="stable")
-        h, v = lines[lines["axis"] == "h"].reset_index(drop=True), lines[lines["axis"] == "v"].reset_index(drop=True)
-        a, b = component_labels(h, v)
-        for label in np.unique(np.concatenate([a, b])):
-            table, why = grid_table(h[a == label], v[b == label], texts)
-            if table or why:
-                out.append(base | (table or {}) | {"warning": why})
-    return pd.DataFrame(out, columns=list(base))
-
-
-def visual_lines(texts: pd.DataFrame) -> list[pd.DataFrame]:
+    lines = _sorted(lines, "axis", "position", "low", "high")
+    h, v = _take(lines, lines["axis"] == "h"), _take(lines, lines["axis"] == "v")
+    a, b = component_labels(h, v)
+    for label in np.unique(np.concatenate([a, b])):
+        table, why = grid_table(_take(h, a == label), _take(v, b == label), texts)
+        if table or why:
+            out.append({"kind": "ruled"} | (table or {}) | {"warning": why})
+    return out
+
+
+def visual_lines(texts: Rows) -> list[Rows]:
     """Texts in (y0, x0, id) order, dealt into lines: one joins the last line if it overlaps its running extent enough."""
     lines: list[list] = []
     low = high = 0.0
-    for n, (y0, y1) in enumerate(texts[["y0", "y1"]].to_numpy()):
+    for n, (y0, y1) in enumerate(zip(texts["y0"].tolist(), texts["y1"].tolist(), strict=True)):
         shared = max(0.0, min(high, y1) - max(low, y0))
         if lines and shared > LINE_OVERLAP * max(1.0, min(high - low, y1 - y0)):
             lines[-1].append(n)
@@ -236,10 +247,14 @@ def visual_lines(texts: pd.DataFrame) -> list[pd.DataFrame]:
         else:
             lines.append([n])
             low, high = y0, y1
-    return [texts.iloc[x].sort_values(["x0", "x1", "element"], kind="stable") for x in lines]
+    return [_sorted(_take(texts, x), "x0", "x1", "element") for x in lines]
+
+
+def _spans(line: Rows) -> list[tuple[float, float]]:
+    return list(zip(line["x0"].tolist(), line["x1"].tolist(), strict=True))
 
 
-def gutter_columns(lines: list[pd.DataFrame]) -> list[tuple[float, float]]:
+def gutter_columns(lines: list[Rows]) -> list[tuple[float, float]]:
     """Column intervals between the gutters of a region."""
     left, right = min(x["x0"].min() for x in lines), max(x["x1"].max() for x in lines)
     n = int(np.ceil((right - left) / BUCKET)) + 1
@@ -248,7 +263,7 @@ def gutter_columns(lines: list[pd.DataFrame]) -> list[tuple[float, float]]:
     hits = np.zeros(n, int)
     for line in lines:
         mine = np.zeros(n, bool)
-        for x0, x1 in line[["x0", "x1"]].to_numpy():
+        for x0, x1 in _spans(line):
             mine[max(0, int((x0 - left) // BUCKET)) : min(n - 1, int((x1 - left) // BUCKET)) + 1] = True
         hits += mine
     inside = np.concatenate([[0], (hits > int(np.floor((1.0 - GUTTER) * len(lines)))).astype(int), [0]])
@@ -256,7 +271,7 @@ def gutter_columns(lines: list[pd.DataFrame]) -> list[tuple[float, float]]:
     return [(left + a * BUCKET, left + b * BUCKET) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
 
 
-def aligned_table(lines: list[pd.DataFrame]) -> tuple[dict | None, str | None]:
+def aligned_table(lines: list[Rows]) -> tuple[dict | None, str | None]:
     """The borderless table of one region of visual lines, or why there is none."""
     columns = gutter_columns(lines)
     rows, cols = len(lines), len(columns)
@@ -268,9 +283,9 @@ def aligned_table(lines: list[pd.DataFrame]) -> tuple[dict | None, str | None]:
         hit = np.flatnonzero((x1 > low - SNAP) & (x0 < high + SNAP))
         return (int(hit[0]), int(hit[-1])) if len(hit) else None
 
-    spans = [[span(x0, x1) for x0, x1 in line[["x0", "x1"]].to_numpy()] for line in lines]
+    spans = [[span(x0, x1) for x0, x1 in _spans(line)] for line in lines]
     for c in range(cols):
-        edges = np.array([b for line, s in zip(lines, spans, strict=True) for b, at in zip(line[["x0", "x1"]].to_numpy(), s, strict=True) if at == (c, c)])
+        edges = np.array([b for line, s in zip(lines, spans, strict=True) for b, at in zip(_spans(line), s, strict=True) if at == (c, c)])
         if len(edges) >= 2 and (edges.std(axis=0) > EDGE_SPREAD).all():
             return None, None
     filled, cells, used, regular = np.zeros((rows, cols), bool), [], [], 0
@@ -286,7 +301,7 @@ def aligned_table(lines: list[pd.DataFrame]) -> tuple[dict | None, str | None]:
         regular += len(held) >= 2
         for c, (width, items) in sorted(held.items()):
             filled[r, c : c + width] = True
-            got = line.iloc[items].sort_values(["x0", "element"], kind="stable")
+            got = _sorted(_take(line, items), "x0", "element")
             used += got["element"].tolist()
             cells.append({"row": r, "col": c, "row_span": 1, "col_span": width, "content": " ".join(x for x in map(_clean, got["content"]) if x)})
     if regular < REGULAR * rows:
@@ -303,10 +318,10 @@ def aligned_table(lines: list[pd.DataFrame]) -> tuple[dict | None, str | None]:
     return box | {"n_rows": rows, "n_cols": cols, "cells": cells, "consumed": sorted(set(used))}, None
 
 
-def _aligned(key, texts: pd.DataFrame, ruled: pd.DataFrame) -> pd.DataFrame:
-    base = {"doc_id": key[0], "page": key[1], "kind": "aligned", "x0": None, "y0": None, "x1": None, "y1": None, "n_rows": None, "n_cols": None, "cells": None, "consumed": None, "warning": None}
+def _aligned(texts: Rows, ruled: list[dict]) -> list[dict]:
+    """The borderless tables of a page's free texts that meet no ruled one, and why others are none."""
     out = []
-    lines = visual_lines(texts.sort_values(["y0", "x0", "element"], kind="stable")) if 6 <= len(texts) <= LIMIT else []
+    lines = visual_lines(_sorted(texts, "y0", "x0", "element"))
     if len(lines) >= 3:
         low, high = np.array([x["y0"].min() for x in lines]), np.array([x["y1"].max() for x in lines])
         limit = max(GAP_FLOOR, GAP_SHARE * float(np.median(np.maximum(high - low, 1.0))))
@@ -314,31 +329,59 @@ def _aligned(key, texts: pd.DataFrame, ruled: pd.DataFrame) -> pd.DataFrame:
         for a, b in zip(breaks, breaks[1:], strict=False):
             if b - a >= 3:
                 table, why = aligned_table(lines[a:b])
-                if table and ((table["x1"] > ruled["x0"]) & (table["x0"] < ruled["x1"]) & (table["y1"] > ruled["y0"]) & (table["y0"] < ruled["y1"])).any():
+                if table and any(table["x1"] > r["x0"] and table["x0"] < r["x1"] and table["y1"] > r["y0"] and table["y0"] < r["y1"] for r in ruled):
                     continue
                 if table or why:
-                    out.append(base | (table or {}) | {"warning": why})
-    return pd.DataFrame(out, columns=list(base))
+                    out.append({"kind": "aligned"} | (table or {}) | {"warning": why})
+    return out
+
+
+def page_tables(texts: Rows, lines: Rows, dense: bool) -> list[dict]:
+    """All of one page: ruled tables, then borderless ones of the texts outside them."""
+    ruled = [{"kind": "ruled", "warning": "path density exceeded the detector limit"}] if dense else _ruled(lines, texts) if len(lines["axis"]) else []
+    found = [r for r in ruled if r["warning"] is None]
+    used = {e for r in found for e in r["consumed"]}
+    free = np.array([e not in used for e in texts["element"].tolist()], bool)
+    cx, cy = (texts["x0"] + texts["x1"]) / 2.0, (texts["y0"] + texts["y1"]) / 2.0
+    for r in found:
+        free &= ~((cx >= r["x0"] - SNAP) & (cx <= r["x1"] + SNAP) & (cy >= r["y0"] - SNAP) & (cy <= r["y1"] + SNAP))
+    return ruled + (_aligned(_take(texts, free), found) if 6 <= free.sum() <= LIMIT else [])
+
+
+def _unpacked(items: pa.ListArray) -> Iterator[Rows]:
+    """The structs of each list, as columns."""
+    flat = items.flatten()
+    columns = {f.name: flat.field(n).to_numpy(zero_copy_only=False) for n, f in enumerate(flat.type)}
+    sizes = items.value_lengths().fill_null(0).to_numpy()
+    ends = np.cumsum(sizes)
+    for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+        yield _take(columns, slice(a, b))
 
 
 def detect(texts: DataFrame, paths: DataFrame) -> DataFrame:
     """Ruled tables, then borderless ones of the texts outside them; rows with only a warning where a candidate was not trusted.
 
     ``texts``: doc_id, page, element, content, x0..y1; ``paths``: doc_id, page, element, x0..y1, stroked, filled, stroke_width.
+    Texts and rulings come to their page as arrays, each read once; pages that can't have a table stay outside Python.
     """
     ship(texts.sparkSession)
     schema = TABLE.format(key=texts.schema["doc_id"].dataType.simpleString())
-    texts = texts.filter((T.clean_text("content") != "") & G.ordered_box()).select(*KEY, "element", "content", *G.BOX)
-    lines = rulings(paths)
-    lines = lines.join(dense_pages(lines).select(*KEY), KEY, "left_semi").select(*KEY, "axis", "position", "low", "high")
-    near = texts.join(lines.select(*KEY).distinct(), KEY, "left_semi")
-    lines, near = lines.toDF(*lines.columns), near.toDF(*near.columns)  # fresh columns for the cogroup
-    ruled = lines.groupBy(*KEY).cogroup(near.groupBy(*KEY)).applyInPandas(_ruled, schema)
-    found = ruled.filter("warning is null")
-    free = texts.join(found.select(*KEY, F.explode("consumed").alias("element")), [*KEY, "element"], "left_anti")
-    free = outside(free, found)
-    some = free.groupBy(*KEY).count().filter(F.col("count").between(6, LIMIT)).select(*KEY)
-    free = free.join(some, KEY, "left_semi")
-    free, found = free.toDF(*free.columns), found.select(*KEY, *G.BOX).toDF(*KEY, *G.BOX)
-    aligned = free.groupBy(*KEY).cogroup(found.groupBy(*KEY)).applyInPandas(_aligned, schema)
-    return ruled.unionByName(aligned)
+    names = ["element", "content", *G.BOX]
+    text = texts.filter((T.clean_text("content") != "") & G.ordered_box()).groupBy(*KEY).agg(F.collect_list(F.struct(*names)).alias("texts"))
+    of = rulings(paths).groupBy(*KEY).agg(F.count_if(F.col("axis") == "h").alias("h"), F.count_if(F.col("axis") == "v").alias("v"), F.collect_list(F.struct("axis", "position", "low", "high")).alias("lines"))
+    dense = F.col("h") + F.col("v") > LIMIT
+    ruled = of.filter("h >= 3 and v >= 3").select(*KEY, dense.alias("dense"), F.when(~dense, F.col("lines")).alias("lines"))
+    pages = text.join(ruled, KEY, "full").withColumn("dense", F.coalesce("dense", F.lit(False)))
+    pages = pages.filter(F.col("dense") | F.col("lines").isNotNull() | F.size("texts").between(6, LIMIT)).select(*KEY, "dense", "texts", "lines")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from quire.operators.tables import _unpacked, page_tables
+
+        cell = pa.struct([(c, pa.int32()) for c in ("row", "col", "row_span", "col_span")] + [("content", pa.string())])
+        for batch in batches:
+            kinds = [("doc_id", batch.schema.field("doc_id").type), ("page", pa.int32()), ("kind", pa.string()), *((c, pa.float64()) for c in G.BOX), ("n_rows", pa.int32()), ("n_cols", pa.int32()), ("cells", pa.list_(cell)), ("consumed", pa.list_(pa.string())), ("warning", pa.string())]
+            keys = zip(*(batch.column(c).to_pylist() for c in (*KEY, "dense")), _unpacked(batch.column("texts")), _unpacked(batch.column("lines")), strict=True)
+            out = [{"doc_id": d, "page": p} | x for d, p, thick, t, r in keys for x in page_tables(t, r, thick)]
+            yield pa.RecordBatch.from_pylist(out, pa.schema(kinds))
+
+    return spread(pages).mapInArrow(run, schema)
