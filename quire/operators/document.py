@@ -7,9 +7,10 @@ order within the page: rows that grow as blocks join them, styled segments, and
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from quire.functions import geometry as G
 from quire.functions import text as T
 from quire.operators import layout, pages, tables
 from quire.operators.pages import KEY
-from quire.session import cut, ship
+from quire.session import cut, ship, spread
 from quire.sources import records
 
 _WS = re.compile("[" + T.WS[1:-1] + "]+")
@@ -245,19 +246,23 @@ def markdown(t: dict[str, DataFrame], tag: str | None = None) -> DataFrame:
     columns = layout.columns(block, t["pages"])
     placed = layout.assign_columns(block.unionByName(grid), columns).join(hrefs, by, "left").join(body, "doc_id", "left").withColumn("body", F.coalesce("body", F.lit(layout.BODY)))
 
-    def page(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        blocks = []
-        for b in pdf.to_dict("records"):
-            b["level"] = None if b["level"] is None or np.isnan(b["level"]) else int(b["level"])
+    def page(blocks: list[dict], body: float) -> str:
+        for b in blocks:
             b["segments"] = [] if b["rendered"] is not None else segments_of(b["content"], b["own_bold"], b["italic"], b["runs"])
             for s in b["segments"]:
                 if s["href"] is None and b["link"] is not None and s["text"].split():
                     s["href"] = b["link"]
-            blocks.append(b)
-        return pd.DataFrame({"doc_id": [key[0]], "page": [key[1]], "markdown": [render(blocks, float(pdf["body"].iloc[0]))]})
+        return render(blocks, body)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            printed = [page(blocks, body) for blocks, body in zip(batch.column("blocks").to_pylist(), batch.column("body").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("page"), pa.array(printed, pa.string())], names=[*KEY, "markdown"])
 
     kind = t["pages"].schema["doc_id"].dataType.simpleString()
-    printed = layout.document_markdown(placed.groupBy(*KEY).applyInPandas(page, f"doc_id {kind}, page int, markdown string"))
+    rest = [c for c in placed.columns if c not in (*KEY, "body")]
+    whole = placed.groupBy(*KEY).agg(F.first("body").alias("body"), F.collect_list(F.struct(*rest)).alias("blocks"))
+    printed = layout.document_markdown(spread(whole).mapInArrow(run, f"doc_id {kind}, page int, markdown string"))
     if tag is None:
         return printed
     late = detector_warnings(every).select("doc_id", F.struct(F.lit(1).alias("late"), "ord").alias("ord"), "message")

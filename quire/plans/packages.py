@@ -161,7 +161,7 @@ def _records(spark: SparkSession, sf: str, warnings: str = "", hidden: str = "")
     text = f'{{"schema_version":"1.1","source":{{"format":"pdf","sha256":"0","size_bytes":1}},"document":{{"page_count":1,"metadata":{{"title":"[p_brand]"}}}},"warnings":[[p_warnings]],"pages":[{{"page_number":1,"width":612.0,"height":792.0,"rotation":0,"scanned":false,"elements":[{page}],"hidden":[[p_hidden]]}}]}}'
     pieces = [F.expr(p).cast("string") if n % 2 else F.lit(p) for n, p in enumerate(re.split(r"\[(p_[a-z]+)\]", text))]
     odd = lambda s: F.when(F.col("p_partkey") % 2 == 1, s).otherwise("")
-    part = table(spark, sf, "part").withColumn("p_warnings", odd(warnings)).withColumn("p_hidden", odd(hidden))
+    part = spread(table(spark, sf, "part")).withColumn("p_warnings", odd(warnings)).withColumn("p_hidden", odd(hidden))
     return part.select("p_partkey", F.from_json(F.concat(*pieces), records.SCHEMA).alias("r")).select(F.col("p_partkey").alias("doc_id"), "r.*")
 
 
