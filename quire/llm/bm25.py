@@ -3,14 +3,15 @@
 Document counts, document frequencies and the mean length are taken over all documents first, so scores of all shards are
 comparable and their merge is exact.  Documents are dealt, in chunks, into shards of about ``SHARD`` documents and at most
 about ``SHARD_WORDS`` words.  A shard's documents are put in an order that brings like ones together, and are cut into
-blocks of ``BLOCK``; lists that a share of at least 1 / ``DENSE`` of the shard is in have their largest impact in each block.
+blocks of ``BLOCK``; lists that a share of at least 1 / ``DENSE`` of the shard is in are long and have their largest impact in each block.
 
-Queries meet a shard in batches.  Block-max pruning goes by document-aligned blocks instead of a cursor for each list:
-a block's bound for a query is the block maxima of its long lists, weighed and summed, and the block's best sum of its
-short lists.  The best partial scores are completed first, which gives a threshold: the k-th best full score so far.  From
-there on a block is the pivot of its query only while its bound reaches the threshold; the long lists of all other blocks
-are passed over.  What remains of all queries of a batch is scored block by block in one matrix product each.  Bounds are
-never below true scores, so the result is that of scoring every document.
+Queries meet a shard in batches, each with its terms once.  Block-max pruning goes by document-aligned blocks instead of a
+cursor for each list: a block's bound for a query is the block maxima of its long lists, weighed and summed, and the
+block's best sum of its short lists.  Where there are several shards, one in ``FLOOR`` documents is searched first: no
+document below a query's k-th best score there (its floor) can be a result.  A block is the pivot of its query only if its
+bound reaches the floor; the long lists of all other blocks are passed over.  Like queries are taken together, so what
+they have as pivots are runs of blocks, scored in one matrix product in single precision; documents that reach the floor
+within its error are scored in full.  Bounds are never below true scores, so the result is that of scoring every document.
 
 Terms are words as in ``textops`` (by 64-bit hash); a query is the set of a text's terms.  Terms that no other document
 holds are left out of queries: they can't add to another document.  A document without a common term is no result.
@@ -21,6 +22,7 @@ leave out rows of its own id; equal rows are all results, and queries equal in i
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +36,13 @@ from quire.session import cut, ship, small_batches
 
 K, EVERY = 10, 50
 K1, B = 1.2, 0.75
-SHARD, SHARD_WORDS, CHUNK, QUERIES, BLOCK, DENSE = 16_000, 16_000_000, 250, 64, 64, 16
-#: Documents that others are put in order by.
-CENTRES = 48
+SHARD, SHARD_WORDS, CHUNK, QUERIES, TILE, BLOCK, DENSE = 16_000, 16_000_000, 250, 1024, 128, 64, 20
+#: Documents that others are put in order by, their cosine from which on they are alike, and the longest lists that this goes by.
+CENTRES, ALIKE, CENTRAL = 48, 0.5, 512
+#: Scores are rounded to nine decimals, so what misses a floor by less is kept until it is rounded.
+SLACK = 1e-6
+#: Floors of the scores come from one in FLOOR documents, from FLOOR / 4 shards on.
+FLOOR = 16
 #: Packed rows (chunks of documents, blocks of queries) in an Arrow batch: about a megabyte each.
 BATCH = 16
 _U = np.uint64
@@ -81,9 +87,39 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists], names=["id", "twin", "terms"])
 
 
+#: Packed arrays of documents and of queries; documents have no floors.
+CELLS = ["ids", "counts", "lengths", "terms", "values", "places", "floors"]
+_CHUNKS, _PACKED = (", ".join(f"{c} binary" for c in cells) for cells in (CELLS[:-1], CELLS))
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in as few bytes as hold the largest."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def _steps(places: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Places that ascend in each row, as steps."""
+    steps = np.diff(places, prepend=0)
+    first = (np.cumsum(counts) - counts)[counts > 0]
+    steps[first] = places[first]
+    return _small(steps)
+
+
+def _small_of(cell: bytes, total: int) -> np.ndarray:
+    return np.frombuffer(cell, f"u{len(cell) // total}") if total else np.zeros(0, np.uint8)
+
+
+def _places(steps: bytes, counts: np.ndarray) -> np.ndarray:
+    """The places that ``_steps`` made steps of."""
+    counts = counts[counts > 0]
+    steps = _small_of(steps, int(counts.sum())).astype(np.int64)
+    at, first = np.cumsum(steps), np.cumsum(counts) - counts
+    return at - np.repeat(at[first] - steps[first], counts)
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents as rows of packed arrays, of at most CHUNK documents each."""
-    from quire.llm.bm25 import bag
+    """Documents as rows of packed arrays, of at most CHUNK documents each: their terms once, and the places of each one's among them."""
+    from quire.llm.bm25 import CELLS, _small, _steps, bag
     from quire.llm.textops import mix, slices
 
     for batch in batches:
@@ -94,21 +130,24 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for c in range(0, b - a, CHUNK):
                 d = min(b - a, c + CHUNK)
                 use = slice(ends[c], ends[d])
+                counts = np.diff(ends[c : d + 1])
+                held, of = np.unique(terms[use], return_inverse=True)
                 key = int(mix(np.array([ids[a + c]], np.int64).view(_U) + _U(len(terms)))[0] >> _U(1))
-                packed = (ids[a + c : a + d].astype(np.int64), np.diff(ends[c : d + 1]).astype(np.int32), length[c:d].astype(np.int32), terms[use], times[use].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array([key]), *(pa.array([x.tobytes()], pa.binary()) for x in packed)], names=["key", "ids", "counts", "lengths", "terms", "values"])
-
-
-_PACKED = "ids binary, counts binary, lengths binary, terms binary, values binary"
+                packed = (ids[a + c : a + d].astype(np.int64), counts.astype(np.int32), length[c:d].astype(np.int32), held, _small(times[use]), _steps(of, counts))
+                yield pa.RecordBatch.from_arrays([pa.array([key]), *(pa.array([x.tobytes()], pa.binary()) for x in packed)], names=["key", *CELLS[:-1]])
 
 
 def _pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """A block of queries as packed arrays: ids, numbers of terms, text hashes, terms, the terms' document frequencies."""
+    """A block of queries as packed arrays: ids, numbers of terms, text hashes, the block's terms (as steps) and their document
+    frequencies once each, for each query the places of its terms among them, and its floor; every shard gets them, so deflated."""
     pdf = pdf.sort_values(["id", "twin"], kind="stable")
-    terms = [np.asarray(x, np.int64) for x in pdf["terms"]]
-    held = [np.minimum(np.asarray(x, np.int64), 2**31 - 1).astype(np.int32) for x in pdf["dfs"]]
-    cells = pdf["id"].to_numpy(np.int64), np.array([len(x) for x in terms], np.int32), pdf["twin"].to_numpy(np.int64), np.concatenate(terms), np.concatenate(held)
-    return pd.DataFrame({"block": [key[0]], **{n: [x.tobytes()] for n, x in zip(("ids", "counts", "lengths", "terms", "values"), cells, strict=True)}})
+    counts = np.array([len(x) for x in pdf["terms"]], np.int32)
+    terms, at, of = np.unique(np.concatenate([np.asarray(x, np.int64) for x in pdf["terms"]]).view(_U), return_index=True, return_inverse=True)
+    held = np.minimum(np.concatenate([np.asarray(x, np.int64) for x in pdf["dfs"]])[at], 2**31 - 1).astype(np.int32)
+    of = of[np.lexsort((of, np.repeat(np.arange(len(counts)), counts)))]
+    terms[1:] -= terms[:-1].copy()
+    cells = pdf["id"].to_numpy(np.int64), counts, pdf["twin"].to_numpy(np.int64), terms, held, _steps(of, counts), pdf["floor"].to_numpy(np.float64)
+    return pd.DataFrame({"block": [key[0]], **{n: [zlib.compress(x.tobytes(), 1)] for n, x in zip(CELLS, cells, strict=True)}})
 
 
 class Shard:
@@ -119,7 +158,7 @@ class Shard:
         self.ids = read(0, np.int64)
         self.n = n = len(self.ids)
         self.sorted = np.sort(self.ids)
-        terms = read(3, _U)
+        terms = np.concatenate([np.frombuffer(c[3], _U)[_places(c[5], np.frombuffer(c[1], np.int32))] for c in chunks])
         order = np.argsort(terms, kind="stable")
         terms = terms[order]
         new = np.ones(len(terms), bool)
@@ -127,93 +166,127 @@ class Shard:
         first = np.flatnonzero(new)
         self.terms, self.starts = terms[first], np.append(first, len(terms))
         del terms, new
-        self.docs = np.repeat(np.arange(n, dtype=np.int32), read(1, np.int32))[order]
-        self.impacts = read(4, np.int32)[order].astype(np.float64)
+        docs = np.repeat(np.arange(n), read(1, np.int32))[order]
+        times = np.concatenate([_small_of(c[4], int(np.frombuffer(c[1], np.int32).sum())) for c in chunks])[order]
         del order
-        below = (K1 * (1 - B + B * read(2, np.int32) / mean))[self.docs]
-        below += self.impacts
+        self.norm = K1 * (1 - B + B * read(2, np.int32) / mean)
+        self.impacts = times.astype(np.float64)
         self.impacts *= K1 + 1
-        self.impacts /= below
-        del below
+        self.impacts /= times + self.norm[docs]
         self.blocks = -(-n // BLOCK)
         sizes = np.diff(self.starts)
         long_ = np.flatnonzero(sizes * DENSE >= max(n, DENSE * BLOCK))
-        self.dense_of = np.full(len(self.terms), -1, np.int64)
-        self.dense_of[long_] = np.arange(len(long_))
-        dense = np.zeros((len(long_), self.blocks * BLOCK))
+        self.long_of = np.full(len(self.terms), -1, np.int32)
+        self.long_of[long_] = np.arange(len(long_))
+        self.dense = np.zeros((len(long_), self.blocks * BLOCK), np.float32)
+        self.times = np.zeros((len(long_), n), np.min_scalar_type(int(times.max(initial=0))))
         for j, t in enumerate(long_):
             a, b = self.starts[t], self.starts[t + 1]
-            dense[j, self.docs[a:b]] = self.impacts[a:b]
+            self.dense[j, docs[a:b]], self.times[j, docs[a:b]] = self.impacts[a:b], times[a:b]
         if len(long_):
-            order = self._order(dense)
-            place = np.empty(n, np.int32)
-            place[order] = np.arange(n, dtype=np.int32)
-            self.docs, self.ids = place[self.docs], self.ids[order]
-            dense[:, :n] = dense[:, order]
-        self.most = dense.reshape(len(long_), self.blocks, BLOCK).max(axis=2)
-        self.dense = np.ascontiguousarray(dense.reshape(len(long_), self.blocks, BLOCK).transpose(1, 0, 2))
-
-    def _order(self, dense: np.ndarray) -> np.ndarray:
-        """The documents by the nearest of a few of them, and by nearness to it."""
-        x = dense[:, : self.n].astype(np.float32)
+            order = self._order(np.argsort(-sizes[long_], kind="stable")[:CENTRAL])
+            place = np.empty(n, np.int64)
+            place[order] = np.arange(n)
+            docs, self.ids, self.norm = place[docs], self.ids[order], self.norm[order]
+            for j in range(len(long_)):  # row by row, for the memory
+                self.dense[j, :n], self.times[j] = self.dense[j, order], self.times[j, order]
+        self.docs = docs.astype(np.int32)
+        self.most = self.dense.reshape(len(long_), self.blocks, BLOCK).max(axis=2).astype(np.float64)
+        self.error = (len(long_) + 16) * 2.0**-23
+
+    def _order(self, lists: np.ndarray) -> np.ndarray:
+        """The documents by the nearest of a few of them, and by nearness to it; those few stand together if they are alike."""
+        x = self.dense[lists, : self.n]
         x /= np.sqrt((x * x).sum(axis=0)) + 1e-9
-        near = x.T @ x[:, np.linspace(0, self.n - 1, CENTRES).astype(int)]
+        centres = x[:, np.linspace(0, self.n - 1, CENTRES).astype(int)]
+        near = x.T @ centres
         home = near.argmax(axis=1)
-        return np.lexsort((-near[np.arange(self.n), home], home))
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, counts: np.ndarray, k: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(documents, scores) of the k best of each query, ties by id; in no order.  ``counts``: terms of each query."""
-        m, width = len(counts), self.blocks * BLOCK
-        row = np.repeat(np.arange(m), counts)
+        alike, label = centres.T @ centres >= ALIKE, np.arange(CENTRES)
+        while True:
+            least = np.where(alike, label[None, :], label[:, None]).min(axis=1)
+            if (least >= label).all():
+                break
+            label = np.minimum(label, least)
+        return np.lexsort((-near[np.arange(self.n), home], home, label[home]))
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, places: np.ndarray, counts: np.ndarray, floors: np.ndarray, k: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(documents, scores) of the k best of each query that reach its floor, ties by id; in no order.
+
+        ``terms`` and ``weights`` are the batch's; ``places``, those of each query's terms among them; ``counts``, of each query.
+        """
+        m = len(counts)
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        have = self.terms[at] == terms
-        at, w, row = at[have], weights[have], row[have]
-        dense = self.dense_of[at]
-        long_ = dense >= 0
-        asked = np.zeros((m, self.dense.shape[1]))
-        asked[row[long_], dense[long_]] = w[long_]
-        at, w, row = at[~long_], w[~long_], row[~long_]
+        at[self.terms[at] != terms] = -1
+        row, at, w = np.repeat(np.arange(m), counts), at[places], weights[places]
+        have = at >= 0
+        row, at, w = row[have], at[have], w[have]
+        long_ = self.long_of[at]
+        some = long_ >= 0
+        heavy = np.zeros((m, len(self.most)))
+        heavy[row[some], long_[some]] = w[some]
+        row, at, w = row[~some], at[~some], w[~some]
         ends = np.searchsorted(row, np.arange(m + 1))
-        a = self.starts[at]
-        sizes = self.starts[at + 1] - a
+        bound = heavy @ self.most
+        out: list = [None] * m
+        order = np.argsort(bound.argmax(axis=1), kind="stable")  # like queries have like pivots
+        for n in range(0, m, TILE):
+            tile = order[n : n + TILE]
+            short = [(at[a:b], w[a:b]) for a, b in zip(ends[tile], ends[tile + 1], strict=True)]
+            for q, hits in zip(tile, self._tile(heavy[tile], short, bound[tile], floors[tile], k[tile]), strict=True):
+                out[q] = hits
+        return out
+
+    def _tile(self, heavy: np.ndarray, short: list[tuple[np.ndarray, np.ndarray]], bound: np.ndarray, floors: np.ndarray, k: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """As ``search``, of a few queries: weights of their long lists, their short lists and weights, bounds of the long lists' sums."""
+        m, n, width = len(short), self.n, self.blocks * BLOCK
         partial = np.zeros((m, width))
-        for q in range(m):
-            use = slice(ends[q], ends[q + 1])
-            size = sizes[use]
-            if len(size):
-                spot = np.arange(int(size.sum())) + np.repeat(a[use] - (np.cumsum(size) - size), size)
-                partial[q] = np.bincount(self.docs[spot], self.impacts[spot] * np.repeat(w[use], size), minlength=width)
+        for q, (lists, w) in enumerate(short):
+            if len(lists):
+                first = self.starts[lists]
+                sizes = self.starts[lists + 1] - first
+                spot = np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+                spot += np.arange(len(spot))
+                value = np.repeat(w, sizes)
+                value *= self.impacts.take(spot, mode="clip")
+                partial[q] = np.bincount(self.docs.take(spot, mode="clip"), value, minlength=width)
         scores = partial
-        threshold = np.zeros(m)
-        if asked.any():
-            bound = asked @ self.most + partial.reshape(m, self.blocks, BLOCK).max(axis=2)
-            for q in range(m):
-                if self.n > 4 * k[q]:
-                    lists = np.flatnonzero(asked[q])
-                    head = np.argpartition(-partial[q, : self.n], 4 * k[q])[: 4 * k[q]]
-                    rest = asked[q, lists] @ self.dense[head // BLOCK, :, head % BLOCK][:, lists].T
-                    threshold[q] = np.partition(partial[q, head] + rest, len(head) - k[q])[len(head) - k[q]]
-            pivot = bound >= threshold[:, None] - 1e-6
-            scores = np.full((m, width), -1.0)
-            for b in np.flatnonzero(pivot.any(axis=0)):
-                use, span = np.flatnonzero(pivot[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
-                scores[use, span] = partial[use, span] + asked[use] @ self.dense[b]
+        if heavy.any():
+            light = heavy.astype(np.float32)
+            pivot = bound * (1 + self.error) + partial.reshape(m, self.blocks, BLOCK).max(axis=2) >= floors[:, None] - SLACK
+            scores = np.full((m, width), -1.0, np.float32)
+            edge = np.flatnonzero(np.diff(pivot.any(axis=0), prepend=False, append=False))
+            for first, last in zip(edge[::2], edge[1::2], strict=True):
+                use, span = np.flatnonzero(pivot[:, first:last].any(axis=1)), slice(first * BLOCK, last * BLOCK)
+                if 4 * len(use) >= 3 * m:
+                    np.matmul(light, self.dense[:, span], out=scores[:, span])
+                    scores[:, span] += partial[:, span]
+                else:
+                    scores[use, span] = light[use] @ self.dense[:, span] + partial[use, span]
         out = []
         for q in range(m):
-            found = np.flatnonzero(scores[q, : self.n] >= max(threshold[q] - 1e-6, 1e-12))
-            best = np.round(scores[q, found], 9)
-            if len(found) > k[q]:
+            mine, floor = scores[q, :n], floors[q]
+            if floor <= 0 and n > k[q]:
+                floor = np.partition(mine, n - k[q])[n - k[q]] * (1 - self.error)
+            docs = np.flatnonzero(mine >= max(floor * (1 - self.error) - SLACK, 1e-12))
+            best, lists = partial[q, docs], np.flatnonzero(heavy[q])
+            if len(docs) and len(lists):  # the sums in single precision have found them; their scores are exact
+                held = self.times[np.ix_(lists, docs)].astype(np.float64)
+                best = best + heavy[q, lists] @ (held * (K1 + 1) / (held + self.norm[docs]))
+            best = np.round(best, 9)
+            reach = best >= max(floors[q], 1e-12)
+            docs, best = docs[reach], best[reach]
+            if len(docs) > k[q]:
                 least = -np.partition(-best, k[q] - 1)[k[q] - 1]
-                found, best = found[best >= least], best[best >= least]
-                first = np.lexsort((self.ids[found], -best))[: k[q]]
-                found, best = found[first], best[first]
-            out.append((found, best))
+                docs, best = docs[best >= least], best[best >= least]
+                first = np.lexsort((self.ids[docs], -best))[: k[q]]
+                docs, best = docs[first], best[first]
+            out.append((docs, best))
         return out
 
 
 def _search(n: int, mean: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from quire.llm.bm25 import Shard
+        from quire.llm.bm25 import Shard, _places
 
         at, chunks, shard = None, [], None
         for batch in batches:
@@ -230,10 +303,12 @@ def _search(n: int, mean: float, k: int):
                     chunks = []
                 if not shard:
                     continue
-                ids, counts, twins, terms, held = (np.frombuffer(c, t) for c, t in zip(cells, (np.int64, np.int32, np.int64, _U, np.int32), strict=True))
+                cells = [zlib.decompress(c) for c in cells]
+                ids, counts, twins, terms, held, floors = (np.frombuffer(cells[c], t) for c, t in ((0, np.int64), (1, np.int32), (2, np.int64), (3, _U), (4, np.int32), (6, np.float64)))
+                terms = np.cumsum(terms)
                 weights = np.log1p((n - held + 0.5) / (held + 0.5))
                 most = k + np.searchsorted(shard.sorted, ids, "right") - np.searchsorted(shard.sorted, ids, "left")
-                for i, twin, (docs, scores) in zip(ids, twins, shard.search(terms, weights, counts, most), strict=True):
+                for i, twin, (docs, scores) in zip(ids, twins, shard.search(terms, weights, _places(cells[5], counts), counts, floors, most), strict=True):
                     other = shard.ids[docs] != i
                     out[0].append(np.full(int(other.sum()), i))
                     out[1].append(np.full(int(other.sum()), twin))
@@ -257,15 +332,22 @@ def search(docs: DataFrame, queries: Column | None = None, k: int = K, shard: in
     weighed = asked.select("id", "twin", F.explode("terms").alias("term")).join(counts.filter("df > 1").select("term", "df"), "term")
     one = F.array_sort(F.collect_list(F.struct("term", "df")))
     asked = weighed.groupBy("id", "twin").agg(one.alias("q")).select("id", "twin", F.col("q.term").alias("terms"), F.col("q.df").alias("dfs"))
-    asked = cut(asked)
+    asked = cut(asked).withColumn("floor", F.lit(0.0))
     blocks = max(1, -(-asked.count() // QUERIES))
     shards = max(1, -(-n // shard), math.ceil(n * mean / SHARD_WORDS))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id", "twin"), F.lit(blocks))).groupBy("block").applyInPandas(_pack, f"block bigint, {_PACKED}")
-    cells = ["ids", "counts", "lengths", "terms", "values"]
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).select("shard", F.col("block").alias("part"), *cells)
-    held = rows.mapInArrow(tidy(_chunks), f"key bigint, {_PACKED}").select(F.pmod(F.xxhash64("key"), F.lit(shards).cast("long")).alias("shard"), F.lit(-1).cast("long").alias("part"), *cells)
-    met = held.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "part")
-    with small_batches(spark, BATCH):
-        found = cut(met.mapInArrow(tidy(_search(n, mean, k)), "query_id bigint, twin bigint, doc_id bigint, score double"))
-    rank = F.row_number().over(Window.partitionBy("query_id", "twin").orderBy(F.desc("score"), "doc_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+
+    def best(rows: DataFrame, asked: DataFrame, shards: int) -> DataFrame:
+        packed = asked.withColumn("block", F.pmod(F.xxhash64("id", "twin"), F.lit(blocks))).groupBy("block").applyInPandas(_pack, f"block bigint, {_PACKED}")
+        packed = packed.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).select("shard", F.col("block").alias("part"), *CELLS)
+        held = rows.mapInArrow(tidy(_chunks), f"key bigint, {_CHUNKS}").select(F.pmod(F.xxhash64("key"), F.lit(shards).cast("long")).alias("shard"), F.lit(-1).cast("long").alias("part"), *CELLS[:-1], F.lit(None).cast("binary").alias("floors"))
+        met = held.unionByName(packed).repartition("shard").sortWithinPartitions("shard", "part")
+        with small_batches(spark, BATCH):
+            found = cut(met.mapInArrow(tidy(_search(n, mean, k)), "query_id bigint, twin bigint, doc_id bigint, score double"))
+        rank = F.row_number().over(Window.partitionBy("query_id", "twin").orderBy(F.desc("score"), "doc_id"))
+        return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+    if 4 * shards >= FLOOR:
+        some = best(rows.filter(F.pmod(F.xxhash64("id"), F.lit(FLOOR)) == 0), asked, max(6, -(-shards // FLOOR)))
+        floors = some.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), "twin", (F.col("score") - SLACK).alias("least"))
+        asked = asked.join(floors, ["id", "twin"], "left").withColumn("floor", F.coalesce("least", "floor")).drop("least")
+    return best(rows, asked, shards).select("query_id", "rank", "doc_id", "score")

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -337,6 +338,27 @@ def test_search_is_exact(spark, odd, none, shard):
     assert bm25.search(none).count() == 0 and bm25.search(odd).count() == 0
 
 
+def test_search_goes_by_floors_and_sends_terms_once():
+    """Queries bring the least score that can still be a result; packed rows hold each term once, its places in two bytes at most."""
+    rng = random.Random(4)
+    texts = [prose(rng, rng.randrange(60, 200), 900) for _ in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500), pa.int64()), pa.array(texts)], names=["id", "text"])
+    chunks = [[b.column(c)[0].as_buffer() for c in range(1, 7)] for b in bm25._chunks(iter([batch]))]
+    bags = [set(words(t)) for t in texts]
+    assert sum(c[3].size for c in chunks) == 8 * sum(len(set().union(*bags[n : n + 250])) for n in (0, 250))
+    assert sum(c[5].size for c in chunks) <= 2 * sum(map(len, bags))
+    shard = bm25.Shard(chunks, 130.0)
+    terms, counts = np.frombuffer(chunks[0][3], np.uint64), np.frombuffer(chunks[0][1], np.int32)
+    weights, places, k = np.random.default_rng(0).uniform(0.5, 5.0, len(terms)), bm25._places(chunks[0][5], counts), np.full(250, 11)
+    ask = lambda floors: shard.search(terms, weights, places, counts, floors, k)
+    pairs = lambda docs, scores: sorted(zip((-scores).tolist(), shard.ids[docs].tolist(), strict=True))
+    free = [pairs(*x) for x in ask(np.zeros(250))]
+    assert all(len(x) == 11 for x in free)
+    fourth = np.array([-x[3][0] for x in free])
+    assert [pairs(*x) for x in ask(fourth)] == [[p for p in x if p[0] <= x[3][0]] for x in free]
+    assert not any(len(docs) for docs, _ in ask(np.array([-x[0][0] + 1 for x in free])))
+
+
 def test_forest_recall_and_exact_scores(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((1500, 16))
