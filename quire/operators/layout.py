@@ -189,7 +189,8 @@ def gfm_table(cells: DataFrame, by: list[str]) -> DataFrame:
     """Pipe tables of cells (row, col, content): a dense grid, the first row as head; line breaks become <br>."""
     size = cells.groupBy(*by).agg(F.max("row").alias("rows"), F.max("col").alias("cols"))
     grid = size.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows")))).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("cols"))))
-    text = F.replace(T.escape_markdown(T.inner_whitespace(F.col("content"))), F.lit("&lt;br&gt;\n"), F.lit("<br>"))
+    marked = F.regexp_replace(T.inner_whitespace("content"), "<br>\n", "\uE000")
+    text = F.replace(T.escape_markdown(marked), F.lit("\uE000"), F.lit("<br>"))
     full = grid.join(cells.select(*by, "row", "col", text.alias("cell")), [*by, "row", "col"], "left")
     row = full.groupBy(*by, "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", F.coalesce("cell", F.lit("")).alias("cell")))), lambda x: x["cell"]), " | ").alias("line"), F.count("*").alias("n"))
     line = F.concat(F.lit("| "), F.col("line"), F.lit(" |"), F.when(F.col("row") == 0, F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), F.col("n").cast("int")))).otherwise(""))

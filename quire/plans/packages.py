@@ -167,7 +167,7 @@ def _records(spark: SparkSession, sf: str, warnings: str = "", hidden: str = "")
 
 @query("SELECT p_partkey AS doc_id, '# ' || p_name || chr(10) || chr(10) || 'of \\*' || p_type || '\\* that goes on **' || replace(p_brand, '#', '\\#') || '**' || chr(10) || chr(10) || '[see ' || p_size || '](https://x.test/' || p_partkey || '%20b)' || chr(10) || chr(10) || '7. item' || chr(10) AS markdown FROM part")
 def record_markdown(spark, sf):
-    return document.markdown(records.tables(_records(spark, sf)))
+    return document.of_records(_records(spark, sf))
 
 
 _LINE_JSON = """'{{"type":"text","bbox":[72.0,' || {y} || '.0,300.0,' || {y1} || '.0],"text":"' || {text} || '","font":{{"name":"F","size":' || {size} || '.0{bold}}}{more}}}'"""
@@ -279,7 +279,7 @@ def record_lean_words(spark, sf):
 
 @query("SELECT p_partkey AS doc_id, right(replace(CASE WHEN p_partkey % 2 = 1 THEN '7. item@@> [!WARNING]@> two lines\\_@@<!-- hidden: note [p1-e0] a - -&gt; b -->@' ELSE 'b)@@7. item@' END, '@', chr(10)), 12) AS ending, p_partkey % 2 = 1 AS noted FROM part")
 def record_context(spark, sf):
-    got = document.markdown(records.tables(_records(spark, sf, _WARNING, _HIDDEN)), "hidden")
+    got = document.of_records(_records(spark, sf, _WARNING, _HIDDEN), "hidden")
     return got.select("doc_id", F.substring("markdown", -12, 12).alias("ending"), F.col("markdown").contains("\n\n7. item\n\n> [!WARNING]\n> two lines\\_\n\n<!-- hidden: note [p1-e0] a - -&gt; b -->\n").alias("noted"))
 
 

@@ -1,10 +1,12 @@
 """Nested records: tables, compact projection and whole-document Markdown."""
 
 import json
+import random
 
 import pytest
 
-from quire.operators import document, lean
+from quire.operators import document, layout, lean
+from quire.plans.registry import QUERIES
 from quire.sources import records
 
 
@@ -112,3 +114,75 @@ def test_context_follows_the_pages(spark, folder, rich):
     assert document.markdown(records.tables(records.read(spark, folder)), "hid").first().markdown.endswith("\n\nSame row\n\n> [!WARNING]\n> page 1: suspected\\_garbled\\_text: x\n")
     got = [(r.doc_id, r.markdown) for r in document.markdown(records.tables(records.read(spark, rich)), "hid").collect()]
     assert len(got) == 1 and got[0][1].endswith("\n\n<!-- hid: note below -->\n")
+
+
+def drawn(rng, n):
+    """A record with pages of running text, columns, ruled and borderless tables, links, runs, roles and warnings, as the dice fall."""
+    pages = []
+    for number in range(1, rng.randrange(2, 5)):
+        elements, hidden, y = [], [], 40.0
+
+        def add(content, x, y, size=10.0, elements=elements, hidden=hidden, number=number, **more):
+            e = text(0, content, y, size, rng.random() < 0.2, x, **more) | {"id": f"p{number}-e{len(elements)}"}
+            if rng.random() < 0.15:
+                part = content[: len(content) // 2]
+                e["runs"] = [{"content": c, "font": {"name": "F", "size": size, "bold": rng.random() < 0.5, "italic": rng.random() < 0.3}} | ({"href": "https://x.test/r"} if rng.random() < 0.3 else {}) for c in (part, content[len(part) :]) if c]
+            if rng.random() < 0.1:
+                hidden.append({"kind": rng.choice(["role", "note --x"]), "element": e["id"], "content": rng.choice(["title", "subTitle", "h3", "h+02", "other > --"])})
+            elements.append(e)
+
+        path = lambda x0, y0, x1, y1, elements=elements: elements.append({"type": "path", "id": f"v{len(elements)}", "bbox": {"x0": x0, "y0": y0, "x1": x1, "y1": y1}, "stroke": [0, 0, 0], "stroke_width": 0.5})
+        for _ in range(rng.randrange(0, 5)):
+            kind = rng.choice(["prose", "prose", "ruled", "merged", "aligned", "columns", "open"])
+            if kind == "prose":
+                for _ in range(rng.randrange(1, 5)):
+                    add(rng.choice(["Some *text* of a paragraph that goes on", "7) an item", "- dash <br>", "• dot", "short", " \n ", "a\nb  c", "Head & <b>"]), rng.choice([72.0, 72.0, 90.0]), y, rng.choice([10.0, 10.0, 10.2, 14.0, 20.0]))
+                    y += rng.choice([11.0, 11.0, 25.0])
+            elif kind == "columns":
+                for _ in range(5):
+                    add("a column of running text here", 72.0, y)
+                    add("and another that is as wide", 340.0, y + rng.choice([0.0, 3.0]))
+                    y += 12.0
+            elif kind == "aligned":
+                for r in range(4):
+                    for c in range(3):
+                        add(f"c{r} {c}", 72.0 + 120.0 * c, y + 14.0 * r)
+                y += 56.0
+            else:
+                for r in range(4):
+                    path(72.0, y + 20.0 * r, 150.0 if kind == "open" and r in (1, 2) else 372.0, y + 20.0 * r)
+                for c in range(4):
+                    path(72.0 + 100.0 * c, y + (20.0 if kind == "merged" and c == 1 else 0.0), 72.0 + 100.0 * c, y + 60.0)
+                for r in range(3):
+                    for c in range(3):
+                        if rng.random() < 0.9:
+                            add(f"r{r} |{c}", 77.0 + 100.0 * c, y + 20.0 * r + 2.0, 6.0)
+                            if rng.random() < 0.3:
+                                add("<br> & below", 77.0 + 100.0 * c, y + 20.0 * r + 10.0, 6.0)
+                y += 60.0
+            y += 30.0
+        for e in [e for e in elements if e["type"] == "text" and rng.random() < 0.1]:
+            elements.append({"type": "annotation", "id": f"a{len(elements)}", "bbox": e["bbox"] | {"x1": e["bbox"]["x1"] + 0.5}, "subtype": "link", "uri": rng.choice(["https://x.test/(a) b", "javascript:x", None])})
+        pages.append({"page_number": number, "width": 612.0, "height": 792.0, "rotation": 0, "scanned": False, "elements": elements, "hidden": hidden})
+    source = {"format": "pdf" if n % 5 else "pptx", "sha256": "0", "size_bytes": 1}
+    return {"schema_version": "1.1", "source": source, "document": {"page_count": 1, "metadata": {}}, "warnings": ["one\n_two_"] if n % 3 == 0 else [], "pages": pages}
+
+
+def test_records_are_printed_where_they_are_as_by_tables(spark, tmp_path, data):
+    rng = random.Random(11)
+    for n in range(60):
+        (tmp_path / f"d{n}.json").write_text(json.dumps(drawn(rng, n)))
+    rows = records.read(spark, str(tmp_path))
+    for tag in (None, "hid"):
+        got, want = ({r.doc_id: r.markdown for r in f.collect()} for f in (document.of_records(rows, tag), document.markdown(records.tables(rows), tag)))
+        assert got == want
+    assert any("colspan" in x for x in got.values()) and any("| --- |" in x for x in got.values()) and any("skipped" in x for x in got.values())
+    for name in ("record_context", "record_markdown"):
+        plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+def test_line_breaks_in_pipe_tables(spark):
+    cells = spark.createDataFrame([(1, 0, 0, "a\n<br> b"), (1, 0, 1, "c|")], "t int, row int, col int, content string")
+    want = "| a<br>&lt;br&gt; b | c\\| |\n| --- | --- |"
+    assert layout.gfm_table(cells, ["t"]).first().table == want == document._gfm_table([r.asDict() for r in cells.collect()])
