@@ -36,9 +36,9 @@ from quire.session import cut, ship, small_batches
 
 K, EVERY = 10, 50
 K1, B = 1.2, 0.75
-SHARD, SHARD_WORDS, CHUNK, QUERIES, TILE, BLOCK, DENSE = 16_000, 16_000_000, 250, 1024, 128, 64, 20
+SHARD, SHARD_WORDS, CHUNK, QUERIES, TILE, BLOCK, DENSE = 16_000, 16_000_000, 250, 2048, 128, 64, 20
 #: Documents that others are put in order by, their cosine from which on they are alike, and the longest lists that this goes by.
-CENTRES, ALIKE, CENTRAL = 48, 0.5, 512
+CENTRES, ALIKE, CENTRAL = 48, 0.5, 384
 #: Scores are rounded to nine decimals, so what misses a floor by less is kept until it is rounded.
 SLACK = 1e-6
 #: Floors of the scores come from one in FLOOR documents, from FLOOR / 4 shards on.
@@ -147,7 +147,28 @@ def _pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
     of = of[np.lexsort((of, np.repeat(np.arange(len(counts)), counts)))]
     terms[1:] -= terms[:-1].copy()
     cells = pdf["id"].to_numpy(np.int64), counts, pdf["twin"].to_numpy(np.int64), terms, held, _steps(of, counts), pdf["floor"].to_numpy(np.float64)
-    return pd.DataFrame({"block": [key[0]], **{n: [zlib.compress(x.tobytes(), 1)] for n, x in zip(CELLS, cells, strict=True)}})
+    return pd.DataFrame({"block": [key[0]], **{n: [_deflated(x)] for n, x in zip(CELLS, cells, strict=True)}})
+
+
+def _spots(starts: np.ndarray, lists: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all of some lists, and for each its list's weight."""
+    first = starts[lists]
+    sizes = starts[lists + 1] - first
+    spot = np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+    spot += np.arange(len(spot))
+    return spot, np.repeat(weights, sizes)
+
+
+def _deflated(x: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second ones and so on: the high ones are mostly nought."""
+    return zlib.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes(), 1)
+
+
+def _inflated(cell: bytes, kind: type | None, total: int = 0) -> np.ndarray:
+    """The numbers of ``_deflated``; without a kind, whole ones of the width that their total gives."""
+    held = np.frombuffer(zlib.decompress(cell), np.uint8)
+    kind = np.dtype(kind or f"u{len(held) // total}")
+    return np.ascontiguousarray(held.reshape(kind.itemsize, -1).T).view(kind)[:, 0]
 
 
 class Shard:
@@ -166,13 +187,10 @@ class Shard:
         first = np.flatnonzero(new)
         self.terms, self.starts = terms[first], np.append(first, len(terms))
         del terms, new
-        docs = np.repeat(np.arange(n), read(1, np.int32))[order]
+        docs = np.repeat(np.arange(n, dtype=np.int32), read(1, np.int32))[order]
         times = np.concatenate([_small_of(c[4], int(np.frombuffer(c[1], np.int32).sum())) for c in chunks])[order]
         del order
         self.norm = K1 * (1 - B + B * read(2, np.int32) / mean)
-        self.impacts = times.astype(np.float64)
-        self.impacts *= K1 + 1
-        self.impacts /= times + self.norm[docs]
         self.blocks = -(-n // BLOCK)
         sizes = np.diff(self.starts)
         long_ = np.flatnonzero(sizes * DENSE >= max(n, DENSE * BLOCK))
@@ -181,19 +199,25 @@ class Shard:
         self.dense = np.zeros((len(long_), self.blocks * BLOCK), np.float32)
         self.times = np.zeros((len(long_), n), np.min_scalar_type(int(times.max(initial=0))))
         for j, t in enumerate(long_):
-            a, b = self.starts[t], self.starts[t + 1]
-            self.dense[j, docs[a:b]], self.times[j, docs[a:b]] = self.impacts[a:b], times[a:b]
+            use = slice(self.starts[t], self.starts[t + 1])
+            self.dense[j, docs[use]], self.times[j, docs[use]] = self._impacts(times[use], docs[use]), times[use]
         if len(long_):
             order = self._order(np.argsort(-sizes[long_], kind="stable")[:CENTRAL])
-            place = np.empty(n, np.int64)
-            place[order] = np.arange(n)
+            place = np.empty(n, np.int32)
+            place[order] = np.arange(n, dtype=np.int32)
             docs, self.ids, self.norm = place[docs], self.ids[order], self.norm[order]
             for j in range(len(long_)):  # row by row, for the memory
                 self.dense[j, :n], self.times[j] = self.dense[j, order], self.times[j, order]
-        self.docs = docs.astype(np.int32)
+        self.docs, self.once = docs, self._impacts(1, slice(None))
+        more = np.flatnonzero(times > 1)  # what these add to the impact of a single occurrence
+        self.more_docs, self.more_starts = docs[more], np.searchsorted(more, self.starts)
+        self.more = self._impacts(times[more], self.more_docs) - self.once[self.more_docs]
         self.most = self.dense.reshape(len(long_), self.blocks, BLOCK).max(axis=2).astype(np.float64)
         self.error = (len(long_) + 16) * 2.0**-23
 
+    def _impacts(self, times: np.ndarray | int, docs: np.ndarray | slice) -> np.ndarray:
+        return times * (K1 + 1) / (times + self.norm[docs])
+
     def _order(self, lists: np.ndarray) -> np.ndarray:
         """The documents by the nearest of a few of them, and by nearness to it; those few stand together if they are alike."""
         x = self.dense[lists, : self.n]
@@ -242,13 +266,13 @@ class Shard:
         partial = np.zeros((m, width))
         for q, (lists, w) in enumerate(short):
             if len(lists):
-                first = self.starts[lists]
-                sizes = self.starts[lists + 1] - first
-                spot = np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
-                spot += np.arange(len(spot))
-                value = np.repeat(w, sizes)
-                value *= self.impacts.take(spot, mode="clip")
-                partial[q] = np.bincount(self.docs.take(spot, mode="clip"), value, minlength=width)
+                spot, value = _spots(self.starts, lists, w)
+                sums = np.bincount(self.docs.take(spot, mode="clip"), value, minlength=width)
+                np.multiply(sums[:n], self.once, out=partial[q, :n])
+                spot, value = _spots(self.more_starts, lists, w)
+                if len(spot):
+                    value *= self.more.take(spot, mode="clip")
+                    partial[q] += np.bincount(self.more_docs.take(spot, mode="clip"), value, minlength=width)
         scores = partial
         if heavy.any():
             light = heavy.astype(np.float32)
@@ -270,8 +294,7 @@ class Shard:
             docs = np.flatnonzero(mine >= max(floor * (1 - self.error) - SLACK, 1e-12))
             best, lists = partial[q, docs], np.flatnonzero(heavy[q])
             if len(docs) and len(lists):  # the sums in single precision have found them; their scores are exact
-                held = self.times[np.ix_(lists, docs)].astype(np.float64)
-                best = best + heavy[q, lists] @ (held * (K1 + 1) / (held + self.norm[docs]))
+                best = best + heavy[q, lists] @ self._impacts(self.times[np.ix_(lists, docs)].astype(np.float64), docs)
             best = np.round(best, 9)
             reach = best >= max(floors[q], 1e-12)
             docs, best = docs[reach], best[reach]
@@ -286,7 +309,7 @@ class Shard:
 
 def _search(n: int, mean: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from quire.llm.bm25 import Shard, _places
+        from quire.llm.bm25 import Shard, _inflated, _places
 
         at, chunks, shard = None, [], None
         for batch in batches:
@@ -303,12 +326,11 @@ def _search(n: int, mean: float, k: int):
                     chunks = []
                 if not shard:
                     continue
-                cells = [zlib.decompress(c) for c in cells]
-                ids, counts, twins, terms, held, floors = (np.frombuffer(cells[c], t) for c, t in ((0, np.int64), (1, np.int32), (2, np.int64), (3, _U), (4, np.int32), (6, np.float64)))
-                terms = np.cumsum(terms)
+                ids, counts, twins, terms, held, floors = (_inflated(cells[c], t) for c, t in ((0, np.int64), (1, np.int32), (2, np.int64), (3, _U), (4, np.int32), (6, np.float64)))
+                terms, steps = np.cumsum(terms), _inflated(cells[5], None, int(counts.sum())).tobytes()
                 weights = np.log1p((n - held + 0.5) / (held + 0.5))
                 most = k + np.searchsorted(shard.sorted, ids, "right") - np.searchsorted(shard.sorted, ids, "left")
-                for i, twin, (docs, scores) in zip(ids, twins, shard.search(terms, weights, _places(cells[5], counts), counts, floors, most), strict=True):
+                for i, twin, (docs, scores) in zip(ids, twins, shard.search(terms, weights, _places(steps, counts), counts, floors, most), strict=True):
                     other = shard.ids[docs] != i
                     out[0].append(np.full(int(other.sum()), i))
                     out[1].append(np.full(int(other.sum()), twin))
