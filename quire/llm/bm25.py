@@ -45,6 +45,8 @@ SLACK = 1e-6
 FLOOR = 16
 #: Packed rows (chunks of documents, blocks of queries) in an Arrow batch: about a megabyte each.
 BATCH = 16
+#: Documents of a query that are scored in full at once, for the memory.
+PIECE = 512
 _U = np.uint64
 
 
@@ -73,7 +75,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found.append(terms)
             words, n = words + int(length.sum()), n + len(length)
         terms, times = np.unique(np.concatenate(found), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array([None, *terms.view(np.int64)], pa.int64()), pa.array([n, *times], pa.int64()), pa.array([words, *([0] * len(terms))], pa.int64())], names=["term", "n", "words"])
+        none = np.arange(len(terms) + 1) == 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(_U(0), terms).view(np.int64), mask=none), pa.array(np.append(n, times)), pa.array(np.where(none, words, 0))], names=["term", "n", "words"])
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,26 +174,50 @@ def _inflated(cell: bytes, kind: type | None, total: int = 0) -> np.ndarray:
     return np.ascontiguousarray(held.reshape(kind.itemsize, -1).T).view(kind)[:, 0]
 
 
+def _postings(chunks: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, starts of their lists, documents, times): each chunk's postings go straight to their places, so nothing else is
+    as long as all of them."""
+    terms = np.zeros(0, _U)
+    for n in range(0, len(chunks), 8):
+        terms = np.concatenate([terms, *(np.frombuffer(c[3], _U) for c in chunks[n : n + 8])])
+        terms.sort()
+        terms = terms[np.append(True, terms[1:] != terms[:-1])[: len(terms)]]
+    sizes, kinds, parts = np.zeros(len(terms), np.int64), [np.dtype(np.uint8)], []
+    for c in chunks:
+        counts = np.frombuffer(c[1], np.int32)
+        at = np.searchsorted(terms, np.frombuffer(c[3], _U)).astype(np.int32)
+        sizes[at] += np.bincount(_places(c[5], counts), minlength=len(at))  # a chunk has a term once
+        kinds.append(_small_of(c[4], int(counts.sum())).dtype)
+        parts.append(at)
+    starts = np.append(0, np.cumsum(sizes))
+    docs, times = np.empty(starts[-1], np.int32), np.empty(starts[-1], max(kinds, key=lambda x: x.itemsize))
+    free, first = starts[:-1].copy(), 0
+    for c, at in zip(chunks, parts, strict=True):
+        counts = np.frombuffer(c[1], np.int32)
+        places = _places(c[5], counts)
+        held = np.bincount(places, minlength=len(at))
+        order = np.argsort(places.astype(np.min_scalar_type(len(at))), kind="stable")
+        spot = np.repeat(free[at] - (np.cumsum(held) - held), held) + np.arange(len(places))
+        docs[spot] = np.repeat(np.arange(first, first + len(counts), dtype=np.int32), counts)[order]
+        times[spot] = _small_of(c[4], len(places))[order]
+        free[at] += held
+        first += len(counts)
+    return terms, starts, docs, times
+
+
 class Shard:
     """The inverted index of one shard."""
 
-    def __init__(self, chunks: list[list], mean: float):
+    def __init__(self, chunks: list[list], mean: float, spend: bool = False):
+        """``spend`` empties the list of chunks as soon as they are read."""
         read = lambda n, kind: np.concatenate([np.frombuffer(c[n], kind) for c in chunks])
         self.ids = read(0, np.int64)
         self.n = n = len(self.ids)
         self.sorted = np.sort(self.ids)
-        terms = np.concatenate([np.frombuffer(c[3], _U)[_places(c[5], np.frombuffer(c[1], np.int32))] for c in chunks])
-        order = np.argsort(terms, kind="stable")
-        terms = terms[order]
-        new = np.ones(len(terms), bool)
-        new[1:] = terms[1:] != terms[:-1]
-        first = np.flatnonzero(new)
-        self.terms, self.starts = terms[first], np.append(first, len(terms))
-        del terms, new
-        docs = np.repeat(np.arange(n, dtype=np.int32), read(1, np.int32))[order]
-        times = np.concatenate([_small_of(c[4], int(np.frombuffer(c[1], np.int32).sum())) for c in chunks])[order]
-        del order
+        self.terms, self.starts, docs, times = _postings(chunks)
         self.norm = K1 * (1 - B + B * read(2, np.int32) / mean)
+        if spend:
+            chunks.clear()
         self.blocks = -(-n // BLOCK)
         sizes = np.diff(self.starts)
         long_ = np.flatnonzero(sizes * DENSE >= max(n, DENSE * BLOCK))
@@ -205,8 +232,10 @@ class Shard:
             order = self._order(np.argsort(-sizes[long_], kind="stable")[:CENTRAL])
             place = np.empty(n, np.int32)
             place[order] = np.arange(n, dtype=np.int32)
-            docs, self.ids, self.norm = place[docs], self.ids[order], self.norm[order]
-            for j in range(len(long_)):  # row by row, for the memory
+            self.ids, self.norm = self.ids[order], self.norm[order]
+            for a in range(0, len(docs), 1 << 18):  # piece by piece and row by row, for the memory
+                docs[a : a + (1 << 18)] = place[docs[a : a + (1 << 18)]]
+            for j in range(len(long_)):
                 self.dense[j, :n], self.times[j] = self.dense[j, order], self.times[j, order]
         self.docs, self.once = docs, self._impacts(1, slice(None))
         more = np.flatnonzero(times > 1)  # what these add to the impact of a single occurrence
@@ -221,7 +250,7 @@ class Shard:
     def _order(self, lists: np.ndarray) -> np.ndarray:
         """The documents by the nearest of a few of them, and by nearness to it; those few stand together if they are alike."""
         x = self.dense[lists, : self.n]
-        x /= np.sqrt((x * x).sum(axis=0)) + 1e-9
+        x /= np.sqrt(np.einsum("ij,ij->j", x, x)) + 1e-9  # without the squares as an array
         centres = x[:, np.linspace(0, self.n - 1, CENTRES).astype(int)]
         near = x.T @ centres
         home = near.argmax(axis=1)
@@ -285,7 +314,9 @@ class Shard:
                     np.matmul(light, self.dense[:, span], out=scores[:, span])
                     scores[:, span] += partial[:, span]
                 else:
-                    scores[use, span] = light[use] @ self.dense[:, span] + partial[use, span]
+                    scores[use, span] = light[use] @ self.dense[:, span]
+                    for q in use:
+                        scores[q, span] += partial[q, span]
         out = []
         for q in range(m):
             mine, floor = scores[q, :n], floors[q]
@@ -294,7 +325,9 @@ class Shard:
             docs = np.flatnonzero(mine >= max(floor * (1 - self.error) - SLACK, 1e-12))
             best, lists = partial[q, docs], np.flatnonzero(heavy[q])
             if len(docs) and len(lists):  # the sums in single precision have found them; their scores are exact
-                best = best + heavy[q, lists] @ self._impacts(self.times[np.ix_(lists, docs)].astype(np.float64), docs)
+                for a in range(0, len(docs), PIECE):
+                    some = docs[a : a + PIECE]
+                    best[a : a + PIECE] += heavy[q, lists] @ self._impacts(self.times[np.ix_(lists, some)].astype(np.float64), some)
             best = np.round(best, 9)
             reach = best >= max(floors[q], 1e-12)
             docs, best = docs[reach], best[reach]
@@ -310,6 +343,7 @@ class Shard:
 def _search(n: int, mean: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quire.llm.bm25 import Shard, _inflated, _places
+        from quire.llm.textops import trim
 
         at, chunks, shard = None, [], None
         for batch in batches:
@@ -322,8 +356,8 @@ def _search(n: int, mean: float, k: int):
                     chunks.append(cells)
                     continue
                 if shard is None:
-                    shard = Shard(chunks, mean) if chunks else False
-                    chunks = []
+                    shard = Shard(chunks, mean, spend=True) if chunks else False
+                    trim()
                 if not shard:
                     continue
                 ids, counts, twins, terms, held, floors = (_inflated(cells[c], t) for c, t in ((0, np.int64), (1, np.int32), (2, np.int64), (3, _U), (4, np.int32), (6, np.float64)))

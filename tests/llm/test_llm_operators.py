@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -359,6 +360,31 @@ def test_search_goes_by_floors_and_sends_terms_once():
     assert not any(len(docs) for docs, _ in ask(np.array([-x[0][0] + 1 for x in free])))
 
 
+def test_search_takes_little_memory_beside_its_index():
+    """Neither the build nor a query whose floor all documents reach needs arrays many times as long as the postings."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"c{j}" for j in np.flatnonzero(rng.random(300) < 0.5)) + " " + " ".join(f"w{j}" for j in rng.integers(0, 20000, 150)) for _ in range(6000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6000), pa.int64()), pa.array(texts)], names=["id", "text"])
+    chunks = [[b.column(c)[0].as_buffer() for c in range(1, 7)] for b in bm25._chunks(iter([batch]))]
+    tracemalloc.start()
+    try:
+        shard = bm25.Shard(chunks, 300.0)
+        kept, peak = tracemalloc.get_traced_memory()
+        terms, counts = np.frombuffer(chunks[0][3], np.uint64), np.frombuffer(chunks[0][1], np.int32)[:8]
+        places, k = bm25._places(chunks[0][5], np.frombuffer(chunks[0][1], np.int32))[: counts.sum()], np.full(8, 11)
+        weights = np.random.default_rng(0).uniform(0.5, 5.0, len(terms))
+        free = shard.search(terms, weights, places, counts, np.zeros(8), k)
+        tracemalloc.reset_peak()
+        low = shard.search(terms, weights, places, counts, np.full(8, 1e-3), k)
+        most = tracemalloc.get_traced_memory()[1] - kept
+    finally:
+        tracemalloc.stop()
+    postings = len(shard.docs)
+    pairs = lambda found: [sorted(zip((-v).tolist(), shard.ids[d].tolist(), strict=True)) for d, v in found]
+    assert pairs(low) == pairs(free)
+    assert peak - kept < 9 * postings and most < 1500 * len(texts)
+
+
 def test_forest_recall_and_exact_scores(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((1500, 16))
