@@ -177,11 +177,14 @@ def _inflated(cell: bytes, kind: type | None, total: int = 0) -> np.ndarray:
 def _postings(chunks: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(terms, starts of their lists, documents, times): each chunk's postings go straight to their places, so nothing else is
     as long as all of them."""
-    terms = np.zeros(0, _U)
-    for n in range(0, len(chunks), 8):
-        terms = np.concatenate([terms, *(np.frombuffer(c[3], _U) for c in chunks[n : n + 8])])
-        terms.sort()
-        terms = terms[np.append(True, terms[1:] != terms[:-1])[: len(terms)]]
+    terms, more, size = np.zeros(0, _U), [], 0
+    for n, c in enumerate(chunks, 1):
+        more.append(np.frombuffer(c[3], _U))
+        size += len(more[-1])
+        if n == len(chunks) or size > max(len(terms), 1 << 18):  # chunks may be small
+            terms, more, size = np.concatenate([terms, *more]), [], 0
+            terms.sort()
+            terms = terms[np.append(True, terms[1:] != terms[:-1])[: len(terms)]]
     sizes, kinds, parts = np.zeros(len(terms), np.int64), [np.dtype(np.uint8)], []
     for c in chunks:
         counts = np.frombuffer(c[1], np.int32)
