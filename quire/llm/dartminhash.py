@@ -16,7 +16,8 @@ occur twice in the two blocks.  Only links between components leave a task, one
 bucket is given up: it is verified, or its two nodes are known to be connected; and no list of a family's pairs is made.
 
 Components are found by star rounds; the few nodes that a large share of all edges meet are joined by broadcast (their
-number is bounded by that share), all others by shuffle, so no node's edges come together in one task.
+number is bounded by that share), all others by shuffle, so no node's edges come together in one task.  A round is some
+twenty stages, however few the edges, so up to ``FEW`` edges, at the start or after a round, are joined in one task.
 
 Null and empty texts have no class partner.  Ids that are no numbers raise (they are cast to bigint).  A class is named by its smallest id; if all its ids are null, by a negative
 number from its key.
@@ -45,6 +46,8 @@ BLOCK, BLOCK_SHINGLES, COLUMNS = 1500, 800_000, 1024
 BATCH = 1_000
 #: A node is hot from so many edges on, and from one of so many parts of all edges on: at most twice as many nodes are.
 HOT = 1000
+#: So many edges (32 bytes each) are joined in one task instead of in rounds.
+FEW = 1 << 18
 _U = np.uint64
 
 
@@ -250,11 +253,38 @@ def _family(least: float):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
+def roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node that each of the nodes below ``n`` is connected to by the edges (u, v)."""
+    root = np.arange(n)
+    while len(u):
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while ((up := root[root]) != root).any():
+            root = up
+        u, v = root[u], root[v]
+        u, v = u[u != v], v[u != v]
+    return root
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all nodes of a partition's edges."""
+    import pyarrow.compute as pc
+    from quire.llm.dartminhash import roots
+
+    got = list(batches)
+    both = pa.chunked_array([b.column(k) for k in (0, 1) for b in got]).combine_chunks() if got else []
+    if len(both):
+        names = pc.unique(both)
+        names = names.take(pc.array_sort_indices(names))
+        at = pc.index_in(both, names).to_numpy()
+        root = roots(at[: len(at) // 2], at[len(at) // 2 :], len(names))
+        yield pa.RecordBatch.from_arrays([names, names.take(pa.array(root))], names=["node", "root"])
+
+
+def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """(node, root) of every node of the edges (u, v): alternating large-star and small-star rounds until nothing changes.
 
-    Each round joins the edges with the smallest neighbour of each node; no neighbour list is ever gathered.  A node of at
-    least ``most`` edges is hot; as an edge has two nodes, at most ``2 * edges / most`` are, and these are broadcast.
+    Each round joins the edges with the smallest neighbour of each node; no neighbour list is ever gathered.  Once there are
+    at most ``few`` edges, one task joins them; the result is the same.  A node of at least ``most`` edges is hot; as an edge has two nodes, at most ``2 * edges / most`` are, and these are broadcast.
     """
 
     def joined(e: DataFrame, least: DataFrame, most: int) -> DataFrame:
@@ -278,6 +308,9 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = mark(e)
     while True:
+        if seen[0] <= few:
+            kind = e.schema["u"].dataType.simpleString()
+            return cut(e.repartition(1).mapInArrow(tidy(_joined), f"node {kind}, root {kind}"))
         most = max(HOT, int(seen[0]) // HOT)
         e = cut(star(star(e, True, most), False, most))
         now = mark(e)
@@ -289,6 +322,16 @@ def components(edges: DataFrame) -> DataFrame:
     return cut(members.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
 
 
+def facing(loose: DataFrame) -> DataFrame:
+    """The nodes of families (root, node, home, m, shingles), once for each two blocks i <= j of their family to be compared."""
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("m") / F.lit(BLOCK_SHINGLES))).alias("blocks")
+    large = F.broadcast(loose.groupBy("root").agg(blocks).filter("blocks > 1"))  # a row for each BLOCK nodes or BLOCK_SHINGLES shingles at most
+    loose = loose.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    loose = loose.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("facing", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = loose.select("root", F.least("block", "facing").alias("i"), F.greatest("block", "facing").alias("j"), "block", "node", "home", "shingles")
+    return dealt.repartition("root", "i", "j")  # else all blocks of a family may stay in the task of its root
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY, weighted: bool = False) -> DataFrame:
     """q_id, q_twin (hash of the text), class_id, q_first (is it its class's row to keep?) of every document."""
     spark = ship(docs.sparkSession)
@@ -327,11 +370,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, weighted: bool = False)
         bucket = F.unhex(F.lpad(F.hex("key"), 16, "0"))
         family = components(open_.select(F.col("node").alias("u"), bucket.alias("v")))
         loose = cut(open_.select("node", "home").distinct().join(family, "node").join(sets, "node"))
-        blocks = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("m") / F.lit(BLOCK_SHINGLES))).alias("blocks")
-        loose = loose.join(loose.groupBy("root").agg(blocks, F.countDistinct("home").alias("homes")).filter("homes > 1"), "root")
-        loose = loose.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("facing", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        dealt = loose.select("root", F.least("block", "facing").alias("i"), F.greatest("block", "facing").alias("j"), "block", "node", "home", "shingles")
-        more = cut(dealt.groupBy("root", "i", "j").applyInPandas(_family(least), "u binary, v binary"))
+        more = cut(facing(loose).groupBy("root", "i", "j").applyInPandas(_family(least), "u binary, v binary"))
         release(spark)
         if not more.isEmpty():  # links between roots: their components rename the roots
             renamed = components(more).select(F.col("node").alias("old"), F.col("root").alias("new"))

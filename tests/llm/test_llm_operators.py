@@ -162,6 +162,48 @@ def test_near_classes_are_those_of_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({rows[r][0] for r in roots})
 
 
+def test_few_edges_are_joined_without_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    name = [rng.randbytes(6) + bytes(10) for _ in range(300)]
+    pairs = [(name[k], name[k + 1]) for k in range(150)] + [(name[rng.randrange(151, 300)], name[rng.randrange(151, 300)]) for _ in range(60)]
+    edges = spark.createDataFrame([(bytearray(u), bytearray(v)) for u, v in pairs], "u binary, v binary")
+    root = {x: x for p in pairs if p[0] != p[1] for x in p}
+    for _ in root:
+        for u, v in pairs:
+            if u != v:
+                root[u] = root[v] = min(root[u], root[v])
+    cuts, cut = [], dartminhash.cut
+    monkeypatch.setattr(dartminhash, "cut", lambda df: cuts.append(0) or cut(df))
+    assert {bytes(r.node): bytes(r.root) for r in dartminhash.components(edges).collect()} == root
+    assert len(cuts) == 2
+    rounds = dartminhash.components(edges, few=-1).collect()  # all of it by star rounds
+    assert len(cuts) > 6 and {bytes(r.node): bytes(r.root) for r in rounds} == root
+    assert dartminhash.components(edges.filter("false")).count() == 0
+
+
+def test_blocks_of_a_family_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(dartminhash, "BLOCK", 10)
+    rows = [(bytearray(b"r"), bytearray(b"n%d" % k), bytearray(b"h%d" % (k % 7)), 1, bytearray(8)) for k in range(80)]
+    rows += [(bytearray(b"s"), bytearray(b"m%d" % k), bytearray(b"h"), 1, bytearray(8)) for k in range(5)]
+    loose = spark.createDataFrame(rows, "root binary, node binary, home binary, m bigint, shingles binary").repartition(16, "root")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        got = dartminhash.facing(loose).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set(key, before)
+    tasks = collections.defaultdict(set)
+    nodes = collections.defaultdict(set)
+    for r in got:
+        tasks[bytes(r.root), r.i, r.j].add(r.task)
+        nodes[bytes(r.root), r.i, r.j].add(bytes(r.node))
+    assert all(len(t) == 1 for t in tasks.values()) and nodes[b"s", 0, 0] == {bytes(r[1]) for r in rows[80:]}
+    assert {k[1:] for k in tasks if k[0] == b"r"} == {(i, j) for i in range(8) for j in range(i, 8)}
+    assert all(any({u, v} <= n for n in nodes.values()) for u in (bytes(r[1]) for r in rows[:80]) for v in (bytes(r[1]) for r in rows[:80]))
+    assert len(set.union(*(t for k, t in tasks.items() if k[0] == b"r"))) > 1
+
+
 def test_near_dedup_of_odd_rows(spark, odd, none):
     kept = dartminhash.dedup(odd)
     assert kept.columns == odd.columns
