@@ -244,7 +244,7 @@ def markdown(t: dict[str, DataFrame], tag: str | None = None) -> DataFrame:
     ship(t["texts"].sparkSession)
     pdf = t["pages"].filter("format = 'pdf'").select(*KEY)
     texts = t["texts"].filter(T.clean_text("content") != "")
-    found = tables.detect(texts.join(pdf, KEY, "left_semi"), t["paths"].join(pdf, KEY, "left_semi"))
+    found = tables.detect(texts.join(pdf, KEY, "left_semi"), t["paths"].join(pdf, KEY, "left_semi"), tables.MARKDOWN)
     order = F.row_number().over(layout.Window.partitionBy(*KEY, F.col("warning").isNull()).orderBy("y0", "x0", "y1", "x1")) - 1
     found = found.withColumn("element", F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("-table-"), order.cast("string")))
     every = cut(found)  # read five times below
@@ -349,17 +349,17 @@ def _ordered(e: dict) -> bool:
 
 
 def _detect(texts: list[dict], paths: list[dict]) -> list[dict]:
-    """As ``tables.detect``, of one page."""
+    """As ``tables.detect`` with Markdown's limits, of one page."""
     lines, texts = _rulings(paths), [e for e in texts if _ordered(e)]
     across = sum(r[0] == "h" for r in lines)
     ruled = across >= 3 and len(lines) - across >= 3
-    dense = ruled and len(lines) > tables.LIMIT
-    if not ruled and not 6 <= len(texts) <= tables.LIMIT:
+    dense = ruled and len(lines) > tables.MARKDOWN.items
+    if not ruled and not 6 <= len(texts) <= tables.MARKDOWN.items:
         return []
     lines = lines if ruled and not dense else []
     rows = {c: np.array([e[c] for e in texts], object if c in ("element", "content") else float) for c in ("element", "content", *G.BOX)}
     held = {c: np.array([r[n] for r in lines], float if n else object) for n, c in enumerate(("axis", "position", "low", "high"))}
-    return tables.page_tables(rows, held, dense)
+    return tables.page_tables(rows, held, dense, tables.MARKDOWN)
 
 
 def _body_size(blocks: list[dict]) -> float:

@@ -7,7 +7,9 @@ these do what depends on order: components, separators, merged cells, owners of
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +22,27 @@ from quire.operators.pages import KEY
 from quire.session import ship, spread
 
 #: Tolerances and thresholds, in points and shares.
-SNAP, JOIN, LEAST_RULING, LIMIT, SEPARATORS = 1.5, 2.0, 8.0, 512, 64
+SNAP, JOIN, LEAST_RULING, LIMIT = 1.5, 2.0, 8.0, 512
 OUTER, INNER, PRESENT = 0.9, 0.45, 0.5
 BUCKET, GUTTER, EDGE_SPREAD, GAP_FLOOR, GAP_SHARE = 3.0, 0.7, 4.5, 3.0, 1.5
 FILL, NEAR, REGULAR, TABULAR, LINE_OVERLAP = 0.4, 0.15, 0.6, 0.6, 0.35
+#: About so many texts and rulings (whole pages) are unpacked at once in Python.
+PIECE = 65536
 TABLE = "doc_id {key}, page int, kind string, x0 double, y0 double, x1 double, y1 double, n_rows int, n_cols int, cells array<struct<row:int,col:int,row_span:int,col_span:int,content:string>>, consumed array<string>, warning string"
 
 
+class Limits(NamedTuple):
+    """Most rulings or free texts of a page, separators of a grid and buckets of a region that a detector looks at."""
+
+    items: float = np.inf
+    separators: float = np.inf
+    buckets: float = np.inf
+
+
+#: Detection has no limits, but Markdown prints no table beyond these, and warnings instead: they are the format's.
+WHOLE, MARKDOWN = Limits(), Limits(LIMIT, 64, 4096)
+
+
 def rulings(paths: DataFrame) -> DataFrame:
     """(axis h/v, position, low, high) of thin painted paths, and the four inset edges of stroked rectangles."""
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
@@ -159,54 +175,100 @@ def _sorted(rows: Rows, *by: str) -> Rows:
 
 
 def component_labels(h: Rows, v: Rows) -> tuple[np.ndarray, np.ndarray]:
-    """Components of the crossing graph: labels of the horizontal and of the vertical rulings."""
-    hp, hl, hh = (h[c][:, None] for c in ("position", "low", "high"))
-    vp, vl, vh = (v[c][None, :] for c in ("position", "low", "high"))
-    meet = (vp >= hl - SNAP) & (vp <= hh + SNAP) & (hp >= vl - SNAP) & (hp <= vh + SNAP)
-    a, b = np.arange(len(hp)), len(hp) + np.arange(vp.size)
-    none = len(a) + len(b)
-    while True:
-        low = np.where(meet, b[None, :], none).min(axis=1, initial=none)
-        na = np.minimum(a, low)
-        nb = np.minimum(b, np.where(meet, na[:, None], none).min(axis=0, initial=none))
-        if (na == a).all() and (nb == b).all():
-            return a, b
-        a, b = na, nb
+    """Components of the crossing graph: labels (least member's place) of the horizontal and of the vertical rulings.
+
+    Each ruling of the smaller axis finds those it meets among the others by their order, so no pairs are held.
+    """
+    n_h, n_v = len(h["position"]), len(v["position"])
+    few, many, names, others = (h, v, np.arange(n_h), n_h + np.arange(n_v)) if n_h < n_v else (v, h, n_h + np.arange(n_v), np.arange(n_h))
+    order = np.argsort(many["position"], kind="stable")
+    at, low, high = many["position"][order], many["low"][order] - SNAP, many["high"][order] + SNAP
+    begin, end = np.searchsorted(at, few["low"] - SNAP, "left"), np.searchsorted(at, few["high"] + SNAP, "right")
+    up, owner = list(range(len(names))), np.full(len(at), -1)
+
+    def root(k: int) -> int:
+        while up[k] != k:
+            up[k] = k = up[up[k]]
+        return k
+
+    for j, (p, a, b) in enumerate(zip(few["position"].tolist(), begin.tolist(), end.tolist(), strict=True)):
+        met = a + np.flatnonzero((low[a:b] <= p) & (p <= high[a:b]))
+        for k in set(owner[met].tolist()) - {-1}:
+            up[root(k)] = j
+        owner[met] = j
+    roots = np.array([root(k) for k in range(len(up))], int)
+    held, least = owner >= 0, np.full(len(names), n_h + n_v)
+    np.minimum.at(least, roots, names)
+    np.minimum.at(least, roots[owner[held]], others[order][held])
+    out = others.copy()
+    out[order[held]] = least[roots[owner[held]]]
+    return (least[roots], out) if few is h else (out, least[roots])
+
+
+def _along(lines: Rows, edges: list[float]) -> list[list[tuple[float, float]]]:
+    """Extents of the rulings within SNAP of each edge."""
+    out: list[list[tuple[float, float]]] = [[] for _ in edges]
+    for p, low, high in zip(*(lines[c].tolist() for c in ("position", "low", "high")), strict=True):
+        n = bisect_left(edges, p - 2.0 * SNAP)
+        while n < len(edges) and edges[n] <= p + 2.0 * SNAP:
+            if abs(p - edges[n]) <= SNAP:
+                out[n].append((low, high))
+            n += 1
+    return out
+
+
+def _bands(spans: list[tuple[float, float]], edges: list[float]) -> list[float]:
+    """``covered`` of each interval between edges; of the spans, those within others are left out, as they add nothing."""
+    kept: list[tuple[float, float]] = []
+    for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if not kept or b > kept[-1][1]:
+            kept.append((a, b))
+    starts, ends = [a for a, _ in kept], [b for _, b in kept]
+    return [covered(kept[bisect_right(ends, a) : bisect_left(starts, b)], a, b) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _interval(edges: list[float], value: float) -> int:
-    return next((n for n in range(len(edges) - 1) if edges[n] - SNAP <= value <= edges[n + 1] + SNAP), -1)
+def _centres(texts: Rows) -> Rows:
+    """Places and centres of texts, from top to bottom."""
+    x, y = (texts["x0"] + texts["x1"]) / 2.0, (texts["y0"] + texts["y1"]) / 2.0
+    order = np.argsort(y, kind="stable")
+    return {"n": order, "x": x[order], "y": y[order]}
+
+
+def _within(centres: Rows, x0: float, y0: float, x1: float, y1: float) -> Rows:
+    """Centres in a box (within SNAP), in the order of the texts."""
+    near = _take(centres, slice(np.searchsorted(centres["y"], y0 - SNAP, "left"), np.searchsorted(centres["y"], y1 + SNAP, "right")))
+    near = _take(near, (near["x"] >= x0 - SNAP) & (near["x"] <= x1 + SNAP))
+    return _take(near, np.argsort(near["n"]))
 
 
 def _clean(s: str) -> str:
     return " ".join(s.split())
 
 
-def grid_table(h: Rows, v: Rows, texts: Rows) -> tuple[dict | None, str | None]:
+def grid_table(h: Rows, v: Rows, texts: Rows, centres: Rows, limits: Limits) -> tuple[dict | None, str | None]:
     """The table of one component of rulings, or why there is none."""
     xs, ys = clusters(v["position"]), clusters(h["position"])
     if len(xs) < 3 or len(ys) < 3:
         return None, None
-    if max(len(xs), len(ys)) > SEPARATORS:
+    if max(len(xs), len(ys)) > limits.separators:
         return None, "too many row or column separators"
 
+    inner = _within(centres, xs[0], ys[0], xs[-1], ys[-1])
+    at_row, at_col = np.searchsorted(ys[1:] + SNAP, inner["y"], "left"), np.searchsorted(xs[1:] + SNAP, inner["x"], "left")
     xs, ys = xs.tolist(), ys.tolist()
-    near = lambda lines, edges: [[(a, b) for p, a, b in lines if abs(p - at) <= SNAP] for at in edges]
-    at_y, at_x = (near(list(zip(*(r[c].tolist() for c in ("position", "low", "high")), strict=True)), edges) for r, edges in ((h, ys), (v, xs)))
+    at_y, at_x = _along(h, ys), _along(v, xs)
     across = [covered(spans, xs[0], xs[-1]) for spans in at_y]
     down = [covered(spans, ys[0], ys[-1]) for spans in at_x]
     if min(across[0], across[-1], down[0], down[-1]) < OUTER or min(across + down) < INNER:
         return None, "rulings do not form a closed grid"
     rows, cols = len(ys) - 1, len(xs) - 1
     held: dict[tuple[int, int], list[int]] = {}
-    for n, (x0, y0, x1, y1) in enumerate(zip(*(texts[c].tolist() for c in G.BOX), strict=True)):
-        cell = _interval(ys, (y0 + y1) / 2), _interval(xs, (x0 + x1) / 2)
-        if min(cell) >= 0:
-            held.setdefault(cell, []).append(n)
+    for r, c, n in zip(at_row.tolist(), at_col.tolist(), inner["n"].tolist(), strict=True):
+        held.setdefault((r, c), []).append(n)
     if len(held) < max(4, -(-rows * cols // 3)) or len({r for r, _ in held}) < 2 or len({c for _, c in held}) < 2:
         return None, "grid has too little cell text"
-    wall = np.array([[covered(at_x[c], ys[r], ys[r + 1]) >= PRESENT for c in range(cols + 1)] for r in range(rows)])
-    floor = np.array([[covered(at_y[r], xs[c], xs[c + 1]) >= PRESENT for c in range(cols)] for r in range(rows + 1)])
+    wall = np.array([_bands(spans, ys) for spans in at_x]).T >= PRESENT
+    floor = np.array([_bands(spans, xs) for spans in at_y]) >= PRESENT
     taken, cells, used = np.zeros((rows, cols), bool), [], []
     for r in range(rows):
         for c in range(cols):
@@ -222,14 +284,19 @@ def grid_table(h: Rows, v: Rows, texts: Rows) -> tuple[dict | None, str | None]:
     return {"x0": xs[0], "y0": ys[0], "x1": xs[-1], "y1": ys[-1], "n_rows": rows, "n_cols": cols, "cells": cells, "consumed": sorted(set(used))}, None
 
 
-def _ruled(lines: Rows, texts: Rows) -> list[dict]:
+def _ruled(lines: Rows, texts: Rows, centres: Rows, limits: Limits) -> list[dict]:
     """The ruled tables of a page, and why others are none."""
     out = []
     lines = _sorted(lines, "axis", "position", "low", "high")
     h, v = _take(lines, lines["axis"] == "h"), _take(lines, lines["axis"] == "v")
     a, b = component_labels(h, v)
-    for label in np.unique(np.concatenate([a, b])):
-        table, why = grid_table(_take(h, a == label), _take(v, b == label), texts)
+    by_a, by_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+    labels = np.intersect1d(a, b)
+    ends = [np.searchsorted(x, labels, side).tolist() for x in (a[by_a], b[by_b]) for side in ("left", "right")]
+    for p, q, r, s in zip(*ends, strict=True):
+        if min(q - p, s - r) < 3:
+            continue
+        table, why = grid_table(_take(h, by_a[p:q]), _take(v, by_b[r:s]), texts, centres, limits)
         if table or why:
             out.append({"kind": "ruled"} | (table or {}) | {"warning": why})
     return out
@@ -254,40 +321,55 @@ def _spans(line: Rows) -> list[tuple[float, float]]:
     return list(zip(line["x0"].tolist(), line["x1"].tolist(), strict=True))
 
 
-def gutter_columns(lines: list[Rows]) -> list[tuple[float, float]]:
-    """Column intervals between the gutters of a region."""
-    left, right = min(x["x0"].min() for x in lines), max(x["x1"].max() for x in lines)
+def gutter_columns(lines: list[Rows], limits: Limits) -> list[tuple[float, float]]:
+    """Column intervals between the gutters of a region: as in ``gutter_histogram``, only the ends of a line's runs of buckets count."""
+    left, right = float(min(x["x0"].min() for x in lines)), float(max(x["x1"].max() for x in lines))
+    if not 0.0 < right - left < np.inf:
+        return []
     n = int(np.ceil((right - left) / BUCKET)) + 1
-    if right <= left or n > 4096:
+    if n > limits.buckets:
         return []
-    hits = np.zeros(n, int)
+    steps: dict[int, int] = {}
     for line in lines:
-        mine = np.zeros(n, bool)
+        reach = 0
         for x0, x1 in _spans(line):
-            mine[max(0, int((x0 - left) // BUCKET)) : min(n - 1, int((x1 - left) // BUCKET)) + 1] = True
-        hits += mine
-    inside = np.concatenate([[0], (hits > int(np.floor((1.0 - GUTTER) * len(lines)))).astype(int), [0]])
-    edge = np.diff(inside)
-    return [(left + a * BUCKET, left + b * BUCKET) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
+            low, high = max(reach, int((x0 - left) // BUCKET)), min(n - 1, int((x1 - left) // BUCKET)) + 1
+            if high > low:
+                steps[low], steps[high] = steps.get(low, 0) + 1, steps.get(high, 0) - 1
+                reach = high
+    out, hits, begin = [], 0, None
+    for at, step in sorted(steps.items()):
+        hits += step
+        inside = hits > int(np.floor((1.0 - GUTTER) * len(lines)))
+        if inside and begin is None:
+            begin = at
+        elif begin is not None and not inside:
+            out.append((left + begin * BUCKET, left + at * BUCKET))
+            begin = None
+    return out
 
 
-def aligned_table(lines: list[Rows]) -> tuple[dict | None, str | None]:
+def aligned_table(lines: list[Rows], limits: Limits) -> tuple[dict | None, str | None]:
     """The borderless table of one region of visual lines, or why there is none."""
-    columns = gutter_columns(lines)
+    columns = gutter_columns(lines, limits)
     rows, cols = len(lines), len(columns)
-    if not 2 <= cols <= SEPARATORS:
+    if not 2 <= cols <= limits.separators:
         return None, None
     low, high = np.array(columns).T
-
-    def span(x0: float, x1: float) -> tuple[int, int] | None:
-        hit = np.flatnonzero((x1 > low - SNAP) & (x0 < high + SNAP))
-        return (int(hit[0]), int(hit[-1])) if len(hit) else None
-
-    spans = [[span(x0, x1) for x0, x1 in _spans(line)] for line in lines]
-    for c in range(cols):
-        edges = np.array([b for line, s in zip(lines, spans, strict=True) for b, at in zip(_spans(line), s, strict=True) if at == (c, c)])
-        if len(edges) >= 2 and (edges.std(axis=0) > EDGE_SPREAD).all():
-            return None, None
+    low, high = low - SNAP, high + SNAP
+
+    def met(line: Rows) -> list[tuple[int, int] | None]:
+        first, last = np.searchsorted(high, line["x0"], "right"), np.searchsorted(low, line["x1"], "left") - 1
+        return [(a, b) if a <= b else None for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+
+    spans = [met(line) for line in lines]
+    alone: dict[int, list[tuple[float, float]]] = {}
+    for line, at in zip(lines, spans, strict=True):
+        for b, s in zip(_spans(line), at, strict=True):
+            if s and s[0] == s[1]:
+                alone.setdefault(s[0], []).append(b)
+    if any(len(edges) >= 2 and (np.array(edges).std(axis=0) > EDGE_SPREAD).all() for edges in alone.values()):
+        return None, None
     filled, cells, used, regular = np.zeros((rows, cols), bool), [], [], 0
     for r, (line, at) in enumerate(zip(lines, spans, strict=True)):
         owner, held = list(range(cols)), {}
@@ -318,9 +400,10 @@ def aligned_table(lines: list[Rows]) -> tuple[dict | None, str | None]:
     return box | {"n_rows": rows, "n_cols": cols, "cells": cells, "consumed": sorted(set(used))}, None
 
 
-def _aligned(texts: Rows, ruled: list[dict]) -> list[dict]:
+def _aligned(texts: Rows, ruled: list[dict], limits: Limits) -> list[dict]:
     """The borderless tables of a page's free texts that meet no ruled one, and why others are none."""
     out = []
+    x0, y0, x1, y1 = np.array([[r[c] for c in G.BOX] for r in ruled], float).reshape(-1, 4).T
     lines = visual_lines(_sorted(texts, "y0", "x0", "element"))
     if len(lines) >= 3:
         low, high = np.array([x["y0"].min() for x in lines]), np.array([x["y1"].max() for x in lines])
@@ -328,24 +411,32 @@ def _aligned(texts: Rows, ruled: list[dict]) -> list[dict]:
         breaks = [0, *(np.flatnonzero(low[1:] - high[:-1] > limit) + 1), len(lines)]
         for a, b in zip(breaks, breaks[1:], strict=False):
             if b - a >= 3:
-                table, why = aligned_table(lines[a:b])
-                if table and any(table["x1"] > r["x0"] and table["x0"] < r["x1"] and table["y1"] > r["y0"] and table["y0"] < r["y1"] for r in ruled):
+                table, why = aligned_table(lines[a:b], limits)
+                if table and ((table["x1"] > x0) & (table["x0"] < x1) & (table["y1"] > y0) & (table["y0"] < y1)).any():
                     continue
                 if table or why:
                     out.append({"kind": "aligned"} | (table or {}) | {"warning": why})
     return out
 
 
-def page_tables(texts: Rows, lines: Rows, dense: bool) -> list[dict]:
-    """All of one page: ruled tables, then borderless ones of the texts outside them."""
-    ruled = [{"kind": "ruled", "warning": "path density exceeded the detector limit"}] if dense else _ruled(lines, texts) if len(lines["axis"]) else []
+def page_tables(texts: Rows, lines: Rows, dense: bool = False, limits: Limits = WHOLE) -> list[dict]:
+    """All of one page: ruled tables, then borderless ones of the texts outside them; none is ruled on a ``dense`` page, which only limits make so."""
+    centres = _centres(texts)
+    ruled = [{"kind": "ruled", "warning": "path density exceeded the detector limit"}] if dense else _ruled(lines, texts, centres, limits) if len(lines["axis"]) else []
     found = [r for r in ruled if r["warning"] is None]
     used = {e for r in found for e in r["consumed"]}
     free = np.array([e not in used for e in texts["element"].tolist()], bool)
-    cx, cy = (texts["x0"] + texts["x1"]) / 2.0, (texts["y0"] + texts["y1"]) / 2.0
     for r in found:
-        free &= ~((cx >= r["x0"] - SNAP) & (cx <= r["x1"] + SNAP) & (cy >= r["y0"] - SNAP) & (cy <= r["y1"] + SNAP))
-    return ruled + (_aligned(_take(texts, free), found) if 6 <= free.sum() <= LIMIT else [])
+        free[_within(centres, *(r[c] for c in G.BOX))["n"]] = False
+    return ruled + (_aligned(_take(texts, free), found, limits) if 6 <= free.sum() <= limits.items else [])
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch cut between pages, at about PIECE texts and rulings."""
+    items = sum(batch.column(c).value_lengths().fill_null(0).to_numpy().astype(np.int64) for c in ("texts", "lines"))
+    starts = np.flatnonzero(np.diff(np.cumsum(items) // PIECE, prepend=-1)).tolist() if len(items) else []
+    for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=False):
+        yield batch.slice(a, b - a)
 
 
 def _unpacked(items: pa.ListArray) -> Iterator[Rows]:
@@ -358,7 +449,7 @@ def _unpacked(items: pa.ListArray) -> Iterator[Rows]:
         yield _take(columns, slice(a, b))
 
 
-def detect(texts: DataFrame, paths: DataFrame) -> DataFrame:
+def detect(texts: DataFrame, paths: DataFrame, limits: Limits = WHOLE) -> DataFrame:
     """Ruled tables, then borderless ones of the texts outside them; rows with only a warning where a candidate was not trusted.
 
     ``texts``: doc_id, page, element, content, x0..y1; ``paths``: doc_id, page, element, x0..y1, stroked, filled, stroke_width.
@@ -369,19 +460,19 @@ def detect(texts: DataFrame, paths: DataFrame) -> DataFrame:
     names = ["element", "content", *G.BOX]
     text = texts.filter((T.clean_text("content") != "") & G.ordered_box()).groupBy(*KEY).agg(F.collect_list(F.struct(*names)).alias("texts"))
     of = rulings(paths).groupBy(*KEY).agg(F.count_if(F.col("axis") == "h").alias("h"), F.count_if(F.col("axis") == "v").alias("v"), F.collect_list(F.struct("axis", "position", "low", "high")).alias("lines"))
-    dense = F.col("h") + F.col("v") > LIMIT
+    dense = F.col("h") + F.col("v") > F.lit(limits.items)
     ruled = of.filter("h >= 3 and v >= 3").select(*KEY, dense.alias("dense"), F.when(~dense, F.col("lines")).alias("lines"))
     pages = text.join(ruled, KEY, "full").withColumn("dense", F.coalesce("dense", F.lit(False)))
-    pages = pages.filter(F.col("dense") | F.col("lines").isNotNull() | F.size("texts").between(6, LIMIT)).select(*KEY, "dense", "texts", "lines")
+    pages = pages.filter(F.col("dense") | F.col("lines").isNotNull() | F.size("texts").between(F.lit(6), F.lit(limits.items))).select(*KEY, "dense", "texts", "lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from quire.operators.tables import _unpacked, page_tables
+        from quire.operators.tables import _pieces, _unpacked, page_tables
 
         cell = pa.struct([(c, pa.int32()) for c in ("row", "col", "row_span", "col_span")] + [("content", pa.string())])
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole)):
             kinds = [("doc_id", batch.schema.field("doc_id").type), ("page", pa.int32()), ("kind", pa.string()), *((c, pa.float64()) for c in G.BOX), ("n_rows", pa.int32()), ("n_cols", pa.int32()), ("cells", pa.list_(cell)), ("consumed", pa.list_(pa.string())), ("warning", pa.string())]
             keys = zip(*(batch.column(c).to_pylist() for c in (*KEY, "dense")), _unpacked(batch.column("texts")), _unpacked(batch.column("lines")), strict=True)
-            out = [{"doc_id": d, "page": p} | x for d, p, thick, t, r in keys for x in page_tables(t, r, thick)]
+            out = [{"doc_id": d, "page": p} | x for d, p, thick, t, r in keys for x in page_tables(t, r, thick, limits)]
             yield pa.RecordBatch.from_pylist(out, pa.schema(kinds))
 
     return spread(pages).mapInArrow(run, schema)

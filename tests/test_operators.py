@@ -80,6 +80,37 @@ def test_borderless_table_and_prose(spark):
     assert [(t.doc_id, t.kind, t.n_rows, t.n_cols) for t in found] == [(1, "aligned", 4, 3)]
 
 
+def large_pages(spark):
+    """By page: a grid of 1,105 rulings, 800 aligned texts, 70 aligned columns, a region of 5,000 buckets, a grid of 71 separators."""
+    sizes = {1: (100, 5, 100.0), 2: (200, 4, 80.0), 3: (10, 70, 80.0), 4: (4, 4, 5000.0), 5: (4, 70, 60.0)}
+    texts = [(1, p, f"t{r:03}-{c:02}", f"w{r} {c}", 55.0 + w * c, 104.0 + 14 * r, 80.0 + w * c, 114.0 + 14 * r) for p, (rows, cols, w) in sizes.items() for r in range(rows) for c in range(cols)]
+    paths = []
+    for p in (1, 5):
+        rows, cols, w = sizes[p]
+        paths += [(1, p, f"h{r}-{c}", 50.0 + w * c, 102.0 + 14 * r, 50.0 + w * (c + 1), 102.0 + 14 * r) for r in range(rows + 1) for c in range(cols)]
+        paths += [(1, p, f"v{r}-{c}", 50.0 + w * c, 102.0 + 14 * r, 50.0 + w * c, 102.0 + 14 * (r + 1)) for r in range(rows) for c in range(cols + 1)]
+    paths = spark.createDataFrame(paths, "doc_id bigint, page int, element string, x0 double, y0 double, x1 double, y1 double").withColumn("stroked", F.lit(True)).withColumn("filled", F.lit(False)).withColumn("stroke_width", F.lit(1.0))
+    return spark.createDataFrame(texts, TEXT), paths
+
+
+def test_tables_of_large_pages_are_whole(spark):
+    found = tables.detect(*large_pages(spark)).orderBy("page").collect()
+    assert [(t.page, t.kind, t.n_rows, t.n_cols, len(t.cells or ()), len(t.consumed or ()), t.warning) for t in found] == [
+        (1, "ruled", 100, 5, 500, 500, None),
+        (2, "aligned", 200, 4, 800, 800, None),
+        (3, "aligned", 10, 70, 700, 700, None),
+        (4, "aligned", 4, 4, 16, 16, None),
+        (5, "ruled", 4, 70, 280, 280, None),
+    ]
+    assert all(c.content == f"w{c.row} {c.col}" for t in found for c in t.cells or ())
+
+
+def test_markdown_keeps_its_limits(spark):
+    found = tables.detect(*large_pages(spark), tables.MARKDOWN).collect()
+    dense = "path density exceeded the detector limit"
+    assert sorted((t.page, t.kind, t.warning or "") for t in found) == [(1, "aligned", ""), (1, "ruled", dense), (5, "ruled", dense)]
+
+
 def test_lines_compare_with_their_first_glyph(spark):
     base = [0.0, 3.0, 6.0, 9.0]  # a slow drift: each near its neighbour, not near the first
     g = spark.createDataFrame([(1, 1, "e", n, "x", 10.0 * n, 0.0, 10.0 * n + 9, 10.0, 10.0, b) for n, b in enumerate(base)], "doc_id bigint, page int, element string, ord int, content string, x0 double, y0 double, x1 double, y1 double, font_size double, baseline double")
