@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from operator import itemgetter
+from statistics import median
 from typing import NamedTuple
 
 import numpy as np
@@ -134,15 +136,15 @@ def outside(texts: DataFrame, boxes: DataFrame) -> DataFrame:
     return texts.join(b, (F.col("doc_id") == F.col("b_doc_id")) & (F.col("page") == F.col("b_page")) & inside, "left_anti")
 
 
-def clusters(values: np.ndarray) -> np.ndarray:
+def clusters(values: list[float]) -> list[float]:
     """Medians of groups of values within SNAP of each group's first."""
     out: list[list[float]] = []
-    for v in np.sort(values[np.isfinite(values)]):
+    for v in sorted(values):
         if out and v - out[-1][0] <= SNAP:
             out[-1].append(v)
         else:
             out.append([v])
-    return np.array([float(g[0] if len(g) == 1 else np.median(g)) for g in out])
+    return [median(g) for g in out]
 
 
 def covered(spans: list[tuple[float, float]], start: float, end: float) -> float:
@@ -169,21 +171,23 @@ def _take(rows: Rows, at) -> Rows:
     return {c: x[at] for c, x in rows.items()}
 
 
-def _sorted(rows: Rows, *by: str) -> Rows:
-    keys = list(zip(*(rows[c].tolist() for c in by), strict=True))
-    return _take(rows, sorted(range(len(keys)), key=keys.__getitem__))
+#: (position, low, high) of a ruling; (x0, x1, element, y0, y1, content) of a text.
+Ruling = tuple[float, float, float]
+Text = tuple[float, float, str, float, float, str]
 
 
-def component_labels(h: Rows, v: Rows) -> tuple[np.ndarray, np.ndarray]:
+def component_labels(h: list[Ruling], v: list[Ruling]) -> tuple[list[int], list[int]]:
     """Components of the crossing graph: labels (least member's place) of the horizontal and of the vertical rulings.
 
     Each ruling of the smaller axis finds those it meets among the others by their order, so no pairs are held.
     """
-    n_h, n_v = len(h["position"]), len(v["position"])
+    n_h, n_v = len(h), len(v)
     few, many, names, others = (h, v, np.arange(n_h), n_h + np.arange(n_v)) if n_h < n_v else (v, h, n_h + np.arange(n_v), np.arange(n_h))
-    order = np.argsort(many["position"], kind="stable")
-    at, low, high = many["position"][order], many["low"][order] - SNAP, many["high"][order] + SNAP
-    begin, end = np.searchsorted(at, few["low"] - SNAP, "left"), np.searchsorted(at, few["high"] + SNAP, "right")
+    at, low, high = np.array(many, float).reshape(-1, 3).T
+    order = np.argsort(at, kind="stable")
+    at, low, high = at[order], low[order] - SNAP, high[order] + SNAP
+    place, begin, end = np.array(few, float).reshape(-1, 3).T
+    begin, end = np.searchsorted(at, begin - SNAP, "left"), np.searchsorted(at, end + SNAP, "right")
     up, owner = list(range(len(names))), np.full(len(at), -1)
 
     def root(k: int) -> int:
@@ -191,7 +195,7 @@ def component_labels(h: Rows, v: Rows) -> tuple[np.ndarray, np.ndarray]:
             up[k] = k = up[up[k]]
         return k
 
-    for j, (p, a, b) in enumerate(zip(few["position"].tolist(), begin.tolist(), end.tolist(), strict=True)):
+    for j, (p, a, b) in enumerate(zip(place.tolist(), begin.tolist(), end.tolist(), strict=True)):
         met = a + np.flatnonzero((low[a:b] <= p) & (p <= high[a:b]))
         for k in set(owner[met].tolist()) - {-1}:
             up[root(k)] = j
@@ -202,13 +206,14 @@ def component_labels(h: Rows, v: Rows) -> tuple[np.ndarray, np.ndarray]:
     np.minimum.at(least, roots[owner[held]], others[order][held])
     out = others.copy()
     out[order[held]] = least[roots[owner[held]]]
-    return (least[roots], out) if few is h else (out, least[roots])
+    mine, theirs = least[roots].tolist(), out.tolist()
+    return (mine, theirs) if few is h else (theirs, mine)
 
 
-def _along(lines: Rows, edges: list[float]) -> list[list[tuple[float, float]]]:
+def _along(lines: list[Ruling], edges: list[float]) -> list[list[tuple[float, float]]]:
     """Extents of the rulings within SNAP of each edge."""
     out: list[list[tuple[float, float]]] = [[] for _ in edges]
-    for p, low, high in zip(*(lines[c].tolist() for c in ("position", "low", "high")), strict=True):
+    for p, low, high in lines:
         n = bisect_left(edges, p - 2.0 * SNAP)
         while n < len(edges) and edges[n] <= p + 2.0 * SNAP:
             if abs(p - edges[n]) <= SNAP:
@@ -234,28 +239,25 @@ def _centres(texts: Rows) -> Rows:
     return {"n": order, "x": x[order], "y": y[order]}
 
 
-def _within(centres: Rows, x0: float, y0: float, x1: float, y1: float) -> Rows:
-    """Centres in a box (within SNAP), in the order of the texts."""
+def _within(centres: Rows, x0: float, y0: float, x1: float, y1: float) -> list[tuple[int, float, float]]:
+    """Places and centres of texts in a box (within SNAP), in the order of the texts."""
     near = _take(centres, slice(np.searchsorted(centres["y"], y0 - SNAP, "left"), np.searchsorted(centres["y"], y1 + SNAP, "right")))
     near = _take(near, (near["x"] >= x0 - SNAP) & (near["x"] <= x1 + SNAP))
-    return _take(near, np.argsort(near["n"]))
+    return sorted(zip(*(near[c].tolist() for c in ("n", "x", "y")), strict=True))
 
 
 def _clean(s: str) -> str:
     return " ".join(s.split())
 
 
-def grid_table(h: Rows, v: Rows, texts: Rows, centres: Rows, limits: Limits) -> tuple[dict | None, str | None]:
+def grid_table(h: list[Ruling], v: list[Ruling], texts: list[Text], centres: Rows, limits: Limits) -> tuple[dict | None, str | None]:
     """The table of one component of rulings, or why there is none."""
-    xs, ys = clusters(v["position"]), clusters(h["position"])
+    xs, ys = (clusters([r[0] for r in x]) for x in (v, h))
     if len(xs) < 3 or len(ys) < 3:
         return None, None
     if max(len(xs), len(ys)) > limits.separators:
         return None, "too many row or column separators"
 
-    inner = _within(centres, xs[0], ys[0], xs[-1], ys[-1])
-    at_row, at_col = np.searchsorted(ys[1:] + SNAP, inner["y"], "left"), np.searchsorted(xs[1:] + SNAP, inner["x"], "left")
-    xs, ys = xs.tolist(), ys.tolist()
     at_y, at_x = _along(h, ys), _along(v, xs)
     across = [covered(spans, xs[0], xs[-1]) for spans in at_y]
     down = [covered(spans, ys[0], ys[-1]) for spans in at_x]
@@ -263,67 +265,66 @@ def grid_table(h: Rows, v: Rows, texts: Rows, centres: Rows, limits: Limits) ->
         return None, "rulings do not form a closed grid"
     rows, cols = len(ys) - 1, len(xs) - 1
     held: dict[tuple[int, int], list[int]] = {}
-    for r, c, n in zip(at_row.tolist(), at_col.tolist(), inner["n"].tolist(), strict=True):
-        held.setdefault((r, c), []).append(n)
+    bottoms, rights = [y + SNAP for y in ys[1:]], [x + SNAP for x in xs[1:]]
+    for n, x, y in _within(centres, xs[0], ys[0], xs[-1], ys[-1]):
+        held.setdefault((bisect_left(bottoms, y), bisect_left(rights, x)), []).append(n)
     if len(held) < max(4, -(-rows * cols // 3)) or len({r for r, _ in held}) < 2 or len({c for _, c in held}) < 2:
         return None, "grid has too little cell text"
-    wall = np.array([_bands(spans, ys) for spans in at_x]).T >= PRESENT
-    floor = np.array([_bands(spans, xs) for spans in at_y]) >= PRESENT
-    taken, cells, used = np.zeros((rows, cols), bool), [], []
+    walls = [[share >= PRESENT for share in _bands(spans, ys)] for spans in at_x]
+    floors = [[share >= PRESENT for share in _bands(spans, xs)] for spans in at_y]
+    taken, cells, used = [bytearray(cols) for _ in range(rows)], [], []
     for r in range(rows):
         for c in range(cols):
-            if taken[r, c]:
+            if taken[r][c]:
                 continue
-            right = next((k for k in range(c + 1, cols) if wall[r, k]), cols)
-            below = next((k for k in range(r + 1, rows) if floor[k, c:right].any()), rows)
-            taken[r:below, c:right] = True
-            mine = [n for rr in range(r, below) for cc in range(c, right) for n in held.pop((rr, cc), [])]
-            got = _sorted(_take(texts, mine), "y0", "x0", "y1", "element")
-            used += got["element"].tolist()
-            cells.append({"row": r, "col": c, "row_span": below - r, "col_span": right - c, "content": "\n".join(x for x in map(_clean, got["content"]) if x)})
+            right = next((k for k in range(c + 1, cols) if walls[k][r]), cols)
+            below = next((k for k in range(r + 1, rows) if any(floors[k][c:right])), rows)
+            for rr in range(r, below):
+                taken[rr][c:right] = b"\1" * (right - c)
+            got = sorted((texts[n] for rr in range(r, below) for cc in range(c, right) for n in held.pop((rr, cc), ())), key=itemgetter(3, 0, 4, 2))
+            used += [x[2] for x in got]
+            cells.append({"row": r, "col": c, "row_span": below - r, "col_span": right - c, "content": "\n".join(x for x in (_clean(x[5]) for x in got) if x)})
     return {"x0": xs[0], "y0": ys[0], "x1": xs[-1], "y1": ys[-1], "n_rows": rows, "n_cols": cols, "cells": cells, "consumed": sorted(set(used))}, None
 
 
-def _ruled(lines: Rows, texts: Rows, centres: Rows, limits: Limits) -> list[dict]:
+def _ruled(lines: Rows, texts: list[Text], centres: Rows, limits: Limits) -> list[dict]:
     """The ruled tables of a page, and why others are none."""
+    every = sorted(zip(*(lines[c].tolist() for c in ("axis", "position", "low", "high")), strict=True))
+    h, v = ([r[1:] for r in every if r[0] == axis] for axis in "hv")
+    parts: dict[int, tuple[list[Ruling], list[Ruling]]] = {}
+    for side, (rulings_of, labels) in enumerate(zip((h, v), component_labels(h, v), strict=True)):
+        for ruling, label in zip(rulings_of, labels, strict=True):
+            parts.setdefault(label, ([], []))[side].append(ruling)
     out = []
-    lines = _sorted(lines, "axis", "position", "low", "high")
-    h, v = _take(lines, lines["axis"] == "h"), _take(lines, lines["axis"] == "v")
-    a, b = component_labels(h, v)
-    by_a, by_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-    labels = np.intersect1d(a, b)
-    ends = [np.searchsorted(x, labels, side).tolist() for x in (a[by_a], b[by_b]) for side in ("left", "right")]
-    for p, q, r, s in zip(*ends, strict=True):
-        if min(q - p, s - r) < 3:
-            continue
-        table, why = grid_table(_take(h, by_a[p:q]), _take(v, by_b[r:s]), texts, centres, limits)
+    for _, (across, down) in sorted(parts.items(), key=itemgetter(0)):
+        table, why = grid_table(across, down, texts, centres, limits)
         if table or why:
             out.append({"kind": "ruled"} | (table or {}) | {"warning": why})
     return out
 
 
-def visual_lines(texts: Rows) -> list[Rows]:
+def visual_lines(texts: list[Text]) -> list[list[Text]]:
     """Texts in (y0, x0, id) order, dealt into lines: one joins the last line if it overlaps its running extent enough."""
-    lines: list[list] = []
+    lines: list[list[Text]] = []
     low = high = 0.0
-    for n, (y0, y1) in enumerate(zip(texts["y0"].tolist(), texts["y1"].tolist(), strict=True)):
+    for text in texts:
+        y0, y1 = text[3], text[4]
         shared = max(0.0, min(high, y1) - max(low, y0))
         if lines and shared > LINE_OVERLAP * max(1.0, min(high - low, y1 - y0)):
-            lines[-1].append(n)
+            lines[-1].append(text)
             low, high = min(low, y0), max(high, y1)
         else:
-            lines.append([n])
+            lines.append([text])
             low, high = y0, y1
-    return [_sorted(_take(texts, x), "x0", "x1", "element") for x in lines]
+    return [sorted(x, key=itemgetter(0, 1, 2)) for x in lines]
 
 
-def _spans(line: Rows) -> list[tuple[float, float]]:
-    return list(zip(line["x0"].tolist(), line["x1"].tolist(), strict=True))
+def _box(lines: list[list[Text]]) -> dict[str, float]:
+    return {c: end(x[n] for line in lines for x in line) for c, n, end in (("x0", 0, min), ("y0", 3, min), ("x1", 1, max), ("y1", 4, max))}
 
 
-def gutter_columns(lines: list[Rows], limits: Limits) -> list[tuple[float, float]]:
+def gutter_columns(lines: list[list[Text]], left: float, right: float, limits: Limits) -> list[tuple[float, float]]:
     """Column intervals between the gutters of a region: as in ``gutter_histogram``, only the ends of a line's runs of buckets count."""
-    left, right = float(min(x["x0"].min() for x in lines)), float(max(x["x1"].max() for x in lines))
     if not 0.0 < right - left < np.inf:
         return []
     n = int(np.ceil((right - left) / BUCKET)) + 1
@@ -332,15 +333,15 @@ def gutter_columns(lines: list[Rows], limits: Limits) -> list[tuple[float, float
     steps: dict[int, int] = {}
     for line in lines:
         reach = 0
-        for x0, x1 in _spans(line):
+        for x0, x1, *_ in line:
             low, high = max(reach, int((x0 - left) // BUCKET)), min(n - 1, int((x1 - left) // BUCKET)) + 1
             if high > low:
                 steps[low], steps[high] = steps.get(low, 0) + 1, steps.get(high, 0) - 1
                 reach = high
-    out, hits, begin = [], 0, None
+    out, hits, begin, most = [], 0, None, int(np.floor((1.0 - GUTTER) * len(lines)))
     for at, step in sorted(steps.items()):
         hits += step
-        inside = hits > int(np.floor((1.0 - GUTTER) * len(lines)))
+        inside = hits > most
         if inside and begin is None:
             begin = at
         elif begin is not None and not inside:
@@ -349,66 +350,63 @@ def gutter_columns(lines: list[Rows], limits: Limits) -> list[tuple[float, float
     return out
 
 
-def aligned_table(lines: list[Rows], limits: Limits) -> tuple[dict | None, str | None]:
+def aligned_table(lines: list[list[Text]], limits: Limits) -> tuple[dict | None, str | None]:
     """The borderless table of one region of visual lines, or why there is none."""
-    columns = gutter_columns(lines, limits)
+    box = _box(lines)
+    columns = gutter_columns(lines, box["x0"], box["x1"], limits)
     rows, cols = len(lines), len(columns)
     if not 2 <= cols <= limits.separators:
         return None, None
-    low, high = np.array(columns).T
-    low, high = low - SNAP, high + SNAP
-
-    def met(line: Rows) -> list[tuple[int, int] | None]:
-        first, last = np.searchsorted(high, line["x0"], "right"), np.searchsorted(low, line["x1"], "left") - 1
-        return [(a, b) if a <= b else None for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-
-    spans = [met(line) for line in lines]
+    low, high = [a - SNAP for a, _ in columns], [b + SNAP for _, b in columns]
+    spans = [[(bisect_right(high, x[0]), bisect_left(low, x[1]) - 1) for x in line] for line in lines]
     alone: dict[int, list[tuple[float, float]]] = {}
     for line, at in zip(lines, spans, strict=True):
-        for b, s in zip(_spans(line), at, strict=True):
-            if s and s[0] == s[1]:
-                alone.setdefault(s[0], []).append(b)
-    if any(len(edges) >= 2 and (np.array(edges).std(axis=0) > EDGE_SPREAD).all() for edges in alone.values()):
-        return None, None
-    filled, cells, used, regular = np.zeros((rows, cols), bool), [], [], 0
+        for x, (a, b) in zip(line, at, strict=True):
+            if a == b:
+                alone.setdefault(a, []).append(x[:2])
+    for edges in alone.values():  # within EDGE_SPREAD, edges can't deviate by it
+        if min(max(x) - min(x) for x in zip(*edges, strict=True)) > EDGE_SPREAD and (np.array(edges).std(axis=0) > EDGE_SPREAD).all():
+            return None, None
+    filled, cells, used, regular = 0, [], [], 0
     for r, (line, at) in enumerate(zip(lines, spans, strict=True)):
-        owner, held = list(range(cols)), {}
-        for n, s in enumerate(at):
-            if s is None:
+        owner, held, full = list(range(cols)), {}, bytearray(cols)
+        for x, (a, b) in zip(line, at, strict=True):
+            if a > b:
                 continue
-            anchor = owner[s[0]]
-            width, items = held.get(anchor, (1, []))
-            held[anchor] = max(width, s[1] - anchor + 1), [*items, n]
-            owner[anchor : s[1] + 1] = [anchor] * (s[1] + 1 - anchor)
+            anchor = owner[a]
+            cell = held.setdefault(anchor, [1, []])
+            cell[0] = max(cell[0], b - anchor + 1)
+            cell[1].append(x)
+            owner[anchor : b + 1] = [anchor] * (b + 1 - anchor)
         regular += len(held) >= 2
         for c, (width, items) in sorted(held.items()):
-            filled[r, c : c + width] = True
-            got = _sorted(_take(line, items), "x0", "element")
-            used += got["element"].tolist()
-            cells.append({"row": r, "col": c, "row_span": 1, "col_span": width, "content": " ".join(x for x in map(_clean, got["content"]) if x)})
+            full[c : c + width] = b"\1" * width
+            got = sorted(items, key=itemgetter(0, 2))
+            used += [x[2] for x in got]
+            cells.append({"row": r, "col": c, "row_span": 1, "col_span": width, "content": " ".join(x for x in (_clean(x[5]) for x in got) if x)})
+        filled += sum(full)
     if regular < REGULAR * rows:
         return None, None
-    if filled.mean() < FILL:
-        return None, "too few cells were filled to trust the borderless grid" if filled.mean() >= FILL - NEAR else None
+    if filled / (rows * cols) < FILL:
+        return None, "too few cells were filled to trust the borderless grid" if filled / (rows * cols) >= FILL - NEAR else None
     said = [x for x in cells if x["content"]]
     if not said or sum(len(x["content"].split()) <= 3 and len(x["content"]) <= 24 for x in said) < TABULAR * len(said):
         return None, None
     first = [x for x in said if x["col"] == 0]
     if cols == 2 and first and 2 * sum(x["content"].endswith(":") for x in first) >= len(first):
         return None, None
-    box = {"x0": min(x["x0"].min() for x in lines), "y0": min(x["y0"].min() for x in lines), "x1": max(x["x1"].max() for x in lines), "y1": max(x["y1"].max() for x in lines)}
     return box | {"n_rows": rows, "n_cols": cols, "cells": cells, "consumed": sorted(set(used))}, None
 
 
-def _aligned(texts: Rows, ruled: list[dict], limits: Limits) -> list[dict]:
+def _aligned(texts: list[Text], ruled: list[dict], limits: Limits) -> list[dict]:
     """The borderless tables of a page's free texts that meet no ruled one, and why others are none."""
     out = []
     x0, y0, x1, y1 = np.array([[r[c] for c in G.BOX] for r in ruled], float).reshape(-1, 4).T
-    lines = visual_lines(_sorted(texts, "y0", "x0", "element"))
+    lines = visual_lines(sorted(texts, key=itemgetter(3, 0, 2)))
     if len(lines) >= 3:
-        low, high = np.array([x["y0"].min() for x in lines]), np.array([x["y1"].max() for x in lines])
-        limit = max(GAP_FLOOR, GAP_SHARE * float(np.median(np.maximum(high - low, 1.0))))
-        breaks = [0, *(np.flatnonzero(low[1:] - high[:-1] > limit) + 1), len(lines)]
+        low, high = [min(x[3] for x in line) for line in lines], [max(x[4] for x in line) for line in lines]
+        limit = max(GAP_FLOOR, GAP_SHARE * median(max(b - a, 1.0) for a, b in zip(low, high, strict=True)))
+        breaks = [0, *(n for n in range(1, len(lines)) if low[n] - high[n - 1] > limit), len(lines)]
         for a, b in zip(breaks, breaks[1:], strict=False):
             if b - a >= 3:
                 table, why = aligned_table(lines[a:b], limits)
@@ -421,14 +419,14 @@ def _aligned(texts: Rows, ruled: list[dict], limits: Limits) -> list[dict]:
 
 def page_tables(texts: Rows, lines: Rows, dense: bool = False, limits: Limits = WHOLE) -> list[dict]:
     """All of one page: ruled tables, then borderless ones of the texts outside them; none is ruled on a ``dense`` page, which only limits make so."""
+    every = list(zip(*(texts[c].tolist() for c in ("x0", "x1", "element", "y0", "y1", "content")), strict=True))
     centres = _centres(texts)
-    ruled = [{"kind": "ruled", "warning": "path density exceeded the detector limit"}] if dense else _ruled(lines, texts, centres, limits) if len(lines["axis"]) else []
+    ruled = [{"kind": "ruled", "warning": "path density exceeded the detector limit"}] if dense else _ruled(lines, every, centres, limits) if len(lines["axis"]) else []
     found = [r for r in ruled if r["warning"] is None]
     used = {e for r in found for e in r["consumed"]}
-    free = np.array([e not in used for e in texts["element"].tolist()], bool)
-    for r in found:
-        free[_within(centres, *(r[c] for c in G.BOX))["n"]] = False
-    return ruled + (_aligned(_take(texts, free), found, limits) if 6 <= free.sum() <= limits.items else [])
+    inside = {n for r in found for n, _, _ in _within(centres, *(r[c] for c in G.BOX))}
+    free = [x for n, x in enumerate(every) if n not in inside and x[2] not in used]
+    return ruled + (_aligned(free, found, limits) if 6 <= len(free) <= limits.items else [])
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
